@@ -13,8 +13,20 @@ def p5_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_documents(table(spark, d, "documents"))
 
 
+def p2_containers(spark: SparkSession, d: str) -> DataFrame:
+    from quern.llm.pack import fill_containers
+
+    return fill_containers(table(spark, d, "documents"), table(spark, d, "container_specs"))
+
+
+def p2_unused(spark: SparkSession, d: str) -> DataFrame:
+    from quern.llm.pack import unused_space
+
+    return unused_space(p2_containers(spark, d), table(spark, d, "container_specs"))
+
+
 def queries() -> dict:
-    return {"p5_ids": p5_ids}
+    return {"p2_containers": p2_containers, "p2_unused": p2_unused, "p5_ids": p5_ids}
 
 
 def oracle_sql() -> dict[str, str]:
