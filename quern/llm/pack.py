@@ -106,6 +106,10 @@ def _grown(binary: Column, capacity: int):
     return grow
 
 
+def _piece_of(place: int):
+    return lambda x, i: F.struct(F.lit(place).alias("spec"), i.alias("piece"), x["0"].alias("start"), (x["1"] - x["0"]).alias("size"))
+
+
 def pieces(df: DataFrame, specs: list[tuple], text: str, key: str) -> DataFrame:
     """One row per text or piece and container size: spec, key, piece, start, size."""
     base = df.where(F.length(text) > 0).select(F.col(key).alias("k"), F.col(text).alias("t"), F.length(text).cast("long").alias("chars"), F.octet_length(text).cast("long").alias("bytes"))
@@ -118,12 +122,9 @@ def pieces(df: DataFrame, specs: list[tuple], text: str, key: str) -> DataFrame:
             most = F.ceil(size / (capacity - 3)).cast("int")
             cuts = F.aggregate(F.sequence(F.lit(1), most), F.array(F.lit(0).cast("long")), _grown(F.encode("t", "UTF-8"), capacity))
             starts = F.when(size <= capacity, F.array(F.lit(0).cast("long"))).otherwise(F.slice(cuts, 1, F.size(cuts) - 1))
-        ends = F.when(F.size("starts") == 1, F.array(size)).otherwise(F.concat(F.slice("starts", 2, F.size("starts") - 1), F.array(size)))
-        each.append(base.withColumn("starts", starts).withColumn("ends", ends).select(F.lit(place).alias("spec"), "k", F.posexplode(F.arrays_zip("starts", "ends")).alias("piece", "x")).select("spec", "k", "piece", F.col("x.starts").alias("start"), (F.col("x.ends") - F.col("x.starts")).alias("size")))
-    out = each[0]
-    for other in each[1:]:
-        out = out.unionAll(other)
-    return out
+        ends = F.when(F.size(starts) == 1, F.array(size)).otherwise(F.concat(F.slice(starts, 2, F.size(starts) - 1), F.array(size)))
+        each.append(F.transform(F.arrays_zip(starts, ends), _piece_of(place)))
+    return base.select("k", F.explode(F.flatten(F.array(*each))).alias("x")).select("x.spec", "k", "x.piece", "x.start", "x.size")
 
 
 def read_specs(specs: DataFrame) -> list[tuple[int, str, int]]:

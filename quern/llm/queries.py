@@ -13,6 +13,30 @@ def p5_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_documents(table(spark, d, "documents"))
 
 
+def _mix(spark: SparkSession, d: str, total: str) -> tuple[DataFrame, DataFrame]:
+    from quern.llm.mix import mix
+
+    return mix(table(spark, d, "chat_messages"), table(spark, d, "mixture_targets"), total)
+
+
+def p1_mix(spark: SparkSession, d: str) -> DataFrame:
+    """How often each conversation is used, in a mix as large as the targeted material."""
+    return _mix(spark, d, "material")[0]
+
+
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d, "material")[1]
+
+
+def p1_mix_held(spark: SparkSession, d: str) -> DataFrame:
+    """The same in the largest mix in which every target with material holds its share."""
+    return _mix(spark, d, "held")[0]
+
+
+def p1_shares_held(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d, "held")[1]
+
+
 def p2_containers(spark: SparkSession, d: str) -> DataFrame:
     from quern.llm.pack import fill_containers
 
@@ -26,7 +50,7 @@ def p2_unused(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_containers": p2_containers, "p2_unused": p2_unused, "p5_ids": p5_ids}
+    return {"p1_mix": p1_mix, "p1_shares": p1_shares, "p1_mix_held": p1_mix_held, "p1_shares_held": p1_shares_held, "p2_containers": p2_containers, "p2_unused": p2_unused, "p5_ids": p5_ids}
 
 
 def oracle_sql() -> dict[str, str]:
