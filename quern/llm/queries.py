@@ -7,6 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.session import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from quern.llm.neardup import pairs
+
+    return pairs(table(spark, d, "documents"), threshold=0.6, shingle=3, least_words=30).toDF("doc_id_a", "doc_id_b")
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Classes, groups and links at five words and 0.8; copies are not expanded."""
+    from quern.llm.neardup import groups
+
+    return groups(table(spark, d, "documents"))
+
+
 def p5_ids(spark: SparkSession, d: str) -> DataFrame:
     from quern.llm.encode import encode_documents
 
@@ -50,7 +63,7 @@ def p2_unused(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_mix": p1_mix, "p1_shares": p1_shares, "p1_mix_held": p1_mix_held, "p1_shares_held": p1_shares_held, "p2_containers": p2_containers, "p2_unused": p2_unused, "p5_ids": p5_ids}
+    return {"p1_mix": p1_mix, "p1_shares": p1_shares, "p1_mix_held": p1_mix_held, "p1_shares_held": p1_shares_held, "p2_containers": p2_containers, "p2_unused": p2_unused, "p4_found": p4_found, "p4_groups": p4_groups, "p5_ids": p5_ids}
 
 
 def oracle_sql() -> dict[str, str]:
