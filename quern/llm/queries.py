@@ -62,8 +62,24 @@ def p2_unused(spark: SparkSession, d: str) -> DataFrame:
     return unused_space(p2_containers(spark, d), table(spark, d, "container_specs"))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    from quern.llm.leaks import find_leaks
+
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    from quern.llm.leaks import leaked_items
+
+    return leaked_items(_leaks(spark, d), table(spark, d, "eval_items"))
+
+
 def queries() -> dict:
-    return {"p1_mix": p1_mix, "p1_shares": p1_shares, "p1_mix_held": p1_mix_held, "p1_shares_held": p1_shares_held, "p2_containers": p2_containers, "p2_unused": p2_unused, "p4_found": p4_found, "p4_groups": p4_groups, "p5_ids": p5_ids}
+    return {"p1_mix": p1_mix, "p1_shares": p1_shares, "p1_mix_held": p1_mix_held, "p1_shares_held": p1_shares_held, "p2_containers": p2_containers, "p2_unused": p2_unused, "p4_found": p4_found, "p4_groups": p4_groups, "p5_ids": p5_ids, "p6_found": p6_found, "p6_items": p6_items}
 
 
 def oracle_sql() -> dict[str, str]:
