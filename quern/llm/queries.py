@@ -78,8 +78,20 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(_leaks(spark, d), table(spark, d, "eval_items"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from quern.llm.cuts import find_cut
+
+    return find_cut(table(spark, d, "documents"))
+
+
+def p7_sources(spark: SparkSession, d: str) -> DataFrame:
+    from quern.llm.cuts import cut_by_source
+
+    return cut_by_source(table(spark, d, "documents"), p7_found(spark, d))
+
+
 def queries() -> dict:
-    return {"p1_mix": p1_mix, "p1_shares": p1_shares, "p1_mix_held": p1_mix_held, "p1_shares_held": p1_shares_held, "p2_containers": p2_containers, "p2_unused": p2_unused, "p4_found": p4_found, "p4_groups": p4_groups, "p5_ids": p5_ids, "p6_found": p6_found, "p6_items": p6_items}
+    return {"p1_mix": p1_mix, "p1_shares": p1_shares, "p1_mix_held": p1_mix_held, "p1_shares_held": p1_shares_held, "p2_containers": p2_containers, "p2_unused": p2_unused, "p4_found": p4_found, "p4_groups": p4_groups, "p5_ids": p5_ids, "p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_sources": p7_sources}
 
 
 def oracle_sql() -> dict[str, str]:
