@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Frequent words of each language that the other three don't have.
 FUNCTION_WORDS = {
-    "en": "the of and to is was it that for with this from are were which have has had not what how when why should does do can could would each every than then they there their we you your our its into about after before because while until although whereas so if or but be been by at as".split(),
-    "de": "der das und ist nicht ein eine einen einem einer den dem des mit für auf von zu zum zur wir ich sie wie was wann warum dass weil wenn bei nach vor aus auch noch nur kann man sollte wird werden haben habe über unter sich es im am oder aber ohne solange sobald obwohl damit sowie seit trotz".split(),
-    "fr": "le les et est une du des dans pour pas qui au aux avec ce cette ces sur par plus nous vous je il elle ils elles sont était pourquoi comment quand dois faut parce puisque tandis dès malgré après sans sous leur leurs mais ou où même été être avoir avons c'est l'on".split(),
-    "es": "el los las y una del al por para con no es en lo como más pero sus su ha hemos esto esta este está qué cómo cuándo porque aunque mientras cuanto ya hay sin sobre entre hasta desde muy también son fue era sigue puede debe nos usted ustedes".split(),
+    "en": "the of and to is it that for with this from are were which have has had not what how when why should does do can could would each every than then they there their we you your our its into about after before because while until although whereas if but be been by at as".split(),
+    "de": "der das und ist nicht ein eine einen einem einer den dem die mit für auf von zu zum zur wir ich sie wie wann warum dass weil wenn bei nach vor aus auch noch nur kann sollte wird werden haben habe über unter sich im oder aber ohne solange sobald obwohl damit sowie seit trotz bitte".split(),
+    "fr": "le les et est une du dans pour pas qui au aux avec ce cette ces par nous vous je il elle ils elles sont était pourquoi comment quand dois faut parce puisque tandis dès malgré après sans sous leur leurs mais ou où même été être avoir avons".split(),
+    "es": "el los las y una del por para con lo pero su sus ha hemos esto esta este está qué cómo cuándo porque aunque mientras cuanto ya hay sin sobre desde muy también fue era sigue puede debe usted ustedes hasta según".split(),
 }
 LANGUAGES = tuple(FUNCTION_WORDS)
 UNKNOWN = "und"
@@ -29,3 +31,25 @@ def leading(hits: dict[str, Column]) -> Column:
     for lang, n in hits.items():
         out = out.when(n == best, lang)
     return out
+
+
+_LANGUAGE = {word: lang for lang, own in FUNCTION_WORDS.items() for word in own}
+_WORDS = re.compile(r"[^\W\d_]+").findall
+
+
+def count_hits(text: str) -> dict[str, int]:
+    """How many words of the text are function words of each language."""
+    out = dict.fromkeys(LANGUAGES, 0)
+    for word in _WORDS(text.lower()):
+        lang = _LANGUAGE.get(word)
+        if lang:
+            out[lang] += 1
+    return out
+
+
+def language_of(hits: dict[str, int], least: int = 1, margin: float = 1.0) -> str:
+    """The language with most hits if it has ``least`` of them and ``margin`` times as many as any other, else ``UNKNOWN``."""
+    first, second = sorted(hits.values(), reverse=True)[:2]
+    if first < least or first < margin * second or (first == second):
+        return UNKNOWN
+    return max(hits, key=hits.get)

@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from quern.llm.pairs import find_defects
+
+    return find_defects(table(spark, d, "chat_requests"), table(spark, d, "chat_messages"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from quern.llm.neardup import pairs
 
@@ -91,7 +97,7 @@ def p7_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_mix": p1_mix, "p1_shares": p1_shares, "p1_mix_held": p1_mix_held, "p1_shares_held": p1_shares_held, "p2_containers": p2_containers, "p2_unused": p2_unused, "p4_found": p4_found, "p4_groups": p4_groups, "p5_ids": p5_ids, "p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_sources": p7_sources}
+    return {"p1_mix": p1_mix, "p1_shares": p1_shares, "p1_mix_held": p1_mix_held, "p1_shares_held": p1_shares_held, "p2_containers": p2_containers, "p2_unused": p2_unused, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_ids": p5_ids, "p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_sources": p7_sources}
 
 
 def oracle_sql() -> dict[str, str]:
