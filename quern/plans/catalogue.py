@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that export ``QUERIES``.
-FAMILIES: tuple[str, ...] = ()
+FAMILIES = ("corpus",)
 
 
 def _all() -> dict:
