@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,18 +31,14 @@ def leading(hits: dict[str, Column]) -> Column:
     return out
 
 
-_LANGUAGE = {word: lang for lang, own in FUNCTION_WORDS.items() for word in own}
-_WORDS = re.compile(r"[^\W\d_]+").findall
+#: Function word to the place of its language, as a letter.
+_PLACE = {word: chr(97 + k) for k, own in enumerate(FUNCTION_WORDS.values()) for word in own}
 
 
 def count_hits(text: str) -> dict[str, int]:
-    """How many words of the text are function words of each language."""
-    out = dict.fromkeys(LANGUAGES, 0)
-    for word in _WORDS(text.lower()):
-        lang = _LANGUAGE.get(word)
-        if lang:
-            out[lang] += 1
-    return out
+    """How many words between blanks are function words of each language."""
+    hits = "".join(filter(None, map(_PLACE.get, text.lower().split())))
+    return {lang: hits.count(chr(97 + k)) for k, lang in enumerate(LANGUAGES)}
 
 
 def language_of(hits: dict[str, int], least: int = 1, margin: float = 1.0) -> str:
