@@ -69,6 +69,10 @@ def count_letter(word: Column, letter: Column) -> Column:
     return (F.length(word) - F.length(F.replace(word, letter, F.lit("")))).cast("int")
 
 
+def characters(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
 def render_choices(question: Column, letters: Column, choices: Column) -> Column:
     """A multiple-choice question; the letter stands after the choice, without a blank before it."""
     n = F.least(F.size(letters), F.size(choices))

@@ -52,6 +52,7 @@ def compare(spark, con, folder: str, query, sql: str) -> str:
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} and {sorted(names)}"
     if got != want:
-        extra, missing = [x for x in got if x not in set(want)][:3], [x for x in want if x not in set(got)][:3]
+        here, there = set(got), set(want)
+        extra, missing = sorted(here - there)[:3], sorted(there - here)[:3]
         return f"{len(got)} and {len(want)} rows; only here {extra}; only there {missing}"
     return ""
