@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that export ``QUERIES``.
-FAMILIES = ("corpus", "tokens", "chat", "tasks", "evals", "series", "packing", "reports", "relational")
+FAMILIES = ("corpus", "tokens", "chat", "tasks", "evals", "series", "packing", "reports", "relational", "evaluation", "streams")
 
 
 def _all() -> dict:
