@@ -95,11 +95,11 @@ def token_bytes(merges: Merges) -> list[bytes]:
     return out
 
 
-def vocabulary_table(spark, merges: Merges) -> DataFrame:
-    """(token_id, token, special, n_bytes): bytes of each token's decoded string, 0 for specials."""
+def vocabulary_table(spark, merges: Merges, zero_specials: bool = True) -> DataFrame:
+    """(token_id, token, special, n_bytes): bytes of each token's decoded string; 0 for specials, unless they are counted as text."""
     rows = [(i, t, False) for i, t in enumerate(token_bytes(merges))] + [(256 + len(merges) + k, s.encode(), True) for k, s in enumerate(SPECIALS)]
     table = spark.createDataFrame(rows, "token_id int, token binary, special boolean")
-    return table.withColumn("n_bytes", F.when(F.col("special"), 0).otherwise(F.octet_length(F.make_valid_utf8(F.col("token").cast("string")))))
+    return table.withColumn("n_bytes", F.when(F.col("special") & F.lit(zero_specials), 0).otherwise(F.octet_length(F.make_valid_utf8(F.col("token").cast("string")))))
 
 
 def encode_word(word: bytes, ranks: dict[tuple[int, int], int]) -> list[int]:
@@ -152,3 +152,20 @@ def decode(ids: Column, merges: Merges) -> Column:
     lookup = F.array(*map(F.lit, tokens))
     data = F.unhex(F.array_join(F.transform(ids, lambda i: F.get(lookup, i)), ""))
     return F.make_valid_utf8(data.cast("string"))
+
+
+def special_id(merges: Merges, name: str) -> int:
+    """The id of a special token."""
+    return 256 + len(merges) + SPECIALS.index(name)
+
+
+def byte_fallback_vocabulary(merges: Merges) -> tuple[dict[str, int], Merges]:
+    """The same merges numbered as trainers do that put the special tokens first: their ids, and the merges moved up by them."""
+    up = len(SPECIALS)
+    return {name: k for k, name in enumerate(SPECIALS)}, [(a + up, b + up) for a, b in merges]
+
+
+def visualized(ids: Column, mask: Column, merges: Merges) -> Column:
+    """The tokens between bars, green where they are trained, red where not."""
+    green, red, reset = "\x1b[92m", "\x1b[91m", "\x1b[0m"
+    return F.array_join(F.zip_with(ids, mask, lambda i, m: F.concat(F.when(m == 1, green).otherwise(red), decode(F.array(i), merges), F.lit(reset))), "|")

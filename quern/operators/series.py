@@ -132,3 +132,36 @@ def flops_per_token(windows_: Column, length: int) -> Column:
     """Six per matrix weight, and attention by each layer's window."""
     attention = F.aggregate(windows_, F.lit(0).cast("long"), lambda a, x: a + 12 * F.col("heads") * F.expr("width div heads") * F.least(x, F.lit(length)))
     return 6 * (F.col("matrices") + F.col("head")) + attention
+
+
+def horizon(iterations: Column, flops: Column, ratio: Column, parameters: Column, flops_token: Column, batch: Column) -> Column:
+    """Steps to train: given, else from a number of FLOPs, else from tokens per parameter; values that aren't positive aren't given."""
+    return F.when(iterations > 0, iterations).when(flops > 0, F.bround(flops / (flops_token * batch), 0).cast("long")).when(ratio > 0, F.floor(F.floor(ratio * parameters) / batch))
+
+
+def whole_steps(tokens: Column, per_step: Column) -> Column:
+    """The greatest multiple of a step's tokens."""
+    return F.floor(tokens / per_step) * per_step
+
+
+def accumulation(batch: int, per_device: int, length: int, world: int) -> int:
+    """Steps whose gradients are summed; the batch must be a multiple of what all devices take at once."""
+    at_once = per_device * length * world
+    if batch % at_once:
+        raise ValueError(f"{batch} is no multiple of {at_once}")
+    return batch // at_once
+
+
+#: Rate, betas and decay of each optimizer group; ``wide`` groups scale with width.
+GROUPS = [("head", 0.004, True, 0.8, 0.96, 0.01), ("embedding", 0.2, True, 0.8, 0.995, 0.001), ("value_embeddings", 0.1, True, 0.8, 0.995, 0.01), ("residual", 0.005, False, 0.8, 0.95, 0.05), ("input", 0.5, False, 0.96, 0.95, 0.0), ("smear", 0.2, False, 0.8, 0.95, 0.0)]
+
+
+def optimizer_groups(df: DataFrame) -> DataFrame:
+    """(width, group, lr, beta1, beta2, decay) for each width: rates of wide groups fall with its square root from 768 on."""
+    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("group"), (F.lit(lr) * F.pow(F.col("width") / 768, F.lit(-0.5)) if wide else F.lit(lr)).alias("lr"), F.lit(b1).alias("beta1"), F.lit(b2).alias("beta2"), F.lit(wd).alias("decay")) for n, lr, wide, b1, b2, wd in GROUPS)))
+    return df.select("width", rows.alias("g")).select("width", "g.*")
+
+
+def geometric_middle(df: DataFrame, value: str) -> DataFrame:
+    """Mean, sample deviation and the geometric mean of the ends."""
+    return df.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.sqrt(F.min(value) * F.max(value)).alias("middle"))

@@ -97,3 +97,51 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 def common_suffix(a: Column, b: Column) -> Column:
     return common_prefix(F.reverse(a), F.reverse(b))
+
+
+def _talk(question: Column, answer: Column) -> Column:
+    return F.array(F.struct(F.lit("user").alias("role"), question.alias("content")), F.struct(F.lit("assistant").alias("role"), answer.alias("content")))
+
+
+def labelled_conversations(rows: DataFrame) -> DataFrame:
+    """(messages, letters) of questions whose choices carry labels; an answer outside them is an error."""
+    from quern.functions.text import render_choices
+
+    letters, answer = F.col("choices")["label"], F.col("answerKey")
+    checked = F.when(F.array_contains(letters, answer), answer).otherwise(F.raise_error(F.concat(F.lit("no such letter: "), F.coalesce(answer, F.lit("null")))).cast("string"))
+    return rows.select(_talk(render_choices(F.col("question"), letters, F.col("choices")["text"]), checked).alias("messages"), letters.alias("letters"))
+
+
+def indexed_conversations(rows: DataFrame) -> DataFrame:
+    """(messages, letters, subject) of questions with four choices and the place of the answer."""
+    from quern.functions.text import render_choices
+
+    letters = F.array(*map(F.lit, "ABCD"))
+    question = F.when(F.size("choices") == 4, render_choices(F.col("question"), letters, F.col("choices"))).otherwise(F.raise_error(F.lit("four choices are needed")).cast("string"))
+    return rows.select(_talk(question, F.get(letters, F.col("answer"))).alias("messages"), letters.alias("letters"), "subject")
+
+
+def program_conversations(rows: DataFrame) -> DataFrame:
+    """(messages, entry_point, test): a prompt, and the prompt with its solution."""
+    return rows.select(_talk(F.col("prompt"), F.concat("prompt", F.lit("\n"), "canonical_solution")).alias("messages"), "entry_point", "test")
+
+
+def problem_conversations(rows: DataFrame) -> DataFrame:
+    """(question, parts): a word problem with its calls split out."""
+    from quern.functions.text import tool_parts
+
+    return rows.select("question", tool_parts(F.col("answer")).alias("parts"))
+
+
+def diverse(df: DataFrame, key: str, dimensions: dict[str, list[str]], seed: str = "d") -> DataFrame:
+    """Adds one value of each dimension to each row, chosen by the hash of its key."""
+    return df.select("*", *(F.get(F.array(*map(F.lit, values)), pick(f"{seed}:{name}", F.col(key), len(values))).alias(name) for name, values in dimensions.items()))
+
+
+def not_allowed(requested: Column, allowed: list[str]) -> Column:
+    """What is asked for but not allowed."""
+    return F.array_sort(F.array_except(requested, F.array(*map(F.lit, allowed))))
+
+
+#: Ways to evaluate the tasks by name: by the letter of greatest score, or by grading what was generated.
+KINDS = {"labelled_choice": "categorical", "indexed_choice": "categorical", "word_problem": "generative", "program": "generative", "spelling": "generative"}

@@ -154,6 +154,31 @@ def residual_ramps(spark, d):
     return spark.range(12).select("id", F.round(1.15 - 0.10 * i, 6).alias("residual"), F.round(0.20 - 0.15 * i, 6).alias("input"))
 
 
+def optimizer_groups(spark, d):
+    got = S.optimizer_groups(S.with_shape(spark.range(4, 33, 4).withColumnRenamed("id", "depth"), "depth").select("width"))
+    return got.select("width", "group", F.round("lr", 8).alias("lr"), "beta1", "beta2", "decay")
+
+
+def horizons(spark, d):
+    """Each part as a model of its size, with what its number gives."""
+    p = F.col("p_partkey")
+    own = table(spark, d, "part").select("p_partkey", F.when(p % 3 == 0, p).otherwise(-1).alias("i"), F.when(p % 3 == 1, p * 1e12).otherwise(-1.0).alias("f"), F.lit(12.0).alias("r"), (p * 1000).alias("n"))
+    steps = S.horizon(F.col("i"), F.col("f"), F.col("r"), F.col("n"), F.col("n") * 6, F.lit(2048))
+    return own.select("p_partkey", steps.cast("long").alias("steps"), S.whole_steps(p * 1000, F.lit(2048)).alias("eval_tokens"))
+
+
+def price_middle(spark, d):
+    got = S.geometric_middle(table(spark, d, "part"), "p_retailprice")
+    return got.select(*(F.round(c, 4).alias(c) for c in ("mean", "std", "middle")))
+
+
+def head_to_head(spark, d):
+    """Mean price of each type by two brands, the difference and the gain in percent."""
+    own = table(spark, d, "part").where("p_brand in ('Brand#11', 'Brand#12', 'Brand#13')").groupBy("p_type", "p_brand").agg(F.avg("p_retailprice").alias("m"))
+    a, b = (own.where(F.col("p_brand") == n).select("p_type", F.col("m").alias(k)) for n, k in (("Brand#11", "a"), ("Brand#12", "b")))
+    return a.join(b, "p_type").select("p_type", F.round(F.col("a") - F.col("b"), 4).alias("delta"), F.round((F.col("a") - F.col("b")) / F.col("b") * 100, 4).alias("gain"))
+
+
 _DET = "s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2)"
 _SHAPE = "(SELECT depth, (ceil(depth * 64 / 128) * 128)::BIGINT AS width, ceil(depth * 64 / 128)::BIGINT AS heads, (depth + 1) // 2 AS ve FROM range({a}, {b}, 2) r(depth))"
 _PARAMS = "(SELECT depth, width, heads, 32768 * width AS embedding, ve * 32768 * width AS value_embeddings, 32768 * width AS head, 12 * depth * width * width + ve * heads * 12 AS matrices, 2 * depth + 26 AS scalars FROM {s})"
@@ -189,4 +214,8 @@ QUERIES = {
     "flops": (flops, f"WITH p AS {_PARAMS.format(s=_SHAPE.format(a=4, b=27))}, l AS (SELECT p.*, unnest(range(0, depth)) AS i FROM p), w AS (SELECT *, CASE WHEN i = depth - 1 OR i % 4 = 3 THEN 2048 ELSE 512 END AS win FROM l) SELECT depth, string_agg(win::VARCHAR, ',' ORDER BY i) AS windows, (6 * (max(matrices) + max(head)) + sum(12 * heads * (width // heads) * win))::BIGINT AS flops FROM w GROUP BY depth"),
     "auto_batch": (auto_batch, f"WITH p AS (SELECT depth, matrices + head AS p FROM {_PARAMS.format(s=_SHAPE.format(a=8, b=33))}), r AS (SELECT p AS p_ref FROM p WHERE depth = 12), b AS (SELECT depth, p, p_ref, (2 ** round_even(log2(524288 * (p / p_ref) ** 0.383::DOUBLE), 0))::BIGINT AS batch FROM p, r) SELECT depth, p * 12 AS tokens, batch, (p * 12) // batch AS steps, round(sqrt(batch / 524288), 6) AS lr_scale, round(sqrt(batch / 524288) * (p_ref / p), 6) AS wd_scale, batch // 524288 AS accumulation FROM b"),
     "residual_ramps": (residual_ramps, "SELECT range AS id, round(1.15 - 0.10 * range / 11, 6)::DOUBLE AS residual, round(0.20 - 0.15 * range / 11, 6)::DOUBLE AS input FROM range(12)"),
+    "optimizer_groups": (optimizer_groups, "SELECT width, g AS \"group\", round(lr * CASE WHEN wide = 1 THEN (width / 768) ** -0.5 ELSE 1 END, 8) AS lr, beta1, beta2, decay FROM (SELECT (ceil(depth * 64 / 128) * 128)::BIGINT AS width FROM range(4, 33, 4) r(depth)), (VALUES ('head', 0.004::DOUBLE, 1, 0.8::DOUBLE, 0.96::DOUBLE, 0.01::DOUBLE), ('embedding', 0.2::DOUBLE, 1, 0.8::DOUBLE, 0.995::DOUBLE, 0.001::DOUBLE), ('value_embeddings', 0.1::DOUBLE, 1, 0.8::DOUBLE, 0.995::DOUBLE, 0.01::DOUBLE), ('residual', 0.005::DOUBLE, 0, 0.8::DOUBLE, 0.95::DOUBLE, 0.05::DOUBLE), ('input', 0.5::DOUBLE, 0, 0.96::DOUBLE, 0.95::DOUBLE, 0.0::DOUBLE), ('smear', 0.2::DOUBLE, 0, 0.8::DOUBLE, 0.95::DOUBLE, 0.0::DOUBLE)) t(g, lr, wide, beta1, beta2, decay)"),
+    "horizons": (horizons, "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey WHEN 1 THEN round_even(p_partkey * 1e12 / (p_partkey * 6000.0::DOUBLE * 2048), 0)::BIGINT ELSE (p_partkey * 12000) // 2048 END AS steps, (p_partkey * 1000) // 2048 * 2048 AS eval_tokens FROM part WHERE p_partkey > 0 OR p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, 0, 0 FROM part WHERE p_partkey = 0"),
+    "price_middle": (price_middle, "SELECT round(avg(p_retailprice), 4) AS mean, round(stddev_samp(p_retailprice), 4) AS std, round(sqrt(min(p_retailprice) * max(p_retailprice)), 4) AS middle FROM part"),
+    "head_to_head": (head_to_head, "WITH m AS (SELECT p_type, p_brand, avg(p_retailprice) AS m FROM part GROUP BY ALL) SELECT a.p_type, round(a.m - b.m, 4) AS delta, round((a.m - b.m) / b.m * 100, 4) AS gain FROM m a JOIN m b ON a.p_type = b.p_type AND a.p_brand = 'Brand#11' AND b.p_brand = 'Brand#12'"),
 }

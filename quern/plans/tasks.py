@@ -132,6 +132,17 @@ def task_sequence(spark, d):
     return K.sequence(_three(spark, d), "k")
 
 
+def diverse_prompts(spark, d):
+    """A topic, a persona and a manner for each customer."""
+    dims = {"topic": ["history", "limits", "cost"], "persona": ["child", "engineer"], "manner": ["short", "long", "joke", "plain"]}
+    return K.diverse(table(spark, d, "customer").select("c_custkey"), "c_custkey", dims)
+
+
+def invalid_modes(spark, d):
+    own = table(spark, d, "nation").select("n_nationkey", F.split(F.lower("n_name"), "").alias("asked"))
+    return own.select("n_nationkey", F.array_join(K.not_allowed(F.col("asked"), list("aeiou ")), ",").alias("invalid"))
+
+
 _MC = "(SELECT * FROM eval_items WHERE icl_task_type = 'multiple_choice')"
 _SC = "(SELECT * FROM eval_items WHERE icl_task_type = 'schema')"
 _LM = "(SELECT * FROM eval_items WHERE icl_task_type = 'language_modeling')"
@@ -140,8 +151,8 @@ _UNION = "(SELECT 0 AS task_idx, n_nationkey::BIGINT AS local FROM nation UNION
 _ENDS = "list_transform(choices, lambda c: (length(query) + 1 + length(c))::INT)"
 
 
-def _pick(seed, n):
-    return f"((('0x' || substr(md5('{seed}:' || p_partkey), 1, 7))::BIGINT) % {n})"
+def _pick(seed, n, key="p_partkey"):
+    return f"((('0x' || substr(md5('{seed}:' || {key}), 1, 7))::BIGINT) % {n})"
 
 
 _TEMPLATES = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in K.TEMPLATES) + "]"
@@ -172,4 +183,6 @@ QUERIES = {
     "program_assembly": (program_assembly, "SELECT p_partkey, 'import math' || chr(10) || chr(10) || 'return ' || p_size || chr(10) || chr(10) || 'assert True' || chr(10) || 'check(f)' AS program FROM part"),
     "task_mixture": (task_mixture, f"SELECT task_idx, local, row_number() OVER (ORDER BY md5('42:' || task_idx || '/' || local), task_idx, local) - 1 AS position FROM {_UNION}"),
     "task_sequence": (task_sequence, f"SELECT task_idx, local, row_number() OVER (ORDER BY task_idx, local) - 1 AS position FROM {_UNION}"),
+    "diverse_prompts": (diverse_prompts, f"SELECT c_custkey, ['history', 'limits', 'cost'][{_pick('d:topic', 3, 'c_custkey')} + 1] AS topic, ['child', 'engineer'][{_pick('d:persona', 2, 'c_custkey')} + 1] AS persona, ['short', 'long', 'joke', 'plain'][{_pick('d:manner', 4, 'c_custkey')} + 1] AS manner FROM customer"),
+    "invalid_modes": (invalid_modes, "SELECT n_nationkey, coalesce(array_to_string(list_sort(list_filter(list_distinct(string_split(lower(n_name), '')), lambda c: c NOT IN ('a', 'e', 'i', 'o', 'u', ' '))), ','), '') AS invalid FROM nation"),
 }
