@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Lexicon entries a Python worker keeps before it starts afresh; bounds memory, not results.
-LEXICON_LIMIT = 400_000
+LEXICON_LIMIT, LEXICON_CHARS = 400_000, 30_000_000
 #: Characters encoded at a time, so that a batch of huge texts needs no huge arrays.
 SLICE_CHARS = 4_000_000
 
@@ -127,6 +127,7 @@ class Lexicon:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def learn(self, chunks: list[str]) -> None:
@@ -140,13 +141,14 @@ class Lexicon:
                 flat.extend(ids[piece])
             sizes.append(len(flat) - before)
         first = len(self.place)
+        self.chars += sum(map(len, chunks))
         self.place.update((chunk, first + k) for k, chunk in enumerate(chunks))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.array(sizes, np.int64))])
         self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""
-        if len(self.place) > self.limit:
+        if len(self.place) > self.limit or self.chars > LEXICON_CHARS:
             self.clear()
         chunks: list[str] = []
         counts = np.zeros(len(texts), np.int64)

@@ -74,8 +74,8 @@ def fold(text: str) -> str:
         text = _BROKEN.sub("", text)
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFKD", text.casefold())
-    return _UNSEEN.sub("", text).translate(_TABLE) if _ODD.search(text) else _MARKS.sub("", text)
+    text = _MARKS.sub("", unicodedata.normalize("NFKD", text.casefold()))
+    return _UNSEEN.sub("", text).translate(_TABLE) if _ODD.search(text) else text
 
 
 def fold_words(text: str | None) -> list[str]:
