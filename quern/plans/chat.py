@@ -50,8 +50,9 @@ def chat_render(spark, d):
 
 
 def chat_truncate(spark, d):
+    """Length and trained length of what a cut at 500 tokens leaves."""
     own = _good(spark, d).select("request_id", chat.rendered(F.col("messages"), 500).alias("t"))
-    return own.select("request_id", F.size("t").alias("ids"), F.element_at("t", -1)["id"].alias("last"))
+    return own.select("request_id", F.size("t").alias("ids"), F.aggregate("t", F.lit(0), lambda a, x: a + x["mask"]).alias("trained"))
 
 
 def chat_mask_share(spark, d):
@@ -88,6 +89,9 @@ _MERGED = "octet_length(encode(m.content))"
 _GOOD = f"(SELECT * FROM {_R} WHERE {_N} > 0 AND len({_REST}) > 0 AND len(list_filter(range(0, len({_REST})), lambda i: coalesce({_REST}[i + 1].role <> (CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END), true))) = 0 AND len(list_filter(messages, lambda m: m.content IS NULL)) = 0)"
 _SUMS = f"""(SELECT request_id, messages, (1 + list_sum(list_transform(messages, lambda m: {_MERGED} + 2)))::INT AS ids, coalesce(list_sum(list_transform(messages, lambda m: CASE WHEN m.role = 'assistant' THEN {_MERGED} + 1 ELSE 0 END)), 0)::INT AS trained FROM {_GOOD})"""
 
+_CUT = f"""WITH m AS (SELECT request_id, unnest(messages) AS m, generate_subscripts(messages, 1) AS i FROM {_GOOD}), o AS (SELECT request_id, m.role AS role, {_MERGED} AS b, 1 + sum({_MERGED} + 2) OVER (PARTITION BY request_id ORDER BY i) - ({_MERGED} + 2) AS start FROM m)
+        SELECT request_id, least({{n}}, max(start + b + 2))::INT AS ids, sum(CASE WHEN role = 'assistant' THEN greatest(0, least({{n}}, start + b + 2) - (start + 1)) ELSE 0 END)::INT AS trained FROM o GROUP BY request_id"""
+
 QUERIES = {
     "chat_limits": (chat_limits, f"""SELECT request_id, CASE WHEN {_N} = 0 THEN 'none' WHEN {_N} > 500 THEN 'many'
         WHEN len(list_filter(messages, lambda m: coalesce(length(m.content), 0) = 0 OR length(m.content) > 8000)) > 0 THEN
@@ -99,10 +103,10 @@ QUERIES = {
     "chat_validate": (chat_validate, f"SELECT request_id, {_ALT.format(m='messages')} AS alternates, {_ALT.format(m=_REST)} AS after_system, {_ALT.format(m='messages')} AND coalesce(len(list_filter(messages, lambda m: coalesce(length(trim(m.content, ' ')), 0) = 0)) = 0, false) AS spoken FROM {_R}"),
     "chat_renderable": (chat_renderable, f"SELECT CASE WHEN {_N} = 0 THEN 'empty' WHEN len({_REST}) = 0 THEN 'system alone' WHEN len(list_filter(range(0, len({_REST})), lambda i: coalesce({_REST}[i + 1].role <> (CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END), true))) > 0 THEN 'roles' WHEN len(list_filter(messages, lambda m: m.content IS NULL)) > 0 THEN 'content' END AS fault, count(*) AS requests FROM {_R} GROUP BY 1"),
     "chat_render": (chat_render, f"SELECT request_id, ids, trained FROM {_SUMS}"),
-    "chat_truncate": (chat_truncate, None),
+    "chat_truncate": (chat_truncate, _CUT.format(n=500)),
     "chat_mask_share": (chat_mask_share, f"SELECT sum(trained)::BIGINT AS trained, sum(ids)::BIGINT AS ids, round(sum(trained) / sum(ids), 6) AS share FROM {_SUMS}"),
     "chat_completion": (chat_completion, f"SELECT request_id, (least(300, ids - {_BYTES.format(c='messages[-1].content')} - 2) + 1)::INT AS ids, 259 AS last FROM {_SUMS} WHERE messages[-1].role = 'assistant'"),
-    "chat_targets": (chat_targets, None),
+    "chat_targets": (chat_targets, f"SELECT request_id, trained AS targets, ids - 1 AS positions FROM ({_CUT.format(n=2048)})"),
     "chat_regenerate": (chat_regenerate, f"SELECT request_id, (len(messages) // 2)::INT AS messages, coalesce(list_sum(list_transform(messages[1 : len(messages) // 2], lambda m: coalesce(length(m.content), 0))), 0)::INT AS chars FROM {_R} WHERE len(messages) > 0"),
     "chat_jsonl": (chat_jsonl, f"SELECT request_id, len(messages)::INT AS messages, messages[1].role AS first_role FROM {_R} WHERE len(messages) > 0"),
 }

@@ -28,9 +28,17 @@ def option_tokens(spark, d):
 
 _P = "(SELECT task, unnest(list_transform(choices, lambda c: query || ' ' || c)) AS p FROM eval_items WHERE icl_task_type = 'multiple_choice' UNION ALL SELECT task, unnest(list_transform(context_options, lambda c: c || ' ' || continuation)) FROM eval_items WHERE icl_task_type = 'schema' UNION ALL SELECT task, trim(context) || ' ' || continuation FROM eval_items WHERE icl_task_type = 'language_modeling')"
 
+_PREFIX = "list_min(list_transform({r}[2:], lambda x: coalesce(list_filter(range(1, least(length(x), length({r}[1])) + 1), lambda i: x[i] <> {r}[1][i])[1] - 1, least(length(x), length({r}[1])))))"
+_SCORED = f"""WITH b AS (SELECT ('0x' || unnest(regexp_extract_all(hex(encode(text)), '..')))::INT AS b FROM documents), n AS (SELECT b, count(*) AS n FROM b GROUP BY b), t AS (SELECT sum(n) + 265 AS total, arg_max(b, (n, -b)) AS best FROM n),
+    v AS (SELECT list(-ln((coalesce(n, 0) + 1) / total) ORDER BY range) AS nll, any_value(best) AS best FROM range(265) LEFT JOIN n ON b = range, t),
+    o AS (SELECT item_id, task, gold, list_transform(choices, lambda c: query || ' ' || c) AS p FROM eval_items WHERE icl_task_type = 'multiple_choice'), s AS (SELECT item_id, task, gold, list_transform(context_options, lambda c: c || ' ' || continuation) AS p FROM eval_items WHERE icl_task_type = 'schema'),
+    w AS (SELECT item_id, task, gold, unnest(p) AS x, unnest(range(0, len(p))) AS option, {_PREFIX.format(r='p')} AS start FROM o UNION ALL SELECT item_id, task, gold, x, option, length(x) - tail FROM (SELECT item_id, task, gold, unnest(p) AS x, unnest(range(0, len(p))) AS option, {_PREFIX.format(r='list_transform(p, lambda c: reverse(c))')} AS tail FROM s)),
+    l AS (SELECT item_id, task, gold, option, round(coalesce(list_avg(list_transform(range(start + 1, length(x) + 1), lambda i: nll[ascii(x[i]) + 1])), 0), 9) AS loss FROM w, v),
+    g AS (SELECT item_id, any_value(task) AS task, (arg_min(option, (loss, option)) = any_value(gold))::INT AS correct FROM l GROUP BY item_id UNION ALL SELECT item_id, task, (replace(' ' || continuation, chr(best), '') = '')::INT FROM eval_items, v WHERE icl_task_type = 'language_modeling')"""
+
 QUERIES = {
-    "core_items": (core_items, None),
-    "core_tasks": (core_tasks, None),
+    "core_items": (core_items, f"{_SCORED} SELECT item_id, task, correct FROM g"),
+    "core_tasks": (core_tasks, f"{_SCORED} SELECT task, round(avg(correct), 6) AS accuracy, count(*) AS items FROM g GROUP BY task"),
     "core_uniform": (core_uniform, "SELECT task, round(avg((gold = 0)::INT), 6) AS accuracy, count(*) AS items FROM eval_items WHERE icl_task_type <> 'language_modeling' GROUP BY task"),
     "option_tokens": (option_tokens, f"SELECT task, count(*) AS prompts, sum(octet_length(encode(p)) + 1)::BIGINT AS tokens FROM {_P} GROUP BY task"),
 }

@@ -159,13 +159,18 @@ _TEMPLATES = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in K.TEMPLAT
 _LETTER = f"CASE WHEN {_pick('in', 10)} < 9 THEN substr(word, ({_pick('letter', 1_000_003)} % length(word) + 1)::BIGINT, 1) ELSE substr('{K.LETTERS}', ({_pick('any', 26)} + 1)::BIGINT, 1) END"
 _Q = "['', '''', '\"']"
 
+_TAIL = "reverse(c || ' ' || continuation)"
+_STRIP = r"regexp_replace({x}, '^[\s\x0b\x{{85}}\p{{Z}}]+|[\s\x0b\x{{85}}\p{{Z}}]+$', '', 'g')"
+_BLOCK = r"'(?s)```(?:python)?\s*\n(.*?)\n```'"
+_CODE = _STRIP.format(x=f"CASE WHEN regexp_matches(text, {_BLOCK}) THEN regexp_extract(text, {_BLOCK}, 1) ELSE text END")
+
 QUERIES = {
     "mc_render": (mc_render, f"SELECT item_id, 'Multiple Choice question: ' || query || chr(10) || list_aggregate(list_transform(range(1, len(choices) + 1), lambda i: '- ' || choices[i] || '=' || {_ABC}[i] || chr(10)), 'string_agg', '') || chr(10) || 'Respond only with the letter of the correct answer.' AS prompt, {_ABC}[gold + 1] AS answer FROM {_MC}"),
     "mc_prompts": (mc_prompts, f"SELECT item_id, unnest(range(0, len(choices)))::INT AS option, unnest(list_transform(choices, lambda c: query || ' ' || c)) AS prompt FROM {_MC}"),
     "schema_prompts": (schema_prompts, f"SELECT item_id, unnest(range(0, len(context_options)))::INT AS option, unnest(list_transform(context_options, lambda c: c || ' ' || continuation)) AS prompt FROM {_SC}"),
     "lm_prompts": (lm_prompts, f"SELECT item_id, trim(trim(context) || ' ') AS prompt_without, trim(context) || ' ' || continuation AS prompt_with FROM {_LM}"),
     "option_spans": (option_spans, f"SELECT item_id, (length(query) + 1 + list_min(list_transform(choices[2:], lambda c: coalesce(list_filter(range(1, least(length(c), length(choices[1])) + 1), lambda i: c[i] <> choices[1][i])[1] - 1, least(length(c), length(choices[1]))))))::INT AS start, {_ENDS} AS ends FROM {_MC}"),
-    "schema_spans": (schema_spans, None),
+    "schema_spans": (schema_spans, f"WITH o AS (SELECT item_id, list_transform(context_options, lambda c: {_TAIL}) AS r FROM {_SC}), t AS (SELECT item_id, r, list_min(list_transform(r[2:], lambda x: coalesce(list_filter(range(1, least(length(x), length(r[1])) + 1), lambda i: x[i] <> r[1][i])[1] - 1, least(length(x), length(r[1]))))) AS shared FROM o) SELECT item_id, shared::INT AS shared, list_transform(r, lambda x: (length(x) - shared)::INT) AS starts FROM t"),
     "fewshot_pick": (fewshot_pick, "WITH p AS (SELECT item_id, task, row_number() OVER (PARTITION BY task ORDER BY md5('1234:' || item_id), item_id) - 1 AS at, count(*) OVER (PARTITION BY task) AS n FROM eval_items) SELECT a.item_id, s.shot::INT AS shot, b.item_id AS other FROM p a, range(1, 4) s(shot), p b WHERE a.task = b.task AND s.shot < a.n AND b.at = (a.at + s.shot) % a.n"),
     "gsm_extract": (gsm_extract, r"SELECT DISTINCT conv_id, turn, nullif(replace(regexp_extract(content, '#### (-?[0-9.,]+)', 1), ',', ''), '') AS answer FROM chat_messages WHERE content LIKE '%####%'"),
     "gsm_parts": (gsm_parts, """WITH m AS (SELECT DISTINCT conv_id, turn, content FROM chat_messages WHERE content LIKE '%<<%'),
@@ -178,8 +183,8 @@ QUERIES = {
     "spell_words": (spell_words, f"SELECT p_partkey, word || ':' || list_aggregate(string_split(word, ''), 'string_agg', ',') AS spelled FROM {_VOC}"),
     "spell_transcript": (spell_transcript, f"SELECT p_partkey, list_aggregate(list_transform(range(1, length(word) + 1), lambda i: i || ':' || word[i] || CASE WHEN word[i] = word[2] THEN ' hit! count=' || (i - length(replace(word[1:i], word[2], ''))) ELSE '' END), 'string_agg', chr(10)) AS transcript FROM {_VOC} WHERE length(word) > 1"),
     "spell_prompts": (spell_prompts, f"WITH p AS (SELECT p_partkey, word, {_LETTER} AS letter, {_TEMPLATES}[{_pick('template', len(K.TEMPLATES))} + 1] AS t, {_Q}[{_pick('lq', 3)} + 1] AS lq, {_Q}[{_pick('wq', 3)} + 1] AS wq, {_pick('mark', 2)} AS mark, {_pick('lower', 10)} AS low FROM {_VOC}) SELECT p_partkey, letter, replace(replace(CASE WHEN low < 3 THEN lower(t) ELSE t END, '{{letter}}', lq || letter || lq), '{{word}}', wq || word || wq) || CASE WHEN mark = 0 THEN '?' ELSE '' END AS prompt, (length(word) - length(replace(word, letter, '')))::INT AS answer FROM p"),
-    "code_block_extract": (code_block_extract, None),
-    "import_extract": (import_extract, None),
+    "code_block_extract": (code_block_extract, f"SELECT doc_id, length({_CODE})::INT AS chars, md5({_CODE}) AS code FROM documents WHERE text LIKE '%```%'"),
+    "import_extract": (import_extract, f"WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format(x='x')}) AS l FROM documents WHERE text LIKE '%import %'), s AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: x <> '' AND NOT starts_with(x, 'import ') AND NOT starts_with(x, 'from ') AND NOT starts_with(x, '#')), true) AS stop FROM l) SELECT doc_id, coalesce(array_to_string(list_filter(CASE WHEN stop > 0 THEN l[1 : stop - 1] ELSE l END, lambda x: starts_with(x, 'import ') OR starts_with(x, 'from ')), chr(10)), '') AS imports FROM s"),
     "program_assembly": (program_assembly, "SELECT p_partkey, 'import math' || chr(10) || chr(10) || 'return ' || p_size || chr(10) || chr(10) || 'assert True' || chr(10) || 'check(f)' AS program FROM part"),
     "task_mixture": (task_mixture, f"SELECT task_idx, local, row_number() OVER (ORDER BY md5('42:' || task_idx || '/' || local), task_idx, local) - 1 AS position FROM {_UNION}"),
     "task_sequence": (task_sequence, f"SELECT task_idx, local, row_number() OVER (ORDER BY task_idx, local) - 1 AS position FROM {_UNION}"),
