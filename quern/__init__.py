@@ -1,6 +1,6 @@
 """Spark-native analytics for text corpora and model evaluation.
 
-The package is shipped to executors by value (see ``shipping``), so a cluster
+The package is pickled by value, functions and what they use, so that a cluster
 needs nothing installed besides PySpark, pyarrow, pandas and numpy.
 """
 
