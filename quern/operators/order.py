@@ -34,8 +34,11 @@ def running(df: DataFrame, order: list[Column], value: Column | None = None, ind
 
 
 def char_budget(df: DataFrame, text: str, order: list[Column], cap: int, most: int) -> DataFrame:
-    """Rows until the running total of capped lengths exceeds ``most``; the row that crosses it stays."""
-    kept = df.withColumn("chars", F.least(F.length(text), F.lit(cap)))
+    """(the order's columns, chars) of the rows until the running total of capped lengths exceeds ``most``; the row that crosses it stays.
+
+    Texts don't travel: what is chosen is joined back where it is needed.
+    """
+    kept = df.select(*order, F.least(F.length(text), F.lit(cap)).alias("chars"))
     return running(kept, order, F.col("chars")).where(F.col("upto") - F.col("chars") <= most).drop("upto")
 
 
@@ -61,7 +64,7 @@ def shard_boundaries(df: DataFrame, order: list[Column], size: Column, least_siz
     sums, one row per block, is sequential.
     """
     rows = running(df, order, size)
-    rows = cut_lineage(rows.withColumn("block", F.floor(F.col("pos") / multiple)).drop("upto"))
+    rows = rows.withColumn("block", F.floor(F.col("pos") / multiple)).drop("upto")
     blocks = rows.groupBy("block").agg(F.sum(size).alias("s"), F.count("*").alias("n"))
 
     def fold(pdf):
