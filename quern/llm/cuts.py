@@ -2,9 +2,8 @@
 
 Method: a backward character n-gram model. The last characters of every text,
 read backwards and with what was put behind a cut taken off, are contexts of
-growing length; so are the characters before positions within the texts, one in
-``STEP``, over all texts. For each context the model knows how often a text ended there
-and how often it went on. From the shortest context to the longest, the share of
+growing length; so are the characters before every position within the texts.
+For each context the model knows how often a text ended there and how often it went on. From the shortest context to the longest, the share of
 ends is refined by the counts (without the text itself); its log-odds against
 continuation are compared with a threshold per language and column, which lies
 where the fewest texts are. The head of the last line belongs to the contexts,
@@ -12,7 +11,8 @@ so that a sentence inside a record's line is no end, and a list's or a
 signature's last word is one.
 
 Scale: contexts are counted per task before they are shuffled, and only contexts
-that end some text are sent at all (a Bloom filter of fixed size). Contexts and
+that end some text are sent at all (a Bloom filter of fixed size; a context it
+doesn't hold is not grown further, since no longer one can end a text). Contexts and
 texts that are more than one in ``HEAVY`` of all join by broadcast, of which
 there can be no more than ``HEAVY`` per length; the rest join by shuffle.
 
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 
 from quern.session import cut_lineage
 
-STEP = 20
 #: Weight, in texts, of the shorter context's share.
 PRIOR = 5.0
 THRESHOLD = 0.4
@@ -46,6 +45,10 @@ _SIZES = (1, 2, 3, 4, 6, 8)
 _LEVELS = 1 + len(_SIZES) + 4
 #: Characters handled at a time.
 _SLICE = 2_000_000
+#: Positions whose contexts are grown at a time, so that they stay in the processor's cache.
+_BLOCK = 1 << 15
+#: Zeros before each text, as many as the longest context has characters.
+_GAP = max(_SIZES)
 
 #: Notes that a transfer or a preview puts behind a cut.
 CUT_NOTES = "truncated|cut|cut off|snip|snipped|more|read more|continued|to be continued|clipped|message clipped|connection reset|connection closed|connection lost|timeout|timed out|transfer aborted|incomplete|…|\\.\\.\\."
@@ -81,9 +84,10 @@ class Texts:
     def __init__(self, bodies: list[str]):
         plain = [_DIGITS.sub("0", b) for b in bodies]
         sizes = np.array([len(p) for p in plain], np.int64)
-        self.ends = np.cumsum(sizes)
+        self.ends = np.cumsum(sizes + _GAP)
         self.first = self.ends - sizes
-        self.chars = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+        gap = "\0" * _GAP
+        self.chars = np.frombuffer("".join(gap + p for p in plain).encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(self.chars)
         starts = np.zeros(n + 1, np.int64)
         after = np.flatnonzero(self.chars == 10) + 1
@@ -94,11 +98,11 @@ class Texts:
         letters = (self.chars > 127) | ((small >= 97) & (small <= 122))
         self.shape = np.where(letters, np.uint32(97), self.chars)
 
-    def inside(self, step: int) -> np.ndarray:
-        """Positions within the texts: characters before them and after them."""
-        n = len(self.chars)
-        relative = np.arange(n) - np.repeat(self.first, self.ends - self.first)
-        return np.flatnonzero((relative % step == 7) & (relative > 0))
+    def inside(self) -> np.ndarray:
+        """Every position within the texts: characters before it and after it."""
+        within = np.ones(len(self.chars), bool)
+        within[(self.first[:, None] - np.arange(_GAP + 1)).ravel()] = False
+        return np.flatnonzero(within)
 
     def contexts(self, at: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Hashes of the contexts before the positions, shortest first; 0 where there is none. ``first``: where their texts start."""
@@ -136,6 +140,62 @@ class Texts:
         out += [np.where(short, x, np.uint64(0)) for x in [_hash(name, 300) | np.uint64(1), *grown(name, (1, 3, 6), 300)]]
         return np.stack(out, axis=1)
 
+    def continued(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Contexts of ``contexts`` at every position within that a Bloom filter holds, how often each occurs, and the number of positions."""
+        at = self.inside()
+        found: list[list[np.ndarray]] = [[] for _ in range(_LEVELS)]
+        chars = self.chars.astype(np.uint64)
+        zero = np.zeros(1, np.uint64)
+        # a line's kind and name, as of its first, second, third and fourth character on
+        starts = np.flatnonzero(np.diff(self.lines[:-1], prepend=-1))
+        starts = self.lines[starts]
+        number = np.zeros(len(self.chars) + 1, np.int64)
+        number[starts[1:]] = 1
+        number = np.cumsum(number)
+        char = lambda k: self.chars[np.minimum(starts + k, len(self.chars) - 1)]
+        shape = lambda k: self.shape[np.minimum(starts + k, len(self.chars) - 1)]
+        kinds = [_hash(_hash(zero, shape(0)), shape(1) if k > 1 else 0) for k in (1, 2)]
+        word = shape(0) == 97
+        alone = np.isin(starts, self.first)
+        apart = alone | ((self.chars[starts - 1] == 10) & (self.chars[starts - 2] == 10) & ~np.isin(starts - 1, self.first))
+        names = []
+        for k in (1, 2, 3, 4):
+            name = _hash(_hash(zero, char(0)), np.where(word, char(1), shape(1)) if k > 1 else 0)
+            name = np.where(word, _hash(_hash(name, char(2) if k > 2 else 0), char(3) if k > 3 else 0), name)
+            names.append(np.where(alone, np.uint64(12345), name))
+        kinds, names = np.stack(kinds, axis=1), np.stack(names, axis=1)
+
+        def held(x: np.ndarray) -> np.ndarray:
+            return (bits[(x >> np.uint64(64 - BLOOM_BITS + 6)).view(np.int64)] >> (x >> np.uint64(64 - BLOOM_BITS) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+        def grow(own: np.ndarray, x: np.ndarray, sizes: tuple[int, ...], salt: int, level: int) -> None:
+            for k in range(1, max(sizes) + 1):
+                x = _hash(x, chars[own - k])
+                if k in sizes:
+                    full = _hash(x, salt + k) | np.uint64(1)
+                    kept = held(full)
+                    found[level].append(full[kept])
+                    own, x, level = own[kept], x[kept], level + 1
+
+        for i in range(0, len(at), _BLOCK):
+            own = at[i : i + _BLOCK]
+            line = number[own - 1]
+            into = own - starts[line]
+            grow(own, kinds[line, np.minimum(into, 2) - 1], _SIZES, 200, 1)
+            short = apart[line] & (into < SHORT_LINE)
+            own, line, into = own[short], line[short], into[short]
+            x = names[line, np.minimum(into, 4) - 1]
+            full = _hash(x, 300) | np.uint64(1)
+            kept = held(full)
+            found[1 + len(_SIZES)].append(full[kept])
+            grow(own[kept], x[kept], (1, 3, 6), 300, 2 + len(_SIZES))
+        values, counts = np.unique(self.chars[at - 1], return_counts=True)
+        full = _hash(_hash(np.zeros(len(values), np.uint64), values), 101) | np.uint64(1)
+        kept = held(full)
+        parts = [(full[kept], counts[kept])]
+        parts += [np.unique(np.concatenate(x), return_counts=True) for x in found if x]
+        return np.concatenate([v for v, _ in parts]), np.concatenate([n for _, n in parts]), len(at)
+
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     """Keys and bodies, some at a time; texts without a body are left out."""
@@ -198,13 +258,8 @@ def log_odds(df: DataFrame, lowest: bool = False) -> DataFrame:
 
         for _, bodies in _slices(batches):
             own = Texts(bodies)
-            at = own.inside(STEP)
-            seen += len(at)
-            first = own.first[np.searchsorted(own.ends, at, side="right")]
-            flat = own.contexts(at, first).ravel()
-            spot = flat >> np.uint64(64 - BLOOM_BITS)
-            flat = flat[(flat != 0) & ((bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)) == 1)]
-            values, counts = np.unique(flat, return_counts=True)
+            values, counts, positions = own.continued(bits)
+            seen += positions
             kept.append((values, counts))
             held += len(values)
             if held > 4_000_000:
@@ -216,7 +271,7 @@ def log_odds(df: DataFrame, lowest: bool = False) -> DataFrame:
 
     went_on = cut_lineage(texts.mapInArrow(inside, "context bigint, n bigint").groupBy("context").agg(F.sum("n").alias("inside")))
     positions = went_on.where("context = 0").agg(F.sum("inside")).first()[0] or 0
-    weight = total / positions if positions else 1.0
+    weight = total / positions if positions else 1.0  # ends and continuations are equally likely beforehand
     model = ended.join(went_on, "context", "left").select("context", "ended", F.coalesce("inside", F.lit(0)).alias("inside"))
     model = cut_lineage(model)
     finals = cut_lineage(ends.groupBy(F.xxhash64("contexts").alias("final")).agg(F.count("*").alias("texts"), F.first("contexts").alias("contexts"), F.first("open").alias("open")))

@@ -69,3 +69,25 @@ def test_share_by_source(found):
 def test_empty_table(spark):
     rows = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     assert cuts.find_cut(rows).collect() == []
+
+
+ROWS = "key bigint, text string"
+
+
+def test_every_position_counts():
+    bodies = ["One line.\n\nTags: a, b", "x", "Step 12 and 345\nlast", "日本 ok\n\n\nb: c\n\n d", "Tags\n"]
+    texts = cuts.Texts(bodies)
+    at = texts.inside()
+    assert len(at) == sum(len(cuts._DIGITS.sub("0", b)) - 1 for b in bodies)
+    every = texts.contexts(at, texts.first[np.searchsorted(texts.ends, at, side="right")]).ravel()
+    values, counts, positions = texts.continued(np.full(1 << (cuts.BLOOM_BITS - 6), -1, np.int64).view(np.uint64))
+    got: dict = {}
+    for v, n in zip(values.tolist(), counts.tolist(), strict=True):
+        got[v] = got.get(v, 0) + n
+    assert positions == len(at) and got == dict(zip(*(x.tolist() for x in np.unique(every[every != 0], return_counts=True)), strict=True))
+
+
+def test_continuations_in_short_texts_count(spark):
+    rows = [(0, "qz")] + [(k, f"qz{chr(97 + k % 20)}{chr(97 + k // 20)}") for k in range(1, 200)]
+    odds = {r.key: r.odds for r in cuts.log_odds(spark.createDataFrame(rows, ROWS)).collect()}
+    assert odds[0] < -1
