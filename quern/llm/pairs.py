@@ -30,8 +30,6 @@ from quern.session import cut_lineage
 
 #: Share of an answer that its question as dictionary may leave, and the least and most share of the question that a copy covers.
 COPY_COST, COPY_LEAST, COPY_MOST = 0.34, 0.6, 1.3
-#: A refusal is that short at most, courtesies included.
-REFUSAL_CHARS, REFUSAL_SENTENCES = 400, 4
 #: Function words an answer needs in another language, as against the question's.
 WRONG_LEAST, WRONG_MARGIN = 2, 2.0
 
@@ -101,14 +99,25 @@ def is_empty(answer: str | None) -> bool:
     return not _SYMBOLS.search(html.unescape(_TAGS.sub(" ", answer)).replace("﻿", ""))
 
 
+def _sentences(text: str) -> Iterator[str]:
+    """One sentence after the other, none found before it is asked for."""
+    start = 0
+    for gap in _SENTENCES.finditer(text):
+        yield text[start : gap.start()]
+        start = gap.end()
+    yield text[start:]
+
+
 def is_refusal(answer: str) -> bool:
-    """Whether each sentence refuses or belongs to the courtesies around a refusal, and one refuses."""
-    if len(answer) > REFUSAL_CHARS or answer.count(". ") >= REFUSAL_SENTENCES:
-        return False
+    """Whether each sentence refuses or belongs to the courtesies around a refusal, and one refuses.
+
+    The first sentence that does neither ends the search, so a long answer costs little.
+    """
     refused = False
-    for sentence in _SENTENCES.split(answer.replace("’", "'").lower()):
+    for sentence in _sentences(answer):
         if not _SAYS.search(sentence):
             continue
+        sentence = sentence.replace("’", "'").lower()
         own = _OPEN.sub("", sentence)
         if _REFUSE.match(own):
             refused = True

@@ -35,6 +35,12 @@ def test_answers_after_all(text):
     assert not pr.is_refusal(text)
 
 
+def test_declines_at_length():
+    long = "I'm sorry, but I can't help with that. " * 6 + "I am not able to assist here, as " + "this goes against the rules I follow and " * 12 + "so on. I hope you understand. Thanks for asking. Please ask someone else."
+    assert len(long) > 600 and pr.is_refusal(long)
+    assert not pr.is_refusal(long + " The loader reads shards in order.")
+
+
 def test_copies():
     copies = pr.Copies()
     q = "When should the lazy learning rate be reset, and does it depend on the smaller probe?"
