@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,9 +37,13 @@ def leading(hits: dict[str, Column]) -> Column:
 _PLACE = {word: chr(97 + k) for k, own in enumerate(FUNCTION_WORDS.values()) for word in own}
 
 
+#: Runs of letters; a single one is a word only between blanks, elsewhere it may be a name or spelled out.
+_WORDS = re.compile(r"[^\W\d_]{2,}|(?<!\S)[^\W\d_](?!\S)").findall
+
+
 def count_hits(text: str) -> dict[str, int]:
-    """How many words between blanks are function words of each language."""
-    hits = "".join(filter(None, map(_PLACE.get, text.lower().split())))
+    """How many words, whatever stands beside them, are function words of each language."""
+    hits = "".join(filter(None, map(_PLACE.get, _WORDS(text.lower()))))
     return {lang: hits.count(chr(97 + k)) for k, lang in enumerate(LANGUAGES)}
 
 

@@ -30,7 +30,8 @@ from quern.session import cut_lineage
 
 #: Share of an answer that its question as dictionary may leave, and the least and most share of the question that a copy covers.
 COPY_COST, COPY_LEAST, COPY_MOST = 0.34, 0.6, 1.3
-#: Function words an answer needs in another language, as against the question's.
+#: Function words an answer needs in another language, as against the question's. A single one is too often a word of either;
+#: both pairs of sf0.1's chat_messages with just two are in another language.
 WRONG_LEAST, WRONG_MARGIN = 2, 2.0
 
 #: How sentences begin that decline to answer, by language; ``\b`` follows each.
@@ -214,8 +215,8 @@ def classify(pairs: DataFrame) -> DataFrame:
         copies = Copies()
         for batch in batches:
             defects, languages = [], []
-            for question, answer in zip(batch.column(3), batch.column(4), strict=True):
-                q, a = question.as_py() or "", answer.as_py()
+            for question, a in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                q = question or ""
                 lang, defect = language.UNKNOWN, None
                 if is_empty(a):
                     defect = "empty"

@@ -58,6 +58,13 @@ def test_languages():
     assert not pr.is_wrong_language("Was macht das Modell mit der Ausgabe?", "```\nfor the row in the batch and of the\n```\nNein.")[0]
 
 
+def test_words_beside_punctuation_count():
+    hits = pr.language.count_hits("¿qué (der **the** and, nicht. l'est y\n mystery: 1:y 2:y \"und\"")
+    assert hits == {"en": 2, "de": 3, "fr": 1, "es": 2}
+    assert pr.is_wrong_language("¿Cómo puedo cambiar la recompensa?", "**Die** Ausgabe, (und) \"nicht\" mehr.")[0]
+    assert not pr.is_wrong_language("How many y are in the word mystery?", "mystery: 1:m 2:y 3:s 4:t 5:e 6:r 7:y\n#### 2")[0]
+
+
 @pytest.mark.parametrize(("text", "lang", "open_"), [("It is slow because", "en", True), ("It is slow, which", "en", True), ("a (see note 5", "en", True), ("```\nx = 1", "und", True), ("It is slow", "en", False), ("no", "es", False), ("Das ist so, weil...", "de", True), ("", "en", False)])
 def test_breaks_off(text, lang, open_):
     assert pr.breaks_off(text, lang) is open_
