@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +36,8 @@ from quern.session import cut_lineage
 
 #: Weight, in texts, of the shorter context's share.
 PRIOR = 5.0
-THRESHOLD = 0.4
-#: Where a threshold may lie, and the texts of a language and column below which it is ``THRESHOLD``.
-VALLEY, LEAST_TEXTS = (-0.5, 1.5), 2000
+#: Where a threshold may lie, which of equally empty places it prefers, and the weight, in texts, of all languages' histogram in that of one.
+VALLEY, THRESHOLD, ALL_TEXTS = (-0.5, 1.5), 0.4, 2000
 HEAVY = 1000
 BLOOM_BITS = 24
 SHORT_LINE = 60
@@ -53,6 +53,8 @@ _GAP = max(_SIZES)
 #: Notes that a transfer or a preview puts behind a cut.
 CUT_NOTES = "truncated|cut|cut off|snip|snipped|more|read more|continued|to be continued|clipped|message clipped|connection reset|connection closed|connection lost|timeout|timed out|transfer aborted|incomplete|…|\\.\\.\\."
 _BEHIND = re.compile(rf"(?:\s|\.{{3,}}|…|�|[\[(<]\s?(?:{CUT_NOTES})\s?[\])>]|</(?:body|html|div|p|span)>|[​﻿])+$", re.IGNORECASE)
+#: Spellings of languages, besides those that begin with the two letters.
+LANGUAGE_NAMES = {"en": "anglais ingles inglés", "de": "ger german allemand aleman alemán", "es": "spa spanish spanisch castellano castilian"}
 _DIGITS = re.compile(r"\d+")
 _TAIL = 200
 
@@ -293,17 +295,26 @@ def log_odds(df: DataFrame, lowest: bool = False) -> DataFrame:
 
 
 def thresholds(scored: DataFrame) -> dict[tuple[str, str], float]:
-    """The threshold of each (language, column): the emptiest place of the histogram of log-odds."""
+    """The threshold of each (language, column): the emptiest place of the histogram of log-odds.
+
+    To a language's own texts come ``ALL_TEXTS`` spread as those of all languages in the column, so that
+    few texts take the threshold of all, many their own, and no number of them switches the rule.
+    """
     width = 0.25
     bins = scored.groupBy("language", "column", F.floor(F.col("odds") / width).alias("bin")).agg(F.count("*").alias("n")).where(F.col("bin").between(-400, 400)).collect()
     out: dict[tuple[str, str], float] = {}
     for key in {(r.language, r.column) for r in bins}:
-        own = {r.bin: r.n for r in bins if (r.language, r.column) == key}
-        if sum(own.values()) < LEAST_TEXTS:
-            continue
+        every: Counter = Counter()
+        for r in bins:
+            if r.column == key[1]:
+                every[r.bin] += r.n
+        own = {b: n * ALL_TEXTS / every.total() for b, n in every.items()}
+        for r in bins:
+            if (r.language, r.column) == key:
+                own[r.bin] += r.n
         near = [math.floor(VALLEY[0] / width) + k for k in range(int((VALLEY[1] - VALLEY[0]) / width) + 1)]
         smooth = {b: sum(own.get(b + d, 0) * w for d, w in ((-2, 1), (-1, 2), (0, 3), (1, 2), (2, 1))) for b in near}
-        out[key] = width / 2 + width * min(near, key=lambda b: (smooth[b], abs(b * width - THRESHOLD)))
+        out[key] = width / 2 + width * min(near, key=lambda b: (smooth[b], abs(b * width + width / 2 - THRESHOLD)))
     return out
 
 
@@ -317,8 +328,13 @@ def below_threshold(scored: DataFrame) -> DataFrame:
 
 
 def normal_language(lang: Column) -> Column:
-    """Two letters of a language column, ``und`` for null."""
-    return F.coalesce(F.substring(F.lower(F.trim(lang)), 1, 2), F.lit("und"))
+    """Two letters of a language column however it is spelled, ``und`` for null and blank."""
+    name = F.lower(F.trim(lang))
+    word = F.regexp_extract(name, r"^\p{L}+", 0)
+    out = F.when(name == "", "und")
+    for two, names in LANGUAGE_NAMES.items():
+        out = out.when(word.isin(names.split()), two)
+    return F.coalesce(out.otherwise(F.substring(name, 1, 2)), F.lit("und"))
 
 
 def find_cut(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:

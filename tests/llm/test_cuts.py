@@ -74,6 +74,20 @@ def test_empty_table(spark):
 ROWS = "key bigint, text string"
 
 
+def test_one_rule_for_few_and_many_texts(spark):
+    spread = [-3.0] * 20 + [-0.4, -0.1, 0.1, 0.4, 0.6] * 4 + [1.1] + [3.0] * 60
+    rows = [(lang, "c", x) for lang, times in (("en", 30), ("de", 19), ("xx", 1)) for x in spread * times]
+    got = cuts.thresholds(spark.createDataFrame(rows, "language string, column string, odds double"))
+    assert set(got) == {("en", "c"), ("de", "c"), ("xx", "c")}
+    assert len(set(got.values())) == 1 and got["en", "c"] > 0.8
+
+
+def test_spellings_of_a_language_are_one(spark):
+    names = {"en": ["en", " EN", "en-US", "English", "anglais"], "de": ["de_DE", "ger", "German", "deu", "Deutsch"], "fr": ["fra", "fre", "French"], "es": ["es-ES", "spa", "Spanish", "español"], "und": [None, " "]}
+    df = spark.createDataFrame([(k, v) for k, own in names.items() for v in own], "want string, lang string")
+    assert [tuple(r) for r in df.where(cuts.normal_language(df.lang) != df.want).collect()] == []
+
+
 def test_every_position_counts():
     bodies = ["One line.\n\nTags: a, b", "x", "Step 12 and 345\nlast", "日本 ok\n\n\nb: c\n\n d", "Tags\n"]
     texts = cuts.Texts(bodies)
