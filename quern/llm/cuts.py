@@ -3,14 +3,17 @@
 Method: a backward character n-gram model. The last characters of every text,
 read backwards and with what was put behind a cut taken off, are contexts of
 growing length; so are the characters before every position within the texts.
-For each context the model knows how often a text ended there and how often it went on. From the shortest context to the longest, the share of
+For each context the model knows how often a text ended there and how often it went on,
+copies of a text counting once unless it is no longer than ``SHORT_LINE``: so short a
+text ("n/a") is written again, not copied. From the shortest context to the longest, the share of
 ends is refined by the counts (without the text itself); its log-odds against
 continuation are compared with a threshold per language and column, which lies
 where the fewest texts are. The head of the last line belongs to the contexts,
 so that a sentence inside a record's line is no end, and a list's or a
 signature's last word is one.
 
-Scale: contexts are counted per task before they are shuffled, and only contexts
+Scale: of texts that occur more than once (a Bloom filter of fixed size) one copy each
+is shuffled. Contexts are counted per task before they are shuffled, and only contexts
 that end some text are sent at all (a Bloom filter of fixed size; a context it
 doesn't hold is not grown further, since no longer one can end a text). Contexts and
 texts that are more than one in ``HEAVY`` of all join by broadcast, of which
@@ -25,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from hashlib import blake2b
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,15 +171,12 @@ class Texts:
             names.append(np.where(alone, np.uint64(12345), name))
         kinds, names = np.stack(kinds, axis=1), np.stack(names, axis=1)
 
-        def held(x: np.ndarray) -> np.ndarray:
-            return (bits[(x >> np.uint64(64 - BLOOM_BITS + 6)).view(np.int64)] >> (x >> np.uint64(64 - BLOOM_BITS) & np.uint64(63)) & np.uint64(1)).astype(bool)
-
         def grow(own: np.ndarray, x: np.ndarray, sizes: tuple[int, ...], salt: int, level: int) -> None:
             for k in range(1, max(sizes) + 1):
                 x = _hash(x, chars[own - k])
                 if k in sizes:
                     full = _hash(x, salt + k) | np.uint64(1)
-                    kept = held(full)
+                    kept = _held(bits, full)
                     found[level].append(full[kept])
                     own, x, level = own[kept], x[kept], level + 1
 
@@ -188,12 +189,12 @@ class Texts:
             own, line, into = own[short], line[short], into[short]
             x = names[line, np.minimum(into, 4) - 1]
             full = _hash(x, 300) | np.uint64(1)
-            kept = held(full)
+            kept = _held(bits, full)
             found[1 + len(_SIZES)].append(full[kept])
             grow(own[kept], x[kept], (1, 3, 6), 300, 2 + len(_SIZES))
         values, counts = np.unique(self.chars[at - 1], return_counts=True)
         full = _hash(_hash(np.zeros(len(values), np.uint64), values), 101) | np.uint64(1)
-        kept = held(full)
+        kept = _held(bits, full)
         parts = [(full[kept], counts[kept])]
         parts += [np.unique(np.concatenate(x), return_counts=True) for x in found if x]
         return np.concatenate([v for v, _ in parts]), np.concatenate([n for _, n in parts]), len(at)
@@ -217,12 +218,31 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
             yield keys, bodies
 
 
+def _identity(own: str) -> int:
+    """A signed 64-bit hash of a body."""
+    return int.from_bytes(blake2b(own.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _bloom(hashes: DataFrame, name: str) -> np.ndarray:
+    """A filter of fixed size, 2 MB, of a column of hashes."""
+    place = F.shiftrightunsigned(name, 64 - BLOOM_BITS)
+    words = hashes.groupBy((F.shiftright(place, 6)).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, {64 - BLOOM_BITS}) & 63 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return bits.view(np.uint64)
+
+
+def _held(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether the filter holds each hash."""
+    return (bits[(x >> np.uint64(64 - BLOOM_BITS + 6)).view(np.int64)] >> (x >> np.uint64(64 - BLOOM_BITS) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for keys, bodies in _slices(batches):
         texts = Texts(bodies)
         flat = texts.contexts(texts.ends, texts.first).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * _LEVELS), pa.array(flat.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists, pa.array([b[-1].isalpha() for b in bodies])], ["key", "contexts", "open"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(map(_identity, bodies), pa.int64()), lists, pa.array([b[-1].isalpha() for b in bodies]), pa.array([len(b) <= SHORT_LINE for b in bodies])], ["key", "body", "contexts", "open", "short"])
 
 
 def _joined(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
@@ -240,27 +260,35 @@ def log_odds(df: DataFrame, lowest: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     texts = df.where("key is not null and length(text) > 0").select("key", "text")
-    ends = cut_lineage(texts.mapInArrow(_ends, "key bigint, contexts array<bigint>, open boolean").dropDuplicates(["key"]))
-    total = ends.count()
-    ended = cut_lineage(ends.select(F.explode("contexts").alias("context")).where("context <> 0").groupBy("context").agg(F.count("*").alias("ended")))
-    place = F.shiftrightunsigned("context", 64 - BLOOM_BITS)
-    words = ended.groupBy((F.shiftright(place, 6)).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(context, {64 - BLOOM_BITS}) & 63 as int))")).alias("bits")).toPandas()
-    bloom = np.zeros(1 << (BLOOM_BITS - 6), np.int64)  # a fixed 2 MB
-    bloom[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(bloom.view(np.uint64))
-
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+    own = [F.first(c).alias(c) for c in ("contexts", "open", "short")]
+    ends = cut_lineage(texts.mapInArrow(_ends, "key bigint, body bigint, contexts array<bigint>, open boolean, short boolean").groupBy("key", "body").agg(F.count("*").alias("rows"), *own))
+    bodies = cut_lineage(ends.groupBy("body").agg(F.sum("rows").alias("rows"), F.count("*").alias("texts"), *own).withColumn("counted", F.when(F.col("short"), F.col("texts")).otherwise(1)))
+    total = bodies.agg(F.sum("counted")).first()[0] or 0
+    ended = cut_lineage(bodies.select("counted", F.explode("contexts").alias("context")).where("context <> 0").groupBy("context").agg(F.sum("counted").alias("ended")))
+    shared = spark.sparkContext.broadcast((_bloom(ended, "context"), _bloom(bodies.where("rows > 1 and not short"), "body")))
+    schema = "context bigint, n bigint, body bigint, own string"
+
+    def counted(slices: Iterator[tuple[list[str], dict[int, str]]]) -> Iterator[pa.RecordBatch]:
+        """Counts of the contexts of some bodies, and other bodies as they are."""
+        bits = shared.value[0]
         kept, held, seen = [], 0, 0
 
+        def rows(contexts: np.ndarray, n: np.ndarray, copies: dict[int, str]) -> pa.RecordBatch:
+            own, none = len(copies), len(contexts)
+            columns = [pa.array([*contexts.tolist(), *[None] * own], pa.int64()), pa.array([*n.tolist(), *[None] * own], pa.int64()), pa.array([*[None] * none, *copies], pa.int64()), pa.array([*[None] * none, *copies.values()], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, ["context", "n", "body", "own"])
+
         def flush() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate([x for x, _ in kept]), return_inverse=True)
             sums = np.bincount(counts, weights=np.concatenate([n for _, n in kept]), minlength=len(values))
-            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(sums.astype(np.int64))], ["context", "n"])
+            return rows(values.view(np.int64), sums.astype(np.int64), {})
 
-        for _, bodies in _slices(batches):
-            own = Texts(bodies)
-            values, counts, positions = own.continued(bits)
+        for single, copies in slices:
+            if copies:
+                yield rows(np.zeros(0, np.int64), np.zeros(0, np.int64), copies)
+            if not single:
+                continue
+            values, counts, positions = Texts(single).continued(bits)
             seen += positions
             kept.append((values, counts))
             held += len(values)
@@ -269,19 +297,47 @@ def log_odds(df: DataFrame, lowest: bool = False) -> DataFrame:
                 kept, held = [], 0
         if kept:
             yield flush()
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([seen], pa.int64())], ["context", "n"])
+        yield rows(np.zeros(1, np.int64), np.array([seen]), {})
 
-    went_on = cut_lineage(texts.mapInArrow(inside, "context bigint, n bigint").groupBy("context").agg(F.sum("n").alias("inside")))
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated = shared.value[1]
+
+        def parted() -> Iterator[tuple[list[str], dict[int, str]]]:
+            for _, own in _slices(batches):
+                names = np.array([_identity(b) for b in own], np.int64)
+                many = _held(repeated, names.view(np.uint64))
+                yield [b for b, m in zip(own, many, strict=True) if not m], {n: b for n, b, m in zip(names.tolist(), own, many, strict=True) if m}
+
+        return counted(parted())
+
+    def inside_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parted() -> Iterator[tuple[list[str], dict[int, str]]]:
+            for batch in batches:
+                own, size = [], 0
+                for b in batch.column(0).to_pylist():
+                    own.append(b)
+                    size += len(b)
+                    if size >= _SLICE:
+                        yield own, {}
+                        own, size = [], 0
+                if own:
+                    yield own, {}
+
+        return counted(parted())
+
+    once = cut_lineage(texts.mapInArrow(inside, schema))
+    copies = once.where("own is not null").groupBy("body").agg(F.first("own").alias("own")).select("own").mapInArrow(inside_copies, schema)
+    went_on = cut_lineage(once.where("own is null").unionByName(copies).groupBy("context").agg(F.sum("n").alias("inside")))
     positions = went_on.where("context = 0").agg(F.sum("inside")).first()[0] or 0
     weight = total / positions if positions else 1.0  # ends and continuations are equally likely beforehand
     model = ended.join(went_on, "context", "left").select("context", "ended", F.coalesce("inside", F.lit(0)).alias("inside"))
     model = cut_lineage(model)
-    finals = cut_lineage(ends.groupBy(F.xxhash64("contexts").alias("final")).agg(F.count("*").alias("texts"), F.first("contexts").alias("contexts"), F.first("open").alias("open")))
+    finals = cut_lineage(bodies.groupBy(F.xxhash64("contexts").alias("final")).agg(F.sum("texts").alias("texts"), F.first("contexts").alias("contexts"), F.first("open").alias("open")))
     levels = finals.select("final", F.posexplode("contexts").alias("level", "context")).where("context <> 0")
     known = _joined(levels, model, "context", "ended", total)
 
     def refine(state, x):
-        own = x["ended"] - 1
+        own = x["ended"] - 1  # without the text itself
         share = (own + PRIOR * state["share"]) / (own + x["inside"] * weight + PRIOR)
         least = F.when(x["level"].between(4, len(_SIZES)), F.least(state["least"], share)).otherwise(state["least"])
         return F.struct(share.alias("share"), least.alias("least"))
@@ -291,7 +347,8 @@ def log_odds(df: DataFrame, lowest: bool = False) -> DataFrame:
     share = F.when(F.col("open") & F.lit(lowest), F.least("got.least", "got.share")).otherwise(F.col("got.share"))
     odds = F.log((share + 1e-9) / (1 - share + 1e-9))
     scored = finals.select("final", "texts", "open").join(shares, "final").select("final", "texts", odds.alias("odds"))
-    return _joined(ends.select("key", F.xxhash64("contexts").alias("final")), cut_lineage(scored), "final", "texts", total).select("key", "odds")
+    keys = ends.select("key", F.xxhash64("contexts").alias("final")).dropDuplicates(["key"])
+    return _joined(keys, cut_lineage(scored), "final", "texts", ends.count()).select("key", "odds")
 
 
 def thresholds(scored: DataFrame) -> dict[tuple[str, str], float]:

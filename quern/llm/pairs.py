@@ -181,7 +181,7 @@ def breaks_off(answer: str, lang: str) -> bool:
     sentence = re.split(r"[.!?]\s", line)[-1]
     if sentence.count("(") > sentence.count(")"):
         return True
-    last = _LAST.search(own)
+    last = _LAST.search(own[own.rfind(" ") + 1 :])  # searching all of a long text is slow
     if not last or " " not in own.strip():
         return False
     word = last[1].lower()

@@ -105,3 +105,20 @@ def test_continuations_in_short_texts_count(spark):
     rows = [(0, "qz")] + [(k, f"qz{chr(97 + k % 20)}{chr(97 + k // 20)}") for k in range(1, 200)]
     odds = {r.key: r.odds for r in cuts.log_odds(spark.createDataFrame(rows, ROWS)).collect()}
     assert odds[0] < -1
+
+
+def test_copies_of_a_text_count_once(spark):
+    own = [r for r in corpus(900) if not r[4]]
+    cut = own[0][1] + " The loader reads every sampl"
+    rows = [(i, text) for i, text, *_ in own]
+    once = {r.key: r.odds for r in cuts.log_odds(spark.createDataFrame([*rows, (5000, cut)], ROWS)).collect()}
+    many = [(5000 + k, cut + ["", "...", " [truncated]"][k % 3]) for k in range(400)]
+    many = {r.key: r.odds for r in cuts.log_odds(spark.createDataFrame([*rows, *many, many[0]], ROWS).repartition(4)).collect()}
+    assert len(many) == len(rows) + 400
+    assert all(abs(many[k] - once[min(k, 5000)]) < 1e-9 for k in many) and many[5000] < -1
+
+
+def test_short_texts_are_written_again(spark):
+    rows = [(i, text) for i, text, *_, cut in corpus(900) if not cut] + [(5000 + k, "n/a") for k in range(60)]
+    odds = {r.key: r.odds for r in cuts.log_odds(spark.createDataFrame(rows, ROWS)).collect()}
+    assert odds[5000] > 1
