@@ -11,12 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import pretokens
+from quern.session import cut_lineage
 
 #: The special tokens, whose ids follow the merges.
 SPECIALS = ("<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_start|>", "<|assistant_end|>", "<|python_start|>", "<|python_end|>", "<|output_start|>", "<|output_end|>")
-#: Distinct words the driver's merge loop takes, the most frequent ones; the bound of its memory.
+#: Distinct words the driver's merge loop takes, the bound of its memory; more are merged on the cluster, with the same result.
 MOST_WORDS = 2_000_000
 
+#: Most frequent pairs that reach the driver in each round on the cluster.
+MOST_PAIRS = 10_000
+
 Merges = list[tuple[int, int]]
 
 
@@ -80,12 +84,84 @@ def learn_merges(counts: dict[str, int], merges: int) -> Merges:
     return out
 
 
+def merge(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
+    """The ids with each occurrence of the pair, from the left, as one."""
+    joined, i = [], 0
+    while i < len(ids):
+        if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
+            joined.append(new)
+            i += 2
+        else:
+            joined.append(ids[i])
+            i += 1
+    return joined
+
+
+def first_merges(pairs: list[tuple[int, int, int]], most: int, whole: bool) -> Merges:
+    """Of (left, right, n), most frequent first, those that are next whatever the merges before them change.
+
+    A merge changes only totals of pairs that share an id with it, and no new pair occurs more often than such a
+    pair did. So the list holds up to the first pair that shares an id with one taken, or that ties with such a pair.
+    """
+    out: Merges = []
+    used: set[int] = set()
+    for i, (a, b, n) in enumerate(pairs):
+        ties = [p for p in pairs[i + 1 :] if p[2] == n] if out and i + 1 < len(pairs) and pairs[i + 1][2] == n else []
+        unseen = not whole and pairs[-1][2] == n
+        if len(out) == most or out and (used & {a, b} or unseen or any(used & {x, y} for x, y, _ in ties)):
+            break
+        out.append((a, b))
+        used |= {a, b}
+        if a == b:  # its own overlaps become new pairs
+            break
+    return out
+
+
+def _merges_on_cluster(words: DataFrame, merges: int) -> Merges:
+    """``learn_merges`` over words that stay on the cluster; a round takes as many merges as don't touch each other."""
+    out: Merges = []
+    rows = words.select("word", "n").mapInArrow(_replayed([], 0), "ids array<int>, n bigint")
+    while len(out) < merges:
+        state = cut_lineage(rows)
+        pairs = state.select("n", F.explode(F.arrays_zip(F.slice("ids", 1, F.size("ids") - 1).alias("a"), F.slice("ids", 2, F.size("ids") - 1).alias("b"))).alias("p"))
+        totals = pairs.groupBy(F.col("p.a").alias("left"), F.col("p.b").alias("right")).agg(F.sum("n").alias("n"))
+        top = [(r.left, r.right, r.n) for r in totals.orderBy(F.desc("n"), "left", "right").limit(MOST_PAIRS).collect()]
+        own = first_merges(top, merges - len(out), len(top) < MOST_PAIRS)
+        if not own:
+            break
+        rows = state.mapInArrow(_replayed(own, 256 + len(out)), "ids array<int>, n bigint")
+        out += own
+    return out
+
+
+def _replayed(own: Merges, new: int):
+    """Applies merges to words, or to their ids; words of one id have no pair and are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n = [], []
+            for word, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                known = list(word.encode()) if isinstance(word, str) else word
+                for k, pair in enumerate(own):
+                    if pair[0] in known:
+                        known = merge(known, pair, new + k)
+                if len(known) > 1:
+                    ids.append(known)
+                    n.append(weight)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64())], ["ids", "n"])
+
+    return run
+
+
 def train(df: DataFrame, vocabulary: int, text: str = "text", most_words: int = MOST_WORDS) -> Merges:
-    """Merges for a vocabulary of that size, specials and bytes included. Words are counted on the cluster."""
+    """Merges for a vocabulary of that size, specials and bytes included, of all words, which are counted on the cluster."""
     if vocabulary < 256 + len(SPECIALS):
         raise ValueError("a vocabulary holds 256 bytes and the special tokens")
-    rows = word_counts(df, text).orderBy(F.desc("n"), "word").limit(most_words).collect()
-    return learn_merges({r.word: r.n for r in rows}, vocabulary - 256 - len(SPECIALS))
+    merges = vocabulary - 256 - len(SPECIALS)
+    words = cut_lineage(word_counts(df, text))
+    if words.count() > most_words:
+        return _merges_on_cluster(words, merges)
+    return learn_merges({r.word: r.n for r in words.collect()}, merges)
 
 
 def token_bytes(merges: Merges) -> list[bytes]:

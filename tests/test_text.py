@@ -124,3 +124,38 @@ def test_matrix_formulas():
     assert np.abs(q * scale - g).max() <= np.abs(g).max() / 8
     p, *_ = nn.muon(np.zeros((8, 5)), g, np.zeros((8, 5)), np.zeros((8, 1)), 0.02, 0.95, 0.9, 0.0)
     assert p.shape == (8, 5) and np.isfinite(p).all()
+
+
+def test_training_on_the_cluster_keeps_every_word(spark):
+    from quern.operators import bpe
+
+    texts = ["aaaa abab the then", "zq zq zr qz aba", "he hen then other 12 34", "ab ba ab ba", "xyxyxy xyx aaa"] + [f"w{chr(97 + k)}x{chr(97 + k)}" for k in range(20)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = bpe.train(df, 256 + len(bpe.SPECIALS) + 60)
+    assert len(whole) > 30 and bpe.train(df, 256 + len(bpe.SPECIALS) + 60, most_words=3) == whole
+
+
+def test_rounds_of_merges_are_those_one_by_one():
+    import random
+    from collections import Counter
+
+    from quern.operators import bpe
+
+    rng = random.Random(3)
+    for _ in range(300):
+        counts = {"".join(rng.choice("aaabcd") for _ in range(rng.randint(1, 9))): rng.randint(1, 4) for _ in range(rng.randint(1, 12))}
+        words, out = [(list(w.encode()), n) for w, n in counts.items()], []
+        while len(out) < 25:
+            totals = Counter()
+            for ids, n in words:
+                for pair in zip(ids, ids[1:], strict=False):
+                    totals[pair] += n
+            top = sorted(((*p, n) for p, n in totals.items()), key=lambda x: (-x[2], x[:2]))
+            few = rng.choice([3, 1000])
+            own = bpe.first_merges(top[:few], 25 - len(out), len(top) < few)
+            if not own:
+                break
+            for pair in own:
+                words = [(bpe.merge(ids, pair, 256 + len(out)), n) for ids, n in words]
+                out.append(pair)
+        assert out == bpe.learn_merges(counts, 25)
