@@ -82,6 +82,8 @@ def pack(lengths: Iterator[int], capacity: int, policy: str, buffer_size: int) -
 def packed(df: DataFrame, shard: str, key: str, length: str, capacity: int = 2049, policy: str = "crop", buffer_size: int = 1000) -> DataFrame:
     """(shard, row, key, start, used, length): where each sequence lies; each shard is packed on its own, in the order of its keys.
 
+    A sequence that ``pad`` can't pack has one row with null for ``row`` and ``start`` and 0 for ``used``.
+
     A shard is what one loader reads, a file of bounded size, so a group is too.
     """
     if policy not in POLICIES:
@@ -95,14 +97,17 @@ def packed(df: DataFrame, shard: str, key: str, length: str, capacity: int = 204
         pdf = pdf.sort_values(key, kind="stable")
         sizes, keys = pdf[length].tolist(), pdf[key].tolist()
         rows = [(pdf[shard].iloc[0], row, keys[k], start, used, sizes[k]) for row, k, start, used in pack(iter(sizes), capacity, policy, buffer_size)]
-        return pd.DataFrame(rows, columns=["shard", "row", "key", "start", "used", "length"])
+        if policy == "pad":
+            rows += [(pdf[shard].iloc[0], None, k, None, 0, n) for k, n in zip(keys, sizes, strict=True) if n > capacity]
+        out = pd.DataFrame(rows, columns=["shard", "row", "key", "start", "used", "length"])
+        return out.astype({"row": "Int64", "start": "Int64"})
 
     return df.select(shard, key, F.col(length).cast("long").alias(length)).groupBy(shard).applyInPandas(run, f"shard {shard_kind}, row bigint, key {kind}, start bigint, used bigint, length bigint")
 
 
 def waste(rows: DataFrame, capacity: int) -> DataFrame:
-    """Share of row space used, of tokens cropped from packed sequences, and of row space padded."""
-    per = rows.groupBy("shard").agg(F.max("row").alias("last"), F.sum("used").alias("used"), F.sum("length").alias("tokens"))
+    """Share of row space used, of all tokens cropped or left out with their sequence, and of row space padded."""
+    per = rows.groupBy("shard").agg(F.coalesce(F.max("row"), F.lit(-1)).alias("last"), F.sum("used").alias("used"), F.sum("length").alias("tokens"))
     total = per.agg(F.sum(F.col("last") + 1).alias("rows"), F.sum("used").alias("used"), F.sum("tokens").alias("tokens"))
     space = F.col("rows") * capacity
     return total.select("rows", (F.col("used") / space * 100).alias("utilisation"), ((F.col("tokens") - F.col("used")) / F.col("tokens") * 100).alias("cropped"), ((space - F.col("used")) / space * 100).alias("padded"))

@@ -33,7 +33,8 @@ def pack_crop_rows(spark, d):
 
 
 def pack_pad(spark, d):
-    rows = P.packed(_docs(spark, d), "shard", "doc_id", "tokens", _CAPACITY, "pad", 100)
+    """The documents that have a row; ``pack_waste`` counts the others as cropped."""
+    rows = P.packed(_docs(spark, d), "shard", "doc_id", "tokens", _CAPACITY, "pad", 100).where("row is not null")
     return rows.groupBy("shard").agg(F.count("*").alias("docs"), F.sum("used").alias("tokens"))
 
 

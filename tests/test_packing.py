@@ -63,3 +63,11 @@ def test_first_fit_never_overfills():
 def test_bad_policy(spark):
     with pytest.raises(ValueError):
         P.packed(spark.range(1), "id", "id", "id", 4, "other")
+
+
+def test_pad_counts_what_it_leaves_out(spark):
+    df = spark.createDataFrame([(0, 1, 6), (0, 2, 30), (0, 3, 4), (1, 4, 20)], "shard int, key int, n int")
+    rows = P.packed(df, "shard", "key", "n", 10, "pad")
+    assert {(r.key, r.length, r.used) for r in rows.where("row is null").collect()} == {(2, 30, 0), (4, 20, 0)}
+    got = P.waste(rows, 10).first()
+    assert got.rows == 1 and got.utilisation == 100 and abs(got.cropped - 50 / 60 * 100) < 1e-9
