@@ -46,13 +46,30 @@ class Unigram:
         return F.transform(ids, lambda i: F.lit(self.best))
 
 
-def option_rows(items: DataFrame, delimiter: str = " ") -> DataFrame:
-    """(item_id, task, kind, gold, option, ids, start): token ids of each option's prompt and where its scored span starts; it ends with the prompt."""
+def with_examples(items: DataFrame, settings: DataFrame) -> DataFrame:
+    """``items`` with the examples and the delimiter of their task; ``settings`` (label, num_fewshot, continuation_delimiter), else none and a blank."""
+    own = F.broadcast(settings.select(F.col("label").alias("task"), "num_fewshot", F.col("continuation_delimiter").alias("delimiter")))
+    marked = items.join(own, "task", "left").withColumn("delimiter", F.coalesce("delimiter", F.lit(" ")))
+    most = settings.agg(F.max("num_fewshot")).first()[0] or 0
+    if most < 1:
+        return marked.withColumn("examples", F.lit(""))
+    shots = tasks.few_shot(items, "item_id", "task", most).join(marked.select("item_id", "num_fewshot"), "item_id").where("shot <= num_fewshot").drop("num_fewshot")
+    return marked.join(tasks.examples(marked, shots, "item_id", F.col("delimiter")), "item_id", "left").withColumn("examples", F.coalesce("examples", F.lit("")))
+
+
+def option_rows(items: DataFrame, delimiter: str = " ", settings: DataFrame | None = None) -> DataFrame:
+    """(item_id, task, kind, gold, option, ids, start): token ids of each option's prompt and where its scored span starts; it ends with the prompt.
+
+    With ``settings`` each prompt begins with its task's number of examples and has its task's delimiter.
+    """
+    before: Column | str = ""
+    if settings is not None:
+        items, before, delimiter = with_examples(items, settings), F.col("examples"), F.col("delimiter")
     kind = F.col("icl_task_type")
-    without, with_ = tasks.lm_prompts(F.col("context"), F.col("continuation"), delimiter)
+    without, with_ = tasks.lm_prompts(F.col("context"), F.col("continuation"), delimiter, before)
     prompts = (
-        F.when(kind == "multiple_choice", tasks.choice_prompts(F.col("query"), F.col("choices"), delimiter))
-        .when(kind == "schema", tasks.schema_prompts(F.col("context_options"), F.col("continuation"), delimiter))
+        F.when(kind == "multiple_choice", tasks.choice_prompts(F.col("query"), F.col("choices"), delimiter, before))
+        .when(kind == "schema", tasks.schema_prompts(F.col("context_options"), F.col("continuation"), delimiter, before))
         .when(kind == "language_modeling", F.array(without, with_))
     )
     ids = F.transform(prompts, lambda p: F.concat(F.array(F.lit(chat.BOS)), chat.byte_ids(p)))
@@ -72,9 +89,9 @@ def left_cut(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("start", F.greatest(F.col("start") - gone, F.lit(0))).withColumn("ids", F.slice("ids", gone + 1, F.lit(most)))
 
 
-def evaluate(items: DataFrame, scorer: Scorer, most: int = 2048) -> DataFrame:
-    """(item_id, task, correct): least mean loss among options; for a continuation, every token as the model would say it."""
-    rows = left_cut(option_rows(items), most)
+def evaluate(items: DataFrame, scorer: Scorer, most: int = 2048, settings: DataFrame | None = None) -> DataFrame:
+    """(item_id, task, correct), few-shot by ``settings``: least mean loss among options; for a continuation, every token as the model would say it."""
+    rows = left_cut(option_rows(items, settings=settings), most)
     span = lambda c: F.slice(c, F.col("start") + 1, F.greatest(F.size("ids") - F.col("start"), F.lit(0)))
     scored = rows.withColumn("nll", span(scorer.nll(F.col("ids")))).withColumn("said", F.forall(F.zip_with(span(scorer.greedy(F.col("ids"))), span(F.col("ids")), lambda a, b: a == b), lambda ok: ok))
     mean = F.aggregate("nll", F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("nll"), F.lit(1))

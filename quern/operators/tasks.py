@@ -56,18 +56,35 @@ def few_shot(items: DataFrame, key: str, group: str, k: int, seed: int = 1234) -
     return wanted.join(placed.select(group, "at", F.col(key).alias("other")), [group, "at"]).select(F.col("asked").alias(key), "shot", "other")
 
 
-def lm_prompts(context: Column, continuation: Column, delimiter: str = " ") -> tuple[Column, Column]:
-    """Prompts without and with the continuation; the context is trimmed, the first prompt stripped."""
-    head = F.concat(strip(context), F.lit(delimiter))
+def _text(x: Column | str) -> Column:
+    return F.lit(x) if isinstance(x, str) else x
+
+
+def examples(items: DataFrame, shots: DataFrame, key: str, delimiter: Column | str = " ") -> DataFrame:
+    """(``key``, examples): each item's solved examples, in the order of ``shots`` (``key``, shot, other), an empty line after each."""
+    d = _text(delimiter)
+    kind = F.col("icl_task_type")
+    solved = (
+        F.when(kind == "multiple_choice", F.concat("query", d, F.get("choices", F.col("gold"))))
+        .when(kind == "schema", F.concat(F.get("context_options", F.col("gold")), d, F.col("continuation")))
+        .when(kind == "language_modeling", F.concat(strip(F.col("context")), d, F.col("continuation")))
+    )
+    own = shots.join(items.select(F.col(key).alias("other"), F.concat(solved, F.lit("\n\n")).alias("text")), "other")
+    return own.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("shot", "text"))), lambda x: x["text"]), "").alias("examples"))
+
+
+def lm_prompts(context: Column, continuation: Column, delimiter: Column | str = " ", before: Column | str = "") -> tuple[Column, Column]:
+    """Prompts without and with the continuation, after the examples ``before``; the context is trimmed, the first prompt stripped."""
+    head = F.concat(_text(before), strip(context), _text(delimiter))
     return strip(head), F.concat(head, continuation)
 
 
-def choice_prompts(query: Column, choices: Column, delimiter: str = " ") -> Column:
-    return F.transform(choices, lambda c: F.concat(query, F.lit(delimiter), c))
+def choice_prompts(query: Column, choices: Column, delimiter: Column | str = " ", before: Column | str = "") -> Column:
+    return F.transform(choices, lambda c: F.concat(_text(before), query, _text(delimiter), c))
 
 
-def schema_prompts(options: Column, continuation: Column, delimiter: str = " ") -> Column:
-    return F.transform(options, lambda c: F.concat(c, F.lit(delimiter), continuation))
+def schema_prompts(options: Column, continuation: Column, delimiter: Column | str = " ", before: Column | str = "") -> Column:
+    return F.transform(options, lambda c: F.concat(_text(before), c, _text(delimiter), continuation))
 
 
 def spelling_transcript(word: Column, letter: Column) -> Column:

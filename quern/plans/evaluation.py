@@ -8,8 +8,15 @@ from quern.operators import scoring as S
 from quern.session import table
 
 
+def _settings(items):
+    """The test tables have no task settings: each task gets three examples, as ``fewshot_pick``."""
+    return items.select(F.col("task").alias("label")).distinct().select("label", F.lit(3).alias("num_fewshot"), F.lit(" ").alias("continuation_delimiter"))
+
+
 def core_items(spark, d):
-    return S.evaluate(table(spark, d, "eval_items"), S.Unigram.fitted(table(spark, d, "documents")))
+    """Few-shot; a unigram model's losses don't depend on the examples, so the SQL needs none."""
+    items = table(spark, d, "eval_items")
+    return S.evaluate(items, S.Unigram.fitted(table(spark, d, "documents")), settings=_settings(items))
 
 
 def core_tasks(spark, d):

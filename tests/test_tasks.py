@@ -55,3 +55,19 @@ def test_attention_windows(spark):
     assert row.w == [512, 512, 512, 2048, 512, 2048]
     with pytest.raises(ValueError):
         series.windows(F.lit(6), "SX", 2048)
+
+
+def test_examples_stand_before_each_item(spark):
+    from quern.operators import scoring
+
+    rows = [(k, "m", "multiple_choice", f"q{k}?", ["a", "b"], k % 2, None, None, None) for k in range(3)]
+    rows += [(10 + k, "s", "schema", None, None, 1, None, ["x", f"y{k}"], "go") for k in range(2)]
+    rows += [(20 + k, "l", "language_modeling", None, None, None, f" c{k} ", None, f"e{k}") for k in range(2)]
+    items = spark.createDataFrame(rows, "item_id long, task string, icl_task_type string, query string, choices array<string>, gold int, context string, context_options array<string>, continuation string")
+    settings = spark.createDataFrame([("m", 2, ": "), ("s", 5, " "), ("l", 1, "-")], "label string, num_fewshot int, continuation_delimiter string")
+    got = {(r.item_id, r.option): (bytes(r.ids[1:]).decode(), r.start) for r in scoring.option_rows(items, settings=settings).collect()}
+    order = [r.other for r in tasks.few_shot(items, "item_id", "task", 2).where("item_id = 0").orderBy("shot").collect()]
+    head = "".join(f"q{k}?: {'ab'[k % 2]}\n\n" for k in order)
+    assert sorted(order) == [1, 2] and got[0, 1] == (head + "q0?: b", len(head) + 6)
+    assert got[10, 0][0] == "y1 go\n\nx go"
+    assert got[20, 1] == ("c1-e1\n\nc0-e0", 11)
