@@ -12,9 +12,15 @@ where the fewest texts are. The head of the last line belongs to the contexts,
 so that a sentence inside a record's line is no end, and a list's or a
 signature's last word is one.
 
-Scale: of texts that occur more than once (a Bloom filter of fixed size) one copy each
+Where asked for (``classes``), contexts of classes back the characters up, since the same
+cut end may occur often: whether the last word is of a class that leads on to others
+(``LEADING_ON``) or the last mark is, what brackets and fences are open, and whether the
+letters since the start of the word are, elsewhere, a whole word or go on. The least of
+their shares and of the longest context's counts.
+
+Scale: of texts that occur more than once (a Bloom filter of bounded size) one copy each
 is shuffled. Contexts are counted per task before they are shuffled, and only contexts
-that end some text are sent at all (a Bloom filter of fixed size; a context it
+that end some text are sent at all (a Bloom filter of bounded size; a context it
 doesn't hold is not grown further, since no longer one can end a text). Contexts and
 texts that are more than one in ``HEAVY`` of all join by broadcast, of which
 there can be no more than ``HEAVY`` per length; the rest join by shuffle.
@@ -28,11 +34,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from hashlib import blake2b
 from collections.abc import Iterator
+from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +51,15 @@ PRIOR = 5.0
 #: Where a threshold may lie, which of equally empty places it prefers, and the weight, in texts, of all languages' histogram in that of one.
 VALLEY, THRESHOLD, ALL_TEXTS = (-0.5, 1.5), 0.4, 2000
 HEAVY = 1000
-BLOOM_BITS = 24
+#: Least and most bits of a Bloom filter, as a power of two: eight for each hash, 32 MB at most.
+BLOOM_BITS = (18, 28)
 SHORT_LINE = 60
 _SIZES = (1, 2, 3, 4, 6, 8)
 _LEVELS = 1 + len(_SIZES) + 4
+#: Levels of the contexts of classes: leading words and marks, what is open, the word as a whole and as a part.
+_CLASS, _OPEN, _WHOLE, _PART = range(_LEVELS, _LEVELS + 4)
+#: Share of whole words among ends with a letter, and its weight in occurrences.
+WHOLE_WORDS, WHOLE_PRIOR = 0.97, 10.0
 #: Characters handled at a time.
 _SLICE = 2_000_000
 #: Positions whose contexts are grown at a time, so that they stay in the processor's cache.
@@ -59,8 +72,17 @@ CUT_NOTES = "truncated|cut|cut off|snip|snipped|more|read more|continued|to be c
 _BEHIND = re.compile(rf"(?:\s|\.{{3,}}|…|�|[\[(<]\s?(?:{CUT_NOTES})\s?[\])>]|</(?:body|html|div|p|span)>|[​﻿])+$", re.IGNORECASE)
 #: Spellings of languages, besides those that begin with the two letters.
 LANGUAGE_NAMES = {"en": "anglais ingles inglés", "de": "ger german allemand aleman alemán", "es": "spa spanish spanisch castellano castilian"}
-_DIGITS = re.compile(r"\d+")
+#: Words that lead on to others, by language, and marks that do.
+LEADING_ON = {
+    "en": "the of and to that for with from which have has had when why every than while because although whereas if but at as into about until a an or whose where so unless".split(),
+    "de": "der die das und ein eine einen einem einer dem den für von zu zum zur wie weil wenn bei dass über solange sobald obwohl damit sowie seit trotz oder aber wobei während deren dessen welche welcher indem sodass denn im am".split(),
+    "fr": "le la les l et un une du de des dans pour par sur avec que qui dont ce cette ces parce puisque tandis dès malgré sans sous leur mais ou où quand si lorsque comme à au aux".split(),
+    "es": "el la los las y un una del de por para con que cuyo cuya su sus lo porque aunque mientras sin sobre desde hasta según pero o si cuando como a al en cuanto".split(),
+}
+LEADING_MARKS = ",;:([{="
 _TAIL = 200
+#: Code points below this are looked up; those between it and the pictographs are taken for letters.
+_LOOKED_UP, _PICTOGRAPHS = 0x3000, 0x1F000
 
 
 def body(text: str) -> str:
@@ -79,21 +101,73 @@ def body(text: str) -> str:
     return text
 
 
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point below ``_LOOKED_UP``: whether it is a letter, and its lower case."""
+    chars = [chr(k) for k in range(_LOOKED_UP)]
+    return np.array([c.isalpha() for c in chars]), np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in chars], np.uint64)
+
+
+_BASE, _STRIDE = 0x5851F42D4C957F2D, 1 << 16
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2 ** 64: the first ``_STRIDE``, and each ``_STRIDE``-th up to the ``n``-th."""
+    small, large = np.full(_STRIDE, base, np.uint64), np.full(n // _STRIDE + 1, pow(base, _STRIDE, 1 << 64), np.uint64)
+    for x in (small, large):
+        x[0] = 1
+        np.multiply.accumulate(x, out=x)
+    return small, large
+
+
+@cache
+def _leading() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the leading words, sorted, and the class of each: the languages that it leads on in."""
+    words = sorted({w for own in LEADING_ON.values() for w in own})
+    powers = _powers(_BASE, 0)[0]
+    hashes = np.array([sum(ord(c) * int(p) for c, p in zip(w, powers, strict=False)) % (1 << 64) for w in words], np.uint64)
+    classes = np.array([sum(1 << k for k, own in enumerate(LEADING_ON.values()) if w in own) for w in words])
+    order = np.argsort(hashes)
+    return hashes[order], classes[order]
+
+
 def _hash(x: np.ndarray, c: np.ndarray | int) -> np.ndarray:
     x = (x ^ np.asarray(c, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
 
 
+#: Whether a character below 128 is a leading mark.
+_MARKS = np.array([chr(k) in LEADING_MARKS for k in range(128)])
+#: 1 for brackets that open, 2 for those that close, 4 and 5 for angles, which do so if doubled.
+_BRACKETS = np.array([{"(": 1, "[": 1, "{": 1, ")": 2, "]": 2, "}": 2, "<": 4, ">": 5}.get(chr(k), 0) for k in range(128)])
+
+
+def _leads(words: np.ndarray) -> np.ndarray:
+    """The class of each hash of a word, 0 for words that lead on to nothing."""
+    hashes, classes = _leading()
+    place = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
+    return np.where(hashes[place] == words, classes[place], 0)
+
+
+def _named(x: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of small numbers; 0 for 0."""
+    return np.where(x > 0, _hash(_hash(np.zeros(len(x), np.uint64), x), salt) | np.uint64(1), np.uint64(0))
+
+
 class Texts:
     """Bodies of a batch as one array of characters, digits collapsed."""
 
     def __init__(self, bodies: list[str]):
-        plain = [_DIGITS.sub("0", b) for b in bodies]
-        sizes = np.array([len(p) for p in plain], np.int64)
-        self.ends = np.cumsum(sizes + _GAP)
-        self.first = self.ends - sizes
         gap = "\0" * _GAP
-        self.chars = np.frombuffer("".join(gap + p for p in plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars = np.frombuffer((gap + gap.join(bodies)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        digits = (chars >= 48) & (chars <= 57)
+        kept = np.ones(len(chars), bool)
+        kept[1:] = ~(digits[1:] & digits[:-1])
+        places = np.concatenate([[0], np.cumsum(kept)])
+        ends = np.cumsum(np.array([len(b) + _GAP for b in bodies], np.int64))
+        self.ends = places[ends]
+        self.first = places[np.concatenate([[0], ends[:-1]])[: len(ends)] + _GAP]
+        self.chars = np.where(digits, np.uint32(48), chars)[kept]
         n = len(self.chars)
         starts = np.zeros(n + 1, np.int64)
         after = np.flatnonzero(self.chars == 10) + 1
@@ -110,7 +184,58 @@ class Texts:
         within[(self.first[:, None] - np.arange(_GAP + 1)).ravel()] = False
         return np.flatnonzero(within)
 
-    def contexts(self, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def _classes(self) -> None:
+        """What the contexts of classes need: letters, word starts, running hashes, running counts of fences and brackets."""
+        isalpha, lower = _letters()
+        known = np.minimum(self.chars, _LOOKED_UP - 1)
+        self.letter = np.where(self.chars < _LOOKED_UP, isalpha[known], self.chars < _PICTOGRAPHS)
+        n = len(self.chars)
+        before = np.concatenate([[False], self.letter[:-1]])
+        starts = np.flatnonzero(self.letter & ~before)
+        self.word = np.zeros(n, np.int64)
+        self.word[starts] = starts
+        np.maximum.accumulate(self.word, out=self.word)
+        self.running = np.zeros(n + 1, np.uint64)
+        small, large = _powers(_BASE, n)
+        np.cumsum(np.where(self.chars < _LOOKED_UP, lower[known], self.chars) * np.multiply.outer(large, small).ravel()[:n], out=self.running[1:])
+        self.inverse = _powers(pow(_BASE, -1, 1 << 64), n)
+        tick = self.chars == 96
+        fence = np.zeros(n, bool)
+        fence[_GAP:] = tick[_GAP:] & tick[_GAP - 1 : -1] & tick[_GAP - 2 : -2] & ~tick[_GAP - 3 : -3]
+        self.counts = np.zeros(n + 1, np.int64)
+        kind = _BRACKETS[np.minimum(self.chars, 127)]
+        same = np.concatenate([[False], self.chars[1:] == self.chars[:-1]])
+        kind = np.where((kind < 3) | same, kind % 3, 0)  # angles count by twos
+        np.cumsum(fence + ((kind == 1).astype(np.int64) << 21) + ((kind == 2).astype(np.int64) << 42), out=self.counts[1:])
+        star = self.chars == 42
+        bold = np.zeros(n, bool)
+        bold[_GAP:] = star[_GAP:] & star[_GAP - 1 : -1] & ~star[_GAP - 2 : -2]
+        self.bold = np.zeros(n + 1, np.int32)
+        np.cumsum(bold, out=self.bold[1:])
+
+    def _word(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of the letters before each position."""
+        start = self.word[at - 1]
+        return start, (self.running[at] - self.running[start]) * self.inverse[0][start % _STRIDE] * self.inverse[1][start // _STRIDE]
+
+    def _opened(self, at: np.ndarray, line: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """1 where a bracket or a pair of stars is open in the line, or a fence in the text."""
+        of_line, of_text, mask = self.counts[at] - self.counts[line], self.counts[at] - self.counts[first], (1 << 21) - 1
+        return (((of_line >> 21 & mask) > (of_line >> 42)) | ((of_text | (self.bold[at] - self.bold[line])) & 1 == 1)).astype(np.int64)
+
+    def class_contexts(self, at: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """Hashes of the contexts of classes before the positions: leading word or mark, what is open, the word so far, unless it begins its line, as a whole and as a part; 0 where there is none."""
+        if not hasattr(self, "letter"):
+            self._classes()
+        line = np.maximum(self.lines[at - 1], first)
+        start, word = self._word(at)
+        letter = self.letter[at - 1] & (start > line)
+        leads = np.where(letter, _leads(word), 0)
+        leads = np.where(_MARKS[np.minimum(self.chars[at - 1], 127)], 1 << len(LEADING_ON), leads)
+        own = _hash(word, 800)
+        return [_named(leads, 600), _named(self._opened(at, line, first), 700), *(np.where(letter, _hash(own, k) | np.uint64(1), np.uint64(0)) for k in (1, 2))]
+
+    def contexts(self, at: np.ndarray, first: np.ndarray, classes: bool = False) -> np.ndarray:
         """Hashes of the contexts before the positions, shortest first; 0 where there is none. ``first``: where their texts start."""
         seed = np.zeros(len(at), np.uint64)
 
@@ -144,8 +269,39 @@ class Texts:
         name = np.where(word, _hash(_hash(name, head(2, self.chars)), head(3, self.chars)), name)
         name = np.where(alone, np.uint64(12345), name)
         out += [np.where(short, x, np.uint64(0)) for x in [_hash(name, 300) | np.uint64(1), *grown(name, (1, 3, 6), 300)]]
+        if classes:
+            out += self.class_contexts(at, first)
         return np.stack(out, axis=1)
 
+    def continued_classes(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts of classes at every position within that the filter holds, and how often each occurs; a word is whole where no letter follows."""
+        if not hasattr(self, "letter"):
+            self._classes()
+        at = self.inside()
+        first = np.repeat(self.first, np.maximum(self.ends - self.first - 1, 0))
+        words: list[np.ndarray] = []
+        opened = np.zeros(2, np.int64)
+        leading = np.zeros(2 << len(LEADING_ON), np.int64)
+        for i in range(0, len(at), _BLOCK):
+            own = at[i : i + _BLOCK]
+            line = np.maximum(self.lines[own - 1], first[i : i + _BLOCK])
+            opened += np.bincount(self._opened(own, line, first[i : i + _BLOCK]), minlength=2)
+            last = self.chars[own - 1]
+            leading[1 << len(LEADING_ON)] += _MARKS[np.minimum(last, 127)].sum()
+            letter = self.letter[own - 1]
+            letter &= self.word[own - 1] > line
+            own = own[letter]
+            _, word = self._word(own)
+            part = self.letter[own]
+            leading += np.bincount(_leads(word[~part]), minlength=len(leading))
+            x = _hash(_hash(word, 800), np.where(part, 2, 1)) | np.uint64(1)
+            words.append(x[_held(bits, x)])
+        values, counts = np.unique(np.concatenate(words or [np.zeros(0, np.uint64)]), return_counts=True)
+        names = np.concatenate([values, _named(np.arange(len(leading)), 600), _named(np.arange(2), 700)])
+        counts = np.concatenate([counts, leading, opened])
+        kept = (counts > 0) & (names > 0)
+        return names[kept], counts[kept]
+
     def continued(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Contexts of ``contexts`` at every position within that a Bloom filter holds, how often each occurs, and the number of positions."""
         at = self.inside()
@@ -224,25 +380,40 @@ def _identity(own: str) -> int:
 
 
 def _bloom(hashes: DataFrame, name: str) -> np.ndarray:
-    """A filter of fixed size, 2 MB, of a column of hashes."""
-    place = F.shiftrightunsigned(name, 64 - BLOOM_BITS)
-    words = hashes.groupBy((F.shiftright(place, 6)).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, {64 - BLOOM_BITS}) & 63 as int))")).alias("bits")).toPandas()
-    bits = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    """A filter of a column of hashes, of a size by their number; beyond the largest size it only lets more through."""
+    log = min(BLOOM_BITS[1], max(BLOOM_BITS[0], (8 * hashes.count()).bit_length()))
+    place = F.shiftrightunsigned(name, 64 - log)
+    words = hashes.groupBy((F.shiftright(place, 6)).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, {64 - log}) & 63 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(1 << (log - 6), np.int64)
     bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return bits.view(np.uint64)
 
 
 def _held(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Whether the filter holds each hash."""
-    return (bits[(x >> np.uint64(64 - BLOOM_BITS + 6)).view(np.int64)] >> (x >> np.uint64(64 - BLOOM_BITS) & np.uint64(63)) & np.uint64(1)).astype(bool)
+    place = x >> np.uint64(65 - 6 - len(bits).bit_length())
+    return (bits[(place >> np.uint64(6)).view(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+ENDS = "body bigint, contexts array<bigint>, open boolean, short boolean"
+
+
+def end_columns(bodies: list[str], classes: bool = False) -> list[pa.Array]:
+    """The columns of ``ENDS`` of some bodies; null for empty ones."""
+    full = [b for b in bodies if b]
+    texts = Texts(full)
+    there = np.array([bool(b) for b in bodies], bool)
+    flat = texts.contexts(texts.ends, texts.first, classes).view(np.int64) if full else np.zeros((0, 1), np.int64)
+    offsets = np.concatenate([[0], np.cumsum(there * flat.shape[1])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
+    if not there.all():
+        lists = pc.if_else(pa.array(there), lists, pa.scalar(None, lists.type))
+    return [pa.array([_identity(b) if b else None for b in bodies], pa.int64()), lists, pa.array([b[-1].isalpha() if b else None for b in bodies], pa.bool_()), pa.array([len(b) <= SHORT_LINE if b else None for b in bodies], pa.bool_())]
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for keys, bodies in _slices(batches):
-        texts = Texts(bodies)
-        flat = texts.contexts(texts.ends, texts.first).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * _LEVELS), pa.array(flat.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(map(_identity, bodies), pa.int64()), lists, pa.array([b[-1].isalpha() for b in bodies]), pa.array([len(b) <= SHORT_LINE for b in bodies])], ["key", "body", "contexts", "open", "short"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *end_columns(bodies)], ["key", "body", "contexts", "open", "short"])
 
 
 def _joined(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
@@ -252,16 +423,29 @@ def _joined(left: DataFrame, right: DataFrame, key: str, weight: str, total: int
     return left.join(F.broadcast(heavy), key).unionByName(left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key))
 
 
-def log_odds(df: DataFrame, lowest: bool = False) -> DataFrame:
-    """(key, odds) of the rows (key bigint, text): log-odds of an end against continuation, once for each key.
+def log_odds(df: DataFrame) -> DataFrame:
+    """(key, odds) of the rows (key bigint, text): log-odds of an end against continuation, once for each key."""
+    texts = df.where("key is not null and length(text) > 0").select("key", "text")
+    own = [F.first(c).alias(c) for c in ("contexts", "open", "short")]
+    ends = cut_lineage(texts.mapInArrow(_ends, f"key bigint, {ENDS}").groupBy("key", "body").agg(F.count("*").alias("rows"), *own))
+    scored = score(ends, texts)
+    keys = ends.select("key", F.xxhash64("contexts").alias("final")).dropDuplicates(["key"])
+    return with_odds(keys, scored, ends.count()).select("key", "odds")
+
+
+def with_odds(rows: DataFrame, scored: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows (final, ...) with the odds of their final contexts."""
+    return _joined(rows, scored, "final", "texts", n)
 
-    ``lowest`` takes, of texts that end with a letter, the least odds from contexts of four characters
-    on instead of the longest context's, where the same cut end may occur often.
+
+def score(ends: DataFrame, texts: DataFrame, classes: bool = False) -> DataFrame:
+    """(final, texts, odds): log-odds of an end against continuation for each list of contexts of ``ENDS``, by its hash.
+
+    ``ends``: ``ENDS`` and ``rows``, in how many rows of ``texts`` each stands. ``texts``: (.., text), in which continuations are counted.
+    ``classes`` takes the least share from contexts of four characters on, for texts that end with a letter, and from the contexts of classes.
     """
-    spark = df.sparkSession
-    texts = df.where("key is not null and length(text) > 0").select("key", "text")
+    spark = ends.sparkSession
     own = [F.first(c).alias(c) for c in ("contexts", "open", "short")]
-    ends = cut_lineage(texts.mapInArrow(_ends, "key bigint, body bigint, contexts array<bigint>, open boolean, short boolean").groupBy("key", "body").agg(F.count("*").alias("rows"), *own))
     bodies = cut_lineage(ends.groupBy("body").agg(F.sum("rows").alias("rows"), F.count("*").alias("texts"), *own).withColumn("counted", F.when(F.col("short"), F.col("texts")).otherwise(1)))
     total = bodies.agg(F.sum("counted")).first()[0] or 0
     ended = cut_lineage(bodies.select("counted", F.explode("contexts").alias("context")).where("context <> 0").groupBy("context").agg(F.sum("counted").alias("ended")))
@@ -288,8 +472,12 @@ def log_odds(df: DataFrame, lowest: bool = False) -> DataFrame:
                 yield rows(np.zeros(0, np.int64), np.zeros(0, np.int64), copies)
             if not single:
                 continue
-            values, counts, positions = Texts(single).continued(bits)
+            some = Texts(single)
+            values, counts, positions = some.continued(bits)
             seen += positions
+            if classes:
+                more = some.continued_classes(bits)
+                values, counts = np.concatenate([values, more[0]]), np.concatenate([counts, more[1]])
             kept.append((values, counts))
             held += len(values)
             if held > 4_000_000:
@@ -325,7 +513,7 @@ def log_odds(df: DataFrame, lowest: bool = False) -> DataFrame:
 
         return counted(parted())
 
-    once = cut_lineage(texts.mapInArrow(inside, schema))
+    once = cut_lineage(texts.select(F.lit(0), "text").mapInArrow(inside, schema))
     copies = once.where("own is not null").groupBy("body").agg(F.first("own").alias("own")).select("own").mapInArrow(inside_copies, schema)
     went_on = cut_lineage(once.where("own is null").unionByName(copies).groupBy("context").agg(F.sum("n").alias("inside")))
     positions = went_on.where("context = 0").agg(F.sum("inside")).first()[0] or 0
@@ -333,22 +521,28 @@ def log_odds(df: DataFrame, lowest: bool = False) -> DataFrame:
     model = ended.join(went_on, "context", "left").select("context", "ended", F.coalesce("inside", F.lit(0)).alias("inside"))
     model = cut_lineage(model)
     finals = cut_lineage(bodies.groupBy(F.xxhash64("contexts").alias("final")).agg(F.sum("texts").alias("texts"), F.first("contexts").alias("contexts"), F.first("open").alias("open")))
-    levels = finals.select("final", F.posexplode("contexts").alias("level", "context")).where("context <> 0")
+    levels = finals.select("final", "open", F.posexplode("contexts").alias("level", "context")).where("context <> 0")
     known = _joined(levels, model, "context", "ended", total)
 
     def refine(state, x):
-        own = x["ended"] - 1  # without the text itself
-        share = (own + PRIOR * state["share"]) / (own + x["inside"] * weight + PRIOR)
-        least = F.when(x["level"].between(4, len(_SIZES)), F.least(state["least"], share)).otherwise(state["least"])
-        return F.struct(share.alias("share"), least.alias("least"))
+        level, own = x["level"], x["ended"] - 1  # without the text itself
+        share = lambda before: (own + PRIOR * before) / (own + x["inside"] * weight + PRIOR)
+        characters = level < _LEVELS
+        refined = F.when(characters, share(state["share"])).otherwise(state["share"])
+        least = F.when(level.between(4, len(_SIZES)) & state["open"], F.least(state["least"], refined)).when(level.isin(_CLASS, _OPEN), F.least(state["least"], share(F.lit(0.5)))).otherwise(state["least"])
+        counts = [F.when(level == k, x["inside"]).otherwise(state[name]).alias(name) for name, k in (("whole", _WHOLE), ("part", _PART))]
+        return F.struct(refined.alias("share"), least.alias("least"), state["open"].alias("open"), *counts)
 
     steps = F.array_sort(F.collect_list(F.struct("level", "ended", "inside")))
-    shares = known.groupBy("final").agg(F.aggregate(steps, F.struct(F.lit(0.5).alias("share"), F.lit(1.0).alias("least")), refine).alias("got"))
-    share = F.when(F.col("open") & F.lit(lowest), F.least("got.least", "got.share")).otherwise(F.col("got.share"))
+    start = F.struct(F.lit(0.5).alias("share"), F.lit(1.0).alias("least"), F.any_value("open").alias("open"), *(F.lit(0).cast("long").alias(c) for c in ("whole", "part")))
+    shares = known.groupBy("final").agg(steps.alias("steps"), start.alias("start")).select("final", F.aggregate("steps", F.col("start"), refine).alias("got"))
+    share = F.col("got.share")
+    if classes:
+        word = (F.col("got.whole") + WHOLE_PRIOR * WHOLE_WORDS) / (F.col("got.whole") + F.col("got.part") + WHOLE_PRIOR)
+        share = F.least(share, "got.least", word)
     odds = F.log((share + 1e-9) / (1 - share + 1e-9))
     scored = finals.select("final", "texts", "open").join(shares, "final").select("final", "texts", odds.alias("odds"))
-    keys = ends.select("key", F.xxhash64("contexts").alias("final")).dropDuplicates(["key"])
-    return _joined(keys, cut_lineage(scored), "final", "texts", ends.count()).select("key", "odds")
+    return cut_lineage(scored)
 
 
 def thresholds(scored: DataFrame) -> dict[tuple[str, str], float]:

@@ -1,17 +1,17 @@
 """Broken pairs of a user message and the assistant message after it.
 
 Method: an answer that compresses to almost nothing with its question as the
-zstandard dictionary is a copy; dictionaries of function words and of refusing
-and closing phrases, by language, find wrong languages and refusals; the backward
-character model of ``cuts``, trained on all answers, finds truncated ones, as
-do markup, brackets and leading words that an answer leaves open.
+zstandard dictionary is a copy; dictionaries of function words find wrong languages,
+and dictionaries of words that deny, answer or forbid find refusals (``stance``); the
+backward character model of ``cuts``, trained on all answers, finds truncated ones,
+with contexts for words that lead on, for open brackets and fences, and for parts of words.
 
 A pair is an assistant message directly after a user message, roles compared
 without case and outer blanks. It has one defect at most, the first of: empty,
 refusal, copy, wrong_language, truncated.
 
 Results: a repeated row or request counts once (of rows with the same key and
-different texts the greatest text); null, empty and open conversations have no
+different texts the greatest text, of requests the one with the greatest hash); null, empty and open conversations have no
 pair; a null question is an empty one; a null answer is empty.
 """
 
@@ -26,67 +26,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import cuts, language
+from quern.llm.stance import is_refusal
 from quern.session import cut_lineage
 
 #: Share of an answer that its question as dictionary may leave, and the least and most share of the question that a copy covers.
 COPY_COST, COPY_LEAST, COPY_MOST = 0.34, 0.6, 1.3
-#: Function words an answer needs in another language, as against the question's. A single one is too often a word of either;
-#: both pairs of sf0.1's chat_messages with just two are in another language.
-WRONG_LEAST, WRONG_MARGIN = 2, 2.0
-
-#: How sentences begin that decline to answer, by language; ``\b`` follows each.
-REFUSALS = {
-    "en": [
-        r"i (?:really |just )?(?:can't|cannot|can not|am unable to|am not able to|won't be able to|could not possibly) (?:help|assist|answer|comply|respond|discuss|provide|support|do that|talk|continue)",
-        r"i(?:'m| am) (?:unable|not able|not allowed|not permitted|not in a position) to", r"i (?:won't|will not|would rather not|prefer not to|must decline to|have to decline to) (?:be )?(?:answer|discuss|help|talk|respond|comment|do)\w*",
-        r"i (?:have|need|am going) to (?:pass|decline)", r"i must (?:pass|decline)", r"i decline", r"i (?:don't|do not) (?:feel comfortable|want to (?:answer|discuss)|respond to|answer)",
-        r"no answer can be given", r"i(?:'d| would) rather not", r"you(?:'ll| will) have to ask (?:someone|somebody) else", r"it would(?:n't| not)? be (?:\w+ ){1,3}(?:of|for) me to", r"[\w\s-]{1,80} is (?:a|one) (?:subject|topic|matter)s? i (?:stay|keep|steer|avoid|don't|do not|won't)", r"(?:that|this) is (?:outside|beyond) what i", r"(?:that|this) is not (?:a question|something) i", r"(?:my|our) (?:policies|guidelines|rules) (?:forbid|do not allow|don't allow|prevent)",
-    ],
-    "de": [
-        r"(?:hier|da|dabei|dazu|damit|darauf|darüber) (?:muss|kann|darf|möchte|werde|gebe) ich (?:\w+ )?(?:passen|nicht|keine?n?|nichts)", r"darauf gebe ich keine", r"zu diesem thema (?:darf|kann|möchte|werde) ich", r"(?:das|dies) (?:liegt|ist) außerhalb dessen", r"diese (?:anfrage|frage|bitte) (?:muss|kann|darf|möchte) ich (?:\w+ )?(?:ablehnen|nicht)",
-        r"über [\w\s-]{1,60} möchte ich mich nicht äußern", r"ich (?:kann|darf|möchte|werde|muss) (?:\w+ ){0,4}(?:nicht|keine|ablehnen|passen)", r"meine (?:regeln|richtlinien|vorgaben) (?:verbieten|untersagen|erlauben)",
-    ],
-    "fr": [
-        r"je ne (?:peux|puis|suis|souhaite|veux|dois|saurais) (?:pas|en aucun cas)? ?(?:vous aider|répondre|en mesure|autorisée?|aborder|parler|traiter|donner|vous)", r"je préfère ne pas", r"je m'abstiens", r"je (?:dois|suis obligée? de|me vois contrainte? de) (?:décliner|refuser|passer)", r"je (?:décline|refuse)", r"il m'est (?:interdit|impossible)",
-        r"(?:cette question|cela|ce sujet) (?:sort|dépasse|est en dehors)", r"mes (?:règles|consignes) m'(?:interdisent|empêchent)",
-    ],
-    "es": [
-        r"no (?:puedo|podré|debo|quiero|estoy en condiciones de|estoy autorizad[oa] a) (?:ayudar|responder|contestar|hablar|tratar|opinar|atender|dar)\w*", r"no me es posible", r"prefiero no", r"me abstengo", r"tengo que (?:rechazar|declinar|pasar)", r"debo (?:rechazar|declinar)", r"(?:esa|esta) (?:pregunta|petición|cuestión) (?:queda|está) fuera", r"mis (?:normas|reglas|directrices) me (?:impiden|prohíben)", r"(?:rechazo|declino)",
-    ],
-}
-#: Polite openings before, and closings after a refusal.
-OPENINGS = [
-    r"i(?:'m| am) (?:very |so |really )?sorry,? but", r"sorry,?(?: but)?", r"(?:my )?apologies,?(?: but)?", r"unfortunately,?", r"i (?:appreciate|understand) (?:the|your) \w+,? but", r"thanks for (?:asking|the question|your question)[.,!]?(?: but)?", r"thank you for asking[.,!]?(?: but)?", r"as an (?:ai|assistant|ai assistant|ai language model|language model),?",
-    r"es tut mir (?:sehr )?leid,?(?: aber)?", r"tut mir leid,?(?: aber)?", r"leider,?", r"entschuldigung,?(?: aber)?", r"danke für die (?:frage|anfrage),?(?: doch| aber)?", r"als assistent,?",
-    r"(?:je suis )?désolée?,?(?: mais)?", r"malheureusement,?", r"je (?:comprends|vous remercie de|apprécie) (?:la|votre|cette) \w+,? mais", r"merci (?:pour|de) [\w\s']{1,30},? mais", r"en tant qu'assistant,?",
-    r"lo siento,?(?: pero)?", r"lo lamento,?(?: pero)?", r"por desgracia,?", r"lamentablemente,?", r"(?:entiendo|agradezco|comprendo) (?:la|su|tu) [\w\s]{1,20},? pero", r"gracias por [\w\s]{1,20},? pero", r"como asistente,?",
-]
-CLOSINGS = [
-    r"let's talk about", r"is there (?:something|anything) else", r"i hope you understand", r"please (?:consult|ask|contact|try)", r"can i help", r"hope that helps", r"thanks",
-    r"kann ich sonst", r"bitte (?:fragen|wenden)", r"ich hoffe", r"viele grüße", r"puis-je", r"merci de", r"veuillez", r"j'espère", r"bonne journée", r"consulte", r"puedo hacer", r"espero que", r"por favor", r"saludos",
-]
+#: Function words an answer needs in another language, and how many times as many as it has in the question's; a single one is too often a word of either.
+#: The languages of a question are those with that share of the function words of the first.
+WRONG_LEAST, WRONG_MARGIN, ASKED_MARGIN = 2, 2.0, 1.2
+
 #: The names of the languages in each other.
 NAMES = {"en": r"english|englisch\w*|anglais\w*|ingl[ée]s\w*", "de": r"german|deutsch\w*|allemand\w*|alem[aá]n\w*", "fr": r"french|französisch\w*|fran[çc]ais\w*|franc[ée]s\w*", "es": r"spanish|spanisch\w*|espagnol\w*|espa[ñn]ol\w*|castellano"}
+#: Characters of pairs handled at a time.
+SLICE_CHARS = 2_000_000
 DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")
 
-#: Words that lead on to others, besides those of FUNCTION_WORDS that do.
-LEADING_ON = {
-    "en": "the of and to that for with from which have has had when why every than while because although whereas if but at as into about until a an or whose where so unless".split(),
-    "de": "der die das und ein eine einen einem einer dem den für von zu zum zur wie weil wenn bei dass über solange sobald obwohl damit sowie seit trotz oder aber wobei während deren dessen welche welcher indem sodass denn im am".split(),
-    "fr": "le la les l et un une du de des dans pour par sur avec que qui dont ce cette ces parce puisque tandis dès malgré sans sous leur mais ou où quand si lorsque comme à au aux".split(),
-    "es": "el la los las y un una del de por para con que cuyo cuya su sus lo porque aunque mientras sin sobre desde hasta según pero o si cuando como a al en cuanto".split(),
-}
-_LEADS = {lang: frozenset(own) for lang, own in LEADING_ON.items()}
-_LAST = re.compile(r"([^\W\d_]+)$")
-
-_TAGS = re.compile(r"<[!/?a-zA-Z][^<>]{0,200}>")
+#: What asks for a language, before its name or in its sentence.
+IN = r"(?:in|into|to|auf|ins|en|al)"
+ASKING = r"answer|repl(?:y|ies)|respon|write|writ|speak|talk|say|translat|practi[sc]|learn|switch|use|antwort|schreib|sprech|sprich|sag|übersetz|übe|lern|wechs|répon|écri|parl|dis|tradui|appren|exer|contest|escrib|habl|di(?:me|lo)|traduc|aprend|practic"
+_TAGS = re.compile(r"<[!/?a-zA-Z][^<>]*>")
 _SAYS = re.compile(r"[^\W_]")
 _SYMBOLS = re.compile(r"[^\W\d_]|\d|[\U0001F300-\U0001FAFF☀-➿]")
-_OPEN = re.compile(rf"^\W*(?:(?:{'|'.join(OPENINGS)})\W*)+")
-_REFUSE = re.compile(rf"^\W*(?:{'|'.join(p for own in REFUSALS.values() for p in own)})\b")
-_CLOSE = re.compile(rf"^\W*(?:{'|'.join(CLOSINGS)})\b")
-_SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
+_SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<!:)\n+")
 _NAMES = {lang: re.compile(rf"\b(?:{names})\b") for lang, names in NAMES.items()}
+_IN = {lang: re.compile(rf"\b{IN}\s+(?:{names})\b") for lang, names in NAMES.items()}
+_ASKING = re.compile(rf"\b(?:{ASKING})")
 _CODE = re.compile(r"```.*?(?:```|$)|`[^`\n]*`", re.DOTALL)
 _CHARS = re.compile(r"[\W_]+")
 
@@ -100,33 +64,6 @@ def is_empty(answer: str | None) -> bool:
     return not _SYMBOLS.search(html.unescape(_TAGS.sub(" ", answer)).replace("﻿", ""))
 
 
-def _sentences(text: str) -> Iterator[str]:
-    """One sentence after the other, none found before it is asked for."""
-    start = 0
-    for gap in _SENTENCES.finditer(text):
-        yield text[start : gap.start()]
-        start = gap.end()
-    yield text[start:]
-
-
-def is_refusal(answer: str) -> bool:
-    """Whether each sentence refuses or belongs to the courtesies around a refusal, and one refuses.
-
-    The first sentence that does neither ends the search, so a long answer costs little.
-    """
-    refused = False
-    for sentence in _sentences(answer):
-        if not _SAYS.search(sentence):
-            continue
-        sentence = sentence.replace("’", "'").lower()
-        own = _OPEN.sub("", sentence)
-        if _REFUSE.match(own):
-            refused = True
-        elif own and not _CLOSE.match(own):
-            return False
-    return refused
-
-
 def _squeezed(text: str) -> bytes:
     return _CHARS.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
 
@@ -139,54 +76,59 @@ class Copies:
 
         self.zstd = zstandard
 
-    def cost(self, question: bytes, answer: bytes) -> float:
-        """Bytes that the answer adds to its question, as a share of its own."""
+    def costs(self, question: bytes, parts: list[bytes]) -> list[float]:
+        """Bytes that each part of an answer adds to its question, as a share of its own."""
         shared = self.zstd.ZstdCompressionDict(question, dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
         params = self.zstd.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False, format=self.zstd.FORMAT_ZSTD1_MAGICLESS)
         squeeze = self.zstd.ZstdCompressor(dict_data=shared, compression_params=params).compress
-        return max(0, len(squeeze(answer)) - 6) / max(1, len(answer))
+        return [max(0, len(squeeze(x)) - 6) / max(1, len(x)) for x in parts]
 
     def is_copy(self, question: str, answer: str) -> bool:
-        if len(answer) > COPY_MOST * len(question) + 24:
+        """Whether each sentence of the answer, however often it stands there, is one of the question's, and together they cover it or its last sentence."""
+        most = COPY_MOST * len(question) + 24
+        if len(answer) > most and answer.find(answer[:32], 1) < 0:
+            return False
+        parts = list(dict.fromkeys(filter(None, map(_squeezed, _SENTENCES.split(answer)))))
+        size = sum(map(len, parts)) + len(parts) - 1
+        if not parts or size > most:
             return False
-        own = _squeezed(answer)
-        known, said = set(_squeezed(question).split()), own.split()
-        if sum(w in known for w in said) * 4 < len(said):
+        whole = _squeezed(question)
+        known, said = set(whole.split()), [w for x in parts for w in x.split()]
+        if sum([w in known for w in said]) * 4 < len(said):
             return False  # with a quarter of its words the question can't be given back
-        for whole in (question, _SENTENCES.split(question.strip())[-1]):
-            asked = _squeezed(whole)
-            if len(asked) >= 8 and COPY_LEAST * len(asked) <= len(own) <= COPY_MOST * len(asked) + 4:
-                return own == asked or self.cost(asked, own) <= COPY_COST
-        return False
+        last = _squeezed(_SENTENCES.split(question.strip())[-1])
+        if not any(len(asked) >= 8 and COPY_LEAST * len(asked) <= size <= COPY_MOST * len(asked) + 16 for asked in (whole, last)):
+            return False
+        if b" ".join(parts) in (whole, last):
+            return True
+        short = [x for x in parts if len(x) < 8]
+        long = [x for x in parts if len(x) >= 8]
+        return all(x in whole for x in short) and all(c <= COPY_COST for c in self.costs(whole, long))
 
 
 def is_wrong_language(question: str, answer: str) -> tuple[bool, str]:
-    """Whether the answer is in another language than the question and none that it asks for; the answer's language."""
-    hits = language.count_hits(_CODE.sub(" ", answer) if "`" in answer else answer)
+    """Whether the answer is in another language than the question and none that it asks for; the answer's language.
+
+    A question whose words leave several languages open is in all of them.
+    """
+    hits, alone = language.count_hits(_CODE.sub(" ", answer) if "`" in answer else answer)
     own = language.language_of(hits)
     if own == language.UNKNOWN or hits[own] < WRONG_LEAST:
         return False, own
-    asked = language.language_of(language.count_hits(question), margin=1.2)
-    if asked in (own, language.UNKNOWN) or hits[own] < WRONG_MARGIN * hits[asked]:
+    asked, _ = language.count_hits(question)
+    most = max(asked.values())
+    open_ = [lang for lang, n in asked.items() if ASKED_MARGIN * n >= most]
+    if not most or own in open_ or alone[own] < WRONG_MARGIN * max(alone[lang] for lang in open_):
         return False, own
-    return not _NAMES[own].search(question.lower()), own
+    return not asks_for(question, own), own
 
 
-def breaks_off(answer: str, lang: str) -> bool:
-    """Whether the last line leaves markup, brackets or a sentence open: no model is needed to see it."""
-    own = cuts.body(answer)
-    line = own.rpartition("\n")[2]
-    if own.count("```") % 2 or line.count("**") % 2 or own.endswith((",", ";", "(", "[", "{", "=")):
-        return True
-    sentence = re.split(r"[.!?]\s", line)[-1]
-    if sentence.count("(") > sentence.count(")"):
-        return True
-    last = _LAST.search(own[own.rfind(" ") + 1 :])  # searching all of a long text is slow
-    if not last or " " not in own.strip():
+def asks_for(question: str, lang: str) -> bool:
+    """Whether a question asks to be answered in a language: with "in" before its name, or a word like "write" in the name's sentence."""
+    asked = question.lower()
+    if not _NAMES[lang].search(asked):
         return False
-    word = last[1].lower()
-    known = _LEADS.get(lang)
-    return word in known if known else any(word in x for x in _LEADS.values())
+    return bool(_IN[lang].search(asked)) or any(_NAMES[lang].search(x) and _ASKING.search(x) for x in _SENTENCES.split(asked))
 
 
 def _role(role: Column) -> Column:
@@ -194,58 +136,77 @@ def _role(role: Column) -> Column:
 
 
 def request_pairs(requests: DataFrame) -> DataFrame:
-    """(record_id, turn, question, answer) of the messages arrays."""
+    """(record_id, turn, question, answer, rows) of the messages arrays, once for each row of the table."""
     pairs = F.transform("messages", lambda m, i: F.struct(i.alias("turn"), F.when(i > 0, F.get("messages", i - 1)).alias("before"), m.alias("own")))
     rows = requests.where("request_id is not null").select(F.col("request_id").alias("record_id"), F.explode(pairs).alias("x"))
-    return rows.where((_role(F.col("x.own.role")) == "assistant") & (_role(F.col("x.before.role")) == "user")).select("record_id", "x.turn", F.col("x.before.content").alias("question"), F.col("x.own.content").alias("answer"))
+    return rows.where((_role(F.col("x.own.role")) == "assistant") & (_role(F.col("x.before.role")) == "user")).select("record_id", "x.turn", F.col("x.before.content").alias("question"), F.col("x.own.content").alias("answer"), F.lit(1).cast("long").alias("rows"))
 
 
 def message_pairs(messages: DataFrame) -> DataFrame:
-    """The same of a table of messages; each row is shuffled once, by the place of the answer."""
+    """The same of a table of messages, once for each answer; each row is shuffled once, by the place of the answer."""
     rows = messages.where("conv_id is not null and turn is not null").select(F.col("conv_id").alias("record_id"), "turn", _role(F.col("role")).alias("role"), "content")
     asked = rows.where("role = 'user'").groupBy("record_id", (F.col("turn") + 1).alias("turn")).agg(F.max("content").alias("question"))
-    said = rows.where("role = 'assistant'").groupBy("record_id", "turn").agg(F.max("content").alias("answer"))
-    return asked.join(said, ["record_id", "turn"])
+    said = rows.where("role = 'assistant'").groupBy("record_id", "turn").agg(F.max("content").alias("answer"), F.count("*").alias("rows"))
+    return asked.join(said, ["record_id", "turn"]).select("record_id", "turn", "question", "answer", "rows")
+
+
+def defect_of(copies: Copies, question: str, answer: str | None) -> tuple[str | None, str]:
+    """The defect that shows in the pair itself, and the answer's language."""
+    if is_empty(answer):
+        return "empty", language.UNKNOWN
+    if is_refusal(answer):
+        return "refusal", language.UNKNOWN
+    if copies.is_copy(question, answer):
+        return "copy", language.UNKNOWN
+    wrong, lang = is_wrong_language(question, answer)
+    return "wrong_language" if wrong else None, lang
 
 
 def classify(pairs: DataFrame) -> DataFrame:
-    """(origin, record_id, turn, defect, language): the defects that show in the pair itself."""
+    """(origin, record_id, turn, rows, defect, language) of (origin, record_id, turn, rows, question, answer), and ``cuts.ENDS`` of the answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         copies = Copies()
         for batch in batches:
-            defects, languages = [], []
-            for question, a in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                q = question or ""
-                lang, defect = language.UNKNOWN, None
-                if is_empty(a):
-                    defect = "empty"
-                elif is_refusal(a):
-                    defect = "refusal"
-                elif copies.is_copy(q, a):
-                    defect = "copy"
-                else:
-                    wrong, lang = is_wrong_language(q, a)
-                    defect = "wrong_language" if wrong else "truncated" if breaks_off(a, lang) else None
-                defects.append(defect)
-                languages.append(lang)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(defects, pa.string()), pa.array(languages, pa.string())], ["origin", "record_id", "turn", "defect", "language"])
-
-    rows = pairs.select("origin", F.col("record_id").cast("long"), F.col("turn").cast("int"), "question", "answer")
-    return rows.mapInArrow(run, "origin string, record_id bigint, turn int, defect string, language string")
+            done = 0
+            for own in _slices(batch.column(4), batch.column(5)):
+                found = [defect_of(copies, q or "", a) for q, a in own]
+                columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), *cuts.end_columns([cuts.body(a or "") for _, a in own], classes=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(done, len(own)) for k in range(4)), *columns], names)
+                done += len(own)
+
+    names = ["origin", "record_id", "turn", "rows", "defect", "language", "body", "contexts", "open", "short"]
+    rows = pairs.select("origin", F.col("record_id").cast("long"), F.col("turn").cast("int"), "rows", "question", "answer")
+    return rows.mapInArrow(run, f"origin string, record_id bigint, turn int, rows bigint, defect string, language string, {cuts.ENDS}")
+
+
+def _slices(questions: pa.Array, answers: pa.Array) -> Iterator[list[tuple[str | None, str | None]]]:
+    """Some pairs at a time, so that long texts don't stand in memory all at once."""
+    own, size = [], 0
+    for q, a in zip(questions, answers, strict=True):
+        own.append((q.as_py(), a.as_py()))
+        size += len(own[-1][0] or "") + len(own[-1][1] or "")
+        if size >= SLICE_CHARS:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
 
 
 def find_defects(requests: DataFrame, messages: DataFrame) -> DataFrame:
     """(origin, record_id, turn, defect) of each defective pair."""
-    key = F.xxhash64("origin", "record_id", F.col("turn").cast("int")).alias("key")
-    asked = request_pairs(requests).withColumn("origin", F.lit("chat_requests"))
-    said = message_pairs(messages).withColumn("origin", F.lit("chat_messages"))
-    columns = ["origin", "record_id", "turn", "question", "answer"]
-    both = cut_lineage(classify(asked.select(columns).unionByName(said.select(columns))).dropDuplicates(["origin", "record_id", "turn"]))
-    # the model reads each answer where it stands, without pairing it
-    alone = messages.where(_role(F.col("role")) == "assistant").select(F.lit("chat_messages").alias("origin"), F.col("conv_id").cast("long").alias("record_id"), "turn", F.col("content").alias("text"))
-    answers = asked.select("origin", F.col("record_id").cast("long").alias("record_id"), "turn", F.col("answer").alias("text")).unionByName(alone)
-    odds = cuts.log_odds(answers.select(key, "text"), lowest=True)
-    open_ = cut_lineage(both.where("defect is null").withColumn("key", key).join(odds, "key").withColumnRenamed("origin", "column"))
-    cut = cuts.below_threshold(open_).select(F.col("column").alias("origin"), "record_id", "turn", F.lit("truncated").alias("defect")).dropDuplicates(["origin", "record_id", "turn"])
-    return both.where("defect is not null").select("origin", "record_id", "turn", "defect").unionByName(cut)
+    key = ["origin", "record_id", "turn"]
+    asked = classify(request_pairs(requests).withColumn("origin", F.lit("chat_requests")))
+    own = [c for c in asked.columns if c not in (*key, "rows")]
+    # repeated requests: of different answers in one place the one with the greatest hash
+    asked = asked.groupBy(*key).agg(F.max_by(F.struct(*own), F.coalesce("body", F.lit(-(1 << 63)))).alias("x"), F.sum("rows").alias("rows")).select(*key, "rows", "x.*")
+    said = classify(message_pairs(messages).withColumn("origin", F.lit("chat_messages")))
+    both = cut_lineage(said.unionByName(asked))
+    ends = both.where("body is not null").select("body", "contexts", "open", "short", "rows")
+    # continuations are counted where the answers stand, without pairing them
+    answers = request_pairs(requests).select(F.col("answer").alias("text")).unionByName(messages.where(_role(F.col("role")) == "assistant").select(F.col("content").alias("text"))).where("length(text) > 0")
+    scored = cuts.score(ends, answers, classes=True)
+    whole = both.where("defect is null and body is not null").select(*key, "language", F.col("origin").alias("column"), F.xxhash64("contexts").alias("final"))
+    open_ = cut_lineage(cuts.with_odds(whole, scored, both.count()))
+    cut = cuts.below_threshold(open_).select(*key, F.lit("truncated").alias("defect"))
+    return both.where("defect is not null").select(*key, "defect").unionByName(cut)

@@ -1,7 +1,10 @@
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import cuts
 
@@ -92,9 +95,9 @@ def test_every_position_counts():
     bodies = ["One line.\n\nTags: a, b", "x", "Step 12 and 345\nlast", "日本 ok\n\n\nb: c\n\n d", "Tags\n"]
     texts = cuts.Texts(bodies)
     at = texts.inside()
-    assert len(at) == sum(len(cuts._DIGITS.sub("0", b)) - 1 for b in bodies)
+    assert len(at) == sum(len(re.sub("[0-9]+", "0", b)) - 1 for b in bodies)
     every = texts.contexts(at, texts.first[np.searchsorted(texts.ends, at, side="right")]).ravel()
-    values, counts, positions = texts.continued(np.full(1 << (cuts.BLOOM_BITS - 6), -1, np.int64).view(np.uint64))
+    values, counts, positions = texts.continued(np.full(1 << 12, -1, np.int64).view(np.uint64))
     got: dict = {}
     for v, n in zip(values.tolist(), counts.tolist(), strict=True):
         got[v] = got.get(v, 0) + n
@@ -122,3 +125,42 @@ def test_short_texts_are_written_again(spark):
     rows = [(i, text) for i, text, *_, cut in corpus(900) if not cut] + [(5000 + k, "n/a") for k in range(60)]
     odds = {r.key: r.odds for r in cuts.log_odds(spark.createDataFrame(rows, ROWS)).collect()}
     assert odds[5000] > 1
+
+
+def test_classes_before_a_position():
+    bodies = ["It is slow because", "a (see note 5", "It is slow, which", "```\nx = 1", "It is done.", "no", "a\n\n**lock file", "x = <<3*", "It is so, (as said) ok", "Größe und", "```\nx\n```"]
+    texts = cuts.Texts(bodies)
+    leads, open_, whole, part = texts.class_contexts(texts.ends, texts.first)
+    assert (leads > 0).tolist() == [True, False, True, False, False, False, False, False, False, True, False]
+    assert (open_ > 0).tolist() == [False, True, False, True, False, False, True, True, False, False, False]
+    assert (whole > 0).tolist() == (part > 0).tolist() == [True, False, True, False, False, False, True, False, True, True, False]
+    for k, body in enumerate(bodies):
+        single = cuts.Texts([body])
+        assert [x[0] for x in single.class_contexts(single.ends, single.first)] == [x[k] for x in (leads, open_, whole, part)]
+
+
+def test_classes_at_every_position():
+    bodies = ["The cat is on the mat, and a dog (of\nthe) sits.", "x", "", "the (the", "Zähle 12 345, die die"] * 3 + ["long " * 40000]
+    texts = cuts.Texts(bodies)
+    names, counts = texts.continued_classes(np.full(1 << 12, -1, np.int64).view(np.uint64))
+    want: dict = {}
+    at = texts.inside()
+    first = texts.first[np.searchsorted(texts.ends, at, side="right")]
+    leads, open_, whole, part = texts.class_contexts(at, first)
+    follows = texts.letter[at]
+    for x in (leads[~(follows & texts.letter[at - 1])], open_, whole[~follows], part[follows]):
+        for v in x[x > 0].tolist():
+            want[v] = want.get(v, 0) + 1
+    got: dict = {}
+    for v, n in zip(names.tolist(), counts.tolist(), strict=True):
+        got[v] = got.get(v, 0) + n
+    assert got == want
+
+
+def test_parts_of_words_are_no_ends(spark):
+    rows = [(k, f"The window is open. This means that step {k} is fine.") for k in range(200)] + [(1000 + k, f"The window is open after {k}. This mea") for k in range(30)] + [(2000 + k, f"The step {k} is a good mean") for k in range(30)]
+    df = spark.createDataFrame(rows, ROWS)
+    ends = df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([b.column(0), *cuts.end_columns(b.column(1).to_pylist(), classes=True)], ["key", "body", "contexts", "open", "short"]) for b in batches), f"key bigint, {cuts.ENDS}").withColumn("rows", F.lit(1))
+    scored = cuts.score(ends, df, classes=True)
+    odds = {r.key: r.odds for r in cuts.with_odds(ends.select("key", F.xxhash64("contexts").alias("final")), scored, len(rows)).collect()}
+    assert max(odds[1000 + k] for k in range(30)) < -1 < 0 < min(odds[k] for k in range(200))
