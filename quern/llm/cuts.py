@@ -35,7 +35,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -81,6 +81,8 @@ LEADING_ON = {
 }
 LEADING_MARKS = ",;:([{="
 _TAIL = 200
+_INWARD, _OUTWARD, _STARS = re.compile("(?<=<)<"), re.compile("(?<=>)>"), re.compile(r"(?<!\*)\*\*")
+_FENCES = re.compile(r"(?<!`)```")
 #: Code points below this are looked up; those between it and the pictographs are taken for letters.
 _LOOKED_UP, _PICTOGRAPHS = 0x3000, 0x1F000
 
@@ -108,7 +110,8 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return np.array([c.isalpha() for c in chars]), np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in chars], np.uint64)
 
 
-_BASE, _STRIDE = 0x5851F42D4C957F2D, 1 << 16
+_BASE, _STRIDE_BITS = 0x5851F42D4C957F2D, 16
+_STRIDE = 1 << _STRIDE_BITS
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +141,9 @@ def _hash(x: np.ndarray, c: np.ndarray | int) -> np.ndarray:
 
 #: Whether a character below 128 is a leading mark.
 _MARKS = np.array([chr(k) in LEADING_MARKS for k in range(128)])
-#: 1 for brackets that open, 2 for those that close, 4 and 5 for angles, which do so if doubled.
-_BRACKETS = np.array([{"(": 1, "[": 1, "{": 1, ")": 2, "]": 2, "}": 2, "<": 4, ">": 5}.get(chr(k), 0) for k in range(128)])
+#: 1 for brackets that open, 2 for those that close, 3 and 4 for angles, which do so if doubled, 5 and 6 for stars and ticks.
+_SIGNS = np.zeros(_LOOKED_UP, np.uint8)
+_SIGNS[[ord(c) for c in "([{)]}<>*`"]] = [1, 1, 1, 2, 2, 2, 3, 4, 5, 6]
 
 
 def _leads(words: np.ndarray) -> np.ndarray:
@@ -188,40 +192,48 @@ class Texts:
         """What the contexts of classes need: letters, word starts, running hashes, running counts of fences and brackets."""
         isalpha, lower = _letters()
         known = np.minimum(self.chars, _LOOKED_UP - 1)
-        self.letter = np.where(self.chars < _LOOKED_UP, isalpha[known], self.chars < _PICTOGRAPHS)
+        self.letter, low = isalpha[known], lower[known]
+        above = np.flatnonzero(self.chars >= _LOOKED_UP)
+        self.letter[above], low[above] = self.chars[above] < _PICTOGRAPHS, self.chars[above]
         n = len(self.chars)
-        before = np.concatenate([[False], self.letter[:-1]])
-        starts = np.flatnonzero(self.letter & ~before)
-        self.word = np.zeros(n, np.int64)
-        self.word[starts] = starts
-        np.maximum.accumulate(self.word, out=self.word)
+        starts = np.flatnonzero(self.letter[1:] & ~self.letter[:-1]) + 1  # a gap comes first
+        self.word = np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [n]])))
         self.running = np.zeros(n + 1, np.uint64)
         small, large = _powers(_BASE, n)
-        np.cumsum(np.where(self.chars < _LOOKED_UP, lower[known], self.chars) * np.multiply.outer(large, small).ravel()[:n], out=self.running[1:])
+        for k in range(0, n, _STRIDE):
+            low[k : k + _STRIDE] *= large[k // _STRIDE] * small[: min(_STRIDE, n - k)]
+        np.cumsum(low, out=self.running[1:])
         self.inverse = _powers(pow(_BASE, -1, 1 << 64), n)
-        tick = self.chars == 96
-        fence = np.zeros(n, bool)
-        fence[_GAP:] = tick[_GAP:] & tick[_GAP - 1 : -1] & tick[_GAP - 2 : -2] & ~tick[_GAP - 3 : -3]
-        self.counts = np.zeros(n + 1, np.int64)
-        kind = _BRACKETS[np.minimum(self.chars, 127)]
-        same = np.concatenate([[False], self.chars[1:] == self.chars[:-1]])
-        kind = np.where((kind < 3) | same, kind % 3, 0)  # angles count by twos
-        np.cumsum(fence + ((kind == 1).astype(np.int64) << 21) + ((kind == 2).astype(np.int64) << 42), out=self.counts[1:])
-        star = self.chars == 42
-        bold = np.zeros(n, bool)
-        bold[_GAP:] = star[_GAP:] & star[_GAP - 1 : -1] & ~star[_GAP - 2 : -2]
-        self.bold = np.zeros(n + 1, np.int32)
-        np.cumsum(bold, out=self.bold[1:])
+        marks = np.flatnonzero(_SIGNS[known])  # few: brackets, stars and ticks
+        kind, char = _SIGNS[known[marks]], self.chars[marks]
+        same = [char == self.chars[marks - k] for k in (1, 2, 3)]
+        steps = np.zeros((3, len(marks)), np.int64)  # brackets, fences, stars
+        steps[0] = np.where((kind == 1) | (kind == 3) & same[0], 1, np.where((kind == 2) | (kind == 4) & same[0], -1, 0))
+        steps[1] = (kind == 6) & same[0] & same[1] & ~same[2]
+        steps[2] = (kind == 5) & same[0] & ~same[1]
+        some = steps.any(axis=0)
+        self.marks, self.steps = marks[some], np.concatenate([np.zeros((3, 1), np.int64), np.cumsum(steps[:, some], axis=1)], axis=1)
 
     def _word(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and hash of the letters before each position."""
         start = self.word[at - 1]
-        return start, (self.running[at] - self.running[start]) * self.inverse[0][start % _STRIDE] * self.inverse[1][start // _STRIDE]
+        return start, (self.running[at] - self.running[start]) * self.inverse[0][start & (_STRIDE - 1)] * self.inverse[1][start >> _STRIDE_BITS]
 
     def _opened(self, at: np.ndarray, line: np.ndarray, first: np.ndarray) -> np.ndarray:
         """1 where a bracket or a pair of stars is open in the line, or a fence in the text."""
-        of_line, of_text, mask = self.counts[at] - self.counts[line], self.counts[at] - self.counts[first], (1 << 21) - 1
-        return (((of_line >> 21 & mask) > (of_line >> 42)) | ((of_text | (self.bold[at] - self.bold[line])) & 1 == 1)).astype(np.int64)
+        now, of_line, of_text = (self.steps[:, np.searchsorted(self.marks, x)] for x in (at, line, first))
+        odd = (now[1] - of_text[1] | now[2] - of_line[2]) & 1
+        return ((now[0] > of_line[0]) | (odd == 1)).astype(np.int64)
+
+    def _open_positions(self) -> int:
+        """How many positions within are ``_opened``, which changes only at marks and new lines."""
+        lines = np.unique(self.lines[:-1])
+        events = np.unique(np.concatenate([self.first + 1, lines[lines > 0] + 1, self.marks + 1, self.ends]))
+        text = np.searchsorted(self.first, events - 1, side="right") - 1
+        inside = (text >= 0) & (events < self.ends[text])
+        events, text, until = events[inside], text[inside], np.append(events, 0)[1:][inside]
+        line = np.maximum(self.lines[events - 1], self.first[text])
+        return int(((until - events) * self._opened(events, line, self.first[text])).sum())
 
     def class_contexts(self, at: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         """Hashes of the contexts of classes before the positions: leading word or mark, what is open, the word so far, unless it begins its line, as a whole and as a part; 0 where there is none."""
@@ -235,7 +247,7 @@ class Texts:
         own = _hash(word, 800)
         return [_named(leads, 600), _named(self._opened(at, line, first), 700), *(np.where(letter, _hash(own, k) | np.uint64(1), np.uint64(0)) for k in (1, 2))]
 
-    def contexts(self, at: np.ndarray, first: np.ndarray, classes: bool = False) -> np.ndarray:
+    def contexts(self, at: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Hashes of the contexts before the positions, shortest first; 0 where there is none. ``first``: where their texts start."""
         seed = np.zeros(len(at), np.uint64)
 
@@ -269,8 +281,6 @@ class Texts:
         name = np.where(word, _hash(_hash(name, head(2, self.chars)), head(3, self.chars)), name)
         name = np.where(alone, np.uint64(12345), name)
         out += [np.where(short, x, np.uint64(0)) for x in [_hash(name, 300) | np.uint64(1), *grown(name, (1, 3, 6), 300)]]
-        if classes:
-            out += self.class_contexts(at, first)
         return np.stack(out, axis=1)
 
     def continued_classes(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,12 +290,10 @@ class Texts:
         at = self.inside()
         first = np.repeat(self.first, np.maximum(self.ends - self.first - 1, 0))
         words: list[np.ndarray] = []
-        opened = np.zeros(2, np.int64)
         leading = np.zeros(2 << len(LEADING_ON), np.int64)
         for i in range(0, len(at), _BLOCK):
             own = at[i : i + _BLOCK]
             line = np.maximum(self.lines[own - 1], first[i : i + _BLOCK])
-            opened += np.bincount(self._opened(own, line, first[i : i + _BLOCK]), minlength=2)
             last = self.chars[own - 1]
             leading[1 << len(LEADING_ON)] += _MARKS[np.minimum(last, 127)].sum()
             letter = self.letter[own - 1]
@@ -297,8 +305,8 @@ class Texts:
             x = _hash(_hash(word, 800), np.where(part, 2, 1)) | np.uint64(1)
             words.append(x[_held(bits, x)])
         values, counts = np.unique(np.concatenate(words or [np.zeros(0, np.uint64)]), return_counts=True)
-        names = np.concatenate([values, _named(np.arange(len(leading)), 600), _named(np.arange(2), 700)])
-        counts = np.concatenate([counts, leading, opened])
+        names = np.concatenate([values, _named(np.arange(len(leading)), 600), _named(np.ones(1, np.int64), 700)])
+        counts = np.concatenate([counts, leading, [self._open_positions()]])
         kept = (counts > 0) & (names > 0)
         return names[kept], counts[kept]
 
@@ -398,12 +406,55 @@ def _held(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
 ENDS = "body bigint, contexts array<bigint>, open boolean, short boolean"
 
 
+@lru_cache(maxsize=100_000)
+def _word_hash(word: str) -> int:
+    """The hash that ``Texts`` gives a word."""
+    lower = _letters()[1]
+    chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = np.where(chars < _LOOKED_UP, lower[np.minimum(chars, _LOOKED_UP - 1)], chars)
+    return int((low * _word_powers(len(word))).sum())
+
+
+@cache
+def _word_powers(n: int) -> np.ndarray:
+    small, large = _powers(_BASE, n)
+    return np.multiply.outer(large, small).ravel()[:n]
+
+
+def _is_letter(c: str) -> bool:
+    return c.isalpha() if (k := ord(c)) < _LOOKED_UP else k < _PICTOGRAPHS
+
+
+def end_classes(bodies: list[str]) -> list[np.ndarray]:
+    """``class_contexts`` of the ends of bodies, from their last lines and fences."""
+    words, leads, opened = (np.zeros(len(bodies), t) for t in (np.uint64, np.int64, np.int64))
+    for k, body in enumerate(bodies):
+        line = body[body.rfind("\n") + 1 :]
+        at = len(line)
+        while at and _is_letter(line[at - 1]):
+            at -= 1
+        if 0 < at < len(line):
+            words[k] = _word_hash(line[at:])
+        elif line and line[-1] in LEADING_MARKS:
+            leads[k] = 1 << len(LEADING_ON)
+        depth = line.count("(") - line.count(")") + line.count("[") - line.count("]") + line.count("{") - line.count("}")
+        if "<<" in line or ">>" in line:
+            depth += len(_INWARD.findall(line)) - len(_OUTWARD.findall(line))
+        opened[k] = depth > 0 or ("**" in line and len(_STARS.findall(line)) % 2 > 0) or ("```" in body and len(_FENCES.findall(body)) % 2 > 0)
+    leads = np.where(words > 0, _leads(words), leads)
+    own = _hash(words, 800)
+    return [_named(leads, 600), _named(opened, 700), *(np.where(words > 0, _hash(own, k) | np.uint64(1), np.uint64(0)) for k in (1, 2))]
+
+
 def end_columns(bodies: list[str], classes: bool = False) -> list[pa.Array]:
     """The columns of ``ENDS`` of some bodies; null for empty ones."""
     full = [b for b in bodies if b]
     texts = Texts(full)
     there = np.array([bool(b) for b in bodies], bool)
-    flat = texts.contexts(texts.ends, texts.first, classes).view(np.int64) if full else np.zeros((0, 1), np.int64)
+    flat = texts.contexts(texts.ends, texts.first)
+    if classes:
+        flat = np.concatenate([flat, np.stack(end_classes(full), axis=1)], axis=1)
+    flat = flat.view(np.int64)
     offsets = np.concatenate([[0], np.cumsum(there * flat.shape[1])]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
     if not there.all():

@@ -18,10 +18,10 @@ LANGUAGES = tuple(FUNCTION_WORDS)
 UNKNOWN = "und"
 #: More such words, which name no language alone in a list of few.
 MORE_WORDS = {
-    "en": "a an he she him her his me my or so if no yes any all some more only just very here one two both between without under through again since been being will us who whom whose".split(),
+    "en": "an he she him her his me my or so if no yes any all some more only just very here one two both between without under through again since been being will us who whom whose".split(),
     "de": "ja nein kein keine so da man mir mich ihr ihm uns euch es dieser diese dieses jeder jede alle mehr sehr hier zwei zwischen durch gegen bis seitdem dabei dazu worauf wer wen wem welche damals an in am um des als".split(),
-    "fr": "à la de des en un que se on ne si tout toute toutes tous cela ça oui non deux quoi lors entre chaque très plus moins encore puis leur mon ma mes ton son sa ses aussi alors d l s c qu j n".split(),
-    "es": "la de en un que se a y o e si no sí todo toda todos todas cada dos más menos entre luego entonces me te nos mi tu al ni le les son eso ese esa esos cual quien donde durante tras según mismo".split(),
+    "fr": "à la de des en un que se on ne si tout toute toutes tous cela ça oui non deux quoi lors entre chaque très plus moins encore puis leur mon ma mes ton son sa ses aussi alors qu".split(),
+    "es": "la de en un que se si no sí todo toda todos todas cada dos más menos entre luego entonces me te nos mi tu al ni le les son eso ese esa esos cual quien donde durante tras según mismo".split(),
 }
 
 
@@ -47,13 +47,16 @@ def leading(hits: dict[str, Column]) -> Column:
 
 
 _PLACES = _letters()
-#: Runs of letters; a single one is a word only after a blank and before one or an apostrophe, elsewhere it may be a name or spelled out.
-_WORDS = re.compile(r"[^\W\d_]{2,}|(?<!\S)[^\W\d_](?=[\s'’]|$)").findall
+#: The only word that is a plain letter, counted between blanks.
+_AND = _PLACES.pop("y")
+#: What stands between words; single letters are no words, since they may be names or spelled out, but for an accented one.
+_BETWEEN = re.compile(r"[\s,.;:!?¿¡()\[\]{}\"“”„«»‹›*_#<>|=/\\+~^`'’‘…–—\-0-9]+").split
 
 
 def count_hits(text: str) -> tuple[dict[str, int], dict[str, int]]:
     """How many words, whatever stands beside them, are function words of each language, and how many of it alone."""
-    hits = "".join(filter(None, map(_PLACES.get, _WORDS(text.lower()))))
+    low = text.lower()
+    hits = "".join(filter(None, map(_PLACES.get, _BETWEEN(low)))) + sum(map(low.count, (" y ", " y\n", "\ny "))) * _AND
     return {lang: hits.count(chr(97 + k)) for k, lang in enumerate(LANGUAGES)}, {lang: hits.count(chr(65 + k)) for k, lang in enumerate(LANGUAGES)}
 
 

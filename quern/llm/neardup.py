@@ -11,10 +11,15 @@ their shingle sets. The chance that a pair at the threshold shares no band is
 
 Texts with equal shingle sets are one class and enter the join once, however
 many copies there are. No group is collected; band keys meet in a sort-merge
-join, which spills and whose large partitions adaptive execution splits.
-
-Results: null, empty and short texts (below ``least_words`` words) are similar to
-nothing; a repeated row (same key, same text) counts once.
+join, which spills and whose large partitions adaptive execution splits. ``pairs``
+gives every pair, as it must. ``groups`` needs not compare all of a bucket of more
+than ``BUCKET`` classes, say of one template filled in a million ways: each member
+is compared with a few of them, and then only those that are not yet connected with
+most of their bucket with all of it, so that no connection is lost.
+
+Results: null and empty texts and those without words or with fewer than ``least_words`` are
+similar to nothing; a text of fewer words than a shingle has one shingle, all its words; a
+repeated row (same key, same text) counts once.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ MANTISSA = 10
 SIGMAS = 4.0
 #: Ids up to which a set of ids is broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 500_000
+#: Classes of a bucket of which ``groups`` compares all, and rounds of comparing those left of larger ones with a few of them.
+BUCKET, STAR_ROUNDS = 64, 3
 _LONG = 2048
 
 
@@ -111,14 +118,26 @@ def _keep(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, "id", how)
 
 
-def candidate_pairs(sketches: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(a, b) with a < b that share a band."""
+def band_keys(sketches: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(id, key): a key for each band of registers."""
     width = 2 * rows
-    keyed = sketches.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("registers"), b * width + 1, F.lit(width))))).alias("key"))
+    return sketches.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("registers"), b * width + 1, F.lit(width))))).alias("key"))
+
+
+def sharing(keyed: DataFrame) -> DataFrame:
+    """(a, b) with a < b that share a key."""
     left, right = keyed.select(F.col("id").alias("a"), "key"), keyed.select(F.col("id").alias("b"), "key")
     return left.hint("merge").join(right, "key").where("a < b").select("a", "b").distinct()
 
 
+def _starred(members: DataFrame, of: DataFrame) -> DataFrame:
+    """(a, b), a < b: each of ``members`` (key, id, root) with three of the ids that ``of`` has of its key, if their roots differ."""
+    other = F.xxhash64("key", "id")
+    few = of.groupBy("key").agg(F.array_distinct(F.array(F.min(F.struct("id", "root")), F.max(F.struct("id", "root")), F.min_by(F.struct("id", "root"), other))).alias("few"))
+    both = members.join(few, "key").select("id", "root", F.explode("few").alias("x")).where(F.col("root") != F.col("x.root"))
+    return both.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
+
+
 def _estimated(pairs: DataFrame, sketches: DataFrame, k: int, least: float) -> DataFrame:
     own = sketches.select("id", "n", "registers")
     both = pairs.join(own.toDF("a", "n_a", "registers_a"), "a").join(own.toDF("b", "n_b", "registers_b"), "b").select("a", "b", "n_a", "n_b", "registers_a", "registers_b")
@@ -162,20 +181,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, key: str, shingle: i
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def links(df: DataFrame, threshold: float = 0.8, shingle: int = 5, least_words: int = 1, text: str = "text", key: str = "doc_id", bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between representatives of classes, and the membership (id, rep) of every text that is long enough."""
-    k = bands * rows
+def _classes(df: DataFrame, shingle: int, least_words: int, text: str, key: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """The first of each class (id, n, registers), and the membership (id, rep) of every text that is long enough."""
     sketches = cut_lineage(sketch(df, text, key, shingle, least_words, k))
     reps = sketches.groupBy("class").agg(F.min(F.when(F.col("registers").isNotNull(), F.col("id"))).alias("rep"))
-    members = sketches.select("id", "class").distinct().join(reps, "class").select("id", "rep")
+    members = cut_lineage(sketches.select("id", "class").distinct().join(reps, "class").select("id", "rep"))
     others = members.where("id <> rep").select("id")
-    first = _keep(sketches.where(F.col("registers").isNotNull()), cut_lineage(others), "left_anti")
-    pairs = cut_lineage(candidate_pairs(first.select("id", "registers"), bands, rows))
+    return _keep(sketches.where(F.col("registers").isNotNull()), others, "left_anti").select("id", "n", "registers"), members
+
+
+def _linked(pairs: DataFrame, first: DataFrame, df: DataFrame, threshold: float, shingle: int, text: str, key: str, k: int) -> DataFrame:
+    """Those of the pairs (a, b) that are similar enough: by the estimate, then exactly."""
+    pairs = cut_lineage(pairs)
     ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     near = _keep(first, ids, "left_semi").dropDuplicates(["id"])
     spread = (threshold * (1 - threshold) / k) ** 0.5
     likely = cut_lineage(_estimated(pairs, near, k, threshold - SIGMAS * spread))
-    return cut_lineage(_verified(likely, df, text, key, shingle, threshold)), cut_lineage(members)
+    return cut_lineage(_verified(likely, df, text, key, shingle, threshold))
+
+
+def links(df: DataFrame, threshold: float = 0.8, shingle: int = 5, least_words: int = 1, text: str = "text", key: str = "doc_id", bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between representatives of classes, and the membership (id, rep) of every text that is long enough."""
+    first, members = _classes(df, shingle, least_words, text, key, bands * rows)
+    return _linked(sharing(band_keys(first, bands, rows)), first, df, threshold, shingle, text, key, bands * rows), members
 
 
 def pairs(df: DataFrame, threshold: float = 0.8, shingle: int = 5, least_words: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -187,16 +215,33 @@ def pairs(df: DataFrame, threshold: float = 0.8, shingle: int = 5, least_words:
     return both.where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def groups(df: DataFrame, threshold: float = 0.8, shingle: int = 5, least_words: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(``key``, class_id, group_id, links): one row per text that is long enough; copies share a class and are not expanded.
+def groups(df: DataFrame, threshold: float = 0.8, shingle: int = 5, least_words: int = 1, text: str = "text", key: str = "doc_id", bands: int = BANDS, rows: int = ROWS, bucket: int = BUCKET) -> DataFrame:
+    """(``key``, class_id, group_id): one row per key that isn't null; copies share a class and are not expanded.
 
-    ``links`` counts the other classes its class is linked with; ``group_id`` is the least id connected with it.
+    ``group_id`` is the least id connected with the class by links between classes.
     """
-    found, members = links(df, threshold, shingle, least_words, text, key)
-    root = components(found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    out = members.join(root, "rep", "left").join(degree, "rep", "left")
-    return out.select(F.col("id").alias(key), F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    first, members = _classes(df, shingle, least_words, text, key, bands * rows)
+    check = lambda pairs: _linked(pairs, first, df, threshold, shingle, text, key, bands * rows)
+    keyed = band_keys(first, bands, rows)
+    sizes = cut_lineage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    large = sizes.where(F.col("n") > bucket).select("key")
+    found = check(sharing(keyed.join(sizes.where(F.col("n") <= bucket).select("key"), "key")))
+    if large.limit(1).count():
+        of = cut_lineage(keyed.join(large, "key").distinct())
+        rooted = lambda: cut_lineage(of.join(components(found).withColumnRenamed("rep", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+        rest = whole = rooted()
+        for _ in range(STAR_ROUNDS):
+            found = found.unionByName(check(_starred(whole, rest)))
+            whole = rooted()
+            most = whole.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+            rest = cut_lineage(whole.join(most, "key").where("root <> most").select("key", "id", "root"))
+            if not rest.limit(1).count():
+                break
+        left = rest.select("key", F.col("id").alias("x"), F.col("root").alias("rx")).hint("merge").join(whole.select("key", F.col("id").alias("y"), F.col("root").alias("ry")), "key").where("rx <> ry")
+        found = found.unionByName(check(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+    everyone = df.select(F.col(key).cast("long").alias("id")).where("id is not null").distinct()
+    out = everyone.join(members, "id", "left").join(components(found), "rep", "left")
+    return out.select(F.col("id").alias(key), F.coalesce("rep", "id").alias("class_id"), F.coalesce("root", "rep", "id").alias("group_id"))
 
 
 def components(found: DataFrame) -> DataFrame:

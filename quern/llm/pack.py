@@ -7,9 +7,12 @@ of each length they are. The choice depends on lengths only, so it is made on
 the histogram of lengths, which has at most ``capacity`` rows whatever the number
 of texts, and one solution is applied to as many containers as the counts allow.
 A step uses up, or at least halves, the count of one length, so a plan has at
-most ``capacity * log2(texts)`` steps. Texts then find their slot by their rank
-within their length; ranks are counted in salted parts, as one length may hold a
-third of all rows.
+most ``capacity * log2(texts)`` steps. Each container size is planned in a task of its own.
+Texts then find their slot by their rank within their length, in the order of key and
+piece: rows are range-partitioned by size, key and piece, numbered within their
+partition, and moved up by what earlier partitions hold of the length, as one length may
+hold a third of all rows. Plans are broadcast up to ``BROADCAST_STEPS`` steps, which are
+counted; beyond that they are joined by length.
 
 Results: every row with a non-empty text is placed exactly once for each
 container size (a repeated row is another text to place); null and empty texts
@@ -25,12 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of one length that one task ranks.
-RANKED_AT_ONCE = 200_000
+from quern.session import cut_lineage
+
+#: Steps of all plans up to which they are broadcast (24 bytes each).
+BROADCAST_STEPS = 2_000_000
 #: Container sizes are parameters of a job, not data.
 MOST_SPECS = 1000
 
@@ -88,43 +93,41 @@ def plan_containers(capacity: int, histogram: dict[int, int]) -> list[tuple[int,
     return out
 
 
-def _byte_cut(binary: Column, at: Column, capacity: int) -> Column:
-    """The end of a piece that starts at ``at``: the last character boundary within ``capacity`` bytes."""
-
-    def inside(k: int) -> Column:
-        return F.hex(F.substring(binary, at + (capacity + 1 - k), F.lit(1))).between("80", "BF")
-
-    back = F.when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
-    return F.when(at + capacity >= F.length(binary), F.length(binary)).otherwise(at + capacity - back)
-
-
-def _grown(binary: Column, capacity: int):
-    def grow(cuts: Column, _: Column) -> Column:
-        last = F.element_at(cuts, -1)
-        return F.when(last >= F.length(binary), cuts).otherwise(F.array_append(cuts, _byte_cut(binary, last.cast("int"), capacity).cast("long")))
-
-    return grow
-
-
-def _piece_of(place: int):
-    return lambda x, i: F.struct(F.lit(place).alias("spec"), i.alias("piece"), x["0"].alias("start"), (x["1"] - x["0"]).alias("size"))
+def cuts(data: bytes | str, capacity: int) -> list[int]:
+    """Where the pieces of a long text start, and its end; in bytes each starts at a character."""
+    out = [0]
+    while len(data) - out[-1] > capacity:
+        at = out[-1] + capacity
+        if isinstance(data, bytes):
+            while 0x80 <= data[at] < 0xC0:
+                at -= 1
+        out.append(at)
+    return [*out, len(data)]
 
 
 def pieces(df: DataFrame, specs: list[tuple], text: str, key: str) -> DataFrame:
-    """One row per text or piece and container size: spec, key, piece, start, size."""
+    """One row per text or piece and container size: spec, key, piece, start, size. Only texts longer than a capacity leave the JVM."""
+    kind = df.schema[key].dataType.simpleString()
     base = df.where(F.length(text) > 0).select(F.col(key).alias("k"), F.col(text).alias("t"), F.length(text).cast("long").alias("chars"), F.octet_length(text).cast("long").alias("bytes"))
-    each = []
-    for place, (_, unit, capacity) in enumerate(specs):
-        size = F.col(unit)
-        if unit == "chars":
-            starts = F.sequence(F.lit(0).cast("long"), size - 1, F.lit(capacity).cast("long"))
-        else:
-            most = F.ceil(size / (capacity - 3)).cast("int")
-            cuts = F.aggregate(F.sequence(F.lit(1), most), F.array(F.lit(0).cast("long")), _grown(F.encode("t", "UTF-8"), capacity))
-            starts = F.when(size <= capacity, F.array(F.lit(0).cast("long"))).otherwise(F.slice(cuts, 1, F.size(cuts) - 1))
-        ends = F.when(F.size(starts) == 1, F.array(size)).otherwise(F.concat(F.slice(starts, 2, F.size(starts) - 1), F.array(size)))
-        each.append(F.transform(F.arrays_zip(starts, ends), _piece_of(place)))
-    return base.select("k", F.explode(F.flatten(F.array(*each))).alias("x")).select("x.spec", "k", "x.piece", "x.start", "x.size")
+    whole = F.array(*(F.struct(F.lit(place).alias("spec"), F.col(unit).alias("size")) for place, (_, unit, _) in enumerate(specs)))
+    limit = F.array(*(F.lit(capacity) for *_, capacity in specs))
+    fitting = base.select("k", F.explode(F.filter(whole, lambda x: x["size"] <= F.get(limit, x["spec"]))).alias("x")).select("x.spec", "k", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), "x.size")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, t in zip(batch.column(0), batch.column(1), strict=True):
+                whole = {"chars": t.as_py(), "bytes": t.as_py().encode()}
+                for place, (_, unit, capacity) in enumerate(specs):
+                    if len(whole[unit]) <= capacity:
+                        continue
+                    at = np.array(cuts(whole[unit], capacity), np.int64)
+                    n = len(at) - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, place, np.int32)), pa.repeat(k, n), pa.array(np.arange(n, dtype=np.int32)), pa.array(at[:-1]), pa.array(np.diff(at))], ["spec", "k", "piece", "start", "size"])
+
+    long = F.lit(False)
+    for _, unit, capacity in specs:
+        long |= F.col(unit) > capacity
+    return fitting.unionByName(base.where(long).select("k", "t").mapInArrow(split, f"spec int, k {kind}, piece int, start bigint, size bigint"))
 
 
 def read_specs(specs: DataFrame) -> list[tuple[int, str, int]]:
@@ -140,7 +143,7 @@ def read_specs(specs: DataFrame) -> list[tuple[int, str, int]]:
     return rows
 
 
-def fill_containers(df: DataFrame, specs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def fill_containers(df: DataFrame, specs: DataFrame, text: str = "text", key: str = "doc_id", broadcast_steps: int = BROADCAST_STEPS) -> DataFrame:
     """(spec_id, ``key``, piece, start, size, container_id): where each text or piece lies.
 
     ``start`` and ``size`` are in the container's unit. Container ids count from 0 within a spec.
@@ -150,48 +153,66 @@ def fill_containers(df: DataFrame, specs: DataFrame, text: str = "text", key: st
     kind = df.schema[key].dataType.simpleString()
     if not sizes:
         return spark.createDataFrame([], f"spec_id bigint, {key} {kind}, piece int, start bigint, size bigint, container_id bigint")
-    items = pieces(df, sizes, text, key)
+    items = cut_lineage(pieces(df, sizes, text, key))
     histogram = items.groupBy("spec", "size").agg(F.count("*").alias("n"))
 
-    def plan(rows: pd.DataFrame) -> pd.DataFrame:
-        spec = int(rows["spec"].iloc[0])
-        steps = plan_containers(sizes[spec][2], dict(zip(rows["size"].tolist(), rows["n"].tolist(), strict=True)))
-        out = pd.DataFrame(steps, columns=["size", "rank", "need", "container", "times"])
-        out.insert(0, "spec", spec)
-        return out
-
-    steps = histogram.groupBy("spec").applyInPandas(plan, "spec int, size bigint, rank bigint, need bigint, container bigint, times bigint").toPandas()
-    steps = steps.sort_values(["spec", "size", "rank"], kind="stable")
-    groups = steps.groupby(["spec", "size"])
-    most = int((steps["need"] * steps["times"]).groupby([steps["spec"], steps["size"]]).sum().max()) if len(steps) else 0
-    salts = max(1, -(-most // RANKED_AT_ONCE))
-    shared = spark.sparkContext.broadcast((steps[["spec", "size"]].drop_duplicates().to_numpy(np.int64), groups.ngroup().to_numpy(np.int64), steps[["rank", "need", "container"]].to_numpy(np.int64)))
-
-    if salts == 1:
-        ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("spec", "size").orderBy("k", "piece")) - 1)
-    else:
-        salted = items.withColumn("salt", F.pmod(F.xxhash64("k", "piece"), F.lit(salts)))
-        parts = salted.groupBy("spec", "size", "salt").agg(F.count("*").alias("n"))
-        offsets = parts.withColumn("offset", F.sum("n").over(Window.partitionBy("spec", "size").orderBy("salt")) - F.col("n")).drop("n")
-        local = F.row_number().over(Window.partitionBy("spec", "size", "salt").orderBy("k", "piece")) - 1
-        ranked = salted.withColumn("local", local).join(offsets, ["spec", "size", "salt"]).withColumn("rank", F.col("local") + F.col("offset"))
-    ranked = ranked.select("spec", "k", "piece", "start", "size", F.col("rank").cast("long").alias("rank"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, group, table = shared.value
-        wide = int(pairs[:, 1].max(initial=0)) + 1
-        keys = pairs[:, 0] * wide + pairs[:, 1]
-        far = 1 << 40
-        edges = group * far + table[:, 0]
-        ids = np.array([s[0] for s in sizes], np.int64)
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = list(batches)  # a histogram has no more rows than the capacity
+        for spec, own in pd.concat(rows).groupby("spec") if rows else ():
+            steps = plan_containers(sizes[spec][2], dict(zip(own["size"].tolist(), own["n"].tolist(), strict=True)))
+            out = pd.DataFrame(steps, columns=["size", "rank", "need", "container", "times"])
+            out.insert(0, "spec", spec)
+            yield out.drop(columns="times")
+
+    steps = cut_lineage(histogram.repartitionById(len(sizes), F.col("spec")).mapInPandas(plan, "spec int, size bigint, rank bigint, need bigint, container bigint"))
+    order = ["spec", "size", "k", "piece"]
+    placed = cut_lineage(items.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    before = F.sum("n").over(Window.partitionBy("spec", "size").orderBy("part")) - F.col("n")
+    offsets = placed.groupBy("spec", "size", "part").agg(F.count("*").alias("n")).withColumn("offset", before).where("offset > 0").select("part", "offset")  # of the first length of a partition
+    few = steps.count() <= broadcast_steps
+    own = steps.orderBy("spec", "size", "rank").toPandas() if few else None
+    table = own.to_numpy(np.int64) if few else np.zeros((0, 5), np.int64)
+    shared = spark.sparkContext.broadcast((dict(map(tuple, offsets.collect())), table))
+    ids = np.array([s[0] for s in sizes], np.int64)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        held = None  # specification and size of the last row, and the rank after it
         for batch in batches:
-            spec, size, rank = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 4, 5))
-            at = np.searchsorted(edges, np.searchsorted(keys, spec * wide + size) * far + rank, side="right") - 1
-            container = table[at, 2] + (rank - table[at, 0]) // table[at, 1]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[spec]), *(batch.column(k) for k in (1, 2, 3, 4)), pa.array(container)], ["spec_id", "k", "piece", "start", "size", "container_id"])
+            if not batch.num_rows:
+                continue
+            spec, size = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 4))
+            if held is None:
+                held = (spec[0], size[0], shared.value[0].get(batch.column(5)[0].as_py(), 0))
+            new = np.ones(len(spec), bool)
+            new[0] = (spec[0], size[0]) != held[:2]
+            new[1:] = (spec[1:] != spec[:-1]) | (size[1:] != size[:-1])
+            at = np.arange(len(spec))
+            start = np.maximum.accumulate(np.where(new, at, -1))
+            ranks = np.where(start < 0, at + held[2], at - start)
+            held = (spec[-1], size[-1], int(ranks[-1]) + 1)
+            yield batch, spec, size, ranks
 
-    placed = ranked.mapInArrow(place, f"spec_id bigint, k {kind}, piece int, start bigint, size bigint, container_id bigint")
-    return placed.select("spec_id", F.col("k").alias(key), "piece", "start", "size", "container_id")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value[1]
+        if few and len(table):
+            far, wide = int(table[:, 2].max()) + 1, int(table[:, 1].max()) + 1
+            group = table[:, 0] * wide + table[:, 1]
+            names = np.unique(group)
+            edges = np.searchsorted(names, group) * far + table[:, 2]
+        for batch, spec, size, ranks in rank(batches):
+            if few:
+                at = np.searchsorted(edges, np.searchsorted(names, spec * wide + size) * far + np.minimum(ranks, far - 1), side="right") - 1
+                last = table[at, 4] + (ranks - table[at, 2]) // table[at, 3]
+            else:
+                last = ranks
+            yield pa.RecordBatch.from_arrays([pa.array(ids[spec]), *(batch.column(k) for k in (1, 2, 3, 4)), pa.array(last), batch.column(0)], ["spec_id", "k", "piece", "start", "size", "container_id", "spec"])
+
+    out = placed.mapInArrow(place, f"spec_id bigint, k {kind}, piece int, start bigint, size bigint, container_id bigint, spec int")
+    if not few:
+        plans = steps.groupBy("spec", "size").agg(F.array_sort(F.collect_list(F.struct("rank", "need", "container"))).alias("steps"))
+        step = F.element_at(F.filter("steps", lambda x: x["rank"] <= F.col("container_id")), -1)
+        out = out.join(plans, ["spec", "size"]).withColumn("step", step).withColumn("container_id", F.expr("step.container + (container_id - step.rank) div step.need"))
+    return out.select("spec_id", F.col("k").alias(key), "piece", "start", "size", "container_id")
 
 
 def unused_space(placed: DataFrame, specs: DataFrame) -> DataFrame:

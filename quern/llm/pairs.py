@@ -68,6 +68,14 @@ def _squeezed(text: str) -> bytes:
     return _CHARS.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
 
 
+def _may_be_copy(asked: list[str], said: list[str]) -> bool:
+    """Whether one in eight words, as blanks part them, is in the question, or there are too few to tell."""
+    if len(said) < 6:
+        return True
+    known = set(asked)
+    return sum([w in known for w in said]) * 8 >= len(said)
+
+
 class Copies:
     """Compresses answers with their questions as dictionaries."""
 
@@ -88,6 +96,8 @@ class Copies:
         most = COPY_MOST * len(question) + 24
         if len(answer) > most and answer.find(answer[:32], 1) < 0:
             return False
+        if not _may_be_copy(question.lower().split(), answer.lower().split()):
+            return False
         parts = list(dict.fromkeys(filter(None, map(_squeezed, _SENTENCES.split(answer)))))
         size = sum(map(len, parts)) + len(parts) - 1
         if not parts or size > most:
@@ -168,29 +178,27 @@ def classify(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         copies = Copies()
         for batch in batches:
-            done = 0
-            for own in _slices(batch.column(4), batch.column(5)):
-                found = [defect_of(copies, q or "", a) for q, a in own]
-                columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), *cuts.end_columns([cuts.body(a or "") for _, a in own], classes=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(done, len(own)) for k in range(4)), *columns], names)
-                done += len(own)
+            questions, answers = (batch.column(k).to_pylist() for k in (4, 5))
+            for start, end in _slices(questions, answers):
+                found = [defect_of(copies, q or "", a) for q, a in zip(questions[start:end], answers[start:end], strict=True)]
+                columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), *cuts.end_columns([cuts.body(a or "") for a in answers[start:end]], classes=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, end - start) for k in range(4)), *columns], names)
 
     names = ["origin", "record_id", "turn", "rows", "defect", "language", "body", "contexts", "open", "short"]
     rows = pairs.select("origin", F.col("record_id").cast("long"), F.col("turn").cast("int"), "rows", "question", "answer")
     return rows.mapInArrow(run, f"origin string, record_id bigint, turn int, rows bigint, defect string, language string, {cuts.ENDS}")
 
 
-def _slices(questions: pa.Array, answers: pa.Array) -> Iterator[list[tuple[str | None, str | None]]]:
-    """Some pairs at a time, so that long texts don't stand in memory all at once."""
-    own, size = [], 0
-    for q, a in zip(questions, answers, strict=True):
-        own.append((q.as_py(), a.as_py()))
-        size += len(own[-1][0] or "") + len(own[-1][1] or "")
+def _slices(questions: list[str | None], answers: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Stretches of some pairs, so that what is made of long texts doesn't stand in memory all at once."""
+    start = size = 0
+    for k, (q, a) in enumerate(zip(questions, answers, strict=True)):
+        size += len(q or "") + len(a or "")
         if size >= SLICE_CHARS:
-            yield own
-            own, size = [], 0
-    if own:
-        yield own
+            yield start, k + 1
+            start, size = k + 1, 0
+    if start < len(questions):
+        yield start, len(questions)
 
 
 def find_defects(requests: DataFrame, messages: DataFrame) -> DataFrame:

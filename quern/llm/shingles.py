@@ -36,15 +36,18 @@ def words(text: str | None) -> list[str]:
 
 
 def shingle_sets(texts: list[str | None], size: int, least_words: int, hashes: WordHashes) -> list[np.ndarray | None]:
-    """For each text the sorted distinct hashes of its ``size``-word sequences; None below ``least_words`` words."""
+    """For each text the sorted distinct hashes of its ``size``-word sequences; None below ``least_words`` words and for none.
+
+    A text of fewer than ``size`` words has one sequence, all its words.
+    """
     from itertools import chain
 
     lists = [words(t) for t in texts]
-    lists = [x if len(x) >= max(least_words, size) else [] for x in lists]
+    lists = [x if len(x) >= max(least_words, 1) else [] for x in lists]
+    short = {k: x for k, x in enumerate(lists) if 0 < len(x) < size}
+    lists = [x if len(x) >= size else [] for x in lists]
     flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), np.uint64, sum(map(len, lists)))
-    if len(flat) < size:
-        return [None] * len(texts)
-    n = len(flat) - size + 1
+    n = max(0, len(flat) - size + 1)
     rolled = np.zeros(n, np.uint64)
     for k in range(size):
         rolled = scramble(rolled + flat[k : k + n])
@@ -53,4 +56,9 @@ def shingle_sets(texts: list[str | None], size: int, least_words: int, hashes: W
     for own in lists:
         out.append(np.unique(rolled[at : at + len(own) - size + 1]) if own else None)
         at += len(own)
+    for k, own in short.items():
+        whole = np.array([len(own)], np.uint64)
+        for word in own:
+            whole = scramble(whole + np.uint64(hashes[word]))
+        out[k] = whole
     return out

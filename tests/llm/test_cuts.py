@@ -139,6 +139,14 @@ def test_classes_before_a_position():
         assert [x[0] for x in single.class_contexts(single.ends, single.first)] == [x[k] for x in (leads, open_, whole, part)]
 
 
+def test_classes_of_ends_and_of_positions_are_the_same():
+    rng = random.Random(4)
+    bodies = ["".join(rng.choice(["a", "b c", "\n", "because", "Und", "```", "``", "7", "(", "]", "<<", ">", "**", "*", ". ", "é", "²", "👍", "日"]) for _ in range(rng.choice([3, 30, 200]))).strip() or "x" for _ in range(500)]
+    texts = cuts.Texts(bodies)
+    for x, y in zip(texts.class_contexts(texts.ends, texts.first), cuts.end_classes(bodies), strict=True):
+        assert [b for b, same in zip(bodies, x == y, strict=True) if not same] == []
+
+
 def test_classes_at_every_position():
     bodies = ["The cat is on the mat, and a dog (of\nthe) sits.", "x", "", "the (the", "Zähle 12 345, die die"] * 3 + ["long " * 40000]
     texts = cuts.Texts(bodies)

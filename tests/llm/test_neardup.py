@@ -45,14 +45,57 @@ def test_pairs_against_brute_force(spark):
     assert len(got) >= 0.97 * len(truth) > 50
 
 
-def test_groups_are_components(spark):
+def roots(ids, pairs):
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("bucket", [nd.BUCKET, 2])
+def test_groups_are_components(spark, bucket):
     texts = corpus(4)
-    rows = spark.createDataFrame(list(texts.items()) + list(texts.items())[-3:], "doc_id bigint, text string")
-    got = {r.doc_id: r for r in nd.groups(rows, 0.6, 3, 30).collect()}
-    assert set(got) == {i for i, t in texts.items() if shingles(t, 3, 30)}
-    for a, b in brute(texts, 0.6, 3, 30):
-        assert got[a].group_id == got[b].group_id
-    assert all(r.group_id <= i and r.class_id <= i for i, r in got.items())
+    rows = spark.createDataFrame(list(texts.items()) + list(texts.items())[-3:] + [(None, "one two three")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in nd.groups(rows, 0.6, 3, 30, bucket=bucket).collect()}
+    want = roots(texts, brute(texts, 0.6, 3, 30))
+    assert {i: r.group_id for i, r in got.items()} == want
+    assert all(r.group_id <= r.class_id <= i for i, r in got.items())
+
+
+def test_short_texts_are_classed_by_all_their_words(spark):
+    texts = {1: "Ok, done", 2: "ok done!", 3: "done ok", 4: "ok", 5: "OK", 6: None, 7: "", 8: "?!", 9: "one two three four five", 10: "one two three four five."}
+    got = {r.doc_id: r.class_id for r in nd.groups(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 9, 10: 9}
+
+
+def test_a_template_filled_many_ways_is_one_group(spark, monkeypatch):
+    words = [f"word{k}" for k in range(120)]
+    rows = [(k, " ".join([*words[:60], f"x{k}", *words[60:]])) for k in range(3000)]
+    sizes = []
+    kept = nd._linked
+    monkeypatch.setattr(nd, "_linked", lambda pairs, *a: (sizes.append(pairs.count()), kept(pairs, *a))[1])
+    got = nd.groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8))
+    assert got.where("group_id <> 0 or class_id <> doc_id").count() == 0 and got.count() == 3000
+    assert sum(sizes) < 150 * 3000  # of 4.5 million pairs
+
+
+def test_members_left_by_the_few_are_compared_with_all(spark):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    texts = {}
+    for k in range(150):  # a drifting template: neighbours are alike, ends are not
+        base[rng.randrange(60)] = f"v{k}"
+        texts[k] = " ".join(base)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.group_id for r in nd.groups(rows, 0.6, 3, 1, bucket=3).collect()}
+    assert got == roots(texts, brute(texts, 0.6, 3, 1))
 
 
 def test_long_chain_is_one_component(spark):

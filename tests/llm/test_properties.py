@@ -53,10 +53,11 @@ def test_texts_of_any_kind_are_read(text):
     if own:
         row = cuts.Texts([own])
         assert row.contexts(row.ends, row.first).shape == (1, cuts._LEVELS)
+        assert [x.tolist() for x in row.class_contexts(row.ends, row.first)] == [x.tolist() for x in cuts.end_classes([own])]
     leaks.fold_words(text)
     pairs.is_empty(text)
     pairs.is_refusal(text)
-    pairs.breaks_off(text, "en")
+    pairs.asks_for(text, "en")
 
 
 @settings(max_examples=150, deadline=None)
