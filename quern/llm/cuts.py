@@ -61,7 +61,7 @@ _CLASS, _OPEN, _WHOLE, _PART = range(_LEVELS, _LEVELS + 4)
 #: Share of whole words among ends with a letter, and its weight in occurrences.
 WHOLE_WORDS, WHOLE_PRIOR = 0.97, 10.0
 #: Characters handled at a time.
-_SLICE = 2_000_000
+_SLICE = 500_000
 #: Positions whose contexts are grown at a time, so that they stay in the processor's cache.
 _BLOCK = 1 << 15
 #: Zeros before each text, as many as the longest context has characters.
@@ -110,6 +110,8 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return np.array([c.isalpha() for c in chars]), np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in chars], np.uint64)
 
 
+#: Odd multipliers that make a word's hash that of the word as a whole, and as a part.
+_FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _BASE, _STRIDE_BITS = 0x5851F42D4C957F2D, 16
 _STRIDE = 1 << _STRIDE_BITS
 
@@ -124,14 +126,16 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @cache
-def _leading() -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the leading words, sorted, and the class of each: the languages that it leads on in."""
+def _leading() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the leading words, sorted, the class of each: the languages that it leads on in; and a table that tells most others from them."""
     words = sorted({w for own in LEADING_ON.values() for w in own})
     powers = _powers(_BASE, 0)[0]
     hashes = np.array([sum(ord(c) * int(p) for c, p in zip(w, powers, strict=False)) % (1 << 64) for w in words], np.uint64)
     classes = np.array([sum(1 << k for k, own in enumerate(LEADING_ON.values()) if w in own) for w in words])
     order = np.argsort(hashes)
-    return hashes[order], classes[order]
+    near = np.zeros(1 << 12, bool)
+    near[(hashes * _FACTORS[0]) >> np.uint64(52)] = True
+    return hashes[order], classes[order], near
 
 
 def _hash(x: np.ndarray, c: np.ndarray | int) -> np.ndarray:
@@ -148,9 +152,12 @@ _SIGNS[[ord(c) for c in "([{)]}<>*`"]] = [1, 1, 1, 2, 2, 2, 3, 4, 5, 6]
 
 def _leads(words: np.ndarray) -> np.ndarray:
     """The class of each hash of a word, 0 for words that lead on to nothing."""
-    hashes, classes = _leading()
-    place = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
-    return np.where(hashes[place] == words, classes[place], 0)
+    hashes, classes, near = _leading()
+    out = np.zeros(len(words), np.int64)
+    some = np.flatnonzero(near[(words * _FACTORS[0]) >> np.uint64(52)])
+    place = np.minimum(np.searchsorted(hashes, words[some]), len(hashes) - 1)
+    out[some] = np.where(hashes[place] == words[some], classes[place], 0)
+    return out
 
 
 def _named(x: np.ndarray, salt: int) -> np.ndarray:
@@ -198,6 +205,7 @@ class Texts:
         n = len(self.chars)
         starts = np.flatnonzero(self.letter[1:] & ~self.letter[:-1]) + 1  # a gap comes first
         self.word = np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [n]])))
+        self.runs = starts, np.flatnonzero(np.append(self.letter[:-1] & ~self.letter[1:], self.letter[-1])) + 1
         self.running = np.zeros(n + 1, np.uint64)
         small, large = _powers(_BASE, n)
         for k in range(0, n, _STRIDE):
@@ -244,8 +252,7 @@ class Texts:
         letter = self.letter[at - 1] & (start > line)
         leads = np.where(letter, _leads(word), 0)
         leads = np.where(_MARKS[np.minimum(self.chars[at - 1], 127)], 1 << len(LEADING_ON), leads)
-        own = _hash(word, 800)
-        return [_named(leads, 600), _named(self._opened(at, line, first), 700), *(np.where(letter, _hash(own, k) | np.uint64(1), np.uint64(0)) for k in (1, 2))]
+        return [_named(leads, 600), _named(self._opened(at, line, first), 700), *(np.where(letter, word * factor | np.uint64(1), np.uint64(0)) for factor in _FACTORS)]
 
     def contexts(self, at: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Hashes of the contexts before the positions, shortest first; 0 where there is none. ``first``: where their texts start."""
@@ -288,23 +295,22 @@ class Texts:
         if not hasattr(self, "letter"):
             self._classes()
         at = self.inside()
-        first = np.repeat(self.first, np.maximum(self.ends - self.first - 1, 0))
-        words: list[np.ndarray] = []
         leading = np.zeros(2 << len(LEADING_ON), np.int64)
-        for i in range(0, len(at), _BLOCK):
-            own = at[i : i + _BLOCK]
-            line = np.maximum(self.lines[own - 1], first[i : i + _BLOCK])
-            last = self.chars[own - 1]
-            leading[1 << len(LEADING_ON)] += _MARKS[np.minimum(last, 127)].sum()
-            letter = self.letter[own - 1]
-            letter &= self.word[own - 1] > line
-            own = own[letter]
-            _, word = self._word(own)
-            part = self.letter[own]
-            leading += np.bincount(_leads(word[~part]), minlength=len(leading))
-            x = _hash(_hash(word, 800), np.where(part, 2, 1)) | np.uint64(1)
-            words.append(x[_held(bits, x)])
-        values, counts = np.unique(np.concatenate(words or [np.zeros(0, np.uint64)]), return_counts=True)
+        leading[1 << len(LEADING_ON)] = _MARKS[np.minimum(self.chars[at - 1], 127)].sum()
+        # words that don't begin their line, and every position behind one of their letters but the end of a text
+        starts, stops = self.runs
+        good = self.lines[starts] < starts
+        starts, stops = starts[good], np.minimum(stops[good], self.ends[np.searchsorted(self.first, starts[good], side="right") - 1] - 1)
+        sizes = np.maximum(stops - starts, 0)
+        places = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + 1
+        words = self.running[places]
+        words -= np.repeat(self.running[starts], sizes)
+        words *= np.repeat(self.inverse[0][starts & (_STRIDE - 1)] * self.inverse[1][starts >> _STRIDE_BITS], sizes)
+        part = self.letter[places]
+        leading += np.bincount(_leads(words[~part]), minlength=len(leading))
+        words *= _FACTORS[part.view(np.int8)]
+        words |= np.uint64(1)
+        values, counts = np.unique(words[_held(bits, words)], return_counts=True)
         names = np.concatenate([values, _named(np.arange(len(leading)), 600), _named(np.ones(1, np.int64), 700)])
         counts = np.concatenate([counts, leading, [self._open_positions()]])
         kept = (counts > 0) & (names > 0)
@@ -333,35 +339,38 @@ class Texts:
             name = _hash(_hash(zero, char(0)), np.where(word, char(1), shape(1)) if k > 1 else 0)
             name = np.where(word, _hash(_hash(name, char(2) if k > 2 else 0), char(3) if k > 3 else 0), name)
             names.append(np.where(alone, np.uint64(12345), name))
-        kinds, names = np.stack(kinds, axis=1), np.stack(names, axis=1)
+        kinds, names = np.stack(kinds, axis=1).ravel(), np.stack(names, axis=1).ravel()
 
         def grow(own: np.ndarray, x: np.ndarray, sizes: tuple[int, ...], salt: int, level: int) -> None:
             for k in range(1, max(sizes) + 1):
                 x = _hash(x, chars[own - k])
-                if k in sizes:
-                    full = _hash(x, salt + k) | np.uint64(1)
-                    kept = _held(bits, full)
-                    found[level].append(full[kept])
-                    own, x, level = own[kept], x[kept], level + 1
+                if k not in sizes:
+                    continue
+                full = _hash(x, salt + k) | np.uint64(1)
+                if k > 2:  # nearly every shorter one ends some text
+                    kept = np.flatnonzero(_held(bits, full))
+                    own, x, full = own[kept], x[kept], full[kept]
+                found[level].append(full)
+                level += 1
 
         for i in range(0, len(at), _BLOCK):
             own = at[i : i + _BLOCK]
             line = number[own - 1]
             into = own - starts[line]
-            grow(own, kinds[line, np.minimum(into, 2) - 1], _SIZES, 200, 1)
-            short = apart[line] & (into < SHORT_LINE)
+            grow(own, kinds[line * 2 + (into > 1)], _SIZES, 200, 1)
+            short = np.flatnonzero((into < SHORT_LINE) & apart[line])
             own, line, into = own[short], line[short], into[short]
-            x = names[line, np.minimum(into, 4) - 1]
+            x = names[line * 4 + np.minimum(into, 4) - 1]
             full = _hash(x, 300) | np.uint64(1)
-            kept = _held(bits, full)
+            kept = np.flatnonzero(_held(bits, full))
             found[1 + len(_SIZES)].append(full[kept])
             grow(own[kept], x[kept], (1, 3, 6), 300, 2 + len(_SIZES))
         values, counts = np.unique(self.chars[at - 1], return_counts=True)
-        full = _hash(_hash(np.zeros(len(values), np.uint64), values), 101) | np.uint64(1)
-        kept = _held(bits, full)
-        parts = [(full[kept], counts[kept])]
+        parts = [(_hash(_hash(np.zeros(len(values), np.uint64), values), 101) | np.uint64(1), counts)]
         parts += [np.unique(np.concatenate(x), return_counts=True) for x in found if x]
-        return np.concatenate([v for v, _ in parts]), np.concatenate([n for _, n in parts]), len(at)
+        values, counts = np.concatenate([v for v, _ in parts]), np.concatenate([n for _, n in parts])
+        kept = _held(bits, values)
+        return values[kept], counts[kept], len(at)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -442,8 +451,7 @@ def end_classes(bodies: list[str]) -> list[np.ndarray]:
             depth += len(_INWARD.findall(line)) - len(_OUTWARD.findall(line))
         opened[k] = depth > 0 or ("**" in line and len(_STARS.findall(line)) % 2 > 0) or ("```" in body and len(_FENCES.findall(body)) % 2 > 0)
     leads = np.where(words > 0, _leads(words), leads)
-    own = _hash(words, 800)
-    return [_named(leads, 600), _named(opened, 700), *(np.where(words > 0, _hash(own, k) | np.uint64(1), np.uint64(0)) for k in (1, 2))]
+    return [_named(leads, 600), _named(opened, 700), *(np.where(words > 0, words * factor | np.uint64(1), np.uint64(0)) for factor in _FACTORS)]
 
 
 def end_columns(bodies: list[str], classes: bool = False) -> list[pa.Array]:
