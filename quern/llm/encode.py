@@ -115,6 +115,15 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int], memo: dict) -> li
 _GAP = re.compile(r" (?=\S)(?<=\S )")
 
 
+def _roomy(held: np.ndarray, n: int) -> np.ndarray:
+    """``held``, or a copy of twice the length that has room for ``n``."""
+    if n <= len(held):
+        return held
+    out = np.zeros(max(n, 2 * len(held)), held.dtype)
+    out[: len(held)] = held
+    return out
+
+
 class Lexicon:
     """Chunk of text (a word with its leading blank) to token ids, as offsets into one array."""
 
@@ -128,7 +137,8 @@ class Lexicon:
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.chars = 0
-        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.ends = 0  # ids held; the arrays beyond it are room
+        self.starts, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32)
 
     def learn(self, chunks: list[str]) -> None:
         pieces = [self.split(chunk) for chunk in chunks]
@@ -143,8 +153,11 @@ class Lexicon:
         first = len(self.place)
         self.chars += sum(map(len, chunks))
         self.place.update((chunk, first + k) for k, chunk in enumerate(chunks))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.array(sizes, np.int64))])
-        self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
+        last = first + len(chunks)
+        self.starts, self.flat = _roomy(self.starts, last + 1), _roomy(self.flat, self.ends + len(flat))
+        self.starts[first + 1 : last + 1] = self.ends + np.cumsum(np.array(sizes, np.int64))
+        self.flat[self.ends : self.ends + len(flat)] = flat
+        self.ends += len(flat)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""

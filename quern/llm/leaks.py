@@ -6,10 +6,12 @@ with a passage is tiled against it: rounds of running Karp-Rabin hashes find the
 longest unmarked matches, which are marked as tiles and never overlap, until none
 of ``least`` words is left; so passages come out even where their parts were
 reordered. A tile of ``run`` words or more is a leak; coverage is the share of
-the passage's words under tiles.
+the passage's words under tiles, and with a threshold for it (``covered``) a text that
+holds so much of a passage, in whatever order, is a leak too. The seed is then as
+short as the least tile, and a text is tiled only if the shared seeds cover enough.
 
 The passages travel as a broadcast variable while they have at most
-``BROADCAST_WORDS`` words, which is counted; a larger set meets the texts in a
+``BROADCAST_WORDS`` words, which are folded and counted; a larger set meets the texts in a
 shuffled join on seed hashes, and each text is then tiled with its own candidates.
 
 Results: null and empty texts leak nothing; passages shorter than ``run`` words
@@ -112,6 +114,8 @@ def tile(passage: list[int], text: list[int], least: int = LEAST_TILE) -> list[t
         found: list[tuple[int, int, int]] = []
         for at, value in windows(text, marked[1], size) if index else ():
             for place in index.get(value, ()):
+                if place and at and passage[place - 1] == text[at - 1] and not marked[0][place - 1] and not marked[1][at - 1]:
+                    continue  # part of a match that starts before
                 n = 0
                 while place + n < len(passage) and at + n < len(text) and passage[place + n] == text[at + n] and not marked[0][place + n] and not marked[1][at + n]:
                     n += 1
@@ -155,43 +159,49 @@ def _seed_places(ids: np.ndarray, run: int) -> np.ndarray:
 
 
 class Passages:
-    """The passages as word numbers, with their seeds."""
+    """The passages as word numbers, with their seeds: of ``run`` words, or with a threshold of coverage of the least tile's."""
 
-    def __init__(self, rows: list[tuple[int, list[str]]], run: int):
-        self.run = run
+    def __init__(self, rows: list[tuple[int, list[str]]], run: int, covered: float | None = None):
+        self.run, self.covered, self.seed = run, covered, run if covered is None else LEAST_TILE
         self.number: dict[str, int] = {}
+        rows = [r for r in rows if len(r[1]) >= run]
         self.items = [i for i, _ in rows]
         self.words = [[self.number.setdefault(w, len(self.number)) for w in own] for _, own in rows]
-        seeds, of = [], []
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        seeds, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for k, own in enumerate(self.words):
-            if len(own) >= run:
-                seeds.append(_hash(np.lib.stride_tricks.sliding_window_view(np.array(own), run)))
-                of.append(np.full(len(seeds[-1]), k))
-        self.seeds = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
+            seeds.append(_hash(np.lib.stride_tricks.sliding_window_view(np.array(own), self.seed)))
+            of.append(k + (np.arange(len(seeds[-1])) << 32))
+        self.seeds, self.of = np.concatenate(seeds), np.concatenate(of)
         order = np.argsort(self.seeds, kind="stable")
-        self.seeds, self.of = self.seeds[order], np.concatenate(of)[order] if of else np.zeros(0, np.int64)
+        self.seeds, self.of = self.seeds[order], self.of[order]
 
     def numbers(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
 
     def sharing(self, ids: np.ndarray) -> list[int]:
-        """The passages that share a seed with the text."""
-        at = _seed_places(ids, self.run)
+        """The passages that share a seed with the text, or seeds that cover enough."""
+        at = _seed_places(ids, self.seed)
         if not len(at):
             return []
-        own = np.unique(_hash(np.lib.stride_tricks.sliding_window_view(ids, self.run)[at]))
+        own = np.unique(_hash(np.lib.stride_tricks.sliding_window_view(ids, self.seed)[at]))
         low, high = (np.searchsorted(self.seeds, own, side=s) for s in ("left", "right"))
-        return sorted({int(p) for a, b in zip(low, high, strict=True) for p in self.of[a:b]})
+        n = high - low
+        hits = self.of[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        if self.covered is None or not len(hits):
+            return np.unique(hits & 0xFFFFFFFF).tolist()
+        words = np.unique((hits[:, None] + (np.arange(self.seed) << 32)).ravel()) & 0xFFFFFFFF
+        which, under = np.unique(words, return_counts=True)
+        return which[under >= self.covered * self.sizes[which] - 1e-9].tolist()
 
     def leaks(self, ids: np.ndarray, which: list[int]) -> dict[int, tuple[int, float]]:
-        """Item to (longest tile, coverage), the best of its passages, for those with a tile of ``run`` words."""
+        """Item to (longest tile, coverage), the best of its passages, for those with a tile of ``run`` words, or with enough coverage where there is a threshold."""
         out: dict[int, tuple[int, float]] = {}
         text = ids.tolist()
         for p in which:
             tiles = tile(self.words[p], text)
-            longest = max((n for _, _, n in tiles), default=0)
-            if longest >= self.run:
-                got = (longest, sum(n for _, _, n in tiles) / len(self.words[p]))
+            got = (max((n for _, _, n in tiles), default=0), sum(n for _, _, n in tiles) / len(self.words[p]))
+            if got[0] >= self.run if self.covered is None else got[1] >= self.covered - 1e-9:
                 out[self.items[p]] = max(out.get(self.items[p], got), got)
         return out
 
@@ -204,14 +214,22 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], ["doc_id", "item_id", "longest", "coverage"])
 
 
-def find_leaks(df: DataFrame, items: DataFrame, run: int = RUN, text: str = "text", key: str = "doc_id", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """(doc_id, item_id, longest, coverage) of each text that holds a run of ``run`` words of an item's passage."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([len(fold_words(x)) for x in batch.column(0).to_pylist()], pa.int64())], ["n"])
+
+
+def find_leaks(df: DataFrame, items: DataFrame, run: int = RUN, text: str = "text", key: str = "doc_id", broadcast_words: int = BROADCAST_WORDS, covered: float | None = None) -> DataFrame:
+    """(doc_id, item_id, longest, coverage) of each text that holds a run of ``run`` words of an item's passage.
+
+    With ``covered``: instead, of each text of which tiles cover that share of a passage of ``run`` words or more.
+    """
     spark = df.sparkSession
     own = passages(items)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).where("doc_id is not null and length(t) > 0")
-    size = own.select(F.sum(F.size(F.split("passage", r"\s+")))).first()[0] or 0
+    size = own.select("passage").mapInArrow(_count_words, "n bigint").agg(F.sum("n")).first()[0] or 0
     if size <= broadcast_words:
-        known = Passages([(r.item_id, fold_words(r.passage)) for r in own.orderBy("item_id", "passage").collect()], run)
+        known = Passages([(r.item_id, fold_words(r.passage)) for r in own.orderBy("item_id", "passage").collect()], run, covered)
         shared = spark.sparkContext.broadcast(known)
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +245,8 @@ def find_leaks(df: DataFrame, items: DataFrame, run: int = RUN, text: str = "tex
 
         return docs.mapInArrow(near, _OUT).distinct()
 
+    seed = run if covered is None else LEAST_TILE
+
     def seeds(name: str):
         import xxhash
 
@@ -234,8 +254,8 @@ def find_leaks(df: DataFrame, items: DataFrame, run: int = RUN, text: str = "tex
             for batch in batches:
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     ids = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in fold_words(t.as_py())), np.uint64)
-                    if len(ids) >= run:
-                        own = np.unique(_hash(np.lib.stride_tricks.sliding_window_view(ids, run))).view(np.int64)
+                    if len(ids) >= seed:
+                        own = np.unique(_hash(np.lib.stride_tricks.sliding_window_view(ids, seed))).view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k)), pa.array(own)], [name, "seed"])
 
         return emit
@@ -249,8 +269,9 @@ def find_leaks(df: DataFrame, items: DataFrame, run: int = RUN, text: str = "tex
         for batch in batches:
             rows = []
             for doc, t, item, passage in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                known = Passages([(item, fold_words(passage))], run)
-                rows += [(doc, i, *got) for i, got in known.leaks(known.numbers(fold_words(t)), [0]).items()]
+                known = Passages([(item, fold_words(passage))], run, covered)
+                ids = known.numbers(fold_words(t))
+                rows += [(doc, i, *got) for i, got in known.leaks(ids, known.sharing(ids)).items()]
             yield _batch(rows)
 
     both = pairs.join(places, "p").join(docs.distinct(), "doc_id").select("doc_id", "t", "item_id", "passage")

@@ -1,7 +1,8 @@
 """Mixing conversations of several sources to target shares.
 
 Method: hierarchical budgeting. The targets are the leaves of a tree domain -
-language - source. A node's weight is the sum of its leaves' weights and its
+language - source; the domain of a task is a column of the targets or an argument, and one for all
+where neither is given. A node's weight is the sum of its leaves' weights and its
 capacity the sum of what they can give (material times allowed repeats). The
 total size flows down by weight; a child that cannot use its part keeps its
 capacity and its siblings share the rest by weight, so that a shortage reaches
@@ -16,7 +17,7 @@ Results: every conversation comes out once with its number of uses, which is
 0 for conversations without a target and for those without characters. Repeated
 rows of a message count once; null content has no characters; a conversation's
 task is the greatest spelling-normalised one among its rows, null tasks apart.
-Targets: a null task is ignored, a null share counts as 0, null repeats as 1.
+Targets: a null task is ignored, a null share counts as 0, null repeats as 1, a null domain as one of its own.
 """
 
 from __future__ import annotations
@@ -34,8 +35,7 @@ from quern.session import cut_lineage
 RADIX_BITS = 14
 #: Targets are a parameter table; more rows than this are taken for a mistake.
 MOST_TARGETS = 10_000
-#: The level above the language: sources that make up for each other first.
-DOMAINS = {"open_chat": "chat", "persona": "chat", "poetry": "chat", "choice_drill": "drills", "word_sums": "drills", "spelling": "drills", "code_help": "tools", "tool_traces": "tools"}
+#: The domain of tasks that none is given for.
 OTHER_DOMAIN = "other"
 
 
@@ -84,6 +84,14 @@ def conversations(messages: DataFrame) -> DataFrame:
     return own.select("conv_id", "task", language.leading({k: F.col(k) for k in language.LANGUAGES}).alias("language"), "chars")
 
 
+def read_domains(targets: DataFrame, column: str = "domain") -> dict[str, str]:
+    """Task to domain, of targets that have such a column; the greatest of a task's domains."""
+    if column not in targets.columns:
+        return {}
+    rows = targets.select(normal_task(F.col("task")).alias("task"), F.col(column).cast("string").alias("domain")).where("task is not null and domain is not null").groupBy("task").agg(F.max("domain").alias("domain")).limit(MOST_TARGETS + 1).collect()
+    return {r.task: r.domain for r in rows}
+
+
 def read_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
     rows = targets.select(normal_task(F.col("task")).alias("task"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).where("task is not null").dropDuplicates().limit(MOST_TARGETS + 1).collect()
     out = {r[0]: (r[1], r[2]) for r in rows}
@@ -121,7 +129,7 @@ def mix(messages: DataFrame, targets: DataFrame, total: float | str = "material"
     """Uses: (conv_id, task, chars, uses). Shares: (task, target_share, max_repeats, material_chars, mix_chars, actual_share)."""
     spark = messages.sparkSession
     wanted = read_targets(targets)
-    domains = DOMAINS if domains is None else domains
+    domains = read_domains(targets) if domains is None else domains
     items = cut_lineage(conversations(messages))
     # at most targets x languages rows
     stats = items.where(F.col("task").isin(list(wanted)) & (F.col("chars") > 0)).groupBy("task", "language").agg(F.sum("chars").alias("chars")).collect()

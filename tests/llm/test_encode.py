@@ -32,3 +32,13 @@ def test_lexicon_starts_afresh_beyond_its_limit(peer):
 
 def test_empty_table(spark):
     assert encode.encode_documents(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_a_large_lexicon_grows_in_place(peer):
+    lexicon = encode.Lexicon(encode.read_ranks(encode.DEFAULT_VOCABULARY))
+    texts = [" ".join(f"w{k}q{j}" for k in range(60)) for j in range(300)]
+    for at in range(0, 300, 50):
+        flat, sizes = lexicon.encode(texts[at : at + 50])
+        ends = sizes.cumsum()
+        assert flat[: ends[0]].tolist() == peer.encode_ordinary(texts[at]) and flat[ends[-2] :].tolist() == peer.encode_ordinary(texts[at + 49])
+    assert len(lexicon.place) > 1 << 12

@@ -82,3 +82,19 @@ def test_both_ways(spark, words):
     assert found[1, 7].longest == len(own) and found[5, 7].longest == 10 and found[6, 8].coverage == 1.0
     assert {(r.item_id, r.documents) for r in lk.leaked_items(got, items).collect()} == {(7, 2), (8, 1), (9, 2)}
     assert lk.find_leaks(rows.limit(0), items.limit(0), broadcast_words=words).collect() == []
+
+
+@pytest.mark.parametrize("words", [lk.BROADCAST_WORDS, 0])
+def test_reordered_passages_by_coverage(spark, words):
+    long = [f"w{k}" for k in range(45)]
+    pieces = [long[k : k + 9] for k in range(0, 45, 9)]
+    docs = [(1, " and ".join(" ".join(x) for x in reversed(pieces))), (2, " x ".join(" ".join(x) for x in pieces[:3])), (3, " ".join(long)), (4, " ".join(long[:12])), (5, " ".join(w for x in zip(long, long) for w in x)), (6, "w0 w1 w2 " * 30), (7, None), (8, "")]
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "t", " ".join(long), None, None, None, None), (8, "t", "w0 w1 w2", None, None, None, None)], ITEMS)
+    got = {r.doc_id: (r.item_id, r.longest, round(r.coverage, 3)) for r in lk.find_leaks(rows, items, broadcast_words=words, covered=0.6).collect()}
+    assert got == {1: (7, 9, 1.0), 2: (7, 9, 0.6), 3: (7, 45, 1.0)}
+
+
+def test_repeated_words_cost_no_squares_of_squares():
+    tiles = lk.tile([1] * 60, [1] * 20_000)
+    assert sorted(tiles) == [(0, 0, 60)]

@@ -62,3 +62,13 @@ def test_odd_rows(spark):
     assert uses.collect() == [] and shares.collect() == []
     with pytest.raises(ValueError):
         m.read_targets(spark.createDataFrame([("a", 1.0, 2), ("A", 0.5, 2)], TARGETS))
+
+
+def test_domains_from_a_column_of_the_targets(spark):
+    rows = spark.createDataFrame([(k, 0, "user", "the cat is on the mat " * 4, task, "q") for k, task in enumerate(["a"] + ["b"] * 40 + ["c"] * 40)], MESSAGES)
+    share = {}
+    for name, domains in (("near", ["x", "x", "y"]), ("far", ["x", "y", "x"]), ("none", [None] * 3)):
+        targets = spark.createDataFrame([(t, s, 1, d) for t, s, d in zip("abc", (0.4, 0.3, 0.3), domains)], TARGETS + ", domain string")
+        share[name] = {r.task: r.actual_share for r in m.mix(rows, targets, 40 * 88.0)[1].collect()}
+    assert share["near"]["b"] > 0.6 > 0.35 > share["near"]["c"] and share["far"]["c"] > 0.6 > 0.35 > share["far"]["b"]
+    assert share["none"]["b"] == pytest.approx(share["none"]["c"], abs=0.03)
