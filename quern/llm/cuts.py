@@ -36,11 +36,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -393,7 +392,11 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
 
 def _identity(own: str) -> int:
     """A signed 64-bit hash of a body."""
-    return int.from_bytes(blake2b(own.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    try:
+        value = xxhash.xxh3_64_intdigest(own)
+    except UnicodeEncodeError:
+        value = xxhash.xxh3_64_intdigest(own.encode("utf-8", "surrogatepass"))
+    return value - (1 << 64) if value >= 1 << 63 else value
 
 
 def _bloom(hashes: DataFrame, name: str) -> np.ndarray:
@@ -412,7 +415,8 @@ def _held(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).view(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-ENDS = "body bigint, contexts array<bigint>, open boolean, short boolean"
+#: What is known of the end of a body: hashes of the body and of its contexts, the contexts themselves where a task meets them first, whether it ends with a letter and is short.
+ENDS = "body bigint, final bigint, contexts array<bigint>, open boolean, short boolean"
 
 
 @lru_cache(maxsize=100_000)
@@ -454,25 +458,44 @@ def end_classes(bodies: list[str]) -> list[np.ndarray]:
     return [_named(leads, 600), _named(opened, 700), *(np.where(words > 0, words * factor | np.uint64(1), np.uint64(0)) for factor in _FACTORS)]
 
 
-def end_columns(bodies: list[str], classes: bool = False) -> list[pa.Array]:
-    """The columns of ``ENDS`` of some bodies; null for empty ones."""
-    full = [b for b in bodies if b]
-    texts = Texts(full)
-    there = np.array([bool(b) for b in bodies], bool)
-    flat = texts.contexts(texts.ends, texts.first)
-    if classes:
-        flat = np.concatenate([flat, np.stack(end_classes(full), axis=1)], axis=1)
-    flat = flat.view(np.int64)
-    offsets = np.concatenate([[0], np.cumsum(there * flat.shape[1])]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
-    if not there.all():
-        lists = pc.if_else(pa.array(there), lists, pa.scalar(None, lists.type))
-    return [pa.array([_identity(b) if b else None for b in bodies], pa.int64()), lists, pa.array([b[-1].isalpha() if b else None for b in bodies], pa.bool_()), pa.array([len(b) <= SHORT_LINE if b else None for b in bodies], pa.bool_())]
+class Ends:
+    """The columns of ``ENDS`` for the bodies of a task."""
+
+    def __init__(self, classes: bool = False):
+        self.classes = classes
+        self.met: set[int] = set()
+
+    def columns(self, bodies: list[str]) -> list[pa.Array]:
+        """Null for empty bodies."""
+        full = [b for b in bodies if b]
+        texts = Texts(full)
+        there = np.array([bool(b) for b in bodies], bool)
+        flat = texts.contexts(texts.ends, texts.first)
+        if self.classes:
+            flat = np.concatenate([flat, np.stack(end_classes(full), axis=1)], axis=1)
+        final = np.zeros(len(full), np.uint64)
+        for k in range(flat.shape[1]):
+            final = _hash(final, flat[:, k])
+        new = np.zeros(len(bodies), bool)
+        for at, name in zip(np.flatnonzero(there).tolist(), final.tolist(), strict=True):
+            if name not in self.met:
+                new[at] = True
+                self.met.add(name)
+        own = flat[new[there]].view(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(new * flat.shape[1])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(own.ravel()), mask=pa.array(~new))
+        names = np.zeros(len(bodies), np.int64)
+        names[there] = final.view(np.int64)
+        return [pa.array([_identity(b) if b else None for b in bodies], pa.int64()), pa.array(names, mask=~there), lists, pa.array([b[-1].isalpha() if b else None for b in bodies], pa.bool_()), pa.array([len(b) <= SHORT_LINE if b else None for b in bodies], pa.bool_())]
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = Ends()
     for keys, bodies in _slices(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *end_columns(bodies)], ["key", "body", "contexts", "open", "short"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *ends.columns(bodies)], ["key", *END_NAMES])
+
+
+END_NAMES = [x.split()[0] for x in ENDS.split(", ")]
 
 
 def _joined(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
@@ -485,11 +508,9 @@ def _joined(left: DataFrame, right: DataFrame, key: str, weight: str, total: int
 def log_odds(df: DataFrame) -> DataFrame:
     """(key, odds) of the rows (key bigint, text): log-odds of an end against continuation, once for each key."""
     texts = df.where("key is not null and length(text) > 0").select("key", "text")
-    own = [F.first(c).alias(c) for c in ("contexts", "open", "short")]
-    ends = cut_lineage(texts.mapInArrow(_ends, f"key bigint, {ENDS}").groupBy("key", "body").agg(F.count("*").alias("rows"), *own))
-    scored = score(ends, texts)
-    keys = ends.select("key", F.xxhash64("contexts").alias("final")).dropDuplicates(["key"])
-    return with_odds(keys, scored, ends.count()).select("key", "odds")
+    found = cut_lineage(texts.mapInArrow(_ends, f"key bigint, {ENDS}"))
+    ends = cut_lineage(found.groupBy("key", "body").agg(F.count("*").alias("rows"), F.first("final").alias("final"), F.first("short").alias("short")))
+    return with_odds(ends.select("key", "final").dropDuplicates(["key"]), score(found, ends, texts), ends.count()).select("key", "odds")
 
 
 def with_odds(rows: DataFrame, scored: DataFrame, n: int) -> DataFrame:
@@ -497,17 +518,21 @@ def with_odds(rows: DataFrame, scored: DataFrame, n: int) -> DataFrame:
     return _joined(rows, scored, "final", "texts", n)
 
 
-def score(ends: DataFrame, texts: DataFrame, classes: bool = False) -> DataFrame:
-    """(final, texts, odds): log-odds of an end against continuation for each list of contexts of ``ENDS``, by its hash.
+def score(found: DataFrame, ends: DataFrame, texts: DataFrame, classes: bool = False) -> DataFrame:
+    """(final, texts, odds): log-odds of an end against continuation for each list of contexts, by its hash.
 
-    ``ends``: ``ENDS`` and ``rows``, in how many rows of ``texts`` each stands. ``texts``: (.., text), in which continuations are counted.
+    ``found``: ``ENDS`` as the tasks gave them, with each list of contexts at least once. ``ends``: (body, final, short, rows), a row for each text and
+    in how many rows of ``texts`` it stands. ``texts``: (.., text), in which continuations are counted.
     ``classes`` takes the least share from contexts of four characters on, for texts that end with a letter, and from the contexts of classes.
     """
     spark = ends.sparkSession
-    own = [F.first(c).alias(c) for c in ("contexts", "open", "short")]
-    bodies = cut_lineage(ends.groupBy("body").agg(F.sum("rows").alias("rows"), F.count("*").alias("texts"), *own).withColumn("counted", F.when(F.col("short"), F.col("texts")).otherwise(1)))
-    total = bodies.agg(F.sum("counted")).first()[0] or 0
-    ended = cut_lineage(bodies.select("counted", F.explode("contexts").alias("context")).where("context <> 0").groupBy("context").agg(F.sum("counted").alias("ended")))
+    bodies = cut_lineage(ends.groupBy("body").agg(F.sum("rows").alias("rows"), F.count("*").alias("texts"), F.first("final").alias("final"), F.first("short").alias("short")))
+    counted = F.when(F.col("short"), F.col("texts")).otherwise(1)
+    per = bodies.groupBy("final").agg(F.sum("texts").alias("texts"), F.sum(counted).alias("counted"))
+    shapes = found.where("contexts is not null").groupBy("final").agg(F.first("contexts").alias("contexts"), F.first("open").alias("open"))
+    finals = cut_lineage(per.join(shapes, "final"))
+    total = finals.agg(F.sum("counted")).first()[0] or 0
+    ended = cut_lineage(finals.select("counted", F.explode("contexts").alias("context")).where("context <> 0").groupBy("context").agg(F.sum("counted").alias("ended")))
     shared = spark.sparkContext.broadcast((_bloom(ended, "context"), _bloom(bodies.where("rows > 1 and not short"), "body")))
     schema = "context bigint, n bigint, body bigint, own string"
 
@@ -579,7 +604,6 @@ def score(ends: DataFrame, texts: DataFrame, classes: bool = False) -> DataFrame
     weight = total / positions if positions else 1.0  # ends and continuations are equally likely beforehand
     model = ended.join(went_on, "context", "left").select("context", "ended", F.coalesce("inside", F.lit(0)).alias("inside"))
     model = cut_lineage(model)
-    finals = cut_lineage(bodies.groupBy(F.xxhash64("contexts").alias("final")).agg(F.sum("texts").alias("texts"), F.first("contexts").alias("contexts"), F.first("open").alias("open")))
     levels = finals.select("final", "open", F.posexplode("contexts").alias("level", "context")).where("context <> 0")
     known = _joined(levels, model, "context", "ended", total)
 
@@ -600,8 +624,7 @@ def score(ends: DataFrame, texts: DataFrame, classes: bool = False) -> DataFrame
         word = (F.col("got.whole") + WHOLE_PRIOR * WHOLE_WORDS) / (F.col("got.whole") + F.col("got.part") + WHOLE_PRIOR)
         share = F.least(share, "got.least", word)
     odds = F.log((share + 1e-9) / (1 - share + 1e-9))
-    scored = finals.select("final", "texts", "open").join(shares, "final").select("final", "texts", odds.alias("odds"))
-    return cut_lineage(scored)
+    return cut_lineage(finals.select("final", "texts").join(shares, "final").select("final", "texts", odds.alias("odds")))
 
 
 def thresholds(scored: DataFrame) -> dict[tuple[str, str], float]:

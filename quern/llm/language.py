@@ -55,8 +55,13 @@ _BETWEEN = re.compile(r"[\s,.;:!?¿¡()\[\]{}\"“”„«»‹›*_#<>|=/\\+~^`
 
 def count_hits(text: str) -> tuple[dict[str, int], dict[str, int]]:
     """How many words, whatever stands beside them, are function words of each language, and how many of it alone."""
-    low = text.lower()
-    hits = "".join(filter(None, map(_PLACES.get, _BETWEEN(low)))) + sum(map(low.count, (" y ", " y\n", "\ny "))) * _AND
+    return count_words(text.lower().split())
+
+
+def count_words(words: list[str]) -> tuple[dict[str, int], dict[str, int]]:
+    """``count_hits`` of a text in lower case, parted at blanks."""
+    beside = " ".join([w for w in words if not w.isalpha()])
+    hits = "".join(filter(None, map(_PLACES.get, words))) + "".join(filter(None, map(_PLACES.get, _BETWEEN(beside)))) + words.count("y") * _AND
     return {lang: hits.count(chr(97 + k)) for k, lang in enumerate(LANGUAGES)}, {lang: hits.count(chr(65 + k)) for k, lang in enumerate(LANGUAGES)}
 
 

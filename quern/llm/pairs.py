@@ -91,12 +91,12 @@ class Copies:
         squeeze = self.zstd.ZstdCompressor(dict_data=shared, compression_params=params).compress
         return [max(0, len(squeeze(x)) - 6) / max(1, len(x)) for x in parts]
 
-    def is_copy(self, question: str, answer: str) -> bool:
-        """Whether each sentence of the answer, however often it stands there, is one of the question's, and together they cover it or its last sentence."""
+    def is_copy(self, question: str, answer: str, asked: list[str] | None = None, said: list[str] | None = None) -> bool:
+        """Whether each sentence of the answer, however often it stands there, is one of the question's, and together they cover it or its last sentence; ``asked`` and ``said`` as in ``is_wrong_language``."""
         most = COPY_MOST * len(question) + 24
         if len(answer) > most and answer.find(answer[:32], 1) < 0:
             return False
-        if not _may_be_copy(question.lower().split(), answer.lower().split()):
+        if not _may_be_copy(question.lower().split() if asked is None else asked, answer.lower().split() if said is None else said):
             return False
         parts = list(dict.fromkeys(filter(None, map(_squeezed, _SENTENCES.split(answer)))))
         size = sum(map(len, parts)) + len(parts) - 1
@@ -116,18 +116,18 @@ class Copies:
         return all(x in whole for x in short) and all(c <= COPY_COST for c in self.costs(whole, long))
 
 
-def is_wrong_language(question: str, answer: str) -> tuple[bool, str]:
-    """Whether the answer is in another language than the question and none that it asks for; the answer's language.
+def is_wrong_language(question: str, answer: str, asked: list[str] | None = None, said: list[str] | None = None) -> tuple[bool, str]:
+    """Whether the answer is in another language than the question and none that it asks for; the answer's language. ``asked`` and ``said``: both in lower case, parted at blanks.
 
     A question whose words leave several languages open is in all of them.
     """
-    hits, alone = language.count_hits(_CODE.sub(" ", answer) if "`" in answer else answer)
+    hits, alone = language.count_words(said) if said is not None and "`" not in answer else language.count_hits(_CODE.sub(" ", answer))
     own = language.language_of(hits)
     if own == language.UNKNOWN or hits[own] < WRONG_LEAST:
         return False, own
-    asked, _ = language.count_hits(question)
-    most = max(asked.values())
-    open_ = [lang for lang, n in asked.items() if ASKED_MARGIN * n >= most]
+    theirs, _ = language.count_words(question.lower().split() if asked is None else asked)
+    most = max(theirs.values())
+    open_ = [lang for lang, n in theirs.items() if ASKED_MARGIN * n >= most]
     if not most or own in open_ or alone[own] < WRONG_MARGIN * max(alone[lang] for lang in open_):
         return False, own
     return not asks_for(question, own), own
@@ -166,9 +166,10 @@ def defect_of(copies: Copies, question: str, answer: str | None) -> tuple[str |
         return "empty", language.UNKNOWN
     if is_refusal(answer):
         return "refusal", language.UNKNOWN
-    if copies.is_copy(question, answer):
+    asked, said = question.lower().split(), answer.lower().split()
+    if copies.is_copy(question, answer, asked, said):
         return "copy", language.UNKNOWN
-    wrong, lang = is_wrong_language(question, answer)
+    wrong, lang = is_wrong_language(question, answer, asked, said)
     return "wrong_language" if wrong else None, lang
 
 
@@ -176,15 +177,15 @@ def classify(pairs: DataFrame) -> DataFrame:
     """(origin, record_id, turn, rows, defect, language) of (origin, record_id, turn, rows, question, answer), and ``cuts.ENDS`` of the answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        copies = Copies()
+        copies, ends = Copies(), cuts.Ends(classes=True)
         for batch in batches:
             questions, answers = (batch.column(k).to_pylist() for k in (4, 5))
             for start, end in _slices(questions, answers):
                 found = [defect_of(copies, q or "", a) for q, a in zip(questions[start:end], answers[start:end], strict=True)]
-                columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), *cuts.end_columns([cuts.body(a or "") for a in answers[start:end]], classes=True)]
+                columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), *ends.columns([cuts.body(a or "") for a in answers[start:end]])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, end - start) for k in range(4)), *columns], names)
 
-    names = ["origin", "record_id", "turn", "rows", "defect", "language", "body", "contexts", "open", "short"]
+    names = ["origin", "record_id", "turn", "rows", "defect", "language", *cuts.END_NAMES]
     rows = pairs.select("origin", F.col("record_id").cast("long"), F.col("turn").cast("int"), "rows", "question", "answer")
     return rows.mapInArrow(run, f"origin string, record_id bigint, turn int, rows bigint, defect string, language string, {cuts.ENDS}")
 
@@ -205,16 +206,17 @@ def find_defects(requests: DataFrame, messages: DataFrame) -> DataFrame:
     """(origin, record_id, turn, defect) of each defective pair."""
     key = ["origin", "record_id", "turn"]
     asked = classify(request_pairs(requests).withColumn("origin", F.lit("chat_requests")))
-    own = [c for c in asked.columns if c not in (*key, "rows")]
-    # repeated requests: of different answers in one place the one with the greatest hash
-    asked = asked.groupBy(*key).agg(F.max_by(F.struct(*own), F.coalesce("body", F.lit(-(1 << 63)))).alias("x"), F.sum("rows").alias("rows")).select(*key, "rows", "x.*")
     said = classify(message_pairs(messages).withColumn("origin", F.lit("chat_messages")))
-    both = cut_lineage(said.unionByName(asked))
-    ends = both.where("body is not null").select("body", "contexts", "open", "short", "rows")
+    found = cut_lineage(said.unionByName(asked))
+    # repeated requests: of different answers in one place the one with the greatest hash
+    own = F.struct("defect", "language", "body", "final", "short")
+    repeated = found.where("origin = 'chat_requests'").groupBy(*key).agg(F.max_by(own, F.coalesce("body", F.lit(-(1 << 63)))).alias("x"), F.sum("rows").alias("rows")).select(*key, "rows", "x.*")
+    both = cut_lineage(repeated.unionByName(found.where("origin <> 'chat_requests'").select(repeated.columns)))
+    ends = both.where("body is not null").select("body", "final", "short", "rows")
     # continuations are counted where the answers stand, without pairing them
     answers = request_pairs(requests).select(F.col("answer").alias("text")).unionByName(messages.where(_role(F.col("role")) == "assistant").select(F.col("content").alias("text"))).where("length(text) > 0")
-    scored = cuts.score(ends, answers, classes=True)
-    whole = both.where("defect is null and body is not null").select(*key, "language", F.col("origin").alias("column"), F.xxhash64("contexts").alias("final"))
+    scored = cuts.score(found, ends, answers, classes=True)
+    whole = both.where("defect is null and body is not null").select(*key, "language", F.col("origin").alias("column"), "final")
     open_ = cut_lineage(cuts.with_odds(whole, scored, both.count()))
     cut = cuts.below_threshold(open_).select(*key, F.lit("truncated").alias("defect"))
     return both.where("defect is not null").select(*key, "defect").unionByName(cut)

@@ -84,8 +84,9 @@ _STARTING = re.compile("|".join(w.replace("*", r"\w*") for w in OUTRIGHT_WORDS.s
 _PLAIN = frozenset(VAGUE).union(*FUNCTION_WORDS.values(), *LEADING_ON.values())
 _POLITE = sum(bit for (_, kind), bit in _BITS.items() if kind == "polite")
 _FORBIDS = sum(bit for (_, kind), bit in _BITS.items() if kind in ("deny", "bar", "edge"))
+_SPEAKS = sum(bit for (_, kind), bit in _BITS.items() if kind in ("self", "us", "answered"))
 _MAY_REFUSE = _POLITE | _STARTS | _FORBIDS
-_SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
+_SENTENCES = re.compile(r"[.!?]\s+|\n+")
 _CLAUSES = re.compile(r"[;:()]|\s[–—-]\s|,?\s+(?:but|however|although|though|aber|doch|jedoch|sondern|mais|cependant|toutefois|pourtant|pero|sino|aunque)\s+")
 _QUOTED = re.compile(r"\"[^\"]*\"|«[^»]*»|„[^“”]*[“”]|“[^”]*”")
 _NOT = re.compile(r"n't\b")
@@ -113,17 +114,20 @@ def _mask(word: str) -> int:
 
 
 def _may_refuse(words: list[str]) -> bool:
-    """Whether some word is one that a clause that declines or is polite has."""
-    if _known.keys() >= set(words):
-        return not _telling.isdisjoint(words)
-    return any([_mask(w) & _MAY_REFUSE for w in words])
+    """Whether there are words of all the kinds that a clause that declines, or those that one that is polite has."""
+    if _known.keys() >= set(words) and _telling.isdisjoint(words):
+        return False
+    held = 0
+    for w in words:
+        held |= _mask(w)
+    return bool(held & (_POLITE | _STARTS) or held & _FORBIDS and held & _SPEAKS)
 
 
 def sentences(text: str) -> Iterator[str]:
     """One sentence after the other, none found before it is asked for."""
     start = 0
     for gap in _SENTENCES.finditer(text):
-        yield text[start : gap.start()]
+        yield text[start : gap.start() + (text[gap.start()] != "\n")]
         start = gap.end()
     yield text[start:]
 

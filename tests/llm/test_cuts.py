@@ -168,7 +168,12 @@ def test_classes_at_every_position():
 def test_parts_of_words_are_no_ends(spark):
     rows = [(k, f"The window is open. This means that step {k} is fine.") for k in range(200)] + [(1000 + k, f"The window is open after {k}. This mea") for k in range(30)] + [(2000 + k, f"The step {k} is a good mean") for k in range(30)]
     df = spark.createDataFrame(rows, ROWS)
-    ends = df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([b.column(0), *cuts.end_columns(b.column(1).to_pylist(), classes=True)], ["key", "body", "contexts", "open", "short"]) for b in batches), f"key bigint, {cuts.ENDS}").withColumn("rows", F.lit(1))
-    scored = cuts.score(ends, df, classes=True)
-    odds = {r.key: r.odds for r in cuts.with_odds(ends.select("key", F.xxhash64("contexts").alias("final")), scored, len(rows)).collect()}
+    def ends(batches):
+        own = cuts.Ends(classes=True)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), *own.columns(b.column(1).to_pylist())], ["key", *cuts.END_NAMES])
+
+    found = df.mapInArrow(ends, f"key bigint, {cuts.ENDS}").withColumn("rows", F.lit(1))
+    scored = cuts.score(found, found, df, classes=True)
+    odds = {r.key: r.odds for r in cuts.with_odds(found.select("key", "final"), scored, len(rows)).collect()}
     assert max(odds[1000 + k] for k in range(30)) < -1 < 0 < min(odds[k] for k in range(200))
