@@ -6,11 +6,12 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import pretokens
+from quern.functions.text import SPLIT_PATTERN, pretokens
 from quern.session import cut_lineage
 
 #: The special tokens, whose ids follow the merges.
@@ -197,37 +198,65 @@ def encode_word(word: bytes, ranks: dict[tuple[int, int], int]) -> list[int]:
     return ids
 
 
-def encode(df: DataFrame, merges: Merges, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``key``, ids); each distinct word is encoded once per task. Null gives an empty list."""
-    shared = df.sparkSession.sparkContext.broadcast({p: 256 + k for k, p in enumerate(merges)})
-    source = df.select(F.col(key).alias("k"), pretokens(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    kind = source.schema["k"].dataType.simpleString()
+class Encoder:
+    """Encodes texts in a Python worker; words it has met are remembered up to a limit."""
+
+    def __init__(self, merges: Merges, limit: int = 300_000):
+        import regex
+
+        self.ranks = {p: 256 + k for k, p in enumerate(merges)}
+        self.split = regex.compile(SPLIT_PATTERN).findall
+        self.known: dict[str, list[int]] = {}
+        self.limit = limit
+
+    def word(self, word: str) -> list[int]:
+        ids = self.known.get(word)
+        if ids is None:
+            if len(self.known) > self.limit:
+                self.known.clear()
+            ids = self.known[word] = encode_word(word.encode("utf-8", "surrogatepass"), self.ranks)
+        return ids
+
+    def text(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        if not self.ranks:
+            return list(text.encode("utf-8", "surrogatepass"))
+        return [i for word in self.split(text) for i in self.word(word)]
+
+
+def encode(df: DataFrame, merges: Merges, key: str = "doc_id", text: str = "text", prepend: int | str | None = None, append: int | str | None = None) -> DataFrame:
+    """(``key``, ids); each distinct word is encoded once per task. Null gives an empty list.
+
+    A column of lists of texts gives a list of lists. ``prepend`` and ``append``, an id or a special token's name, go around each text's ids.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(merges)
+    before, after = ([] if x is None else [special_id(merges, x) if isinstance(x, str) else x] for x in (prepend, append))
+    source = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    kind, many = source.schema["k"].dataType.simpleString(), source.schema["t"].dataType.simpleString() == "array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, known = shared.value, {}
+        encoder = Encoder(shared.value)
+        one = lambda t: [*before, *encoder.text(t), *after]
         for batch in batches:
-            out = []
-            for words in batch.column(1).to_pylist():
-                ids: list[int] = []
-                for word in words:
-                    own = known.get(word)
-                    if own is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        own = known[word] = encode_word(word.encode(), ranks)
-                    ids += own
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["k", "ids"])
-
-    return source.mapInArrow(run, f"k {kind}, ids array<int>").select(F.col("k").alias(key), "ids")
+            texts = batch.column(1).to_pylist()
+            ids = [[one(t) for t in x or []] for x in texts] if many else [one(t) for t in texts]
+            item = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(item) if many else item)], ["k", "ids"])
+
+    return source.mapInArrow(run, f"k {kind}, ids {'array<array<int>>' if many else 'array<int>'}").select(F.col("k").alias(key), "ids")
 
 
 def decode(ids: Column, merges: Merges) -> Column:
-    """The text of token ids; invalid UTF-8 becomes U+FFFD. Ids of specials give their names."""
-    tokens = [t.hex() for t in token_bytes(merges)] + [s.encode().hex() for s in SPECIALS]
-    lookup = F.array(*map(F.lit, tokens))
-    data = F.unhex(F.array_join(F.transform(ids, lambda i: F.get(lookup, i)), ""))
-    return F.make_valid_utf8(data.cast("string"))
+    """The text of token ids; invalid UTF-8 becomes U+FFFD. Ids of specials give their names, ids outside the vocabulary nothing."""
+    tokens = [*token_bytes(merges), *(s.encode() for s in SPECIALS)]
+
+    @F.pandas_udf("string")
+    def run(own: pd.Series) -> pd.Series:
+        n = len(tokens)
+        return own.map(lambda x: None if x is None else b"".join(tokens[i] for i in x if i is not None and 0 <= i < n).decode("utf-8", "replace"))
+
+    return run(ids)
 
 
 def special_id(merges: Merges, name: str) -> int:
@@ -241,7 +270,17 @@ def byte_fallback_vocabulary(merges: Merges) -> tuple[dict[str, int], Merges]:
     return {name: k for k, name in enumerate(SPECIALS)}, [(a + up, b + up) for a, b in merges]
 
 
-def visualized(ids: Column, mask: Column, merges: Merges) -> Column:
-    """The tokens between bars, green where they are trained, red where not."""
-    green, red, reset = "\x1b[92m", "\x1b[91m", "\x1b[0m"
-    return F.array_join(F.zip_with(ids, mask, lambda i, m: F.concat(F.when(m == 1, green).otherwise(red), decode(F.array(i), merges), F.lit(reset))), "|")
+def visualized(ids: Column, mask: Column, merges: Merges, with_ids: bool = False) -> Column:
+    """The tokens between bars, green where they are trained, red where not; ``with_ids`` puts each id, gray, behind its token."""
+    green, red, gray, reset = "\x1b[92m", "\x1b[91m", "\x1b[90m", "\x1b[0m"
+    names = [t.decode("utf-8", "replace") for t in token_bytes(merges)] + list(SPECIALS)
+
+    @F.pandas_udf("string")
+    def run(own: pd.Series, marks: pd.Series) -> pd.Series:
+        def shown(i: int, m: int) -> list[str]:
+            token = f"{green if m == 1 else red}{names[i]}{reset}"
+            return [token, f"{gray}({i}){reset}"] if with_ids else [token]
+
+        return pd.Series([None if x is None or y is None else "|".join(part for i, m in zip(x, y, strict=False) for part in shown(i, m)) for x, y in zip(own, marks, strict=True)])
+
+    return run(ids, mask)

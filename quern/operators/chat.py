@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Limits of a chat request.
@@ -79,6 +82,73 @@ def rendered_parts(parts: Column) -> Column:
     return F.flatten(F.transform(parts, wrap))
 
 
+def render_tokens(df: DataFrame, key: str, messages: str, merges: list[tuple[int, int]] | None = None, most: int | None = 2048, completion: bool = False) -> DataFrame:
+    """(``key``, ids, mask) of conversations, in one Arrow pass; both are null for one that can't be rendered.
+
+    A message has ``role`` and ``content``, and may have ``parts`` (type, text) instead of its content. A leading system message goes into
+    the user message after it. Texts are encoded by the merges, by bytes without any; special tokens follow them. What the assistant says
+    and its end has mask 1, the output of its calls 0. ``most`` cuts the tokens. ``completion`` leaves out the last message, which must
+    be the assistant's, and puts the start of an answer after the cut.
+    """
+    from quern.operators.bpe import SPECIALS, Encoder
+
+    merges = merges or []
+    shared = df.sparkSession.sparkContext.broadcast(merges)
+    bos, user_start, user_end, start, end, python_start, python_end, output_start, output_end = range(256 + len(merges), 256 + len(merges) + len(SPECIALS))
+    around = {"text": ([], 1, []), "python": ([python_start], 1, [python_end]), "python_output": ([output_start], 0, [output_end])}
+    source = df.select(F.col(key).alias("k"), F.col(messages).alias("m"))
+    kind = source.schema["k"].dataType.simpleString()
+
+    def parts_of(message: dict) -> list[dict] | None:
+        if message.get("parts") is not None:
+            return message["parts"]
+        return None if message["content"] is None else [{"type": "text", "text": message["content"]}]
+
+    def rendered(talk: list[dict] | None, encode) -> tuple[list[int], list[int]] | None:
+        talk = list(talk or [])
+        if completion and (not talk or not talk[-1] or talk.pop()["role"] != "assistant"):
+            return None
+        if len(talk) > 1 and talk[0] and talk[1] and talk[0]["role"] == "system" and talk[1]["role"] == "user":
+            if talk[0]["content"] is None or talk[1]["content"] is None:
+                return None
+            talk = [{"role": "user", "content": talk[0]["content"] + "\n\n" + talk[1]["content"]}, *talk[2:]]
+        if not talk:
+            return None
+        ids, mask = [bos], [0]
+        for k, message in enumerate(talk):
+            said = k % 2
+            parts = parts_of(message) if message and message["role"] == ("assistant" if said else "user") else None
+            if parts is None or not said and any(p["type"] != "text" for p in parts):
+                return None
+            ids.append(start if said else user_start)
+            mask.append(0)
+            for part in parts:
+                if part["type"] not in around:
+                    return None
+                before, trained, after = around[part["type"]]
+                own = [*before, *encode(part["text"]), *after]
+                ids += own
+                mask += [trained * said] * len(own)
+            ids.append(end if said else user_end)
+            mask.append(said)
+        return (ids[:most] + ([start] if completion else []), mask[:most] + ([0] if completion else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder(shared.value).text
+        for batch in batches:
+            rows = [rendered(talk, encode) or (None, None) for talk in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int8()))], ["k", "ids", "mask"])
+
+    return source.mapInArrow(run, f"k {kind}, ids array<int>, mask array<tinyint>").select(F.col("k").alias(key), "ids", "mask")
+
+
+def gathered(messages: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(``key``, messages) of a table with a row for each message; repeated rows count once, of different ones in one place the greatest."""
+    once = messages.where(F.col(key).isNotNull() & F.col("turn").isNotNull()).groupBy(key, "turn").agg(F.max(F.struct("role", "content")).alias("m"))
+    own = once.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("turn", "m"))).alias("x"))  # a conversation, not a group of copies
+    return own.select(key, F.transform("x", lambda x: x["m"]).alias("messages"))
+
+
 def inputs_and_targets(tokens: Column, mask: Column, pad_from: Column | None = None) -> tuple[Column, Column]:
     """Inputs without the last token; targets one on, -1 where the mask is 0 or padding begins."""
     n = F.greatest(F.size(tokens) - 1, F.lit(0))

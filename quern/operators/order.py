@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,23 +64,26 @@ def shard_boundaries(df: DataFrame, order: list[Column], size: Column, least_siz
     """Adds ``shard``: a shard closes at the first multiple of ``multiple`` rows where it holds ``least_size``; an unfinished last shard is dropped.
 
     Blocks of ``multiple`` rows are summed in parallel; only the fold over block
-    sums, one row per block, is sequential.
+    sums, one row per block, is sequential: a stream through one task, which holds
+    a shard's number and its size so far.
     """
     rows = running(df, order, size)
     rows = rows.withColumn("block", F.floor(F.col("pos") / multiple)).drop("upto")
-    blocks = rows.groupBy("block").agg(F.sum(size).alias("s"), F.count("*").alias("n"))
-
-    def fold(pdf):
-        shard, held, out = 0, 0, []
-        for block, s, n in pdf.sort_values("block")[["block", "s", "n"]].itertuples(index=False):
-            held += s
-            out.append((block, shard))
-            if n == multiple and held >= least_size:
-                shard, held = shard + 1, 0
-        import pandas as pd
-
-        done = pd.DataFrame(out, columns=["block", "shard"])
-        return done[done["shard"] < shard]
-
-    closed = blocks.groupBy(F.lit(0).alias("g")).applyInPandas(lambda pdf: fold(pdf), "block bigint, shard bigint")
+    blocks = rows.groupBy("block").agg(F.sum(size).cast("long").alias("s"), F.count("*").alias("n"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = held = 0
+        for batch in batches:
+            shards, closes = [], []
+            for s, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held += s or 0
+                shards.append(shard)
+                closes.append(n == multiple and held >= least_size)
+                if closes[-1]:
+                    shard, held = shard + 1, 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shards, pa.int64()), pa.array(closes, pa.bool_())], ["block", "shard", "closes"])
+
+    folded = cut_lineage(blocks.repartition(1).sortWithinPartitions("block").mapInArrow(fold, "block bigint, shard bigint, closes boolean"))
+    done = folded.agg(F.coalesce(F.max(F.when(F.col("closes"), F.col("shard"))), F.lit(-1)).alias("done"))
+    closed = folded.join(F.broadcast(done), F.col("shard") <= F.col("done")).select("block", "shard")
     return rows.join(closed, "block").drop("block")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quern.operators.order import running
+from quern.session import cut_lineage
+
 
 def once(metrics: DataFrame) -> DataFrame:
     """One row per (run, step, metric): the first to arrive; null and NaN values left out."""
@@ -13,53 +21,132 @@ def once(metrics: DataFrame) -> DataFrame:
     return own.select("run", "step", "metric", "x.value")
 
 
-def smoothed(df: DataFrame, keys: list[str], order: str, value: str, beta: float = 0.9, horizon: int = 400, late: int = 0) -> DataFrame:
-    """Adds ``ema``: the debiased exponential mean up to each row, from 0 before the first.
+def smoothed(df: DataFrame, keys: list[str], order: str, value: str, beta: float = 0.9, late: int = 0) -> DataFrame:
+    """Adds ``ema``: the debiased exponential mean up to each row, from 0 before the first; null for a null value, which counts for nothing.
 
-    The sum is a window over the last ``horizon`` rows; what lies before weighs ``beta ** horizon``,
-    under 1e-18 with the defaults. ``late`` is added to the exponent of the debiasing.
+    Rows are range-partitioned by keys and order and summed on their own; a run that goes on in the next partition hands
+    its sum on, one row per partition, so that no run is in one task and nothing before is forgotten, whatever ``beta``.
+    ``late`` is added to the exponent of the debiasing.
     """
-    own = Window.partitionBy(*keys).orderBy(order)
-    seen = F.collect_list(value).over(own.rowsBetween(-horizon, 0))
-    weighted = F.aggregate(seen, F.lit(0.0), lambda acc, x: acc * beta + x * (1 - beta))
-    n = F.row_number().over(own) + late
-    return df.withColumn("ema", weighted / (1 - F.pow(F.lit(beta), n)))
+    spark = df.sparkSession
+    names = [*keys, order]
+    parts = cut_lineage(df.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("_p", F.spark_partition_id()))
+    columns = df.columns
+    places, at = [columns.index(k) for k in keys], columns.index(value)
+
+    def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
+        """(key, from, to) of each stretch of one run."""
+        own = list(zip(*(batch.column(k).to_pylist() for k in places), strict=True))
+        start = 0
+        for k in range(1, len(own) + 1):
+            if k == len(own) or own[k] != own[start]:
+                yield own[start], start, k
+                start = k
+
+    def advance(held: tuple, key: tuple, values: list[float | None]) -> tuple[tuple, list[float | None]]:
+        """(key, sum, count) after some values of a run, and their means."""
+        total, n = held[1:] if held[0] == key else (0.0, 0)
+        out: list[float | None] = []
+        for x in values:
+            if x is None:
+                out.append(None)
+                continue
+            total, n = beta * total + (1 - beta) * x, n + 1
+            out.append(total / (1 - beta ** (n + late)))
+        return (key, total, n), out
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """First and last run of a partition, with the last one's sum and count in it."""
+        first, held = None, (None, 0.0, 0)
+        number = 0
+        for batch in batches:
+            values, number = batch.column(at).to_pylist(), batch.column(len(columns))[0].as_py() if batch.num_rows else number
+            for key, i, j in runs(batch):
+                first = key if first is None else first
+                held, _ = advance(held, key, values[i:j])
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([pickle.dumps((first, *held))], pa.binary())], ["p", "state"])
+
+    carried, last = {}, (None, 0.0, 0)
+    for r in sorted(parts.mapInArrow(ends, "p int, state binary").collect()):  # one row per partition
+        first, key, total, n = pickle.loads(r.state)
+        carried[r.p] = last
+        whole = first == key == last[0]
+        last = (key, total + beta**n * last[1], n + last[2]) if whole else (key, total, n)
+    shared = spark.sparkContext.broadcast(carried)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if held is None and batch.num_rows:
+                held = shared.value[batch.column(len(columns))[0].as_py()]
+            values, means = batch.column(at).to_pylist(), []
+            for key, i, j in runs(batch):
+                held, own = advance(held, key, values[i:j])
+                means += own
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(means, pa.float64())], [*columns, "ema"])
+
+    return parts.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("ema", T.DoubleType())]))
 
 
 def running_min(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
     return df.withColumn(out, F.min(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def quadratic_fit(df: DataFrame, group: str, x: Column, y: Column) -> DataFrame:
-    """(group, a, b, c) of y = a x² + b x + c by the normal equations about the group's mean of x."""
-    means = df.groupBy(group).agg(F.avg(x).alias("_m"))
-    t, v = F.col("_t"), F.col("_v")
-    rows = df.select(group, x.alias("_x"), y.alias("_v")).join(means, group).withColumn("_t", F.col("_x") - F.col("_m"))
-    sums = rows.groupBy(group).agg(F.first("_m").alias("m"), F.count("*").alias("n"), *(F.sum(F.pow(t, F.lit(k))).alias(f"s{k}") for k in (1, 2, 3, 4)), *(F.sum(F.pow(t, F.lit(k)) * v).alias(f"t{k}") for k in (0, 1, 2)))
-    n, s1, s2, s3, s4, t0, t1, t2 = (F.col(c) for c in ("n", "s1", "s2", "s3", "s4", "t0", "t1", "t2"))
-
-    def det(m: list[list[Column]]) -> Column:
-        (a, b, c), (d, e, f), (g, h, i) = m
-        return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
-
-    base = [[s4, s3, s2], [s3, s2, s1], [s2, s1, n]]
-    right = [t2, t1, t0]
-    whole = det(base)
-    a, b, c = (F.try_divide(det([[right[r] if col == k else base[r][col] for col in range(3)] for r in range(3)]), whole) for k in range(3))
-    shifted = sums.select(group, "m", a.alias("a"), b.alias("b1"), c.alias("c1"))
-    return shifted.select(group, "a", (F.col("b1") - 2 * F.col("a") * F.col("m")).alias("b"), (F.col("c1") - F.col("b1") * F.col("m") + F.col("a") * F.col("m") * F.col("m")).alias("c"))
-
+def quadratic_fit(df: DataFrame, group: str, x: Column, y: Column, about: float | None = None) -> DataFrame:
+    """(group, a, b, c) of y = a x² + b x + c by the normal equations, in one aggregate.
 
-def ridge(df: DataFrame, features: list[str], target: str, alpha: float) -> list[float]:
-    """Intercept and weights of ridge regression, the intercept unpenalised; only the Gram matrix reaches the driver."""
+    Moments are taken about a constant, ``about`` or the mean of all x's ends, and moved to each group's mean, which keeps digits.
+    """
+    if about is None:
+        ends = df.agg(F.min(x).alias("l"), F.max(x).alias("h")).first()
+        about = ((ends["l"] or 0.0) + (ends["h"] or 0.0)) / 2
+    u, v = x - F.lit(float(about)), y
+    sums = df.groupBy(group).agg(F.count(u).cast("double").alias("n"), *(F.sum(F.pow(u, F.lit(k))).alias(f"p{k}") for k in (1, 2, 3, 4)), *(F.sum(F.pow(u, F.lit(k)) * v).alias(f"q{k}") for k in (0, 1, 2)))
+    n, p1, p2, p3, p4, q0, q1, q2 = (F.col(c) for c in ("n", "p1", "p2", "p3", "p4", "q0", "q1", "q2"))
+    m = p1 / n  # the group's mean: central moments follow by the binomial theorem
+    s2 = p2 - n * m * m
+    s3 = p3 - 3 * m * p2 + 2 * n * m * m * m
+    s4 = p4 - 4 * m * p3 + 6 * m * m * p2 - 3 * n * m * m * m * m
+    t1 = q1 - m * q0
+    t2 = q2 - 2 * m * q1 + m * m * q0
+    whole = s4 * s2 * n - s3 * s3 * n - s2 * s2 * s2
+    a = F.try_divide(t2 * s2 * n - s3 * t1 * n - s2 * s2 * q0, whole)
+    b1 = F.try_divide(s4 * t1 * n - t2 * s3 * n + s2 * (s3 * q0 - t1 * s2), whole)
+    c1 = F.try_divide(s4 * s2 * q0 - s3 * (s3 * q0 - t1 * s2) - t2 * s2 * s2, whole)
+    centred = sums.select(group, (m + F.lit(float(about))).alias("m"), a.alias("a"), b1.alias("b1"), c1.alias("c1"))
+    return centred.select(group, "a", (F.col("b1") - 2 * F.col("a") * F.col("m")).alias("b"), (F.col("c1") - F.col("b1") * F.col("m") + F.col("a") * F.col("m") * F.col("m")).alias("c"))
+
+
+def ridge(df: DataFrame, features: list[str], target: str, alphas: list[float]) -> list[list[float]]:
+    """Intercept and weights of ridge regression for each penalty, the intercept unpenalised; one scan, of which only the Gram matrix reaches the driver."""
     import numpy as np
 
     names = [F.lit(1.0), *map(F.col, features)]
     k = len(names)
     cells = [F.sum(a * b).alias(f"g{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)] + [F.sum(a * F.col(target)).alias(f"y{i}") for i, a in enumerate(names)]
     row = df.agg(*cells).first()
-    gram = np.array([[row[f"g{i}_{j}"] for j in range(k)] for i in range(k)], float) + alpha * np.diag([0.0] + [1.0] * (k - 1))
-    return np.linalg.solve(gram, np.array([row[f"y{i}"] for i in range(k)], float)).tolist()
+    gram = np.array([[row[f"g{i}_{j}"] for j in range(k)] for i in range(k)], float)
+    right = np.array([row[f"y{i}"] for i in range(k)], float)
+    return [np.linalg.solve(gram + alpha * np.diag([0.0] + [1.0] * (k - 1)), right).tolist() for alpha in alphas]
+
+
+def weight_norm(rows: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """(keys, norm): the Euclidean length of each fit's weights."""
+    return rows.groupBy(*keys).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("norm"))
+
+
+def ranked_fits(df: DataFrame, task: str, x: str, y: str) -> DataFrame:
+    """(rank, ``task``, slope, intercept, r2): a line for each task, the best explained first, tasks by name on ties."""
+    fits = df.groupBy(task).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.round(F.regr_r2(y, x), 9).alias("r2"))
+    order = [-F.coalesce("r2", F.lit(-1.0)), F.col(task)]  # a group without an r2 comes last
+    return running(fits, order).select((F.col("pos") + 1).alias("rank"), task, "slope", "intercept", "r2")
+
+
+def averaged(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame:
+    """(key, value): the mean of two estimates, the one that is there where the other is missing."""
+    both = a.select(*key, F.col(value).alias("_a")).join(b.select(*key, F.col(value).alias("_b")), key, "full")
+    return both.select(*key, ((F.coalesce("_a", "_b") + F.coalesce("_b", "_a")) / 2).alias(value))
 
 
 def interpolated(points: DataFrame, wanted: DataFrame, group: str, x: str, y: str, at: str) -> DataFrame:
@@ -139,6 +226,14 @@ def horizon(iterations: Column, flops: Column, ratio: Column, parameters: Column
     return F.when(iterations > 0, iterations).when(flops > 0, F.bround(flops / (flops_token * batch), 0).cast("long")).when(ratio > 0, F.floor(F.floor(ratio * parameters) / batch))
 
 
+def with_ratio(df: DataFrame, tokens: str = "tokens_trained", kinds: tuple[str, ...] = ("matrices", "head")) -> DataFrame:
+    """Adds effective_params, the sum of the named groups, and param_data_ratio, tokens for each of them."""
+    own = F.col(kinds[0])
+    for k in kinds[1:]:
+        own = own + F.col(k)
+    return df.withColumn("effective_params", own).withColumn("param_data_ratio", F.try_divide(F.col(tokens), F.col("effective_params")))
+
+
 def whole_steps(tokens: Column, per_step: Column) -> Column:
     """The greatest multiple of a step's tokens."""
     return F.floor(tokens / per_step) * per_step
@@ -162,6 +257,25 @@ def optimizer_groups(df: DataFrame) -> DataFrame:
     return df.select("width", rows.alias("g")).select("width", "g.*")
 
 
+#: Rate, momentum and decay of the groups of matrices.
+MATRIX_LR, MATRIX_BETA2, MATRIX_DECAY = 0.02, 0.9, 0.28
+
+
+def matrix_groups(shapes: DataFrame, rows: str = "rows", columns: str = "columns", lr: float = MATRIX_LR) -> DataFrame:
+    """(rows, columns, matrices, lr): matrices of one shape are one group; tall ones take a greater rate, the root of how tall they are."""
+    own = shapes.groupBy(rows, columns).agg(F.count("*").alias("matrices"))
+    return own.withColumn("lr", lr * F.sqrt(F.greatest(F.lit(1.0), F.col(rows) / F.col(columns))))
+
+
+def layer_matrices(df: DataFrame, depth: str = "depth", width: str = "width") -> DataFrame:
+    """(depth, layer, name, rows, columns) of the six matrices of each layer of models with a depth and a width."""
+    w = F.col(width)
+    kinds = [("query", 1, 1), ("key", 1, 1), ("value", 1, 1), ("projection", 1, 1), ("wide", 4, 1), ("narrow", 1, 4)]
+    cells = F.array(*(F.struct(F.lit(n).alias("name"), (w * r).alias("rows"), (w * c).alias("columns")) for n, r, c in kinds))
+    layers = F.explode(F.sequence(F.lit(0), F.col(depth).cast("int") - 1))
+    return df.select(depth, width, layers.alias("layer")).select(depth, "layer", F.explode(cells).alias("m")).select(depth, "layer", "m.*")
+
+
 def geometric_middle(df: DataFrame, value: str) -> DataFrame:
     """Mean, sample deviation and the geometric mean of the ends."""
     return df.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.sqrt(F.min(value) * F.max(value)).alias("middle"))

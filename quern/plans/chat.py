@@ -9,9 +9,10 @@ from quern.session import table
 
 
 def _requests(spark, d):
-    """Each request once: a repeat has the same id and content."""
+    """Each request once, as it came first: a repeat has the same id and content."""
     own = table(spark, d, "chat_requests")
-    return own.groupBy("request_id").agg(F.first("messages").alias("messages"), F.first("temperature").alias("temperature"), F.first("top_k").alias("top_k"), F.first("max_tokens").alias("max_tokens"))
+    first = F.struct("received_at", "sent_at")
+    return own.groupBy("request_id").agg(*(F.min_by(c, first).alias(c) for c in ("messages", "temperature", "top_k", "max_tokens")))
 
 
 _R = "(SELECT request_id, any_value(messages) AS messages, any_value(temperature) AS temperature, any_value(top_k) AS top_k, any_value(max_tokens) AS max_tokens FROM chat_requests GROUP BY request_id)"
@@ -45,14 +46,34 @@ def _good(spark, d):
 
 def chat_render(spark, d):
     """Length and trained length of each rendered request before the cut, from the tokens themselves."""
-    own = _good(spark, d).select("request_id", chat.rendered(F.col("messages"), None).alias("t"))
-    return own.select("request_id", F.size("t").alias("ids"), F.aggregate("t", F.lit(0), lambda a, x: a + x["mask"]).alias("trained"))
+    return _lengths(chat.render_tokens(_good(spark, d), "request_id", "messages", most=None))
+
+
+def _lengths(rendered):
+    mask = F.transform("mask", lambda m: m.cast("int"))
+    return rendered.select("request_id", F.size("ids").alias("ids"), F.aggregate(mask, F.lit(0), lambda a, m: a + m).alias("trained"))
+
+
+def chat_render_talks(spark, d):
+    """Tokens of the finetuning conversations, system messages merged: how many, how many are trained, and two sums that tell which."""
+    own = chat.gathered(table(spark, d, "chat_messages"))
+    got = chat.render_tokens(own.where(chat.renderable(F.col("messages")).isNull()), "conv_id", "messages", most=None)
+    ids = F.transform("ids", lambda i: i.cast("long"))
+    trained = F.transform(F.arrays_zip("ids", "mask"), lambda x: x["ids"].cast("long") * x["mask"])
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return got.select("conv_id", F.size("ids").alias("ids"), total(F.transform("mask", lambda m: m.cast("long"))).alias("trained"), total(ids).alias("sum"), total(trained).alias("trained_sum"))
+
+
+def chat_unrenderable(spark, d):
+    """What can't be rendered comes out as null, and it is what the checks say."""
+    own = chat.gathered(table(spark, d, "chat_messages"))
+    got = chat.render_tokens(own, "conv_id", "messages").where("ids is null").select("conv_id")
+    return own.join(got, "conv_id").groupBy(chat.renderable(F.col("messages")).alias("fault")).agg(F.count("*").alias("talks"))
 
 
 def chat_truncate(spark, d):
     """Length and trained length of what a cut at 500 tokens leaves."""
-    own = _good(spark, d).select("request_id", chat.rendered(F.col("messages"), 500).alias("t"))
-    return own.select("request_id", F.size("t").alias("ids"), F.aggregate("t", F.lit(0), lambda a, x: a + x["mask"]).alias("trained"))
+    return _lengths(chat.render_tokens(_good(spark, d), "request_id", "messages", most=500))
 
 
 def chat_mask_share(spark, d):
@@ -62,13 +83,13 @@ def chat_mask_share(spark, d):
 
 def chat_completion(spark, d):
     own = _good(spark, d).where(F.element_at("messages", -1)["role"] == "assistant")
-    return own.select("request_id", chat.for_completion(F.col("messages"), 300).alias("t")).select("request_id", F.size("t").alias("ids"), F.element_at("t", -1).alias("last"))
+    return chat.render_tokens(own, "request_id", "messages", most=300, completion=True).select("request_id", F.size("ids").alias("ids"), F.element_at("ids", -1).alias("last"))
 
 
 def chat_targets(spark, d):
     """Targets that count after the shift by one."""
-    own = _good(spark, d).select("request_id", chat.rendered(F.col("messages")).alias("t"))
-    _, targets = chat.inputs_and_targets(F.transform("t", lambda x: x["id"]), F.transform("t", lambda x: x["mask"]))
+    own = chat.render_tokens(_good(spark, d), "request_id", "messages")
+    _, targets = chat.inputs_and_targets(F.col("ids"), F.col("mask"))
     return own.select("request_id", F.size(F.filter(targets, lambda t: t >= 0)).alias("targets"), F.size(targets).alias("positions"))
 
 
@@ -92,7 +113,16 @@ _SUMS = f"""(SELECT request_id, messages, (1 + list_sum(list_transform(messages,
 _CUT = f"""WITH m AS (SELECT request_id, unnest(messages) AS m, generate_subscripts(messages, 1) AS i FROM {_GOOD}), o AS (SELECT request_id, m.role AS role, {_MERGED} AS b, 1 + sum({_MERGED} + 2) OVER (PARTITION BY request_id ORDER BY i) - ({_MERGED} + 2) AS start FROM m)
         SELECT request_id, least({{n}}, max(start + b + 2))::INT AS ids, sum(CASE WHEN role = 'assistant' THEN greatest(0, least({{n}}, start + b + 2) - (start + 1)) ELSE 0 END)::INT AS trained FROM o GROUP BY request_id"""
 
+#: Conversations of single messages, and the same of those that can be rendered.
+_TALKS = "(SELECT conv_id, list(m ORDER BY turn) AS messages FROM (SELECT conv_id, turn, max({'role': role, 'content': content}) AS m FROM chat_messages WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL) GROUP BY conv_id)"
+_FAULT = f"CASE WHEN {_N} = 0 THEN 'empty' WHEN len({_REST}) = 0 THEN 'system alone' WHEN len(list_filter(range(0, len({_REST})), lambda i: coalesce({_REST}[i + 1].role <> (CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END), true))) > 0 THEN 'roles' WHEN len(list_filter(messages, lambda m: m.content IS NULL)) > 0 THEN 'content' END"
+_BYTE_SUM = "coalesce(list_sum(list_transform(regexp_extract_all(hex(encode({c})), '..'), lambda h: ('0x' || h)::INT)), 0)"
+
 QUERIES = {
+    "chat_render_talks": (chat_render_talks, f"""WITH t AS (SELECT conv_id, messages FROM {_TALKS} WHERE {_FAULT} IS NULL), m AS (SELECT conv_id, unnest(messages) AS m FROM t), b AS (SELECT conv_id, m.role AS role, octet_length(encode(m.content)) AS n, {_BYTE_SUM.format(c='m.content')} AS s FROM m)
+        SELECT conv_id, (1 + sum(n + 2))::INT AS ids, sum(CASE role WHEN 'assistant' THEN n + 1 ELSE 0 END)::BIGINT AS trained,
+        (256 + sum(s + CASE role WHEN 'assistant' THEN 259 + 260 WHEN 'user' THEN 257 + 258 ELSE 20 END))::BIGINT AS sum, sum(CASE role WHEN 'assistant' THEN s + 260 ELSE 0 END)::BIGINT AS trained_sum FROM b GROUP BY conv_id"""),
+    "chat_unrenderable": (chat_unrenderable, f"SELECT {_FAULT} AS fault, count(*) AS talks FROM {_TALKS} WHERE {_FAULT} IS NOT NULL GROUP BY 1"),
     "chat_limits": (chat_limits, f"""SELECT request_id, CASE WHEN {_N} = 0 THEN 'none' WHEN {_N} > 500 THEN 'many'
         WHEN len(list_filter(messages, lambda m: coalesce(length(m.content), 0) = 0 OR length(m.content) > 8000)) > 0 THEN
             list_filter(list_transform({_IDX}, lambda i: CASE WHEN coalesce(length(messages[i + 1].content), 0) = 0 THEN 'empty ' || i WHEN length(messages[i + 1].content) > 8000 THEN 'long ' || i END), lambda x: x IS NOT NULL)[1]

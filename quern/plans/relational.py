@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.operators.vectors import nearest
 from quern.session import table
 
 
@@ -82,15 +83,8 @@ def events_sessions(spark, d):
 
 def nearest_vectors(spark, d):
     """The five nearest by cosine of every vector whose id is divisible by 100; the queries, a stated set, meet the rows in blocks."""
-    own = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = own.withColumn("norm", norm).select("vec_id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
-    asked = unit.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    blocks = asked.withColumn("block", F.pmod("query", F.lit(8))).join(unit.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(7)))), "block").where("query <> vec_id")
-    near = blocks.select("query", "vec_id", F.round(dot, 6).alias("cosine"))
-    best = Window.partitionBy("query").orderBy(F.desc("cosine"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where("rank <= 5").select("query", "rank", "vec_id")
+    own = table(spark, d, "embeddings")
+    return nearest(own, own.where("vec_id % 100 = 0"), "vec_id", "embedding", 5)
 
 
 def label_centroids(spark, d):

@@ -107,10 +107,42 @@ def r_squared(spark, d):
 
 def ridge_sweep(spark, d):
     own = table(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("q"), "l_discount", "l_tax", (F.col("l_extendedprice") / 1e5).alias("y"))
-    rows = [(a, *(round(v, 6) for v in S.ridge(own, ["q", "l_discount", "l_tax"], "y", a))) for a in (0.0, 0.001, 0.01, 0.1, 1.0)]
+    fits = S.ridge(own, ["q", "l_discount", "l_tax"], "y", _ALPHAS)
+    rows = [(a, *(round(v, 6) for v in fit)) for a, fit in zip(_ALPHAS, fits, strict=True)]
     return spark.createDataFrame(rows, "alpha double, intercept double, w1 double, w2 double, w3 double")
 
 
+def ridge_norms(spark, d):
+    """Length of the weights at each penalty: the greater the penalty, the shorter."""
+    own = ridge_sweep(spark, d).select("alpha", F.explode(F.array("w1", "w2", "w3")).alias("w"))
+    return S.weight_norm(own, ["alpha"], "w").select("alpha", F.round("norm", 5).alias("norm"))
+
+
+def task_fits(spark, d):
+    """A line of price over size for each type, the best explained first."""
+    got = S.ranked_fits(table(spark, d, "part"), "p_type", "p_size", "p_retailprice")
+    return got.select("rank", "p_type", F.round("slope", 5).alias("slope"), F.round("r2", 6).alias("r2"))
+
+
+def averaged_estimates(spark, d):
+    """The mean of two estimates of a brand's price: of its small and of its large parts."""
+    own = table(spark, d, "part")
+    mean = lambda where: own.where(where).groupBy("p_brand").agg(F.avg("p_retailprice").alias("price"))
+    return S.averaged(mean("p_size <= 10"), mean("p_size > 45"), ["p_brand"], "price").select("p_brand", F.round("price", 4).alias("price"))
+
+
+def matrix_groups(spark, d):
+    """Groups of matrices of one shape in models of several depths, with their rates."""
+    shapes = S.with_shape(spark.range(4, 21, 8).withColumnRenamed("id", "depth"), "depth")
+    return S.matrix_groups(S.layer_matrices(shapes)).select("rows", "columns", "matrices", F.round("lr", 8).alias("lr"))
+
+
+def data_ratio(spark, d):
+    """Tokens for each effective parameter of models of several depths, after 1e9 tokens."""
+    own = S.with_parameters(S.with_shape(spark.range(4, 21, 4).withColumnRenamed("id", "depth"), "depth"), "depth").withColumn("tokens_trained", F.lit(10**9))
+    return S.with_ratio(own).select("depth", "effective_params", F.round("param_data_ratio", 6).alias("param_data_ratio"))
+
+
 def interp(spark, d):
     points = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("g"), F.floor(F.col("o_totalprice") / 50000).cast("double").alias("x")).agg(F.round(F.avg("o_totalprice"), 2).alias("y"))
     wanted = table(spark, d, "orders").select(F.col("o_orderpriority").alias("g")).distinct().withColumn("point", F.explode(F.array(*map(F.lit, (-1.0, 0.5, 2.25, 99.0)))))
@@ -179,6 +211,26 @@ def head_to_head(spark, d):
     return a.join(b, "p_type").select("p_type", F.round(F.col("a") - F.col("b"), 4).alias("delta"), F.round((F.col("a") - F.col("b")) / F.col("b") * 100, 4).alias("gain"))
 
 
+_ALPHAS = [0.0, 0.001, 0.01, 0.1, 1.0]
+
+
+def _solved(k: int) -> list[str]:
+    """The solution of k linear equations over columns g{i}_{j} and y{i} by Cramer's rule."""
+
+    def det(rows: list[list[str]]) -> str:
+        if len(rows) == 1:
+            return rows[0][0]
+        return "(" + " ".join(f"{'-' if j % 2 else '+'} {rows[0][j]} * {det([r[:j] + r[j + 1 :] for r in rows[1:]])}" for j in range(len(rows))) + ")"
+
+    gram = [[f"g{min(i, j)}_{max(i, j)}" + (f" + a) * 1.0::DOUBLE" if i == j and i else ")") for j in range(k)] for i in range(k)]
+    gram = [["(" + c for c in row] for row in gram]
+    return [f"{det([[f'y{i}' if j == c else gram[i][j] for j in range(k)] for i in range(k)])} / {det(gram)}" for c in range(k)]
+
+
+_FEATURES = ["1.0::DOUBLE", "q", "f", "t"]
+_GRAM = ", ".join([f"sum({_FEATURES[i]} * {_FEATURES[j]}) AS g{i}_{j}" for i in range(4) for j in range(i, 4)] + [f"sum({x} * y) AS y{i}" for i, x in enumerate(_FEATURES)])
+_RIDGE = f"""WITH r AS (SELECT l_quantity / 50 AS q, l_discount AS f, l_tax AS t, l_extendedprice / 1e5::DOUBLE AS y FROM lineitem), s AS (SELECT {_GRAM} FROM r), a AS (SELECT unnest({_ALPHAS})::DOUBLE AS a),
+        w AS (SELECT a AS alpha, {', '.join(f'round({x}, 6) AS {n}' for n, x in zip(('intercept', 'w1', 'w2', 'w3'), _solved(4), strict=True))} FROM s, a)"""
 _DET = "s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2)"
 _SHAPE = "(SELECT depth, (ceil(depth * 64 / 128) * 128)::BIGINT AS width, ceil(depth * 64 / 128)::BIGINT AS heads, (depth + 1) // 2 AS ve FROM range({a}, {b}, 2) r(depth))"
 _PARAMS = "(SELECT depth, width, heads, 32768 * width AS embedding, ve * 32768 * width AS value_embeddings, 32768 * width AS head, 12 * depth * width * width + ve * heads * 12 AS matrices, 2 * depth + 26 AS scalars FROM {s})"
@@ -203,7 +255,12 @@ QUERIES = {
     "power_law": (power_law, "SELECT l_linenumber::BIGINT AS budget, round(regr_slope(log10(l_extendedprice), log10(l_quantity)), 5) AS power, round(regr_intercept(log10(l_extendedprice), log10(l_quantity)), 5) AS scale, round(regr_r2(log10(l_extendedprice), log10(l_quantity)), 5) AS r2 FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0 GROUP BY 1"),
     "linreg": (linreg, "SELECT p_brand, round(regr_slope(p_retailprice, p_size), 6) AS a, round(regr_intercept(p_retailprice, p_size), 4) AS b FROM part GROUP BY 1"),
     "r_squared": (r_squared, "SELECT p_brand, round(1 - sum((p_retailprice - (p_size * 10 + 1000)) ** 2) / (var_pop(p_retailprice) * count(*)), 6) AS r2 FROM part GROUP BY 1"),
-    "ridge_sweep": (ridge_sweep, None),
+    "ridge_sweep": (ridge_sweep, f"{_RIDGE} SELECT alpha, intercept, w1, w2, w3 FROM w"),
+    "ridge_norms": (ridge_norms, f"{_RIDGE} SELECT alpha, round(sqrt(w1 * w1 + w2 * w2 + w3 * w3), 5) AS norm FROM w"),
+    "task_fits": (task_fits, "SELECT row_number() OVER (ORDER BY round(r2, 9) DESC NULLS LAST, p_type) AS rank, p_type, round(slope, 5) AS slope, round(r2, 6) AS r2 FROM (SELECT p_type, regr_slope(p_retailprice, p_size) AS slope, regr_r2(p_retailprice, p_size) AS r2 FROM part GROUP BY p_type)"),
+    "averaged_estimates": (averaged_estimates, "SELECT coalesce(a.p_brand, b.p_brand) AS p_brand, round((coalesce(a.m, b.m) + coalesce(b.m, a.m)) / 2, 4) AS price FROM (SELECT p_brand, avg(p_retailprice) AS m FROM part WHERE p_size <= 10 GROUP BY 1) a FULL JOIN (SELECT p_brand, avg(p_retailprice) AS m FROM part WHERE p_size > 45 GROUP BY 1) b ON a.p_brand = b.p_brand"),
+    "matrix_groups": (matrix_groups, "WITH m AS (SELECT depth, (ceil(depth * 64 / 128) * 128)::BIGINT AS w FROM range(4, 21, 8) r(depth)), s AS (SELECT w * r AS rows, w * c AS columns, depth * n AS n FROM m, (VALUES (1, 1, 4), (4, 1, 1), (1, 4, 1)) k(r, c, n)) SELECT rows, columns, sum(n)::BIGINT AS matrices, round(0.02 * sqrt(greatest(1.0, rows / columns)), 8)::DOUBLE AS lr FROM s GROUP BY rows, columns"),
+    "data_ratio": (data_ratio, f"SELECT depth, matrices + head AS effective_params, round(1e9 / (matrices + head), 6) AS param_data_ratio FROM {_PARAMS.format(s=_SHAPE.format(a=4, b=21))} WHERE depth % 4 = 0"),
     "interp": (interp, """WITH q AS (SELECT o_orderpriority AS g, floor(o_totalprice / 50000)::DOUBLE AS x, round(avg(o_totalprice), 2) AS y FROM orders GROUP BY ALL),
         w AS (SELECT DISTINCT o_orderpriority AS g, unnest([-1.0, 0.5, 2.25, 99.0])::DOUBLE AS point FROM orders),
         b AS (SELECT w.g, point, max(x) FILTER (x <= point) AS x0, min(x) FILTER (x >= point) AS x1, min(x) AS lo, max(x) AS hi FROM w JOIN q ON w.g = q.g GROUP BY ALL)

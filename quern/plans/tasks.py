@@ -37,6 +37,27 @@ def lm_prompts(spark, d):
     return _items(spark, d, "language_modeling").select("item_id", without.alias("prompt_without"), with_.alias("prompt_with"))
 
 
+def _with_examples(spark, d):
+    items = table(spark, d, "eval_items")
+    return items.join(K.examples(items, K.few_shot(items, "item_id", "task", 2), "item_id"), "item_id", "left").withColumn("examples", F.coalesce("examples", F.lit("")))
+
+
+def mc_prompts_fewshot(spark, d):
+    """Each option's prompt behind two solved examples of its task, an empty line after each."""
+    own = _with_examples(spark, d).where("icl_task_type = 'multiple_choice'")
+    return own.select("item_id", F.posexplode(K.choice_prompts(F.col("query"), F.col("choices"), " ", F.col("examples"))).alias("option", "prompt"))
+
+
+def schema_prompts_fewshot(spark, d):
+    own = _with_examples(spark, d).where("icl_task_type = 'schema'")
+    return own.select("item_id", F.posexplode(K.schema_prompts(F.col("context_options"), F.col("continuation"), " ", F.col("examples"))).alias("option", "prompt"))
+
+
+def lm_prompts_fewshot(spark, d):
+    without, with_ = K.lm_prompts(F.col("context"), F.col("continuation"), " ", F.col("examples"))
+    return _with_examples(spark, d).where("icl_task_type = 'language_modeling'").select("item_id", without.alias("prompt_without"), with_.alias("prompt_with"))
+
+
 def option_spans(spark, d):
     """Where the options' continuations start and end, in characters: after the common head, or before the common tail."""
     mc = mc_prompts(spark, d).groupBy("item_id").agg(F.collect_list(F.struct("option", F.split("prompt", "").alias("c"))).alias("o"))
@@ -164,7 +185,16 @@ _STRIP = r"regexp_replace({x}, '^[\s\x0b\x{{85}}\p{{Z}}]+|[\s\x0b\x{{85}}\p{{Z}}
 _BLOCK = r"'(?s)```(?:python)?\s*\n(.*?)\n```'"
 _CODE = _STRIP.format(x=f"CASE WHEN regexp_matches(text, {_BLOCK}) THEN regexp_extract(text, {_BLOCK}, 1) ELSE text END")
 
+#: The two items after each on its task's ring, solved.
+_EXAMPLES = """WITH r AS (SELECT item_id, task, row_number() OVER (PARTITION BY task ORDER BY md5('1234:' || item_id), item_id) - 1 AS at, count(*) OVER (PARTITION BY task) AS n,
+        CASE icl_task_type WHEN 'multiple_choice' THEN query || ' ' || choices[gold + 1] WHEN 'schema' THEN context_options[gold + 1] || ' ' || continuation ELSE trim(context) || ' ' || continuation END || chr(10) || chr(10) AS text FROM eval_items),
+    x AS (SELECT a.item_id, string_agg(b.text, '' ORDER BY s.shot) AS x FROM r a, range(1, 3) s(shot), r b WHERE a.task = b.task AND s.shot < a.n AND b.at = (a.at + s.shot) % a.n GROUP BY a.item_id),
+    e AS (SELECT i.*, coalesce(x, '') AS x FROM eval_items i LEFT JOIN x USING (item_id))"""
+
 QUERIES = {
+    "mc_prompts_fewshot": (mc_prompts_fewshot, f"{_EXAMPLES} SELECT item_id, unnest(range(0, len(choices)))::INT AS option, unnest(list_transform(choices, lambda c: x || query || ' ' || c)) AS prompt FROM e WHERE icl_task_type = 'multiple_choice'"),
+    "schema_prompts_fewshot": (schema_prompts_fewshot, f"{_EXAMPLES} SELECT item_id, unnest(range(0, len(context_options)))::INT AS option, unnest(list_transform(context_options, lambda c: x || c || ' ' || continuation)) AS prompt FROM e WHERE icl_task_type = 'schema'"),
+    "lm_prompts_fewshot": (lm_prompts_fewshot, f"{_EXAMPLES} SELECT item_id, trim(x || trim(context) || ' ', ' ' || chr(10)) AS prompt_without, x || trim(context) || ' ' || continuation AS prompt_with FROM e WHERE icl_task_type = 'language_modeling'"),
     "mc_render": (mc_render, f"SELECT item_id, 'Multiple Choice question: ' || query || chr(10) || list_aggregate(list_transform(range(1, len(choices) + 1), lambda i: '- ' || choices[i] || '=' || {_ABC}[i] || chr(10)), 'string_agg', '') || chr(10) || 'Respond only with the letter of the correct answer.' AS prompt, {_ABC}[gold + 1] AS answer FROM {_MC}"),
     "mc_prompts": (mc_prompts, f"SELECT item_id, unnest(range(0, len(choices)))::INT AS option, unnest(list_transform(choices, lambda c: query || ' ' || c)) AS prompt FROM {_MC}"),
     "schema_prompts": (schema_prompts, f"SELECT item_id, unnest(range(0, len(context_options)))::INT AS option, unnest(list_transform(context_options, lambda c: c || ' ' || continuation)) AS prompt FROM {_SC}"),

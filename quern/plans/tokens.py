@@ -77,10 +77,10 @@ def tok_specials(spark, d):
 def bpb_by_lang(spark, d):
     """Bits per byte of a unigram model of the pre-tokens of each language."""
     counts = _words(spark, d).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    joined = counts.join(totals, counts["lang"].eqNullSafe(totals["lang"])).drop(totals["lang"])
-    out = joined.groupBy("lang").agg(F.sum(-F.log(F.col("n") / F.col("total")) * F.col("n")).alias("nll"), F.sum(F.octet_length("word") * F.col("n")).alias("bytes"), F.max("total").alias("pretokens"))
-    return out.select("lang", "pretokens", "bytes", F.round(F.col("nll") / (F.log(F.lit(2.0)) * F.col("bytes")), 6).alias("bpb"))
+    n = F.col("n")
+    sums = counts.groupBy("lang").agg(F.sum(n).alias("pretokens"), F.sum(F.octet_length("word") * n).alias("bytes"), F.sum(n * F.log(n)).alias("s"))
+    nats = F.col("pretokens") * F.log("pretokens") - F.col("s")  # the sum of n ln(total / n)
+    return sums.select("lang", "pretokens", "bytes", F.round(nats / (F.log(F.lit(2.0)) * F.col("bytes")), 6).alias("bpb"))
 
 
 def bits_per_byte(df, nll, n_bytes, keys=()):

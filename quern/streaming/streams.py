@@ -26,26 +26,26 @@ def sessions(df: DataFrame, column: str, gap: str, keys: list[str], late: str =
     return event_time(df, column, late).groupBy(F.session_window(column, gap), *keys).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), *keys, "n")
 
 
-def once_only(df: DataFrame, column: str, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """Rows without the repeats that come while the watermark still knows them."""
+def once_only(df: DataFrame, column: str, keys: list[str], late: str = "7 days") -> DataFrame:
+    """Rows without the repeats that come within ``late``, how long the state is kept; a repeat after that is a new row."""
     return event_time(df, column, late).dropDuplicatesWithinWatermark(keys)
 
 
 def smoothed(df: DataFrame, key: str, step: str, value: str, beta: float = 0.9) -> DataFrame:
-    """The debiased exponential mean of each run's values as they come: (key, step, ema). State: mean and count of a run."""
+    """The debiased exponential mean of each run's values as they come, those of a micro-batch by step: (key, step, ema). State: mean and count of a run."""
 
     def update(keys, batches: Iterator, state):
         import pandas as pd
 
         mean, n = state.get if state.exists else (0.0, 0)
-        for pdf in batches:
-            rows = []
-            for at, x in pdf.sort_values(step)[[step, value]].itertuples(index=False):
-                if x is None or x != x:
-                    continue
-                mean, n = beta * mean + (1 - beta) * x, n + 1
-                rows.append((keys[0], int(at), mean / (1 - beta**n)))
-            yield pd.DataFrame(rows, columns=["key", "step", "ema"])
+        rows = []
+        own = pd.concat(list(batches))  # one run's rows of one micro-batch, whose size the trigger bounds
+        for at, x in own.sort_values(step)[[step, value]].itertuples(index=False):
+            if x is None or x != x:
+                continue
+            mean, n = beta * mean + (1 - beta) * x, n + 1
+            rows.append((keys[0], int(at), mean / (1 - beta**n)))
+        yield pd.DataFrame(rows, columns=["key", "step", "ema"])
         state.update((mean, n))
 
     return df.select(key, step, value).groupBy(key).applyInPandasWithState(update, "key string, step bigint, ema double", "mean double, n bigint", "append", "NoTimeout")
@@ -106,8 +106,15 @@ def to_lines(df: DataFrame, path: str, checkpoint: str, line: str):
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append"):
-    """Runs a stream over all that is there into a table in memory, for tests and small results."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there into Parquet files, and reads them: each batch is a folder of its own, written anew if it is repeated.
+
+    A complete result replaces the one before. Nothing of it passes through the driver.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number if mode == 'append' else 0}")
+
+    query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch=*")

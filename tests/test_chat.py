@@ -64,3 +64,38 @@ def test_targets_end_where_padding_begins(spark):
     inputs, targets = chat.inputs_and_targets(F.col("t"), F.col("m"), F.lit(3))
     got = rows.select(inputs.alias("i"), targets.alias("t")).first()
     assert got.i == [1, 2, 3, 9] and got.t == [2, 3, -1, -1]
+
+
+TALKS = "k int, m array<struct<role: string, content: string, parts: array<struct<type: string, text: string>>>>"
+
+
+def render(spark, talks, **options):
+    df = spark.createDataFrame([(k, [(r, *((None, c) if isinstance(c, list) else (c, None))) for r, c in t] if t is not None else None) for k, t in enumerate(talks)], TALKS)
+    return {r.k: (r.ids, r["mask"]) for r in chat.render_tokens(df, "k", "m", **options).collect()}
+
+
+def test_tokens_of_talks(spark):
+    parts = [("text", "a"), ("python", "1"), ("python_output", "2"), ("text", "b")]
+    got = render(spark, [[(U, "h"), (A, "y")], [(S, "s"), (U, "u"), (A, parts)], [(U, "é")], [(U, ""), (A, "")]])
+    assert got[0] == ([256, 257, 104, 258, 259, 121, 260], [0, 0, 0, 0, 0, 1, 1])
+    assert got[1] == ([256, 257, 115, 10, 10, 117, 258, 259, 97, 261, 49, 262, 263, 50, 264, 98, 260], [0] * 8 + [1, 1, 1, 1, 0, 0, 0, 1, 1])
+    assert got[2] == ([256, 257, 195, 169, 258], [0] * 5) and got[3] == ([256, 257, 258, 259, 260], [0, 0, 0, 0, 1])
+
+
+def test_talks_that_have_no_tokens(spark):
+    bad = [None, [], [(S, "s")], [(S, "s"), (A, "a")], [(A, "a")], [(U, "u"), (U, "u")], [(U, None)], [(S, None), (U, "u")], [(None, "u")], [(U, "u"), (A, [("image", "x")])], [(U, [("python", "1")])]]
+    assert set(render(spark, bad).values()) == {(None, None)}
+    assert set(render(spark, [[(U, "u")], [], None], completion=True).values()) == {(None, None)}
+
+
+def test_tokens_by_merges_and_cuts(spark):
+    merges = [(104, 104), (256, 104)]  # hh, hhh
+    got = render(spark, [[(U, "hhhhh"), (A, "h")]], merges=merges)
+    assert got[0] == ([258, 259, 256, 257, 260, 261, 104, 262], [0, 0, 0, 0, 0, 0, 1, 1])
+    assert render(spark, [[(U, "x" * 100), (A, "y")]], most=50, completion=True)[0][0][-2:] == [120, 259]
+    assert len(render(spark, [[(U, "x" * 100), (A, "y")]], most=50)[0][0]) == 50
+
+
+def test_messages_are_gathered_once(spark):
+    rows = spark.createDataFrame([(1, 1, A, "b"), (1, 0, U, "a"), (1, 0, U, "a"), (2, 0, U, None), (None, 0, U, "x"), (3, None, U, "x")], "conv_id int, turn int, role string, content string")
+    assert {r.conv_id: [tuple(m) for m in r.messages] for r in chat.gathered(rows).collect()} == {1: [(U, "a"), (A, "b")], 2: [(U, None)]}

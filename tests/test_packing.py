@@ -1,20 +1,22 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import packing as P
 
 
-def naive(lengths, capacity, policy, buffer_size):
+def naive(lengths, capacity, policy, buffer_size, refill=1):
     """The same policy by scanning the whole buffer."""
     source, buffer, open_ = iter(enumerate(lengths)), [], True
     row = used = 0
     while True:
         while open_ and len(buffer) < buffer_size:
-            item = next(source, None)
-            open_ = item is not None
-            if open_ and (policy == "crop" or item[1] <= capacity):
-                buffer.append(item)
+            for _ in range(refill):
+                item = next(source, None)
+                open_ = item is not None
+                if open_ and (policy == "crop" or item[1] <= capacity):
+                    buffer.append(item)
         if not buffer:
             return
         fitting = [x for x in buffer if x[1] <= capacity - used]
@@ -42,6 +44,7 @@ def test_same_as_scanning_the_buffer(policy):
     for _ in range(60):
         lengths = [rng.randint(1, 25) for _ in range(rng.randint(0, 80))]
         assert list(P.pack(iter(lengths), 20, policy, 7)) == list(naive(lengths, 20, policy, 7))
+        assert list(P.pack(iter(lengths), 20, policy, 7, 5)) == list(naive(lengths, 20, policy, 7, 5))
 
 
 def test_golden_rows():
@@ -60,6 +63,27 @@ def test_first_fit_never_overfills():
     assert max(rows.values()) <= 30
 
 
+def test_first_fit_is_the_first_row_with_room():
+    rng = random.Random(3)
+    for _ in range(40):
+        lengths = [rng.randint(1, 30) for _ in range(rng.randint(1, 70))]
+        rows = []
+        for row, arrival, start, used in P.pack(iter(lengths), 30, "first_fit", 0):
+            assert used == lengths[arrival] and row == next((k for k, r in enumerate(rows) if r + used <= 30), len(rows))
+            rows += [0] * (row == len(rows))
+            assert start == rows[row]
+            rows[row] += used
+
+
+def test_rows_themselves(spark):
+    df = spark.createDataFrame([(0, 1, [7, 7, 7], [0, 1, 1]), (0, 2, [8] * 6, [1] * 6), (0, 3, [9] * 2, [0, 1]), (1, 4, [5], [1])], "shard int, key int, t array<int>, m array<int>")
+    sized = df.withColumn("n", F.size("t"))
+    pad = P.assembled(P.packed(sized, "shard", "key", "n", 8, "pad"), df, "key", "t", "m", 8, 0)
+    assert {(r.shard, r.row): (r.tokens, r["mask"], r.content) for r in pad.collect()} == {(0, 0): ([8] * 6 + [9] * 2, [1] * 6 + [0, 1], 8), (0, 1): ([7] * 3 + [0] * 5, [0, 1, 1] + [0] * 5, 3), (1, 0): ([5] + [0] * 7, [1] + [0] * 7, 1)}
+    crop = P.assembled(P.packed(sized, "shard", "key", "n", 7, "crop"), df, "key", "t", None, 7, 0)
+    assert {(r.shard, r.row): r.tokens for r in crop.where("content = 7").collect()} == {(0, 0): [8] * 6 + [9]}
+
+
 def test_bad_policy(spark):
     with pytest.raises(ValueError):
         P.packed(spark.range(1), "id", "id", "id", 4, "other")
