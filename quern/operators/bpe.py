@@ -5,13 +5,15 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quern.functions.text import SPLIT_PATTERN, pretokens
+from quern.functions.text import SPLIT_PATTERN
 from quern.session import cut_lineage
 
 #: The special tokens, whose ids follow the merges.
@@ -19,15 +21,67 @@ SPECIALS = ("<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_start|>",
 #: Distinct words the driver's merge loop takes, the bound of its memory; more are merged on the cluster, with the same result.
 MOST_WORDS = 2_000_000
 
+#: Distinct words that a task counts before it hands them on.
+WORDS_HELD = 500_000
 #: Most frequent pairs that reach the driver in each round on the cluster.
 MOST_PAIRS = 10_000
 
 Merges = list[tuple[int, int]]
 
 
-def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): pre-tokens of all texts."""
-    return df.select(F.explode(pretokens(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def _splitter():
+    import regex
+
+    return regex.compile(SPLIT_PATTERN).findall
+
+
+def word_counts(df: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """(``by``, word, n): pre-tokens of all texts, counted in each task before they are shuffled.
+
+    The split runs in Arrow batches, since its pattern takes the JVM's engine ten times as long.
+    """
+    source = df.select(*by, text)
+    kinds = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in by]
+    arrow = to_arrow_schema(source.select(*by).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, counts, held = _splitter(), {}, 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for key, own in counts.items():
+                n = len(own)
+                yield pa.RecordBatch.from_arrays([*(pa.array([v] * n, f.type) for v, f in zip(key, arrow, strict=True)), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], [*by, "word", "n"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(len(by))), strict=True) if by else repeat(())
+            for key, t in zip(keys, batch.column(len(by)).to_pylist(), strict=False):
+                if not t:
+                    continue
+                own = counts.get(key)
+                if own is None:
+                    own = counts[key] = Counter()
+                held -= len(own)
+                own.update(split(t))
+                held += len(own)
+                if held > WORDS_HELD:
+                    yield from flushed()
+                    counts, held = {}, 0
+        yield from flushed()
+
+    return source.mapInArrow(run, ", ".join([*kinds, "word string", "n bigint"])).groupBy(*by, "word").agg(F.sum("n").alias("n"))
+
+
+def pretoken_counts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(``key``, pretokens, bytes) of each text that isn't empty; pre-tokens lose nothing, so their bytes are the text's."""
+    source = df.where(F.length(text) > 0).select(F.col(key).alias("k"), F.octet_length(text).cast("long").alias("b"), F.col(text).alias("t"))
+    kind = source.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = _splitter()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(split(t)) for t in batch.column(2).to_pylist()], pa.int64()), batch.column(1)], ["k", "pretokens", "bytes"])
+
+    return source.mapInArrow(run, f"k {kind}, pretokens bigint, bytes bigint").select(F.col("k").alias(key), "pretokens", "bytes")
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
@@ -202,10 +256,8 @@ class Encoder:
     """Encodes texts in a Python worker; words it has met are remembered up to a limit."""
 
     def __init__(self, merges: Merges, limit: int = 300_000):
-        import regex
-
         self.ranks = {p: 256 + k for k, p in enumerate(merges)}
-        self.split = regex.compile(SPLIT_PATTERN).findall
+        self.split = _splitter()
         self.known: dict[str, list[int]] = {}
         self.limit = limit
 
