@@ -25,7 +25,7 @@ TEMPLATES = [
 
 def pick(seed: str, key: Column, n: int) -> Column:
     """A number below ``n`` from the hash of a seed and a key; the same in every engine with MD5."""
-    return (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key.cast("string")).cast("binary")), 1, 7), 16, 10).cast("long") % n).cast("int")
+    return (_roll(seed, key) % n).cast("int")
 
 
 def mixture(tasks: list[DataFrame], key: str, seed: int = 42) -> DataFrame:
@@ -99,6 +99,32 @@ def spelling_transcript(word: Column, letter: Column) -> Column:
     return F.array_join(F.transform(letters, line), "\n")
 
 
+#: The texts around a spelled count, and the prompt of plain spelling.
+SPELLING = {
+    "ask": "We are asked to find the number '%s' in the word '%s'. Let me try a manual approach first.\n\nFirst spell the word out:\n",
+    "count": "\n\nThen count the occurrences of '%s':\n", "sum": "\n\nThis gives us %d.", "check": "\n\nLet me double check this using Python:\n\n", "call": "'%s'.count('%s')",
+    "answer": "\n\nPython gives us %d.\n\nMy final answer is:\n\n#### %d", "spell": "Spell the word: %s",
+}
+
+
+def spelled(word: Column) -> Column:
+    """A word and its letters, one by one."""
+    return F.concat(word, F.lit(":"), F.array_join(characters(word), ","))
+
+
+def spelling_parts(word: Column, letter: Column) -> Column:
+    """The whole answer to how often a letter is in a word: counted by hand, then by a call, with its output and the final answer."""
+    n = count_letter(word, letter)
+    by_hand = F.concat(F.format_string(SPELLING["ask"], letter, word), spelled(word), F.format_string(SPELLING["count"], letter), spelling_transcript(word, letter), F.lit("\n"), F.format_string(SPELLING["sum"].removeprefix("\n"), n))
+    parts = [("text", by_hand), ("text", F.lit(SPELLING["check"])), ("python", F.format_string(SPELLING["call"], word, letter)), ("python_output", n.cast("string")), ("text", F.format_string(SPELLING["answer"], n, n))]
+    return F.array(*(F.struct(F.lit(kind).alias("type"), text.alias("text")) for kind, text in parts))
+
+
+def spelling_conversations(rows: DataFrame, key: str, word: str = "word") -> DataFrame:
+    """(``key``, messages): a word to spell, and its letters."""
+    return rows.select(key, _talk(F.format_string(SPELLING["spell"], F.col(word)), spelled(F.col(word))).alias("messages"))
+
+
 def grade_number(reference: Column, answer: Column) -> Column:
     """1 if both texts have the same final answer; no answer equals no answer."""
     return final_answer(reference).eqNullSafe(final_answer(answer)).cast("int")
@@ -144,10 +170,13 @@ def program_conversations(rows: DataFrame) -> DataFrame:
 
 
 def problem_conversations(rows: DataFrame) -> DataFrame:
-    """(question, parts): a word problem with its calls split out."""
+    """(question, parts, messages): a word problem with its calls split out, as a conversation whose answer has parts."""
     from quern.functions.text import tool_parts
 
-    return rows.select("question", tool_parts(F.col("answer")).alias("parts"))
+    no = F.lit(None).cast("array<struct<type: string, text: string>>")
+    ask = F.struct(F.lit("user").alias("role"), F.col("question").alias("content"), no.alias("parts"))
+    say = F.struct(F.lit("assistant").alias("role"), F.lit(None).cast("string").alias("content"), tool_parts(F.col("answer")).alias("parts"))
+    return rows.select("question", tool_parts(F.col("answer")).alias("parts"), F.array(ask, say).alias("messages"))
 
 
 def diverse(df: DataFrame, key: str, dimensions: dict[str, list[str]], seed: str = "d") -> DataFrame:
@@ -155,6 +184,21 @@ def diverse(df: DataFrame, key: str, dimensions: dict[str, list[str]], seed: str
     return df.select("*", *(F.get(F.array(*map(F.lit, values)), pick(f"{seed}:{name}", F.col(key), len(values))).alias(name) for name, values in dimensions.items()))
 
 
+def diverse_by_category(df: DataFrame, key: str, name: str, categories: dict[str, list[str]], seed: str = "d", most: int = 1) -> DataFrame:
+    """Adds a category and ``most`` of its values, chosen by the hash of the key: each category is as likely, however many values it has."""
+    names = list(categories)
+    lists = F.array(*(F.array(*map(F.lit, categories[c])) for c in names))
+    place = pick(f"{seed}:{name}:category", F.col(key), len(names))
+    own = F.get(lists, F.col("_place"))
+    values = [F.get(own, (_roll(f"{seed}:{name}:{k}", F.col(key)) % F.size(own)).cast("int")) for k in range(most)]
+    out = df.withColumn("_place", place).withColumn(f"{name}_category", F.get(F.array(*map(F.lit, names)), F.col("_place")))
+    return out.withColumn(name, values[0] if most == 1 else F.array(*values)).drop("_place")
+
+
+def _roll(seed: str, key: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key.cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
+
+
 def not_allowed(requested: Column, allowed: list[str]) -> Column:
     """What is asked for but not allowed."""
     return F.array_sort(F.array_except(requested, F.array(*map(F.lit, allowed))))

@@ -111,6 +111,26 @@ def spell_transcript(spark, d):
     return own.where("length(word) > 1").select("p_partkey", K.spelling_transcript(F.col("word"), F.col("letter")).alias("transcript"))
 
 
+def spell_talks(spark, d):
+    """The parts of the answer to how often a word's second letter is in it."""
+    own = _vocabulary(spark, d).where("length(word) > 1").withColumn("letter", F.substring("word", 2, 1))
+    return own.select("p_partkey", F.posexplode(K.spelling_parts(F.col("word"), F.col("letter"))).alias("part", "p")).select("p_partkey", "part", "p.type", "p.text")
+
+
+def spell_simple(spark, d):
+    got = K.spelling_conversations(_vocabulary(spark, d), "p_partkey")
+    return got.select("p_partkey", F.inline("messages"))
+
+
+def category_prompts(spark, d):
+    """A topic of a category, and two first messages of another one, for each customer."""
+    topics = {"setup": ["install", "data", "cost"], "limits": ["length"], "history": ["origin", "name"]}
+    openers = {"greeting": ["hi", "hello"], "question": ["who are you", "what is this", "can you code"]}
+    own = K.diverse_by_category(table(spark, d, "customer").select("c_custkey"), "c_custkey", "topic", topics)
+    own = K.diverse_by_category(own, "c_custkey", "first", openers, most=2)
+    return own.select("c_custkey", "topic_category", "topic", "first_category", F.array_join("first", "|").alias("first"))
+
+
 def spell_prompts(spark, d):
     own = _vocabulary(spark, d)
     key = F.col("p_partkey")
@@ -212,6 +232,13 @@ QUERIES = {
     "letter_counts": (letter_counts, f"SELECT p_partkey, word[1] AS letter, (length(word) - length(replace(word, word[1], '')))::INT AS n FROM {_VOC}"),
     "spell_words": (spell_words, f"SELECT p_partkey, word || ':' || list_aggregate(string_split(word, ''), 'string_agg', ',') AS spelled FROM {_VOC}"),
     "spell_transcript": (spell_transcript, f"SELECT p_partkey, list_aggregate(list_transform(range(1, length(word) + 1), lambda i: i || ':' || word[i] || CASE WHEN word[i] = word[2] THEN ' hit! count=' || (i - length(replace(word[1:i], word[2], ''))) ELSE '' END), 'string_agg', chr(10)) AS transcript FROM {_VOC} WHERE length(word) > 1"),
+    "spell_talks": (spell_talks, f"""WITH v AS (SELECT p_partkey, word, word[2] AS c, (length(word) - length(replace(word, word[2], '')))::INT AS n FROM {_VOC} WHERE length(word) > 1),
+        t AS (SELECT *, list_aggregate(list_transform(range(1, length(word) + 1), lambda i: i || ':' || word[i] || CASE WHEN word[i] = c THEN ' hit! count=' || (i - length(replace(word[1:i], c, ''))) ELSE '' END), 'string_agg', chr(10)) AS steps FROM v)
+        SELECT p_partkey, 0 AS part, 'text' AS type, printf('We are asked to find the number ''%s'' in the word ''%s''. Let me try a manual approach first.', c, word) || chr(10) || chr(10) || 'First spell the word out:' || chr(10) || word || ':' || list_aggregate(string_split(word, ''), 'string_agg', ',') || chr(10) || chr(10) || printf('Then count the occurrences of ''%s'':', c) || chr(10) || steps || chr(10) || chr(10) || printf('This gives us %d.', n) AS text FROM t
+        UNION ALL SELECT p_partkey, 1, 'text', chr(10) || chr(10) || 'Let me double check this using Python:' || chr(10) || chr(10) FROM v UNION ALL SELECT p_partkey, 2, 'python', chr(39) || word || chr(39) || '.count(' || chr(39) || c || chr(39) || ')' FROM v UNION ALL SELECT p_partkey, 3, 'python_output', n::VARCHAR FROM v
+        UNION ALL SELECT p_partkey, 4, 'text', chr(10) || chr(10) || printf('Python gives us %d.', n) || chr(10) || chr(10) || 'My final answer is:' || chr(10) || chr(10) || printf('#### %d', n) FROM v"""),
+    "spell_simple": (spell_simple, f"SELECT p_partkey, 'user' AS role, 'Spell the word: ' || word AS content FROM {_VOC} UNION ALL SELECT p_partkey, 'assistant', word || ':' || list_aggregate(string_split(word, ''), 'string_agg', ',') FROM {_VOC}"),
+    "category_prompts": (category_prompts, f"WITH c AS (SELECT c_custkey, {_pick('d:topic:category', 3, 'c_custkey')} + 1 AS t, {_pick('d:first:category', 2, 'c_custkey')} + 1 AS f, {_pick('d:topic:0', 10**9, 'c_custkey')} AS x, {_pick('d:first:0', 10**9, 'c_custkey')} AS y, {_pick('d:first:1', 10**9, 'c_custkey')} AS z FROM customer), l AS (SELECT *, [['install', 'data', 'cost'], ['length'], ['origin', 'name']][t] AS tl, [['hi', 'hello'], ['who are you', 'what is this', 'can you code']][f] AS fl FROM c) SELECT c_custkey, ['setup', 'limits', 'history'][t] AS topic_category, tl[x % len(tl) + 1] AS topic, ['greeting', 'question'][f] AS first_category, fl[y % len(fl) + 1] || '|' || fl[z % len(fl) + 1] AS first FROM l"),
     "spell_prompts": (spell_prompts, f"WITH p AS (SELECT p_partkey, word, {_LETTER} AS letter, {_TEMPLATES}[{_pick('template', len(K.TEMPLATES))} + 1] AS t, {_Q}[{_pick('lq', 3)} + 1] AS lq, {_Q}[{_pick('wq', 3)} + 1] AS wq, {_pick('mark', 2)} AS mark, {_pick('lower', 10)} AS low FROM {_VOC}) SELECT p_partkey, letter, replace(replace(CASE WHEN low < 3 THEN lower(t) ELSE t END, '{{letter}}', lq || letter || lq), '{{word}}', wq || word || wq) || CASE WHEN mark = 0 THEN '?' ELSE '' END AS prompt, (length(word) - length(replace(word, letter, '')))::INT AS answer FROM p"),
     "code_block_extract": (code_block_extract, f"SELECT doc_id, length({_CODE})::INT AS chars, md5({_CODE}) AS code FROM documents WHERE text LIKE '%```%'"),
     "import_extract": (import_extract, f"WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format(x='x')}) AS l FROM documents WHERE text LIKE '%import %'), s AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: x <> '' AND NOT starts_with(x, 'import ') AND NOT starts_with(x, 'from ') AND NOT starts_with(x, '#')), true) AS stop FROM l) SELECT doc_id, coalesce(array_to_string(list_filter(CASE WHEN stop > 0 THEN l[1 : stop - 1] ELSE l END, lambda x: starts_with(x, 'import ') OR starts_with(x, 'from ')), chr(10)), '') AS imports FROM s"),
