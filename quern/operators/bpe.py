@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quern.functions.text import SPLIT_PATTERN
+from quern.operators.evals import safe_prefix
 from quern.session import cut_lineage
 
 #: The special tokens, whose ids follow the merges.
@@ -311,6 +312,29 @@ def decode(ids: Column, merges: Merges) -> Column:
     return run(ids)
 
 
+def streamed(ids: Column, merges: Merges) -> Column:
+    """What each token of an array adds to the text that may be shown: nothing while it ends inside a character, then all that was held back."""
+    tokens = [*token_bytes(merges), *(s.encode() for s in SPECIALS)]
+
+    def parts(own: list[int] | None) -> list[str] | None:
+        if own is None:
+            return None
+        out, held, sent = [], b"", 0
+        for i in own:
+            held += tokens[i]
+            text, sent = safe_prefix(held.decode("utf-8", "replace"), sent)
+            out.append(text)
+            if text:
+                held, sent = b"", 0  # what was sent needs not be decoded again
+        return out
+
+    @F.pandas_udf("array<string>")
+    def run(own: pd.Series) -> pd.Series:
+        return own.map(parts)
+
+    return run(ids)
+
+
 def special_id(merges: Merges, name: str) -> int:
     """The id of a special token."""
     return 256 + len(merges) + SPECIALS.index(name)

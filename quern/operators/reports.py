@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +54,61 @@ def stamp(text: Column, prefix: str) -> Column:
     return F.get(F.filter(times, lambda t: t.isNotNull()), 0)
 
 
+def last_stamp(sections: DataFrame, by: list[str], place: str, name: str, text: str) -> DataFrame:
+    """(by, end): the time of the last section, in order of ``place``, that has one, those of reinforcement learning left out."""
+    own = sections.where(~F.contains(F.col(name), F.lit("rl"))).withColumn("_t", stamp(F.col(text), "timestamp:"))
+    return own.groupBy(*by).agg(F.max_by(F.when(F.col("_t").isNotNull(), F.col("_t")), F.when(F.col("_t").isNotNull(), F.col(place))).alias("end"))
+
+
+_STAMP = re.compile(r"^(.*?): *(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) *$", re.MULTILINE)
+
+
+def _time(text: str, prefix: str) -> datetime | None:
+    for name, value in _STAMP.findall(text):
+        if name == prefix:
+            try:
+                return datetime.strptime(value, "%Y-%m-%d %H:%M:%S")
+            except ValueError:
+                continue
+    return None
+
+
+def metric_order(names: set[str]) -> list[str]:
+    """CORE first, ChatCORE last, the others by name."""
+    return sorted(names, key=lambda n: (n != "CORE", n == "ChatCORE", n))
+
+
+def assembled(sections: dict[str, str], expected: list[str], stages: dict[str, tuple[str, list[str]]]) -> str:
+    """The text of a report: its header, its sections in the expected order, the code's size, metrics by stage, and the wall clock.
+
+    A report has a few sections of a page each; this is the driver's work.
+    """
+    header = sections.get("header.md")
+    there = [name for name in expected if name in sections]
+    ends = [t for name in there if "rl" not in name and (t := _time(sections[name], "timestamp"))]
+    start = _time(header, "Run started") if header is not None else None
+    size = re.search(r"### Bloat\n(.*?)\n\n", header, re.DOTALL) if header is not None else None
+    values = {stage: {k: v for k in names if (v := _value(sections[name], k))} for stage, (name, names) in stages.items() if name in sections}
+    row = lambda cells: "|" + "|".join(f" {c.ljust(w)} " for c, w in zip(cells, [15] + [8] * len(stages), strict=True)) + "|\n"
+    table = [row(["Metric", *(s.upper() for s in stages)]), "|" + "|".join("-" * (w + 2) for w in [15] + [8] * len(stages)) + "|\n"]
+    table += [row([name, *(values.get(s, {}).get(name, "-") for s in stages)]) for name in metric_order({k for v in values.values() for k in v})]
+    clock = "unknown"
+    if start and ends:
+        hours, rest = divmod(int((ends[-1] - start).total_seconds()), 3600)
+        clock = f"{hours}h{rest // 60}m"
+    bloat = (size[1] if size else "") if header is not None else "[bloat data missing]"
+    return "".join([header or "", *(sections[name] + "\n" for name in there), "## Summary\n\n", bloat, "\n\n", *table, "\n", f"Total wall clock time: {clock}\n"])
+
+
+def _value(section: str, key: str) -> str | None:
+    """What follows a key's colon on the last line that holds the key, up to the next colon."""
+    found = None
+    for line in section.split("\n"):
+        if key in line and ":" in line:
+            found = line.split(":")[1].strip()
+    return found
+
+
 def wall_clock(start: Column, end: Column) -> Column:
     """Hours and minutes, ``unknown`` without both ends."""
     seconds = F.unix_timestamp(end) - F.unix_timestamp(start)
@@ -71,8 +129,8 @@ def result_lines(results: DataFrame, core: str = "core") -> DataFrame:
     """(n, line): a padded table of task, accuracy and centred result, the mean of the centred ones last, without an accuracy."""
     from quern.operators.order import running
 
-    rows = running(results, [F.col("task")]).select((F.col("pos") + 1).alias("n"), F.concat(F.rpad("task", 35, " "), F.lit(","), F.rpad(F.format_string("%.6f", "accuracy"), 10, " "), F.lit(","), F.rpad(F.format_string("%.6f", "centered"), 10, " ")).alias("line"))
-    last = results.agg((F.count("*") + 1).alias("n"), F.concat(F.rpad(F.lit("CORE"), 35, " "), F.lit(","), F.lit(" " * 10), F.lit(","), F.rpad(F.format_string("%.6f", F.avg("centered")), 10, " ")).alias("line"))
+    rows = running(results, [F.col("task")]).select((F.col("pos") + 1).alias("n"), F.concat(F.rpad("task", 35, " "), F.lit(", "), F.rpad(F.format_string("%.6f", "accuracy"), 10, " "), F.lit(", "), F.rpad(F.format_string("%.6f", "centered"), 10, " ")).alias("line"))
+    last = results.agg((F.count("*") + 1).alias("n"), F.concat(F.rpad(F.lit("CORE"), 35, " "), F.lit(", "), F.lit(" " * 10), F.lit(", "), F.rpad(F.format_string("%.6f", F.avg("centered")), 10, " ")).alias("line"))
     return rows.unionByName(last)
 
 

@@ -226,6 +226,16 @@ def horizon(iterations: Column, flops: Column, ratio: Column, parameters: Column
     return F.when(iterations > 0, iterations).when(flops > 0, F.bround(flops / (flops_token * batch), 0).cast("long")).when(ratio > 0, F.floor(F.floor(ratio * parameters) / batch))
 
 
+#: The scalars of the first and of the last layer, of the residual and of the input.
+RESIDUAL, INPUT = (1.15, 1.05), (0.20, 0.05)
+
+
+def residual_ramps(depth: int, layer: Column) -> tuple[Column, Column]:
+    """Start values of a layer's residual scalars, linear from the first layer to the last."""
+    part = layer / max(1, depth - 1)
+    return tuple(F.lit(a) + (b - a) * part for a, b in (RESIDUAL, INPUT))
+
+
 def with_ratio(df: DataFrame, tokens: str = "tokens_trained", kinds: tuple[str, ...] = ("matrices", "head")) -> DataFrame:
     """Adds effective_params, the sum of the named groups, and param_data_ratio, tokens for each of them."""
     own = F.col(kinds[0])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import packing as P
+from quern.operators.scoring import left_cut
 from quern.plans.chat import _FAULT, _TALKS
 from quern.session import cut_lineage, table
 
@@ -85,9 +86,10 @@ def packing_floor(spark, d):
 
 
 def left_truncate(spark, d):
-    """Only the last 1,024 tokens stay; spans move with them."""
-    own = _docs(spark, d).withColumn("gone", F.greatest(F.col("tokens") - 1024, F.lit(0)))
-    return own.select("doc_id", (F.col("tokens") - F.col("gone")).alias("kept"), F.greatest(F.col("tokens") - 10 - F.col("gone"), F.lit(0)).alias("span_start"))
+    """Only the last 1,024 tokens stay, here their places; spans move with them."""
+    own = _docs(spark, d).select("doc_id", F.sequence(F.lit(1), F.col("tokens")).alias("ids"), (F.col("tokens") - 10).alias("start"))
+    got = left_cut(own, 1024)
+    return got.select("doc_id", F.size("ids").alias("kept"), F.get("ids", 0).alias("first"), F.element_at("ids", -1).alias("last"), F.col("start").alias("span_start"))
 
 
 def right_pad(spark, d):
@@ -148,7 +150,7 @@ QUERIES = {
     "pack_pad": (pack_pad, f"SELECT shard, count(*) AS docs, sum(tokens)::BIGINT AS tokens FROM {_D} WHERE tokens <= {_CAPACITY} GROUP BY shard"),
     "pack_waste": (pack_waste, " UNION ALL ".join([_wasted("crop", _buffered(True, 1000, 128)), _wasted("pad", _buffered(False, 100, 1)), _wasted("first_fit", _FIT)])),
     "packing_floor": (packing_floor, f"SELECT round(sum(greatest(tokens - {_CAPACITY}, 0)) / sum(tokens) * 100, 4) AS floor, sum(tokens)::BIGINT AS tokens FROM {_D}"),
-    "left_truncate": (left_truncate, f"SELECT doc_id, least(tokens, 1024)::INT AS kept, greatest(tokens - 10 - greatest(tokens - 1024, 0), 0)::INT AS span_start FROM {_D}"),
+    "left_truncate": (left_truncate, f"SELECT doc_id, least(tokens, 1024)::INT AS kept, (tokens - least(tokens, 1024) + 1)::INT AS first, tokens::INT AS last, greatest(tokens - 10 - greatest(tokens - 1024, 0), 0)::INT AS span_start FROM {_D}"),
     "right_pad": (right_pad, "WITH t AS (SELECT l_orderkey, l_orderkey // 8 AS batch, list_sort(list(l_linenumber)) AS t FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(t || list_transform(range(0, max(len(t)) OVER (PARTITION BY batch) - len(t)), lambda x: 0), ',') AS padded FROM t"),
     "consumed": (consumed, "WITH n AS (SELECT count(*) AS n FROM orders) SELECT i // n + 1 AS epoch, i % 2 AS rank, count(*) AS taken FROM (SELECT n, unnest(range(0, n * 3 // 2 + 1)) AS i FROM n) GROUP BY ALL"),
 }

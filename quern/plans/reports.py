@@ -49,6 +49,14 @@ def report_wallclock(spark, d):
     return own.select("run", R.wall_clock(R.stamp(F.col("h"), "Run started:"), R.stamp(F.col("s"), "timestamp:")).alias("wall_clock"))
 
 
+def report_end(spark, d):
+    """The end of each run's report: the last section's time, whatever reinforcement learning's is; here each metric is a section."""
+    last = table(spark, d, "metrics").groupBy("run", "metric").agg(F.max("logged_at").alias("t"))
+    named = last.withColumn("file", F.when(F.col("metric") == "val/bpb", "chat-rl.md").otherwise(F.concat("metric", F.lit(".md"))))
+    text = F.concat(F.lit("## x\ntimestamp: "), F.when(F.col("metric") == "train/mfu", "later").otherwise(F.date_format("t", "yyyy-MM-dd HH:mm:ss")), F.lit("\n"))
+    return R.last_stamp(named.withColumn("text", text), ["run"], "metric", "file", "text").select("run", F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"))
+
+
 def _results(spark, d):
     own = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("task")).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("accuracy"))
     return own.withColumn("centered", (F.col("accuracy") - 0.25) / 0.75)
@@ -110,6 +118,7 @@ def display_size(spark, d):
 
 
 QUERIES = {
+    "report_end": (report_end, "WITH l AS (SELECT run, metric, max(logged_at) AS t FROM metrics GROUP BY ALL) SELECT run, strftime(arg_max(t, metric) FILTER (metric NOT IN ('val/bpb', 'train/mfu') AND NOT contains(metric || '.md', 'rl')), '%Y-%m-%d %H:%M:%S') AS end FROM l WHERE metric <> 'val/bpb' GROUP BY run"),
     "log_extract": (log_extract, r"""WITH l AS (SELECT o_custkey AS run, o_orderkey AS n, CASE WHEN o_orderkey % 3 = 0 THEN 'params: ' || format('{:,}', floor(o_totalprice)::BIGINT) WHEN o_orderkey % 3 = 1 THEN 'bpb: ' || printf('%.2f', o_totalprice) ELSE 'nothing to see' END AS line FROM orders)
         SELECT run, arg_max(replace(nullif(regexp_extract(line, 'params: ([\d,]+)', 1), ''), ',', ''), n) FILTER (line LIKE 'params%')::DOUBLE AS params, coalesce(arg_max(regexp_extract(line, 'bpb: ([\d.,]+)', 1), n) FILTER (line LIKE 'bpb%')::DOUBLE, 0) AS bpb, 0.0::DOUBLE AS core FROM l GROUP BY run"""),
     "section_values": (section_values, "SELECT c_mktsegment AS section, 'key' || (c_custkey % 4) AS key, arg_max(c_nationkey, c_custkey)::VARCHAR AS value FROM customer WHERE c_custkey % 4 < 3 GROUP BY ALL"),
@@ -117,7 +126,7 @@ QUERIES = {
     "report_pivot": (report_pivot, """WITH c AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'CORE' WHEN '5-LOW' THEN 'ChatCORE' ELSE o_orderpriority END AS metric, CASE WHEN o_orderkey % 7 = 0 THEN 'rl' ELSE lower(o_orderstatus) END AS stage FROM orders)
         SELECT metric, CASE metric WHEN 'CORE' THEN 0 WHEN 'ChatCORE' THEN 2 ELSE 1 END AS place, coalesce(nullif(count(*) FILTER (stage = 'o'), 0)::VARCHAR, '-') AS o, coalesce(nullif(count(*) FILTER (stage = 'f'), 0)::VARCHAR, '-') AS f, coalesce(nullif(count(*) FILTER (stage = 'rl'), 0)::VARCHAR, '-') AS rl, '-' AS none FROM c GROUP BY metric"""),
     "report_wallclock": (report_wallclock, "SELECT run, (s // 3600) || 'h' || (s % 3600 // 60) || 'm' AS wall_clock FROM (SELECT run, epoch(date_trunc('second', max(logged_at)))::BIGINT - epoch(date_trunc('second', min(logged_at)))::BIGINT AS s FROM metrics GROUP BY run)"),
-    "core_csv": (core_csv, "WITH r AS (SELECT o_orderpriority AS task, avg((o_orderstatus = 'F')::INT) AS a FROM orders GROUP BY 1) SELECT row_number() OVER (ORDER BY task) AS n, rpad(task, 35, ' ') || ',' || rpad(printf('%.6f', a), 10, ' ') || ',' || rpad(printf('%.6f', (a - 0.25) / 0.75), 10, ' ') AS line FROM r UNION ALL SELECT count(*) + 1, rpad('CORE', 35, ' ') || ',' || rpad('', 10, ' ') || ',' || rpad(printf('%.6f', avg((a - 0.25) / 0.75)), 10, ' ') FROM r"),
+    "core_csv": (core_csv, "WITH r AS (SELECT o_orderpriority AS task, avg((o_orderstatus = 'F')::INT) AS a FROM orders GROUP BY 1) SELECT row_number() OVER (ORDER BY task) AS n, rpad(task, 35, ' ') || ', ' || rpad(printf('%.6f', a), 10, ' ') || ', ' || rpad(printf('%.6f', (a - 0.25) / 0.75), 10, ' ') AS line FROM r UNION ALL SELECT count(*) + 1, rpad('CORE', 35, ' ') || ', ' || rpad('', 10, ' ') || ', ' || rpad(printf('%.6f', avg((a - 0.25) / 0.75)), 10, ' ') FROM r"),
     "core_csv_back": (core_csv_back, "WITH r AS (SELECT o_orderpriority AS task, avg((o_orderstatus = 'F')::INT) AS a FROM orders GROUP BY 1) SELECT task, round(a, 6) AS accuracy, round((a - 0.25) / 0.75, 6) AS centered FROM r UNION ALL SELECT 'CORE', NULL, round(avg((a - 0.25) / 0.75), 6) FROM r"),
     "gpu_lookup": (gpu_lookup, "SELECT s_suppkey, (CASE s_suppkey % 5 WHEN 0 THEN 756e12 WHEN 1 THEN 989e12 WHEN 2 THEN 121e12 WHEN 3 THEN 312e12 ELSE 'inf' END)::DOUBLE AS flops, (CASE s_suppkey % 5 WHEN 0 THEN 24.0 WHEN 1 THEN 24.0 WHEN 3 THEN 14.32 ELSE 16.0 END)::DOUBLE AS rate FROM supplier"),
     "cost_estimate": (cost_estimate, "SELECT run, round(24.0::DOUBLE * (epoch_us(max(logged_at)) - epoch_us(min(logged_at))) / 3.6e9, 4) AS cost FROM metrics GROUP BY run"),

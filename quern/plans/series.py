@@ -182,8 +182,8 @@ def auto_batch(spark, d):
 
 def residual_ramps(spark, d):
     """Start values of the residual scalars of a model of 12 layers."""
-    i = F.col("id") / 11
-    return spark.range(12).select("id", F.round(1.15 - 0.10 * i, 6).alias("residual"), F.round(0.20 - 0.15 * i, 6).alias("input"))
+    residual, given = S.residual_ramps(12, F.col("id"))
+    return spark.range(12).select("id", F.round(residual, 6).alias("residual"), F.round(given, 6).alias("input"))
 
 
 def optimizer_groups(spark, d):

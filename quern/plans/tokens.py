@@ -117,6 +117,24 @@ def bpb_uniform(spark, d):
     return bits_per_byte(masked, F.col("nll"), F.col("n"), ["lang"]).select("lang", "bytes", F.round("bpb", 6).alias("bpb"))
 
 
+def bpb_gather(spark, d):
+    """Bits per byte of the bytes of each language under their own frequencies; a target's bytes are gathered from the vocabulary's table."""
+    h = F.explode(F.regexp_extract_all(F.hex(F.encode("word", "UTF-8")), F.lit(".."), F.lit(0)))
+    targets = _counts(spark, d).select("lang", "n", h.alias("h")).groupBy("lang", F.conv("h", 16, 10).cast("int").alias("token_id")).agg(F.sum("n").alias("n"))
+    whole = targets.groupBy("lang").agg(F.sum("n").alias("whole")).withColumnRenamed("lang", "l")
+    known = F.broadcast(bpe.vocabulary_table(spark, []).select("token_id", "n_bytes"))  # a vocabulary
+    rows = targets.join(F.broadcast(whole), F.col("lang").eqNullSafe(F.col("l"))).join(known, "token_id")  # a row for each language and byte
+    nats = -F.log(F.col("n") / F.col("whole")) * F.col("n")
+    return bits_per_byte(rows.select("lang", nats.alias("nll"), (F.col("n_bytes") * F.col("n")).alias("b")), F.col("nll"), F.col("b"), ["lang"]).select("lang", "bytes", F.round("bpb", 6).alias("bpb"))
+
+
+def tok_streamed(spark, d):
+    """Of each item's text, byte by byte: how many steps show nothing, and that what is shown is the text."""
+    items = table(spark, d, "eval_items").select("item_id", F.coalesce("query", "continuation").alias("text")).where("text is not null")
+    got = bpe.encode(items, [], "item_id").select("item_id", bpe.streamed(F.col("ids"), []).alias("parts"))
+    return got.select("item_id", F.size(F.filter("parts", lambda x: x == "")).alias("silent"), F.size("parts").alias("steps"), F.array_join("parts", "").alias("text"))
+
+
 def nll_shift(spark, d):
     """Next-token targets: each pre-token's successor in its document, null at the end."""
     own = table(spark, d, "documents").select("doc_id", pretokens(F.col("text")).alias("w"))
@@ -156,5 +174,7 @@ QUERIES = {
     "tok_specials": (tok_specials, "SELECT name, (257 + pos)::INT AS token_id, 0 AS n_bytes FROM (SELECT unnest(['<|bos|>', '<|user_start|>', '<|user_end|>', '<|assistant_start|>', '<|assistant_end|>', '<|python_start|>', '<|python_end|>', '<|output_start|>', '<|output_end|>']) AS name, unnest(range(9)) AS pos)"),
     "bpb_by_lang": (bpb_by_lang, f"WITH c AS (SELECT lang, word, count(*) AS n FROM {_WORDS} GROUP BY ALL), t AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang) SELECT c.lang, max(total)::BIGINT AS pretokens, sum({_BYTES} * n)::BIGINT AS bytes, round(sum(-ln(n / total) * n) / (ln(2) * sum({_BYTES} * n)), 6) AS bpb FROM c JOIN t ON c.lang IS NOT DISTINCT FROM t.lang GROUP BY c.lang"),
     "bpb_uniform": (bpb_uniform, f"SELECT lang, sum({_BYTES}) FILTER (length(trim(word, ' ')) > 0)::BIGINT AS bytes, CASE WHEN count(*) FILTER (length(trim(word, ' ')) > 0) > 0 THEN 8.0::DOUBLE ELSE 'inf'::DOUBLE END AS bpb FROM {_WORDS} GROUP BY lang"),
+    "bpb_gather": (bpb_gather, f"WITH b AS (SELECT lang, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents), c AS (SELECT lang, ('0x' || h)::INT AS b, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY lang) AS whole FROM c) SELECT lang, sum(n * CASE WHEN b < 128 THEN 1 ELSE 3 END)::BIGINT AS bytes, round(sum(-ln(n / whole) * n) / (ln(2) * sum(n * CASE WHEN b < 128 THEN 1 ELSE 3 END)), 6) AS bpb FROM t GROUP BY lang"),
+    "tok_streamed": (tok_streamed, "SELECT item_id, (octet_length(encode(t)) - length(t))::INT AS silent, octet_length(encode(t))::INT AS steps, t AS text FROM (SELECT item_id, coalesce(query, continuation) AS t FROM eval_items) WHERE t IS NOT NULL"),
     "nll_shift": (nll_shift, f"WITH w AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE length(text) > 0), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) SELECT doc_id, count(*) AS positions, count(w[i + 1]) AS targets, sum(octet_length(encode(w[i + 1])))::BIGINT AS target_bytes, coalesce(sum((w[i] = w[i + 1])::INT), 0)::BIGINT AS repeats FROM p GROUP BY doc_id"),
 }

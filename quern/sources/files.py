@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import strip
 from quern.operators.chat import alternates, without_system
 from quern.operators.order import seeded_order
-from quern.sources import schemas
+from quern.sources import fs, schemas
 
 
 def base_dir(name: str = "quern", variable: str = "QUERN_BASE_DIR") -> str:
@@ -21,12 +21,17 @@ def base_dir(name: str = "quern", variable: str = "QUERN_BASE_DIR") -> str:
 
 def shards(spark: SparkSession, folder: str, legacy: str | None = None) -> DataFrame:
     """The corpus under ``folder``, or ``legacy`` where that is missing, with each row's file; files that are still written don't count."""
-    if legacy and not os.path.isdir(folder) and os.path.isdir(legacy):
+    if legacy and not fs.exists(spark, folder) and fs.exists(spark, legacy):
         folder = legacy
     rows = spark.read.option("pathGlobFilter", "*.parquet").parquet(folder)
     return rows.select("*", F.col("_metadata.file_name").alias("file"))
 
 
+def shard_names(spark: SparkSession, folder: str) -> list[str]:
+    """The names of a corpus' files in natural order, without those still written."""
+    return [name for name, is_folder, _ in fs.listed(spark, folder) if name.endswith(".parquet") and not is_folder]
+
+
 def split_shards(rows: DataFrame, part: str) -> DataFrame:
     """``val`` is the last file by name, ``train`` the rest."""
     if part not in ("train", "val"):
@@ -70,8 +75,7 @@ def task_settings(spark: SparkSession, path: str) -> DataFrame:
     """(label, task_type, dataset_uri, num_fewshot, continuation_delimiter) of a YAML file's ``icl_tasks``."""
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        rows = [(t["label"], t["icl_task_type"], t["dataset_uri"], int(t["num_fewshot"][0]), t.get("continuation_delimiter", " ")) for t in yaml.safe_load(f)["icl_tasks"]]
+    rows = [(t["label"], t["icl_task_type"], t["dataset_uri"], int(t["num_fewshot"][0]), t.get("continuation_delimiter", " ")) for t in yaml.safe_load(fs.read_text(spark, path))["icl_tasks"]]
     return spark.createDataFrame(rows, "label string, task_type string, dataset_uri string, num_fewshot int, continuation_delimiter string")
 
 
@@ -94,32 +98,32 @@ def code_size(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("
     return rows.agg(F.count("*").alias("files"), F.sum(F.size(F.split("value", "\n"))).alias("lines"), F.sum(F.length("value")).alias("chars")).withColumn("tokens", F.expr("chars div 4"))
 
 
-def last_step(folder: str) -> int:
+def last_step(spark: SparkSession, folder: str) -> int:
     """The greatest step of the model files of a folder."""
-    steps = [int(m[1]) for name in os.listdir(folder) if (m := re.fullmatch(r"model_(\d+)\.pt", name))]
+    steps = [int(m[1]) for name, *_ in fs.listed(spark, folder) if (m := re.fullmatch(r"model_(\d+)\.pt", name))]
     if not steps:
         raise FileNotFoundError(f"no checkpoint in {folder}")
     return max(steps)
 
 
-def largest_model(folder: str) -> str:
+def largest_model(spark: SparkSession, folder: str) -> str:
     """The folder ``d<depth>`` of greatest depth, else the one changed last."""
-    names = [n for n in os.listdir(folder) if os.path.isdir(os.path.join(folder, n))]
-    if not names:
+    found = [(name, changed) for name, is_folder, changed in fs.listed(spark, folder) if is_folder]
+    if not found:
         raise FileNotFoundError(f"no model in {folder}")
-    deep = [(int(m[1]), n) for n in names if (m := re.fullmatch(r"d(\d+)", n))]
-    return max(deep)[1] if deep else max(names, key=lambda n: os.path.getmtime(os.path.join(folder, n)))
+    deep = [(int(m[1]), name) for name, _ in found if (m := re.fullmatch(r"d(\d+)", name))]
+    return max(deep)[1] if deep else max(found, key=lambda x: x[1])[0]
 
 
 #: Folder of each kind of model.
 MODEL_FOLDERS = {"base": "base_checkpoints", "sft": "chatsft_checkpoints", "rl": "chatrl_checkpoints"}
 
 
-def model_folder(base: str, kind: str, tag: str | None = None, step: int | None = None) -> tuple[str, int]:
+def model_folder(spark: SparkSession, base: str, kind: str, tag: str | None = None, step: int | None = None) -> tuple[str, int]:
     """Folder and step of a model; the largest and last where none is named."""
-    root = os.path.join(base, MODEL_FOLDERS[kind])
-    folder = os.path.join(root, tag or largest_model(root))
-    return folder, last_step(folder) if step is None else step
+    root = f"{base}/{MODEL_FOLDERS[kind]}"
+    folder = f"{root}/{tag or largest_model(spark, root)}"
+    return folder, last_step(spark, folder) if step is None else step
 
 
 def completed_config(rows: DataFrame, defaults: dict[str, object]) -> DataFrame:

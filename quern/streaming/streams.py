@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +98,42 @@ def generated(prompts: DataFrame, key: str, row: str, most: int, sample: Callabl
     return prompts.select(key, row).mapInPandas(run, "key bigint, row bigint, step int, token int, mask int")
 
 
+class TokenModel(Protocol):
+    """A model that reads a prompt once and goes on from the state it then has; a state is never changed in place."""
+
+    def prefill(self, ids: list[int]) -> object: ...
+
+    def sample(self, state: object, row: int, step: int) -> int: ...
+
+    def advance(self, state: object, token: int) -> object: ...
+
+
+def continued(prompts: DataFrame, key: str, ids: str, samples: int, most: int, model: TokenModel, automaton: Automaton) -> DataFrame:
+    """(key, row, step, token, mask) of ``samples`` continuations of each prompt, which share its prefill.
+
+    Each step samples a token, which a result that a call forces in may override; the state goes on with the token that was emitted.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for k, own in pdf[[key, ids]].itertuples(index=False):
+                first = model.prefill(list(own))
+                for r in range(samples):
+                    state, talk = first, {"forced": [], "expr": [], "inside": False, "done": False}
+                    for at in range(most):
+                        token, mask = automaton.step(talk, model.sample(state, r, at))
+                        out.append((int(k), r, at, token, mask))
+                        if talk["done"]:
+                            break
+                        state = model.advance(state, token)
+            yield pd.DataFrame(out, columns=["key", "row", "step", "token", "mask"])
+
+    return prompts.select(key, ids).mapInPandas(run, "key bigint, row bigint, step int, token int, mask int")
+
+
 def to_lines(df: DataFrame, path: str, checkpoint: str, line: str):
     """A sink of text lines, one folder for each batch, written once whatever is repeated."""
 

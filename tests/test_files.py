@@ -1,6 +1,7 @@
 import json
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,21 +48,26 @@ def test_settings_and_tables(spark, tmp_path):
     assert done.first().asDict() == {"a": 1, "w": "L", "n": 0}
 
 
-def test_checkpoint_folders(tmp_path):
+def test_checkpoint_folders(spark, tmp_path):
     for name in ("d4", "d12", "other"):
         os.makedirs(tmp_path / "base_checkpoints" / name)
     for step in (5, 100):
         (tmp_path / "base_checkpoints" / "d12" / f"model_{step:06d}.pt").write_text("")
-    assert files.model_folder(str(tmp_path), "base") == (str(tmp_path / "base_checkpoints" / "d12"), 100)
+    assert files.model_folder(spark, str(tmp_path), "base") == (str(tmp_path / "base_checkpoints" / "d12"), 100)
     with pytest.raises(FileNotFoundError):
-        files.last_step(str(tmp_path))
+        files.last_step(spark, str(tmp_path))
 
 
 def test_written_shards_hold_whole_groups(spark, tmp_path):
     rows = spark.range(100).select(F.col("id"), F.lit("abcde").alias("text"))
     got = sinks.write_shards(rows, str(tmp_path / "s"), [F.col("id")], chars=100, rows=8)
     assert sorted((r.shard, r.docs) for r in got.collect()) == [(0, 24), (1, 24), (2, 24), (3, 24)]
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 96
+    assert files.shard_names(spark, str(tmp_path / "s")) == [f"shard_{k:05d}.parquet" for k in range(4)] and len(os.listdir(tmp_path / "s")) <= 8  # with checksums
+    back = [r.id for r in spark.read.parquet(str(tmp_path / "s")).select(F.monotonically_increasing_id().alias("id")).collect()]
+    assert len(back) == 96
+    meta = pq.ParquetFile(tmp_path / "s" / "shard_00002.parquet").metadata
+    assert meta.num_rows == 24 and meta.num_row_groups == 3 and meta.row_group(0).column(0).compression == "ZSTD"
+    assert sinks.write_shards(rows.limit(3), str(tmp_path / "few"), [F.col("id")], chars=100, rows=8).collect() == [] and files.shard_names(spark, str(tmp_path / "few")) == []
 
 
 def test_append_only_what_is_new(spark, tmp_path):
@@ -72,12 +78,39 @@ def test_append_only_what_is_new(spark, tmp_path):
     assert spark.read.option("header", True).csv(path).count() == 2
 
 
-def test_sections(tmp_path):
-    path = sinks.write_section(str(tmp_path), "Base model", [{"a": 0.5, "b": 12345, "c": 9999}, None, "text\n"], "2030-01-01 00:00:00")
+def test_sections(spark, tmp_path):
+    path = sinks.write_section(spark, str(tmp_path), "Base model", [{"a": 0.5, "b": 12345, "c": 9999}, None, "text\n"], "2030-01-01 00:00:00")
     assert os.path.basename(path) == "base-model.md"
     assert "- a: 0.5000\n- b: 12,345\n- c: 9999\ntext\n" in open(path, encoding="utf-8").read()
 
 
+def test_report(spark, tmp_path):
+    folder, expected = str(tmp_path / "r"), ["base-eval.md", "chat-sft.md", "chat-rl.md", "never.md"]
+    stages = {"base": ("base-eval.md", ["CORE"]), "sft": ("chat-sft.md", ["ARC", "ChatCORE"]), "rl": ("chat-rl.md", ["GSM"])}
+    assert "Total wall clock time: unknown\n" in open(sinks.write_report(spark, folder, expected, stages), encoding="utf-8").read()
+    sinks.reset_report(spark, folder, expected, "# Report\nRun started: 2030-01-01 10:00:00\n### Bloat\n- lines: 5\n\n")
+    sinks.write_section(spark, folder, "base eval", [{"CORE": 0.25}], "2030-01-01 11:00:00")
+    sinks.write_section(spark, folder, "chat sft", [{"ARC": 0.5, "ChatCORE": 0.125}], "2030-01-01 12:30:59")
+    sinks.write_section(spark, folder, "chat rl", [{"GSM": "x"}], "2030-01-02 12:00:00")
+    text = open(sinks.write_report(spark, folder, expected, stages), encoding="utf-8").read()
+    assert text.startswith("# Report\n") and text.index("## base eval") < text.index("## chat sft") < text.index("## chat rl") < text.index("## Summary\n\n- lines: 5\n\n")
+    table = [line for line in text.split("\n") if line.startswith("|")]
+    assert table[0] == "| Metric          | BASE     | SFT      | RL       |" and table[1] == "|-----------------|----------|----------|----------|"
+    assert table[2:] == ["| CORE            | 0.2500   | -        | -        |", "| ARC             | -        | 0.5000   | -        |", "| GSM             | -        | -        | x        |", "| ChatCORE        | -        | 0.1250   | -        |"]
+    assert text.endswith("Total wall clock time: 2h30m\n")
+
+
+def test_result_table_as_a_file(spark, tmp_path):
+    from quern.operators import reports
+
+    results = spark.createDataFrame([("b", 0.5, 0.25), ("a", 1.0, 1.0)], "task string, accuracy double, centered double")
+    path = str(tmp_path / "core.csv")
+    sinks.write_results(reports.result_lines(results), path)
+    lines = open(path, encoding="utf-8").read().split("\n")
+    assert [x.split(",")[0].strip() for x in lines[:4]] == ["Task", "a", "b", "CORE"] and lines[3].split(",")[2].strip() == "0.625000"
+    assert lines[1] == f"{'a':<35}, {1.0:<10.6f}, {1.0:<10.6f}" and lines[0] == f"{'Task':<35}, {'Accuracy':<10}, {'Centered':<10}"
+
+
 def test_conversations_and_tokenizer_survive(spark, tmp_path):
     rows = spark.createDataFrame([(TALK,)], "messages array<struct<role: string, content: string>>")
     sinks.append_conversations(rows, str(tmp_path / "c"))
@@ -109,6 +142,38 @@ def test_generation_forces_the_result_of_a_call(spark):
     assert first == [(x.token, x.mask) for x in got if x.row == 1]
 
 
+def test_samples_share_a_prefill_and_keep_state(spark):
+    class Countdown:
+        """Counts down from a prompt's last token; its sample is the count, a row's number more at first."""
+
+        def __init__(self):
+            self.reads = 0
+
+        def prefill(self, ids):
+            self.reads += 1
+            return (ids[-1], self.reads)
+
+        def sample(self, state, row, step):
+            return state[0] + (row if step == 0 else 0)
+
+        def advance(self, state, token):
+            return (token - 1, state[1])
+
+    machine = streams.Automaton(500, 501, 502, 503, (0,), lambda e: None)
+    prompts = spark.createDataFrame([(1, [9, 3]), (2, [1])], "k bigint, ids array<int>").coalesce(1)
+    got = streams.continued(prompts, "k", "ids", 2, 10, Countdown(), machine).collect()
+    rows = {}
+    for x in sorted(got, key=lambda x: (x.key, x.row, x.step)):
+        rows.setdefault((x.key, x.row), []).append(x.token)
+    assert rows == {(1, 0): [3, 2, 1, 0], (1, 1): [4, 3, 2, 1, 0], (2, 0): [1, 0], (2, 1): [2, 1, 0]}
+
+
+def test_only_whole_characters_are_shown(spark):
+    df = spark.createDataFrame([("aé👍",), ("",), (None,)], "t string")
+    got = [r.p for r in bpe.encode(df.withColumn("k", F.monotonically_increasing_id()), [], "k", "t").select(bpe.streamed(F.col("ids"), []).alias("p")).collect()]
+    assert sorted(got, key=len, reverse=True)[0] == ["a", "", "é", "", "", "", "👍"]
+
+
 def test_stream_to_lines(spark, tmp_path):
     spark.createDataFrame([("a",), ("b",)], "text string").write.parquet(str(tmp_path / "in"))
     stream = streams.corpus_stream(spark, str(tmp_path / "in"), "text string")
