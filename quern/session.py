@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results or plan shape; anything else is the cluster's business.
@@ -11,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -29,13 +32,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` written once to the folder of ``spark.checkpoint.dir``, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    The setting is read from the session; only where it is unset, as in tests on
-    one machine, a folder of the driver is used. The copy survives the loss of an executor.
+    The setting is read from the session; only where it is unset, as in tests on one machine, a folder of the driver is used.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,4 +47,22 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="quern-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+    """``df`` written once to the shared folder; the copy survives the loss of an executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def as_table(df: DataFrame) -> DataFrame:
+    """``df`` written to a table in the shared folder and read from there.
+
+    Unlike a checkpoint it doesn't keep the size that was estimated for the plan behind it. Loops need that: the estimate of a join is a
+    product, which squares with each round until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
