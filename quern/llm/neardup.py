@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.shingles import WordHashes, shingle_sets
-from quern.session import cut_lineage
+from quern.session import as_table, cut_lineage
 
 BANDS, ROWS = 48, 5
 MANTISSA = 10
@@ -42,7 +42,7 @@ SIGMAS = 4.0
 #: Ids up to which a set of ids is broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 #: Classes of a bucket of which ``groups`` compares all, and rounds of comparing those left of larger ones with a few of them.
-BUCKET, STAR_ROUNDS = 64, 3
+BUCKET, STAR_ROUNDS = 64, 2
 _LONG = 2048
 
 
@@ -247,17 +247,17 @@ def groups(df: DataFrame, threshold: float = 0.8, shingle: int = 5, least_words:
 def components(found: DataFrame) -> DataFrame:
     """(rep, root) of the linked representatives: the least id of each connected component.
 
-    Every round gives each node the least root of its neighbours and then the root
-    of that root, so that long chains shrink by half; rounds are cut by checkpoints.
+    Every round gives each node the least of its own root, its neighbours' roots and the root
+    of its root, so that long chains shrink by half; each round is written as a table.
     """
-    edges = cut_lineage(found.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
-    state = cut_lineage(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("rep"), "root"))
+    edges = as_table(found.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
+    state = as_table(edges.groupBy("a").agg(F.min(F.least("a", "b")).alias("root")).select(F.col("a").alias("rep"), "root"))
     while True:
-        lower = edges.join(state.toDF("b", "root"), "b").groupBy("a").agg(F.min("root").alias("seen"))
-        near = state.join(lower.withColumnRenamed("a", "rep"), "rep").select("rep", F.least("root", "seen").alias("next"), F.col("root").alias("old"))
-        jumped = near.join(near.select(F.col("rep").alias("next"), F.col("next").alias("far")), "next", "left").select("rep", "old", F.least("next", F.coalesce("far", "next")).alias("root"))
-        jumped = cut_lineage(jumped)
-        changed = jumped.where("root <> old").limit(1).count()
-        state = jumped.select("rep", "root")
-        if not changed:
+        own = state.select("rep", "root", F.col("root").alias("old"))
+        no = F.lit(None).cast("long").alias("old")
+        near = edges.join(state.toDF("b", "root"), "b").select(F.col("a").alias("rep"), "root", no)
+        far = state.toDF("node", "rep").join(state, "rep").select(F.col("node").alias("rep"), "root", no)
+        moved = as_table(own.unionByName(near).unionByName(far).groupBy("rep").agg(F.min("root").alias("root"), F.max("old").alias("old")))
+        state = moved.select("rep", "root")
+        if not moved.where("root <> old").limit(1).count():
             return state
