@@ -71,17 +71,32 @@ def orthogonal(g: np.ndarray, steps: int = 5) -> np.ndarray:
     return x.T if flip else x
 
 
+def nesterov(grad: np.ndarray, buffer: np.ndarray, momentum: float) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient looked ahead along its running mean, and that mean."""
+    mean = buffer + (grad - buffer) * (1 - momentum)
+    return grad + (mean - grad) * momentum, mean
+
+
+def even_variance(update: np.ndarray, second: np.ndarray, beta2: float, least: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """An update whose rows (columns of a wide matrix) are divided by their running root mean squares, of the same norm as before, and those mean squares."""
+    across = 1 if update.shape[0] >= update.shape[1] else 0
+    now = np.mean(np.square(update), axis=across, keepdims=True)
+    second = second + (now - second) * (1 - beta2)
+    even = update / np.sqrt(np.clip(second, least, None))
+    return even * (np.linalg.norm(update) / max(float(np.linalg.norm(even)), least)), second
+
+
+def cautious(p: np.ndarray, update: np.ndarray, lr: float, decay: float) -> np.ndarray:
+    """The parameter after an update, decayed only where that pulls the same way."""
+    agree = np.multiply(update, p) >= 0
+    return np.where(agree, p * (1 - lr * decay), p) - lr * update
+
+
 def muon(p: np.ndarray, grad: np.ndarray, buffer: np.ndarray, second: np.ndarray, lr: float, momentum: float, beta2: float, decay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One step of orthogonalised momentum: Nesterov, polar, variance over the longer side, decay where signs agree."""
-    buffer = momentum * buffer + (1 - momentum) * grad
-    update = orthogonal((1 - momentum) * grad + momentum * buffer)
-    axis = -1 if p.shape[-2] >= p.shape[-1] else -2
-    mean, n = (update**2).mean(axis=axis, keepdims=True), update.shape[axis]
-    second = beta2 * second + (1 - beta2) * mean
-    step = 1 / np.sqrt(np.maximum(second, 1e-10))
-    scale = step * np.sqrt(mean.sum() * n) / max(np.sqrt((mean * n * step**2).sum()), 1e-10)
-    update = update * scale
-    return p - lr * update - lr * decay * p * (update * p >= 0), buffer, second
+    """Parameter, momentum and mean squares after one step of orthogonalised momentum."""
+    ahead, buffer = nesterov(grad, buffer, momentum)
+    update, second = even_variance(orthogonal(ahead), second, beta2)
+    return cautious(p, update, lr, decay), buffer, second
 
 
 def quantised(x: np.ndarray, most: float = 448.0, mantissa: int = 3) -> tuple[np.ndarray, float]:

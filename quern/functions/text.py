@@ -14,9 +14,14 @@ def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + SPLIT_PATTERN), F.lit(0))
 
 
+#: The final answer of a word problem, a fenced program, and the texts around a multiple-choice question.
+ANSWER_PATTERN, PROGRAM_PATTERN = r"#### (-?[0-9.,]+)", r"(?s)```(?:python)?\s*\n(.*?)\n```"
+CHOICES_HEAD, CHOICES_TAIL = "Multiple Choice question: ", "\nRespond only with the letter of the correct answer."
+
+
 def final_answer(text: Column) -> Column:
     """The number after the first ``#### ``, without commas; null without one."""
-    return F.nullif(F.replace(F.regexp_extract(text, r"#### (-?[0-9.,]+)", 1), F.lit(","), F.lit("")), F.lit(""))
+    return F.nullif(F.replace(F.regexp_extract(text, ANSWER_PATTERN, 1), F.lit(","), F.lit("")), F.lit(""))
 
 
 def tool_parts(text: Column) -> Column:
@@ -38,8 +43,8 @@ def tool_parts(text: Column) -> Column:
 
 def program_of(completion: Column) -> Column:
     """The first fenced code block, else the whole text, stripped of blanks at both ends."""
-    block = F.regexp_extract(completion, r"(?s)```(?:python)?\s*\n(.*?)\n```", 1)
-    return strip(F.when(completion.rlike(r"(?s)```(?:python)?\s*\n(.*?)\n```"), block).otherwise(completion))
+    block = F.regexp_extract(completion, PROGRAM_PATTERN, 1)
+    return strip(F.when(completion.rlike(PROGRAM_PATTERN), block).otherwise(completion))
 
 
 def strip(text: Column) -> Column:
@@ -77,4 +82,4 @@ def render_choices(question: Column, letters: Column, choices: Column) -> Column
     """A multiple-choice question; the letter stands after the choice, without a blank before it."""
     n = F.least(F.size(letters), F.size(choices))
     lines = F.zip_with(F.slice(letters, 1, n), F.slice(choices, 1, n), lambda letter, choice: F.concat(F.lit("- "), choice, F.lit("="), letter, F.lit("\n")))
-    return F.concat(F.lit("Multiple Choice question: "), question, F.lit("\n"), F.array_join(lines, ""), F.lit("\nRespond only with the letter of the correct answer."))
+    return F.concat(F.lit(CHOICES_HEAD), question, F.lit("\n"), F.array_join(lines, ""), F.lit(CHOICES_TAIL))

@@ -20,7 +20,7 @@ def centered(accuracy: Column, baseline: Column) -> Column:
 def pass_at_k(samples: DataFrame, problem: str, order: str, correct: str, most: int) -> DataFrame:
     """(k, share): problems of which one of the first ``k`` samples is right. One pass: each problem's first right sample."""
     first = samples.groupBy(problem).agg(F.min(F.when(F.col(correct) == 1, F.col(order))).alias("first"))
-    counted = first.groupBy(F.coalesce("first", F.lit(most)).alias("first")).agg(F.count("*").alias("n"))  # at most one row per sample number
+    counted = first.where(F.col("first") < most).groupBy("first").agg(F.count("*").alias("n"))  # at most ``most`` rows
     ks = samples.sparkSession.range(1, most + 1).select(F.col("id").cast("int").alias("k"))
     total = first.agg(F.count("*").alias("problems"))
     hits = ks.join(F.broadcast(counted), F.col("first") < F.col("k"), "left").groupBy("k").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("solved"))

@@ -44,14 +44,13 @@ def sequence(tasks: list[DataFrame], key: str) -> DataFrame:
 def few_shot(items: DataFrame, key: str, group: str, k: int, seed: int = 1234) -> DataFrame:
     """(``key``, shot, other): ``k`` other items of the group for each item, those with the least hash after the item's own.
 
-    Items stand on a ring ordered by hash; an item's shots are its successors, so no pair is built.
+    Items stand on a ring ordered by hash; an item's shots are its successors, so no pair is built. Places come from one
+    order over all groups, by ranges, so that no group is sorted in one task. Items without a group have no shots.
     """
-    from pyspark.sql.window import Window
-
-    ring = Window.partitionBy(group).orderBy("h", key)
-    rows = items.select(key, group).withColumn("h", seeded_order(seed, F.col(key)))
-    n = F.count("*").over(Window.partitionBy(group))
-    placed = rows.withColumn("at", F.row_number().over(ring) - 1).withColumn("n", n)
+    rows = items.select(key, group).where(F.col(group).isNotNull()).withColumn("h", seeded_order(seed, F.col(key)))
+    placed = running(rows, [F.col(group), F.col("h"), F.col(key)]).select(key, group, "pos")
+    rings = placed.groupBy(group).agg(F.min("pos").alias("first"), F.count("*").alias("n"))
+    placed = placed.join(rings, group).withColumn("at", F.col("pos") - F.col("first"))
     wanted = placed.withColumn("shot", F.explode(F.sequence(F.lit(1), F.lit(k)))).where("shot < n").withColumn("at", (F.col("at") + F.col("shot")) % F.col("n")).select(group, "at", "shot", F.col(key).alias("asked"))
     return wanted.join(placed.select(group, "at", F.col(key).alias("other")), [group, "at"]).select(F.col("asked").alias(key), "shot", "other")
 

@@ -66,9 +66,13 @@ def distinct_metrics(spark, d):
     return table(spark, d, "metrics").groupBy("run").agg(F.array_join(F.sort_array(F.collect_set("metric")), ",").alias("metrics"))
 
 
+#: The metrics and their columns in a pivot.
+_PIVOT = {"train/loss": "loss", "val/bpb": "bpb", "train/lrm": "lrm", "train/dt": "dt", "train/mfu": "mfu", "train/tok_per_sec": "speed"}
+
+
 def metric_pivot(spark, d):
-    got = S.once(table(spark, d, "metrics")).groupBy("run").pivot("metric", ["train/loss", "val/bpb", "train/lrm"]).agg(F.min("value"))
-    return got.select("run", *(F.coalesce(F.format_string("%.4f", F.col(f"`{m}`")), F.lit("-")).alias(n) for m, n in (("train/loss", "loss"), ("val/bpb", "bpb"), ("train/lrm", "lrm"))))
+    got = S.once(table(spark, d, "metrics")).groupBy("run").pivot("metric", list(_PIVOT)).agg(F.min("value"))
+    return got.select("run", *(F.coalesce(F.format_string("%.4f", F.col(f"`{m}`")), F.lit("-")).alias(n) for m, n in _PIVOT.items()))
 
 
 def progress_guard(spark, d):
@@ -246,7 +250,7 @@ QUERIES = {
     "first_of_run": (first_of_run, f"SELECT run, arg_min(value, step) AS first_loss, min(step) AS first_step FROM {_LOSS} GROUP BY run"),
     "late_metrics": (late_metrics, "SELECT run, count(*) AS n, sum((arrived_at > logged_at + INTERVAL 1 MINUTE)::INT)::BIGINT AS late FROM metrics GROUP BY run"),
     "distinct_metrics": (distinct_metrics, "SELECT run, string_agg(DISTINCT metric, ',' ORDER BY metric) AS metrics FROM metrics GROUP BY run"),
-    "metric_pivot": (metric_pivot, f"SELECT run, {', '.join(f'''coalesce(printf('%.4f', min(value) FILTER (metric = '{m}')), '-') AS {n}''' for m, n in (('train/loss', 'loss'), ('val/bpb', 'bpb'), ('train/lrm', 'lrm')))} FROM {_ONCE} GROUP BY run"),
+    "metric_pivot": (metric_pivot, f"SELECT run, {', '.join(f'''coalesce(printf('%.4f', min(value) FILTER (metric = '{m}')), '-') AS {n}''' for m, n in _PIVOT.items())} FROM {_ONCE} GROUP BY run"),
     "progress_guard": (progress_guard, "SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY event_id) AS progress FROM events"),
     "iso_fit": (iso_fit, f"""WITH p AS (SELECT l_linenumber::BIGINT AS budget, log10(l_quantity) AS x, log10(l_extendedprice) AS y FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0), c AS (SELECT *, x - avg(x) OVER (PARTITION BY budget) AS t, avg(x) OVER (PARTITION BY budget) AS m FROM p),
         s AS (SELECT budget, max(m) AS m, count(*)::DOUBLE AS n, sum(t) AS s1, sum(t ** 2) AS s2, sum(t ** 3) AS s3, sum(t ** 4) AS s4, sum(y) AS t0, sum(t * y) AS t1, sum(t * t * y) AS t2 FROM c GROUP BY budget),

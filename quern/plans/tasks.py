@@ -88,7 +88,7 @@ def gsm_parts(spark, d):
 
 
 def gsm_grade(spark, d):
-    """Each answer graded against the one before it of the same task: equal final numbers, or none in both."""
+    """Each conversation's last answer graded against its first: equal final numbers, or none in both."""
     own = table(spark, d, "chat_messages").where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("content", F.struct("turn", "content")).alias("a"), F.max_by("content", F.struct("turn", "content")).alias("b"))
     return own.select("conv_id", K.grade_number(F.col("a"), F.col("b")).alias("correct"))
 

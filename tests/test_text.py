@@ -159,3 +159,22 @@ def test_rounds_of_merges_are_those_one_by_one():
                 words = [(bpe.merge(ids, pair, 256 + len(out)), n) for ids, n in words]
                 out.append(pair)
         assert out == bpe.learn_merges(counts, 25)
+
+
+def test_steps_of_the_matrix_optimizer():
+    import math
+
+    import numpy as np
+
+    from quern.functions import nn
+
+    ahead, mean = nn.nesterov(np.array([1.0, 2.0]), np.array([0.0, 4.0]), 0.5)
+    assert mean.tolist() == [0.5, 3.0] and ahead.tolist() == [0.75, 2.5]
+    update = np.array([[3.0, 4.0], [0.6, 0.8], [0.3, 0.4]])
+    even, second = nn.even_variance(update, np.zeros((3, 1)), 0.0)
+    assert second.ravel().tolist() == pytest.approx([12.5, 0.5, 0.125])
+    assert np.linalg.norm(even) == pytest.approx(np.linalg.norm(update)) and np.linalg.norm(even, axis=1) == pytest.approx([np.linalg.norm(update) / math.sqrt(3)] * 3)
+    assert nn.even_variance(update.T, np.zeros((1, 3)), 0.5)[1].ravel().tolist() == pytest.approx([6.25, 0.25, 0.0625])
+    assert nn.cautious(np.array([1.0, 1.0, 0.0]), np.array([2.0, -2.0, 1.0]), 0.1, 0.5).tolist() == pytest.approx([0.75, 1.2, -0.1])
+    p, buffer, second = nn.muon(np.zeros((4, 2)), np.ones((4, 2)), np.zeros((4, 2)), np.zeros((4, 1)), 1.0, 0.0, 0.0, 0.0)
+    assert buffer.tolist() == np.ones((4, 2)).tolist() and np.ptp(p) < 1e-9 and p[0, 0] < 0
