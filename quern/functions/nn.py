@@ -46,6 +46,42 @@ def rotated(x: np.ndarray, position: int, base: float = 100_000.0) -> np.ndarray
     return np.concatenate([a * np.cos(angle) + b * np.sin(angle), b * np.cos(angle) - a * np.sin(angle)])
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def with_value_embedding(values: np.ndarray, embedding: np.ndarray, gates: np.ndarray, most: float = 3.0) -> np.ndarray:
+    """Values (position, head, channel) with a gated share, from 0 to ``most`` by a logit for each head, of the token's value embedding."""
+    return values + most * _sigmoid(gates)[..., None] * embedding
+
+
+def smeared(x: np.ndarray, gates: np.ndarray, strength: float) -> np.ndarray:
+    """Embeddings (position, channel) with a gated share of the one before; the first stays. ``gates``: a logit for each position."""
+    out = x.copy()
+    out[1:] += strength * _sigmoid(gates[1:])[:, None] * x[:-1]
+    return out
+
+
+def trunk(first: np.ndarray, layers: list, residual: list[float], given: list[float], backout: float) -> np.ndarray:
+    """The residual stream through layers, each of which sees it mixed with the first embedding; half-way's stream is taken off at the end."""
+    x, middle = first, None
+    for k, (layer, own, again) in enumerate(zip(layers, residual, given, strict=True)):
+        x = layer(own * x + again * first)
+        if k == len(layers) // 2:
+            middle = x
+    return x if middle is None else x - backout * middle
+
+
+def initial_bound(width: int, scale: float = 1.0) -> float:
+    """The bound of a uniform start with the deviation of ``width ** -0.5``, times a scale."""
+    return scale * (3.0 / width) ** 0.5
+
+
+def convertible(rows: Column, columns: Column, multiple: int = 16, least: int = 128) -> Column:
+    """Whether a matrix is computed in eight bits: both sides a multiple, and none too short."""
+    return (rows % multiple == 0) & (columns % multiple == 0) & (F.least(rows, columns) >= least)
+
+
 def windowed_mask(length: int, window: int) -> np.ndarray:
     """Which earlier positions each position sees: itself and up to ``window`` before it, all if negative."""
     back = np.arange(length)[:, None] - np.arange(length)[None, :]

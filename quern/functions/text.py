@@ -65,6 +65,11 @@ def leading_imports(prompt: Column) -> Column:
     return F.array_join(F.aggregate(lines, state, step)["out"], "\n")
 
 
+def plain_name(name: Column, prefix: str = "_orig_mod.") -> Column:
+    """A parameter's name without the prefix that compiling puts before it."""
+    return F.when(F.startswith(name, F.lit(prefix)), F.substring(name, F.lit(len(prefix) + 1), F.length(name))).otherwise(name)
+
+
 def slug(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit(" "), F.lit("-"))
 

@@ -17,6 +17,12 @@ def centered(accuracy: Column, baseline: Column) -> Column:
     return (accuracy - baseline) / (1 - baseline)
 
 
+def mean_centered(results: DataFrame, by: list[str], task: str, accuracy: Column, baseline: Column, tasks: list[str]) -> DataFrame:
+    """(by, mean): the mean centred accuracy over the named tasks, only where there is a result of each of them."""
+    own = results.where(F.col(task).isin(tasks)).groupBy(*by).agg(F.countDistinct(task).alias("n"), F.avg(centered(accuracy, baseline)).alias("mean"))
+    return own.where(F.col("n") == len(set(tasks))).select(*by, "mean")
+
+
 def pass_at_k(samples: DataFrame, problem: str, order: str, correct: str, most: int) -> DataFrame:
     """(k, share): problems of which one of the first ``k`` samples is right. One pass: each problem's first right sample."""
     first = samples.groupBy(problem).agg(F.min(F.when(F.col(correct) == 1, F.col(order))).alias("first"))

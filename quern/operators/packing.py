@@ -131,6 +131,12 @@ def packed(df: DataFrame, shard: str, key: str, length: str, capacity: int = 204
     return df.select(shard, key, F.col(length).cast("long").alias(length)).groupBy(shard).applyInPandas(run, f"shard {shard_kind}, row bigint, key {kind}, start bigint, used bigint, length bigint")
 
 
+def progress(taken: Column, size: Column, steps: int | None = None) -> tuple[Column, Column, Column]:
+    """Epoch from 1, share done and whether to stop after a number of taken sequences: by ``steps`` if given, else after one pass over ``size``."""
+    share = taken / F.lit(steps) if steps else taken / size
+    return F.floor(taken / size) + 1, F.least(share, F.lit(1.0)), share >= 1
+
+
 def waste(rows: DataFrame, capacity: int) -> DataFrame:
     """Share of row space used, of all tokens cropped or left out with their sequence, and of row space padded."""
     per = rows.groupBy("shard").agg(F.coalesce(F.max("row"), F.lit(-1)).alias("last"), F.sum("used").alias("used"), F.sum("length").alias("tokens"))

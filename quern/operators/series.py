@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -236,12 +236,9 @@ def residual_ramps(depth: int, layer: Column) -> tuple[Column, Column]:
     return tuple(F.lit(a) + (b - a) * part for a, b in (RESIDUAL, INPUT))
 
 
-def with_ratio(df: DataFrame, tokens: str = "tokens_trained", kinds: tuple[str, ...] = ("matrices", "head")) -> DataFrame:
-    """Adds effective_params, the sum of the named groups, and param_data_ratio, tokens for each of them."""
-    own = F.col(kinds[0])
-    for k in kinds[1:]:
-        own = own + F.col(k)
-    return df.withColumn("effective_params", own).withColumn("param_data_ratio", F.try_divide(F.col(tokens), F.col("effective_params")))
+def with_ratio(df: DataFrame, tokens: str = "tokens_trained", effective: Callable[[], Column] = lambda: F.col("matrices") + F.col("head")) -> DataFrame:
+    """Adds effective_params, by default of matrices and head, and param_data_ratio, tokens for each of them; ``effective`` is the user's to change."""
+    return df.withColumn("effective_params", effective()).withColumn("param_data_ratio", F.try_divide(F.col(tokens), F.col("effective_params")))
 
 
 def whole_steps(tokens: Column, per_step: Column) -> Column:

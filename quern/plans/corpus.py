@@ -65,6 +65,23 @@ def corpus_epochs(spark, d):
     return epochs(split(row_groups(spark, d), "train"), 2, 1, 2).groupBy("epoch", "shard", "rg").agg(F.count("*").alias("docs"))
 
 
+def cursors(df: DataFrame, size: int) -> DataFrame:
+    """(number, epoch, shard, rg, batch, docs): the batches of ``epochs`` in order, with where a loader stands after each; to go on there, see ``resume``."""
+    batches = df.groupBy("epoch", "shard", "rg", F.expr(f"row_in_rg div {size}").alias("batch")).agg(F.count("*").alias("docs"))
+    return order.running(batches, [F.col(c) for c in ("epoch", "shard", "rg", "batch")], index="number").drop("upto")
+
+
+def corpus_cursor(spark, d):
+    return cursors(epochs(split(row_groups(spark, d), "train"), 2, 1, 2), 5)
+
+
+def corpus_first_batch(spark, d):
+    """What the first batch of a loader holds: the first rows of the first row group."""
+    first = cursors(epochs(row_groups(spark, d), 1), 5).where("number = 0").select("shard", "rg", "batch")
+    rows = row_groups(spark, d).withColumn("batch", F.expr("row_in_rg div 5"))
+    return rows.join(F.broadcast(first), ["shard", "rg", "batch"]).select("doc_id", "chars")  # one row
+
+
 def corpus_resume(spark, d):
     return resume(split(row_groups(spark, d), "train"), 1, 2, 1, 2).select("doc_id", "shard", "rg", "row_in_rg")
 
@@ -131,6 +148,8 @@ QUERIES = {
     "corpus_stride": (corpus_stride, f"WITH g AS ({_GROUPS}) SELECT doc_id, shard, rg FROM g WHERE rg % 3 = 1 AND shard < (SELECT max(shard) FROM g)"),
     "corpus_batches": (corpus_batches, f"WITH g AS ({_GROUPS}) SELECT shard, rg, row_in_rg // 5 AS batch, count(*) AS docs, min(doc_id) AS first_doc FROM g GROUP BY ALL"),
     "corpus_epochs": (corpus_epochs, f"WITH g AS ({_GROUPS}) SELECT epoch::INT AS epoch, shard, rg, count(*) AS docs FROM g, range(1, 3) e(epoch) WHERE rg % 2 = 1 AND shard < (SELECT max(shard) FROM g) GROUP BY ALL"),
+    "corpus_cursor": (corpus_cursor, f"WITH g AS ({_GROUPS}), b AS (SELECT epoch::INT AS epoch, shard, rg, row_in_rg // 5 AS batch, count(*) AS docs FROM g, range(1, 3) e(epoch) WHERE rg % 2 = 1 AND shard < (SELECT max(shard) FROM g) GROUP BY ALL) SELECT row_number() OVER (ORDER BY epoch, shard, rg, batch) - 1 AS number, * FROM b"),
+    "corpus_first_batch": (corpus_first_batch, f"WITH g AS ({_GROUPS}) SELECT doc_id, chars FROM g WHERE shard = (SELECT min(shard) FROM g) AND rg = 0 AND row_in_rg < 5"),
     "corpus_resume": (corpus_resume, f"WITH g AS ({_GROUPS}) SELECT doc_id, shard, rg, row_in_rg FROM g WHERE rg % 2 = 1 AND shard < (SELECT max(shard) FROM g) AND (shard > 1 OR (shard = 1 AND rg >= (2 // 2 + 1) * 2 + 1))"),
     "shard_plan": (shard_plan, f"WITH g AS ({_GROUPS}), p AS (SELECT range AS shard FROM range(10) UNION SELECT max(shard) FROM g) SELECT shard, printf('shard_%05d.parquet', shard) AS file FROM p"),
     "repackage_shards": (repackage_shards, """WITH RECURSIVE o AS (SELECT coalesce(length(text), 0) AS chars, (row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1) // 16 AS block FROM documents),

@@ -63,11 +63,23 @@ def core_metric(spark, d):
     return joined.agg(F.round(F.avg(E.centered(F.col("accuracy"), F.col("percent") * 0.01)), 6).alias("core"), F.count("*").alias("tasks"))
 
 
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def _by_segment(spark, d, tasks):
+    orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    acc = orders.groupBy("c_mktsegment", F.col("o_orderpriority").alias("task")).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("a"))
+    return E.mean_centered(acc, ["c_mktsegment"], "task", F.col("a"), F.lit(0.25), tasks).select("c_mktsegment", F.round("mean", 6).alias("chatcore"))
+
+
 def chatcore(spark, d):
     """Only where a market segment has orders of all five priorities."""
-    orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    acc = orders.groupBy("c_mktsegment", "o_orderpriority").agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("a"))
-    return acc.groupBy("c_mktsegment").agg(F.count("*").alias("tasks"), F.avg(E.centered(F.col("a"), F.lit(0.25))).alias("m")).where("tasks = 5").select("c_mktsegment", F.round("m", 6).alias("chatcore"))
+    return _by_segment(spark, d, _PRIORITIES)
+
+
+def chatcore_categorical(spark, d):
+    """The same of the priorities that stand for tasks answered by a letter."""
+    return _by_segment(spark, d, ["1-URGENT", "3-MEDIUM"])
 
 
 def option_argmin(spark, d):
@@ -125,6 +137,7 @@ _TASKS = "(SELECT o_orderpriority AS task, avg((o_orderstatus = 'F')::INT) AS ac
 _BASE = "(VALUES ('1-URGENT', 25.0::DOUBLE), ('2-HIGH', 20.0), ('3-MEDIUM', 0.0), ('4-NOT SPECIFIED', 10.0)) b(task, percent)"
 
 QUERIES = {
+    "chatcore_categorical": (chatcore_categorical, "SELECT c_mktsegment, round(avg((a - 0.25) / 0.75), 6) AS chatcore FROM (SELECT c_mktsegment, o_orderpriority, avg((o_orderstatus = 'F')::INT) AS a FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM') GROUP BY ALL) GROUP BY 1 HAVING count(*) = 2"),
     "passk": (passk, f"WITH f AS (SELECT user_id, min(sample) FILTER (correct = 1) AS first FROM {_SAMPLES} GROUP BY user_id) SELECT k::INT AS k, (count(*) FILTER (first < k))::BIGINT AS solved, round((count(*) FILTER (first < k)) / count(*), 6) AS share FROM f, range(1, 9) r(k) GROUP BY k"),
     "any_of_n": (any_of_n, f"SELECT user_id, max(correct) AS passed FROM {_SAMPLES} WHERE sample < 5 GROUP BY user_id"),
     "advantage": (advantage, f"SELECT event_id, round({_ADV}, 4) AS advantage FROM events"),

@@ -101,10 +101,11 @@ def right_pad(spark, d):
 
 
 def consumed(spark, d):
-    """Which epoch each of two ranks is in when it has taken a conversation, over one and a half passes."""
+    """How many conversations two ranks take in each epoch over one and a half passes, and when a run of one pass stops."""
     own = table(spark, d, "orders").agg(F.count("*").alias("n"))
     taken = own.select("n", F.explode(F.sequence(F.lit(0), F.expr("cast(n * 3 div 2 as bigint)"))).alias("i"))
-    return taken.groupBy((F.expr("i div n") + 1).alias("epoch"), (F.col("i") % 2).alias("rank")).agg(F.count("*").alias("taken"))
+    epoch, _, stop = P.progress(F.col("i"), F.col("n"))
+    return taken.select(epoch.alias("epoch"), (F.col("i") % 2).alias("rank"), stop.cast("int").alias("stop")).groupBy("epoch", "rank").agg(F.count("*").alias("taken"), F.sum("stop").alias("stopped"))
 
 
 _D = "(SELECT doc_id, doc_id // 20000 AS shard, coalesce(octet_length(encode(text)), 0) + 1 AS tokens FROM documents)"
@@ -152,5 +153,5 @@ QUERIES = {
     "packing_floor": (packing_floor, f"SELECT round(sum(greatest(tokens - {_CAPACITY}, 0)) / sum(tokens) * 100, 4) AS floor, sum(tokens)::BIGINT AS tokens FROM {_D}"),
     "left_truncate": (left_truncate, f"SELECT doc_id, least(tokens, 1024)::INT AS kept, (tokens - least(tokens, 1024) + 1)::INT AS first, tokens::INT AS last, greatest(tokens - 10 - greatest(tokens - 1024, 0), 0)::INT AS span_start FROM {_D}"),
     "right_pad": (right_pad, "WITH t AS (SELECT l_orderkey, l_orderkey // 8 AS batch, list_sort(list(l_linenumber)) AS t FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(t || list_transform(range(0, max(len(t)) OVER (PARTITION BY batch) - len(t)), lambda x: 0), ',') AS padded FROM t"),
-    "consumed": (consumed, "WITH n AS (SELECT count(*) AS n FROM orders) SELECT i // n + 1 AS epoch, i % 2 AS rank, count(*) AS taken FROM (SELECT n, unnest(range(0, n * 3 // 2 + 1)) AS i FROM n) GROUP BY ALL"),
+    "consumed": (consumed, "WITH n AS (SELECT count(*) AS n FROM orders) SELECT i // n + 1 AS epoch, i % 2 AS rank, count(*) AS taken, count(*) FILTER (i >= n) AS stopped FROM (SELECT n, unnest(range(0, n * 3 // 2 + 1)) AS i FROM n) GROUP BY ALL"),
 }

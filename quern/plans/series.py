@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.functions import nn
+from quern.functions.text import plain_name
 from quern.operators import series as S
 from quern.session import table
 
@@ -141,6 +143,13 @@ def matrix_groups(spark, d):
     return S.matrix_groups(S.layer_matrices(shapes)).select("rows", "columns", "matrices", F.round("lr", 8).alias("lr"))
 
 
+def narrow_layers(spark, d):
+    """Which matrices of models of several depths are computed in eight bits, by their plain names."""
+    rows = S.layer_matrices(S.with_shape(spark.range(1, 6).withColumnRenamed("id", "depth"), "depth", 40, 40))
+    name = plain_name(F.concat(F.when(F.col("layer") % 2 == 0, "_orig_mod.").otherwise(""), "name"))
+    return rows.groupBy("depth", name.alias("name")).agg(F.sum(nn.convertible(F.col("rows"), F.col("columns")).cast("int")).alias("narrow"), F.count("*").alias("matrices"))
+
+
 def data_ratio(spark, d):
     """Tokens for each effective parameter of models of several depths, after 1e9 tokens."""
     own = S.with_parameters(S.with_shape(spark.range(4, 21, 4).withColumnRenamed("id", "depth"), "depth"), "depth").withColumn("tokens_trained", F.lit(10**9))
@@ -264,6 +273,7 @@ QUERIES = {
     "task_fits": (task_fits, "SELECT row_number() OVER (ORDER BY round(r2, 9) DESC NULLS LAST, p_type) AS rank, p_type, round(slope, 5) AS slope, round(r2, 6) AS r2 FROM (SELECT p_type, regr_slope(p_retailprice, p_size) AS slope, regr_r2(p_retailprice, p_size) AS r2 FROM part GROUP BY p_type)"),
     "averaged_estimates": (averaged_estimates, "SELECT coalesce(a.p_brand, b.p_brand) AS p_brand, round((coalesce(a.m, b.m) + coalesce(b.m, a.m)) / 2, 4) AS price FROM (SELECT p_brand, avg(p_retailprice) AS m FROM part WHERE p_size <= 10 GROUP BY 1) a FULL JOIN (SELECT p_brand, avg(p_retailprice) AS m FROM part WHERE p_size > 45 GROUP BY 1) b ON a.p_brand = b.p_brand"),
     "matrix_groups": (matrix_groups, "WITH m AS (SELECT depth, (ceil(depth * 64 / 128) * 128)::BIGINT AS w FROM range(4, 21, 8) r(depth)), s AS (SELECT w * r AS rows, w * c AS columns, depth * n AS n FROM m, (VALUES (1, 1, 4), (4, 1, 1), (1, 4, 1)) k(r, c, n)) SELECT rows, columns, sum(n)::BIGINT AS matrices, round(0.02 * sqrt(greatest(1.0, rows / columns)), 8)::DOUBLE AS lr FROM s GROUP BY rows, columns"),
+    "narrow_layers": (narrow_layers, "SELECT depth, name, sum(((r * w) % 16 = 0 AND (c * w) % 16 = 0 AND least(r, c) * w >= 128)::INT)::BIGINT AS narrow, count(*) AS matrices FROM (SELECT depth, unnest(range(depth)) AS layer, ceil(depth * 40 / 40)::BIGINT * 40 AS w FROM range(1, 6) t(depth)), (VALUES ('query', 1, 1), ('key', 1, 1), ('value', 1, 1), ('projection', 1, 1), ('wide', 4, 1), ('narrow', 1, 4)) k(name, r, c) GROUP BY ALL"),
     "data_ratio": (data_ratio, f"SELECT depth, matrices + head AS effective_params, round(1e9 / (matrices + head), 6) AS param_data_ratio FROM {_PARAMS.format(s=_SHAPE.format(a=4, b=21))} WHERE depth % 4 = 0"),
     "interp": (interp, """WITH q AS (SELECT o_orderpriority AS g, floor(o_totalprice / 50000)::DOUBLE AS x, round(avg(o_totalprice), 2) AS y FROM orders GROUP BY ALL),
         w AS (SELECT DISTINCT o_orderpriority AS g, unnest([-1.0, 0.5, 2.25, 99.0])::DOUBLE AS point FROM orders),

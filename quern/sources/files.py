@@ -92,10 +92,12 @@ def sweep(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.SWEEP).option("header", True).csv(path).where("val_bpb is not null and val_bpb > 0")
 
 
-def code_size(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("py", "md", "toml", "sh")) -> DataFrame:
-    """(files, lines, chars, tokens) of a source tree."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").text(folder, wholetext=True)
-    return rows.agg(F.count("*").alias("files"), F.sum(F.size(F.split("value", "\n"))).alias("lines"), F.sum(F.length("value")).alias("chars")).withColumn("tokens", F.expr("chars div 4"))
+def code_size(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("py", "md", "toml", "sh"), lock: str = "*.lock") -> DataFrame:
+    """(files, lines, chars, tokens, lock_lines) of a source tree; lines of the files of locked dependencies count apart."""
+    read = lambda pattern: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    lines = F.coalesce(F.sum(F.size(F.split("value", "\n"))), F.lit(0))
+    own = read("*.{" + ",".join(extensions) + "}").agg(F.count("*").alias("files"), lines.alias("lines"), F.sum(F.length("value")).alias("chars")).withColumn("tokens", F.expr("chars div 4"))
+    return own.crossJoin(F.broadcast(read(lock).agg(lines.alias("lock_lines"))))  # one row each
 
 
 def last_step(spark: SparkSession, folder: str) -> int:

@@ -178,3 +178,16 @@ def test_steps_of_the_matrix_optimizer():
     assert nn.cautious(np.array([1.0, 1.0, 0.0]), np.array([2.0, -2.0, 1.0]), 0.1, 0.5).tolist() == pytest.approx([0.75, 1.2, -0.1])
     p, buffer, second = nn.muon(np.zeros((4, 2)), np.ones((4, 2)), np.zeros((4, 2)), np.zeros((4, 1)), 1.0, 0.0, 0.0, 0.0)
     assert buffer.tolist() == np.ones((4, 2)).tolist() and np.ptp(p) < 1e-9 and p[0, 0] < 0
+
+
+def test_pieces_of_the_forward_pass():
+    import numpy as np
+
+    from quern.functions import nn
+
+    v = nn.with_value_embedding(np.ones((2, 1, 3)), np.full((2, 1, 3), 2.0), np.array([[0.0], [100.0]]))
+    assert v[0].ravel().tolist() == pytest.approx([4.0] * 3) and v[1].ravel().tolist() == pytest.approx([7.0] * 3)
+    assert nn.smeared(np.array([[1.0], [2.0], [4.0]]), np.array([9.0, 0.0, 0.0]), 0.5).ravel().tolist() == pytest.approx([1.0, 2.25, 4.5])
+    out = nn.trunk(np.array([1.0]), [lambda x: x + 1, lambda x: x * 2, lambda x: x], [1.0, 1.0, 0.5], [0.0, 1.0, 0.0], 0.25)
+    assert out.tolist() == [1.5]  # 2, 6 (half-way), 3; less a quarter of 6
+    assert nn.trunk(np.array([1.0]), [], [], [], 0.5).tolist() == [1.0] and nn.initial_bound(3) == 1.0 and nn.initial_bound(12, 0.4) == pytest.approx(0.2)
