@@ -93,14 +93,13 @@ class Copies:
 
     def is_copy(self, question: str, answer: str, asked: list[str] | None = None, said: list[str] | None = None) -> bool:
         """Whether each sentence of the answer, however often it stands there, is one of the question's, and together they cover it or its last sentence; ``asked`` and ``said`` as in ``is_wrong_language``."""
-        most = COPY_MOST * len(question) + 24
-        if len(answer) > most and answer.find(answer[:32], 1) < 0:
+        if len(answer) > COPY_MOST * len(question) + 24 and answer.find(answer[:32], 1) < 0:
             return False
         if not _may_be_copy(question.lower().split() if asked is None else asked, answer.lower().split() if said is None else said):
             return False
         parts = list(dict.fromkeys(filter(None, map(_squeezed, _SENTENCES.split(answer)))))
         size = sum(map(len, parts)) + len(parts) - 1
-        if not parts or size > most:
+        if not parts:
             return False
         whole = _squeezed(question)
         known, said = set(whole.split()), [w for x in parts for w in x.split()]
