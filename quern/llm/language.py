@@ -60,9 +60,19 @@ def count_hits(text: str) -> tuple[dict[str, int], dict[str, int]]:
 
 def count_words(words: list[str]) -> tuple[dict[str, int], dict[str, int]]:
     """``count_hits`` of a text in lower case, parted at blanks."""
+    hits = hit_letters(words)
+    return dict(zip(LANGUAGES, counted(hits), strict=True)), dict(zip(LANGUAGES, counted(hits, alone=True), strict=True))
+
+
+def hit_letters(words: list[str]) -> str:
+    """The places of the languages of each function word, as letters, and as a capital that of its only one."""
     beside = " ".join([w for w in words if not w.isalpha()])
-    hits = "".join(filter(None, map(_PLACES.get, words))) + "".join(filter(None, map(_PLACES.get, _BETWEEN(beside)))) + words.count("y") * _AND
-    return {lang: hits.count(chr(97 + k)) for k, lang in enumerate(LANGUAGES)}, {lang: hits.count(chr(65 + k)) for k, lang in enumerate(LANGUAGES)}
+    return "".join(filter(None, map(_PLACES.get, words))) + "".join(filter(None, map(_PLACES.get, _BETWEEN(beside)))) + words.count("y") * _AND
+
+
+def counted(hits: str, alone: bool = False) -> list[int]:
+    """How many of ``hit_letters`` each language has, in order of ``LANGUAGES``; ``alone``: how many are its alone."""
+    return [hits.count(c) for c in ("ABCD" if alone else "abcd")]
 
 
 def language_of(hits: dict[str, int], least: int = 1, margin: float = 1.0) -> str:

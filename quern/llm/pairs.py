@@ -69,11 +69,11 @@ def _squeezed(text: str) -> bytes:
 
 
 def _may_be_copy(asked: list[str], said: list[str]) -> bool:
-    """Whether one in eight words, as blanks part them, is in the question, or there are too few to tell."""
+    """Whether half of the words, as blanks part them, are in the question, or there are too few to tell; what has fewer is no slight alteration."""
     if len(said) < 6:
         return True
     known = set(asked)
-    return sum([w in known for w in said]) * 8 >= len(said)
+    return sum(map(known.__contains__, said)) * 2 >= len(said)
 
 
 class Copies:
@@ -120,14 +120,21 @@ def is_wrong_language(question: str, answer: str, asked: list[str] | None = None
 
     A question whose words leave several languages open is in all of them.
     """
-    hits, alone = language.count_words(said) if said is not None and "`" not in answer else language.count_hits(_CODE.sub(" ", answer))
-    own = language.language_of(hits)
-    if own == language.UNKNOWN or hits[own] < WRONG_LEAST:
+    letters = language.hit_letters(said if said is not None and "`" not in answer else _CODE.sub(" ", answer).lower().split())
+    hits = language.counted(letters)
+    most = max(hits)
+    if not most or hits.count(most) > 1:
+        return False, language.UNKNOWN
+    place = hits.index(most)
+    own = language.LANGUAGES[place]
+    if most < WRONG_LEAST:
         return False, own
-    theirs, _ = language.count_words(question.lower().split() if asked is None else asked)
-    most = max(theirs.values())
-    open_ = [lang for lang, n in theirs.items() if ASKED_MARGIN * n >= most]
-    if not most or own in open_ or alone[own] < WRONG_MARGIN * max(alone[lang] for lang in open_):
+    theirs = language.counted(language.hit_letters(question.lower().split() if asked is None else asked))
+    top = max(theirs)
+    if not top or ASKED_MARGIN * theirs[place] >= top:
+        return False, own
+    alone = language.counted(letters, alone=True)
+    if alone[place] < WRONG_MARGIN * max(a for a, n in zip(alone, theirs, strict=True) if ASKED_MARGIN * n >= top):
         return False, own
     return not asks_for(question, own), own
 

@@ -191,8 +191,10 @@ def is_refusal(answer: str) -> bool:
     for sentence in sentences(answer):
         if not refused:
             words = _TOKENS(sentence.lower())
-            if len(words) > OPENING and not _may_refuse(words):
-                return False  # it neither declines nor is polite; what says nothing of its own opens no refusal either
+            if not _may_refuse(words):  # it neither declines nor is polite; what says nothing of its own opens no refusal either
+                if len(words) > OPENING:
+                    return False
+                continue
         for words in clauses(sentence):
             if declines(words):
                 refused = True
